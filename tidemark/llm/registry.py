@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["token_counts"]
+MODULES = ["packing", "token_counts"]
 
 
 def queries() -> dict[str, Callable]:
