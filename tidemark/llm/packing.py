@@ -139,6 +139,21 @@ def start(demand: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
     return basis
 
 
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots. The matrices are small; threads of a BLAS would only wait for each other."""
+    n = len(basis)
+    a = np.hstack([basis, np.eye(n)])
+    for k in range(n):
+        top = k + int(np.argmax(np.abs(a[k:, k])))
+        if top != k:
+            a[[k, top]] = a[[top, k]]
+        a[k] /= a[k, k]
+        others = np.flatnonzero(a[:, k])
+        others = others[others != k]
+        a[others] -= a[others, k][:, None] * a[k]
+    return a[:, n:]
+
+
 def patterns(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one a row) and how often each is used in the linear program's solution.
 
@@ -146,7 +161,7 @@ def patterns(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float =
     solution is below cost / v. `rounds` bounds the pivots; the solution is feasible at any time.
     """
     basis = start(demand, sizes, capacity)
-    inverse = np.linalg.inv(basis)
+    inverse = inverted(basis)
     x = np.maximum(inverse @ demand, 0)
     for pivot in range(rounds):
         duals = inverse.sum(axis=0)
@@ -166,7 +181,7 @@ def patterns(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float =
         inverse[out] = row
         basis[:, out] = column
         if pivot % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
             x = np.maximum(inverse @ demand, 0)
     return basis.T, x
 
