@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["packing", "token_counts"]
+MODULES = ["html_text", "packing", "secrets", "token_counts"]
 
 
 def queries() -> dict[str, Callable]:
