@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["html_text", "jaccard_join", "packing", "secrets", "token_counts"]
+MODULES = ["html_text", "jaccard_join", "packing", "secrets", "token_counts", "vector_dedup"]
 
 
 def queries() -> dict[str, Callable]:
