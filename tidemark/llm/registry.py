@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["ann", "html_text", "jaccard_join", "packing", "quality", "secrets", "token_counts", "vector_dedup"]
+MODULES = ["ann", "html_text", "jaccard_join", "katz", "packing", "quality", "secrets", "token_counts", "vector_dedup"]
 
 
 def queries() -> dict[str, Callable]:
