@@ -15,7 +15,7 @@ worked off pair of blocks by pair of blocks, with counts and a spanning forest a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,12 @@ def clean_vectors(rows: DataFrame, vector: str) -> F.Column:
     return F.coalesce(v.isNotNull() & usable & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def numbers(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """[n, dim] doubles from a column of lists."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+
+
 def rotation(nodes: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Principal axes of unit vectors (one an axis), dealt over the blocks later, and the variance along each.
 
@@ -46,7 +52,7 @@ def rotation(nodes: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     return axes.T[::-1], np.maximum(values[::-1], 1e-9)
 
 
-def vector_dedup(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", label: str = "label", threshold: float = 0.93, parts: int = 4, block: int = 256, sample: int = 2000) -> DataFrame:
+def vector_dedup(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", label: str = "label", threshold: float = 0.93, parts: int = 4, block: int = 2048, sample: int = 2000) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of `vectors`.
 
     Two rows link if their labels are equal and not null and their cosine, in double precision, is
@@ -55,7 +61,7 @@ def vector_dedup(vectors: DataFrame, vector: str = "embedding", key: str = "vec_
     Equal vectors count each. Rows without an id get component_id null and kept false. An empty
     table gives an empty table; other columns are not read. All links of all pairs are found.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     rows = rows.withColumn("label", F.when(clean_vectors(rows, "vector") & F.col("label").isNotNull() & F.col("id").isNotNull(), F.col("label")))
     used = rows.filter("label is not null")
     nodes = stage(used.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("w")), "vectors")
@@ -80,36 +86,31 @@ def links(nodes: DataFrame, dim: int, threshold: float, parts: int, block: int,
     edges = np.cumsum([0, *map(len, dealt)])
     labels = dict(nodes.dtypes)["label"]
 
-    def cells(batches):
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column("vector").to_pylist(), np.float64).reshape(b.num_rows, dim)
+            if not b.num_rows:
+                continue
+            x = numbers(b.column("vector"), dim)
             y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turned.T
-            index, part, cell_x, cell_y, home = [], [], [], [], []
             every = np.arange(len(x))
             for p in range(parts):
                 side = np.sqrt(budget[p])
                 cx = np.floor(y[:, edges[p]] / side).astype(np.int64)
                 cy = np.floor(y[:, edges[p] + 1] / side).astype(np.int64) if edges[p + 1] - edges[p] > 1 else np.zeros(len(x), np.int64)
                 for dx, dy in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)):
-                    index.append(every)
-                    part.append(np.full(len(x), p))
-                    cell_x.append(cx + dx)
-                    cell_y.append(cy + dy)
-                    home.append(np.full(len(x), not (dx or dy)))
-            take = pa.array(np.concatenate(index))
-            names = ["node", "w", "label", "vector"]
-            new = [pa.array(np.concatenate(c)) for c in (part, cell_x, cell_y, home)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in names), *new], names=[*names, "part", "cx", "cy", "home"])
-
-    placed = nodes.select("node", "w", "label", "vector").mapInArrow(cells, f"node long, w long, label {labels}, vector array<double>, part long, cx long, cy long, home boolean")
-    placed = placed.withColumn("root", F.xxhash64("label", "part", "cx", "cy"))
-    sizes = placed.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.col("home").cast("long")).alias("at_home")).filter("m > 1 and at_home > 0")
+                    new = [pa.array(c) for c in (np.full(len(x), p), cx + dx, cy + dy, np.full(len(x), not (dx or dy)))]
+                    yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), *new], names=["node", "label", "part", "cx", "cy", "home"])
+
+    # Places travel without vectors; a vector joins its units of work last, so that one shuffle carries it.
+    places = nodes.select("node", "label", "vector").mapInArrow(cells, f"node long, label {labels}, part long, cx long, cy long, home boolean")
+    places = places.withColumn("root", F.xxhash64("label", "part", "cx", "cy"))
+    sizes = places.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.col("home").cast("long")).alias("at_home")).filter("m > 1 and at_home > 0")
     sizes = sizes.select("root", F.ceil(F.col("m") / block).cast("long").alias("nb"))
-    blocked = placed.join(sizes, "root").withColumn("blk", F.pmod(F.xxhash64("node", "home"), F.col("nb")))
-    units = unit_keys(blocked).repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    blocked = places.join(sizes, "root").withColumn("blk", F.pmod(F.xxhash64("node", "home"), F.col("nb")))
+    units = unit_keys(blocked).drop("label", "nb").join(nodes, "node").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
 
     def close(group: pa.Table, split: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-        x = np.array(group["vector"].to_pylist(), np.float64)
+        x = numbers(group["vector"], dim)
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
         y = u @ turned.T
         home = group["home"].to_numpy(zero_copy_only=False)
