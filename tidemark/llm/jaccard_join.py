@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MIX, components, hashed_words, mix64, shingles, slices, stage, table
+from tidemark.llm.common import MIX, components, free_column, hashed_words, mix64, shingles, slices, stage, table
 
 
 def hash_family(count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -239,6 +239,19 @@ def classes(found: DataFrame, nodes: DataFrame, rows: DataFrame, keys: list[str]
     return linked.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """`docs` with one document of each class of near-duplicates, the one with the least id; columns stay as they are.
+
+    Rows without an id, and rows without words, all stay. Rows that share an id stay as one for each different text.
+    """
+    found = jaccard_join(docs, text, key)
+    kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
+    mark = free_column(docs, "__hash")
+    rows = docs.withColumn(mark, F.xxhash64(text))
+    lead = rows.filter(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key, mark])
+    return lead.unionByName(rows.filter(F.col(key).isNull())).select(*docs.columns)
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
