@@ -317,7 +317,7 @@ def scored(parts: DataFrame, unigrams: Unigrams, factor: np.ndarray, train_docs:
     return parts.mapInArrow(run, SCORES)
 
 
-def katz_scores(docs: DataFrame, train, text: str = "text", key: str = "doc_id", max_chars: int = 24_000_000, words_per_bucket: int = 500_000) -> DataFrame:
+def katz_scores(docs: DataFrame, train, text: str = "text", key: str = "doc_id", max_chars: int = 10_000_000, words_per_bucket: int = 500_000) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of `docs`.
 
     `train` is a column that holds for rows to learn from (null counts as false). Tokens are words between ASCII white
