@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import hashed_words, slices, table
@@ -136,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Fit on at most `per_class` rows of each label, chosen by a hash of the id; null labels and ids are left out."""
     known = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     share = known.agg(F.avg("label")).first()[0]
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_class).drop("r")
+    first = lambda c: known.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class)
+    chosen = first(0).unionByName(first(1))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
