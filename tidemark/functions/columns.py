@@ -57,7 +57,8 @@ def ladder(value: Column, edges: Sequence[tuple[float, str]], above: str) -> Col
 
 def human_size(c: Column) -> Column:
     """Bytes with one decimal and the largest fitting binary unit."""
-    out = F.when(c < 1024, F.format_string("%.1f B", c.cast("double")))
+    shown = lambda x, unit: F.format_string(f"%.1f {unit}", F.round(x, 1))
+    out = F.when(c < 1024, shown(c.cast("double"), "B"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
-        out = out.when(c < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", c / 1024.0**power))
-    return out.otherwise(F.format_string("%.1f TB", c / 1024.0**4))
+        out = out.when(c < 1024 ** (power + 1), shown(c / 1024.0**power, unit))
+    return out.otherwise(shown(c / 1024.0**4, "TB"))

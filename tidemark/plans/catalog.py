@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: list[str] = ["ranking_queries"]
+MODULES: list[str] = ["ranking_queries", "table_queries"]
 
 
 def queries() -> dict[str, Callable]:
