@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, table
+from tidemark.llm.common import buckets_for, mix64, stage, table
 from tidemark.llm.jaccard_join import runs
 from tidemark.llm.vector_dedup import clean_vectors
 
@@ -42,29 +42,31 @@ def matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def by_node(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole groups of consecutive rows with one node, about `rows` rows each."""
-    held, size = [], 0
-    for group in runs(batches, ["node"]):
-        held.append(group)
-        size += group.num_rows
-        if size >= rows:
-            yield pa.concat_tables(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_tables(held)
+LISTS = "bucket long, nodes binary, sizes binary, ids binary, gaps binary"
 
 
-def merged(parts: DataFrame, k: int) -> DataFrame:
-    """One row a node: its `k` nearest of all rows' entries, nearest first, ties to the smaller id."""
+def lists_batch(nodes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, gaps: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Neighbour lists of many nodes as one row a bucket of nodes."""
+    bucket = (mix64(nodes.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    flat = np.repeat(bucket, sizes)
+    order, inner = np.argsort(bucket, kind="stable"), np.argsort(flat, kind="stable")
+    nodes, sizes, ids, gaps = nodes[order], sizes[order], ids[inner], gaps[inner]
+    keys, at = np.unique(bucket[order], return_index=True)
+    ends = np.append(at[1:], len(nodes))
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    rows = [(int(k), nodes[s:e].tobytes(), sizes[s:e].tobytes(), ids[edge[s] : edge[e]].tobytes(), gaps[edge[s] : edge[e]].tobytes()) for k, s, e in zip(keys, at, ends)]
+    kinds = (pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "nodes", "sizes", "ids", "gaps"])
+
+
+def merged(lists: DataFrame, k: int) -> DataFrame:
+    """One row a node: its `k` nearest of all lists' entries, nearest first, ties to the smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_node(batches):
-            t = t.combine_chunks()
-            ids, gaps = t["ids"].combine_chunks(), t["gaps"].combine_chunks()
-            size = np.diff(ids.offsets.to_numpy())
-            owner = np.repeat(t["node"].to_numpy(), size)
-            i, g = ids.flatten().to_numpy(), gaps.flatten().to_numpy()
+        for t in runs(batches, ["bucket"]):
+            read = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)  # noqa: B023, E731
+            owner = np.repeat(read("nodes", np.int64), read("sizes", np.int64))
+            i, g = read("ids", np.int64), read("gaps", np.float32)
             order = np.lexsort((g, i, owner))
             owner, i, g = owner[order], i[order], g[order]
             first = np.append(True, (owner[1:] != owner[:-1]) | (i[1:] != i[:-1])) if len(i) else np.zeros(0, bool)
@@ -75,7 +77,17 @@ def merged(parts: DataFrame, k: int) -> DataFrame:
             ends = np.append(start[1:], len(owner))
             yield graph_batch(nodes, [i[s : min(e, s + k)] for s, e in zip(start, ends)], [g[s : min(e, s + k)] for s, e in zip(start, ends)])
 
-    return parts.repartition("node").sortWithinPartitions("node").mapInArrow(run, GRAPH)
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, GRAPH)
+
+
+def as_lists(graph: DataFrame, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sizes = np.diff(b.column("ids").offsets.to_numpy()).astype(np.int64)
+                yield lists_batch(b.column("node").to_numpy(), sizes, b.column("ids").flatten().to_numpy(), b.column("gaps").flatten().to_numpy(), buckets)
+
+    return graph.mapInArrow(run, LISTS)
 
 
 def nodes_of(vectors: DataFrame, vector: str, key: str, copies: int) -> tuple[DataFrame, int]:
@@ -118,7 +130,7 @@ def placed(nodes: DataFrame, dim: int, n: int, trees: int, leaf: int, seed: int)
     return rows.join(parts, ["tree", "leaf"]).withColumn("sub", F.pmod(F.xxhash64("node", "tree"), F.col("parts"))).drop("parts")
 
 
-def start_graph(leaves: DataFrame, dim: int, k: int) -> DataFrame:
+def start_graph(leaves: DataFrame, dim: int, k: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["tree", "leaf", "sub"]):
             x, node = matrix(group["vec"], dim), group["node"].to_numpy()
@@ -129,14 +141,15 @@ def start_graph(leaves: DataFrame, dim: int, k: int) -> DataFrame:
                 d = squared(x[at : at + 1024], x)
                 d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
                 near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                yield graph_batch(node[at : at + 1024], list(node[near]), list(np.take_along_axis(d, near, 1).astype(np.float32)))
+                own = node[at : at + 1024]
+                yield lists_batch(own, np.full(len(own), m), node[near].reshape(-1), np.take_along_axis(d, near, 1).astype(np.float32).reshape(-1), buckets)
 
     keys = ["tree", "leaf", "sub"]
-    return merged(leaves.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, GRAPH), k)
+    return merged(leaves.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LISTS), k)
 
 
-def descend(graph: DataFrame, homes: DataFrame, dim: int, k: int, reverse: int) -> DataFrame:
-    """Candidates of one round: rows (node, ids, gaps) that beat the node's farthest entry."""
+def descend(graph: DataFrame, homes: DataFrame, dim: int, k: int, reverse: int, buckets: int) -> DataFrame:
+    """Candidates of one round that beat the node's farthest entry, `k` a node and leaf at most, as lists by bucket."""
     forward = graph.select("node", F.explode("ids").alias("member"))
     backward = forward.select(F.col("member").alias("node"), F.col("node").alias("member"))
     order = Window.partitionBy("node").orderBy(F.xxhash64("member", "node"), "member")
@@ -188,23 +201,23 @@ def descend(graph: DataFrame, homes: DataFrame, dim: int, k: int, reverse: int)
                     size = len(best[0][0])
             if size:
                 a, b, d = pressed()
-                nodes, at = np.unique(a, return_index=True)
-                ends = np.append(at[1:], len(a))
-                yield graph_batch(ids[nodes], [ids[b[s:e]] for s, e in zip(at, ends)], [d[s:e] for s, e in zip(at, ends)])
+                nodes, sizes = np.unique(a, return_counts=True)
+                yield lists_batch(ids[nodes], sizes, ids[b], d.astype(np.float32), buckets)
 
-    return units.repartition("leaf", "sub").sortWithinPartitions("leaf", "sub").mapInArrow(run, GRAPH)
+    return units.repartition("leaf", "sub").sortWithinPartitions("leaf", "sub").mapInArrow(run, LISTS)
 
 
 def build(nodes: DataFrame, dim: int, k: int = 32, trees: int = 4, leaf: int = 4096, reverse: int = 32, settle: float = 0.05, rounds: int = 8, seed: int = 5) -> DataFrame:
     """The neighbour graph (node, ids, gaps) over all nodes."""
     n = nodes.count()
     leaves = stage(placed(nodes, dim, n, trees, leaf, seed), "ann-leaves")
-    graph = stage(start_graph(leaves, dim, k), "ann-graph")
+    buckets = buckets_for(n, 2048, 64)
+    graph = stage(start_graph(leaves, dim, k, buckets), "ann-graph")
     homes = leaves.filter("tree = 0").select("node", "vec", "leaf", "sub")
     if n <= leaf and trees:  # one leaf: the start graph is exact
         return graph
     for _ in range(rounds):
-        new = stage(merged(graph.unionByName(descend(graph, homes, dim, k, reverse)), k), "ann-graph")
+        new = stage(merged(as_lists(graph, buckets).unionByName(descend(graph, homes, dim, k, reverse, buckets)), k), "ann-graph")
         old = graph.select("node", F.col("ids").alias("before"))
         changed = new.join(old, "node", "left").select(F.sum(F.size(F.array_except("ids", F.coalesce("before", F.array().cast("array<long>"))))).alias("c")).first()["c"]
         graph = new
