@@ -194,7 +194,7 @@ class Chunk:
         self.ids = first["ids"].to_pylist()[0]
         self.train = unpacked(first["train"][0].as_py(), np.uint8).astype(bool)
         self.lengths = unpacked(first["lengths"][0].as_py(), np.uint32).astype(np.int64)
-        self.places = unpacked(first["places"][0].as_py(), np.uint32).astype(np.int64)
+        self.places = unpacked(first["places"][0].as_py(), np.uint32).astype(np.int32)
         replies = group.filter(pa.array(kind == 1))
         counts, numbers = replies["a"].to_pylist(), replies["b"].to_pylist()
         self.buckets = replies["bucket"].to_pylist()
@@ -213,9 +213,10 @@ class Chunk:
         starts = np.cumsum(self.lengths) - self.lengths
         context[starts] = begin
         code = context * np.int64(begin + 1) + self.places
-        self.code, self.pair = np.unique(code, return_inverse=True)
+        self.code, pair = np.unique(code, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.first, self.second = np.divmod(self.code, begin + 1)
-        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.owner = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.seen_here = np.bincount(self.pair[self.train[self.owner]], minlength=len(self.code)).astype(np.uint32)
         # Slices of pairs by the bucket of their context; begin goes to bucket 0 as a slice of its own.
         self.slices = [(b, *np.searchsorted(self.first, [s, e])) for b, s, e in zip(self.buckets, self.borders[:-1], self.borders[1:])]
@@ -317,7 +318,7 @@ def scored(parts: DataFrame, unigrams: Unigrams, factor: np.ndarray, train_docs:
     return parts.mapInArrow(run, SCORES)
 
 
-def katz_scores(docs: DataFrame, train, text: str = "text", key: str = "doc_id", max_chars: int = 10_000_000, words_per_bucket: int = 500_000) -> DataFrame:
+def katz_scores(docs: DataFrame, train, text: str = "text", key: str = "doc_id", max_chars: int = 6_000_000, words_per_bucket: int = 500_000) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of `docs`.
 
     `train` is a column that holds for rows to learn from (null counts as false). Tokens are words between ASCII white
