@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 
 def _late(events: DataFrame, late: str | None) -> DataFrame:
-    return events.withWatermark("ts", late) if late else events
+    """Watermarks need a time with a zone; the session's zone is taken."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
 
 
 def tumbling(events: DataFrame, width: str, slide: str | None = None, late: str | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
 
 def distinct_events(events: DataFrame, late: str) -> DataFrame:
     """First arrival of each event id within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return _late(events, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 10) -> DataFrame:
