@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import hashed_words, slices, table
 
-# Character classes. 0-31 are kinds of characters, then one class for each ASCII mark.
+# Character classes. Below MARK0 are kinds of characters, then one class for each ASCII mark.
 LOWER, UPPER, DIGIT, BLANK, LINE, WORD, CONTROL, WIDE, MARK0 = range(9)
 CLASSES = MARK0 + 33
 RUN_TERMS = 4096
@@ -47,19 +47,20 @@ def term_counts(texts: list[str]) -> np.ndarray:
     n = len(texts)
     length = np.fromiter(map(len, texts), np.int64, n)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    doc = np.repeat(np.arange(n), length)
-    c = class_table()[points].astype(np.int64)
+    doc = np.repeat(np.arange(n, dtype=np.int32), length)
+    c = class_table()[points].astype(np.int32)
     out = np.zeros((n, TERMS), np.float32)
     same = doc[1:] == doc[:-1]
     if len(c) > 1:
         pair = (c[:-1] * CLASSES + c[1:])[same]
-        out[:, : CLASSES**2] = np.bincount(doc[1:][same] * CLASSES**2 + pair, minlength=n * CLASSES**2).reshape(n, -1)
+        out[:, : CLASSES**2] = np.bincount(doc[1:][same].astype(np.int64) * CLASSES**2 + pair, minlength=n * CLASSES**2).reshape(n, -1)
         first = np.append(True, (c[1:] != c[:-1]) | ~same)
         r, d = c[first], doc[first]
         if len(r) > 2:
             inside = d[2:] == d[:-2]
+            r = r.astype(np.int64)
             triple = (((r[:-2] * 1009 + r[1:-1]) * 1009 + r[2:]) * 2654435761 >> 7) % RUN_TERMS
-            out[:, CLASSES**2 : CLASSES**2 + RUN_TERMS] = np.bincount(d[2:][inside] * RUN_TERMS + triple[inside], minlength=n * RUN_TERMS).reshape(n, -1)
+            out[:, CLASSES**2 : CLASSES**2 + RUN_TERMS] = np.bincount(d[2:][inside].astype(np.int64) * RUN_TERMS + triple[inside], minlength=n * RUN_TERMS).reshape(n, -1)
     words, offsets = hashed_words(pa.array(texts, pa.string()))
     count = np.diff(offsets)
     owner = np.repeat(np.arange(n), count)
@@ -164,9 +165,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{out}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, 4_000_000):
+        for b in slices(batches, text, 1_000_000):
             texts = [t or "" for t in b.column(text).to_pylist()]
-            parts = [held.value.score(term_counts(texts[i : i + 1024]), neighbours, power) for i in range(0, len(texts), 1024)]
+            parts = [held.value.score(term_counts(texts[i : i + 512]), neighbours, power) for i in range(0, len(texts), 512)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts), pa.float64())], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
