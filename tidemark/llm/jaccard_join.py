@@ -54,7 +54,7 @@ def signatures(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = hash_family(bands * per_band)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 3_000_000):
             grams, offsets = shingles(*hashed_words(batch.column("text")), n)
             keys, found = [], []
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -212,7 +212,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
     members = stage(members_of(stars, nodes, block, "near"), "members")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 3_000_000):
             grams, offsets = shingles(*hashed_words(batch.column("text")), n)
             blobs = [np.unique(grams[s:e]).tobytes() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             names = ["node", "w", "root", "nb", "blk"]
