@@ -52,3 +52,18 @@ def join_url(base: Column, link: Column) -> Column:
 def first_match(c: Column, *patterns: str) -> Column:
     """Group 1 of the first pattern that matches; null if none does."""
     return F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in patterns))
+
+
+def plain_scaffold(c: Column) -> Column:
+    """A condensed sequence with every linkage as x-x, without anomer letters and white space."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ab]\d+-\d+", "x-x"), "[αβ]", ""), r"\s+", "")
+
+
+def plain_terminals(c: Column) -> Column:
+    """Last capitalised name of each part between brackets, distinct, sorted and joined."""
+    parts = F.transform(F.split(c, r"[\[\]()]"), lambda p: F.try_element_at(F.regexp_extract_all(p, F.lit("[A-Z][a-z]*"), F.lit(0)), F.lit(-1)))
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda p: p.isNotNull()))), "|")
+
+
+def plain_linkages(c: Column) -> Column:
+    return linkages(c, r"[ab]\d+-\d+")
