@@ -104,7 +104,7 @@ def test_leave_one_positive_out(spark):
 def test_residuals_of_an_exact_plane(spark):
     df = spark.range(12).select((F.col("id") % 5).cast("double").alias("a"), (F.col("id") * F.col("id") % 7).cast("double").alias("b"))
     df = df.withColumn("y", 1 + 2 * F.col("a") + 3 * F.col("b"))
-    r = one(df.agg(vectors.residuals("y", "a", "b").alias("r"))).r
+    r = one(vectors.plane_fit(df, ["y"], "a", "b")).r_y
     assert (r.c0, r.ca, r.cb) == (pytest.approx(1), pytest.approx(2), pytest.approx(3))
 
 

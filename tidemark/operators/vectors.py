@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,10 +41,15 @@ def mean_vector(df: DataFrame, vector: str, key: str, out: str = "prototype") ->
     return per.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "m"))), lambda t: t["m"]).alias(out))
 
 
-def residuals(y: str, a: str, b: str) -> Column:
-    """Aggregate expressions for the least-squares plane y ~ 1 + a + b, as a struct (c0, ca, cb)."""
-    saa, sbb, sab = F.var_pop(a), F.var_pop(b), F.covar_pop(a, b)
-    say, sby = F.covar_pop(a, y), F.covar_pop(b, y)
-    det = saa * sbb - sab * sab
-    ca, cb = (say * sbb - sby * sab) / det, (sby * saa - say * sab) / det
-    return F.struct((F.avg(y) - ca * F.avg(a) - cb * F.avg(b)).alias("c0"), ca.alias("ca"), cb.alias("cb"))
+def plane_fit(df: DataFrame, targets: Sequence[str], a: str, b: str) -> DataFrame:
+    """One row with a struct (c0, ca, cb) for each target: the least-squares plane y ~ 1 + a + b.
+
+    One pass gathers the moments; coefficients follow from them in a second projection.
+    """
+    moments = [F.var_pop(a).alias("saa"), F.var_pop(b).alias("sbb"), F.covar_pop(a, b).alias("sab"), F.avg(a).alias("ma"), F.avg(b).alias("mb")]
+    for y in targets:
+        moments += [F.covar_pop(a, y).alias(f"sa_{y}"), F.covar_pop(b, y).alias(f"sb_{y}"), F.avg(y).alias(f"m_{y}")]
+    row = df.agg(*moments).withColumn("det", F.expr("saa * sbb - sab * sab"))
+    for y in targets:
+        row = row.withColumns({f"ca_{y}": F.expr(f"(sa_{y} * sbb - sb_{y} * sab) / det"), f"cb_{y}": F.expr(f"(sb_{y} * saa - sa_{y} * sab) / det")})
+    return row.select(*(F.struct((F.col(f"m_{y}") - F.col(f"ca_{y}") * F.col("ma") - F.col(f"cb_{y}") * F.col("mb")).alias("c0"), F.col(f"ca_{y}").alias("ca"), F.col(f"cb_{y}").alias("cb")).alias(f"r_{y}") for y in targets))

@@ -146,7 +146,7 @@ OLS = OLS_SQL.format(parts=", ".join(map(_coef, RES)), res=", ".join(f"{y} - (c0
 
 def residualised(spark, d) -> DataFrame:
     f = features(spark, d)
-    fit = f.agg(*(vectors.residuals(y, "p_size", "n_lines").alias(f"r_{y}") for y in RES))
+    fit = vectors.plane_fit(f, RES, "p_size", "n_lines")
     return f.crossJoin(F.broadcast(fit)).select("id", *((F.col(y) - (F.col(f"r_{y}.c0") + F.col(f"r_{y}.ca") * F.col("p_size") + F.col(f"r_{y}.cb") * F.col("n_lines"))).alias(y) for y in RES))
 
 
