@@ -257,3 +257,13 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable] = {"op1_jaccard_join": op1_jaccard_join}
+
+SQL = {
+    "op1_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS a FROM documents),
+ g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 5 THEN [array_to_string(a, ' ')] ELSE list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) END) AS s FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+ r AS (SELECT doc_id AS d, doc_id AS root FROM documents UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.d)
+SELECT doc_id, (SELECT min(root) FROM r WHERE d = doc_id) AS class_id, (SELECT count(*) FROM l WHERE a = doc_id) AS n_links FROM documents"""
+}
