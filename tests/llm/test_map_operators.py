@@ -245,3 +245,15 @@ def test_vote_equals_brute_force():
         near = np.argsort(-c)[:5]
         w = np.maximum(c[near].astype(float), 0) ** 8
         assert s == pytest.approx((w * m.labels[near]).sum() / w.sum(), rel=1e-4)
+
+
+def test_every_code_point(library):
+    """Counts, and the ids that packing takes, for all characters beside letters and digits, a thousand to a text."""
+    from tidemark.llm import packing
+
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}a 1{c}1 {c}{c}\n" for c in points[i : i + 1000]) for i in range(0, len(points), 1000)]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert token_counts.count_batch(texts, BPE).tolist() == [len(e.ids) for e in want]
+    encode = packing.encoder(BPE).encode
+    assert all(encode(t).tolist() == e.ids for t, e in zip(texts, want))

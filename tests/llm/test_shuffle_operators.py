@@ -1,6 +1,7 @@
 """Joins, packing, search, language model and the pipeline, each against brute force."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.helpers import DIR, empty, odd_documents, table
-from tidemark.llm import ann, jaccard_join, katz, packing, quality, secrets, vector_dedup
+from tidemark.llm import ann, common, jaccard_join, katz, packing, quality, secrets, vector_dedup
 from tidemark.llm.common import components
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +57,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long"), spark, "t").count() == 0
 
 
+def test_release_removes_staged_tables(spark):
+    held = common.stage(spark.range(3), "t")
+    folder = held.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    assert held.count() == 3 and os.path.isdir(folder)
+    common.release(spark)
+    assert not os.path.exists(folder)
+
+
 def family(seed, size, words=60, changes=3):
     rng = np.random.default_rng(seed)
     base = [f"w{seed}_{i}" for i in range(words)]
