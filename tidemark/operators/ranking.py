@@ -16,27 +16,30 @@ from tidemark.operators.vectors import mean_vector, zscore_array
 
 
 def ranked(scored: DataFrame, groups: Sequence[str], score: str = "score", key: str = "id", positive: str = "positive", low: float = -1.0, high: float = 1.0, ranges: int = 256) -> DataFrame:
-    """`scored` with rank (1 is the highest score, ties by key), n_above and tp_above: rows and positives at or above the score."""
+    """`scored` with rank (1 is the highest score, ties by key), n_above and tp_above (rows and positives at or above the
+    score), and n_rows, the rows of the group.
+
+    Counts and windows read one and the same exchange by (groups, range), so scores are made once.
+    """
     part = F.floor((F.lit(high) - F.col(score)) / (high - low) * ranges).cast("int")
-    x = scored.withColumn("__range", F.greatest(F.lit(0), F.least(F.lit(ranges), part)))
+    x = scored.withColumn("__range", F.greatest(F.lit(0), F.least(F.lit(ranges), part))).repartition(*groups, "__range")
     counts = x.groupBy(*groups, "__range").agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
-    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("__p"))
+    group = Window.partitionBy(*groups)
+    before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*groups, "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("__p"), F.sum("n").over(group).alias("n_rows"))
     own = Window.partitionBy(*groups, "__range").orderBy(F.desc(score), key)
     ties = Window.partitionBy(*groups, "__range").orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, 0)
-    out = x.join(offsets, [*groups, "__range"])
-    out = out.withColumns({"rank": (F.col("__n") + F.row_number().over(own)).cast("long"), "n_above": F.col("__n") + F.count("*").over(ties), "tp_above": F.col("__p") + F.sum(F.col(positive).cast("long")).over(ties)})
-    return out.drop("__range", "__n", "__p")
+    local = x.withColumns({"rank": F.row_number().over(own).cast("long"), "n_above": F.count("*").over(ties), "tp_above": F.sum(F.col(positive).cast("long")).over(ties)})
+    out = local.join(offsets, [*groups, "__range"])
+    return out.withColumns({"rank": F.col("rank") + F.col("__n"), "n_above": F.col("n_above") + F.col("__n"), "tp_above": F.col("tp_above") + F.col("__p")}).drop("__range", "__n", "__p")
 
 
 def metrics(rows: DataFrame, groups: Sequence[str], positive: str = "positive", ks: Sequence[int] = (1, 3, 5, 10, 20)) -> DataFrame:
-    """Per group: positives, best and mean reciprocal rank, recall at `ks`, mean and median rank, average precision (null if all rows are positive)."""
-    pool = rows.filter(F.col(positive))
-    size = F.max("n").alias("__n")
-    total = rows.groupBy(*groups).agg(F.count("*").alias("n"))
-    per = pool.join(total, list(groups)).groupBy(*groups).agg(
+    """Per group, from the rows of `ranked`: positives, best and mean reciprocal rank, recall at `ks`, mean and median rank,
+    average precision (null if all rows are positive)."""
+    per = rows.filter(F.col(positive)).groupBy(*groups).agg(
         F.count("*").alias("n_pos"),
-        size,
+        F.max("n_rows").alias("__n"),
         (1.0 / F.min("rank")).alias("mrr_best"),
         F.avg(1.0 / F.col("rank")).alias("mrr_mean"),
         *(F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_{k}") for k in ks),
