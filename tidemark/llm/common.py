@@ -145,6 +145,12 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
     return acc, out_offsets
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """`df` with `key` as a new expression of the same value: a join on it shuffles both sides, so that Spark may split a
+    hot key's partition, which it cannot where an aggregate below already has the join's partitioning."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def components(edges: DataFrame, spark: SparkSession, name: str, max_rounds: int = 60) -> DataFrame:
     """Smallest node that each node reaches, for undirected `edges` (u, v: long): rows (node, root).
 
@@ -156,10 +162,10 @@ def components(edges: DataFrame, spark: SparkSession, name: str, max_rounds: int
     e = stage(e, f"{name}-edges")
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = dealt_anew(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.filter("u <> v").distinct(), f"{name}-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = dealt_anew(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = large.join(least, "u")
         new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         new = stage(new.filter("u <> v").distinct(), f"{name}-edges")
