@@ -107,7 +107,8 @@ def ablation(spark, d) -> DataFrame:
     """(condition, agent, id, score, positive): per-column products are made once, each condition adds up its own."""
     z, labels = wide(spark, d).select("id", *ZCOLS), pairs(spark, d)
     proto = labels.join(z, "id").groupBy("agent").agg(*(F.avg(c).alias(f"p_{c}") for c in ZCOLS))
-    x = z.crossJoin(proto)
+    # Labels join before the conditions multiply rows.
+    x = z.crossJoin(proto).join(labels.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
 
     def cos(cols):
         add = lambda f: sum((f(c) for c in cols), F.lit(0.0))
@@ -115,8 +116,7 @@ def ablation(spark, d) -> DataFrame:
         return F.round(F.when(n == 0, 0.0).otherwise(add(lambda c: F.col(c) * F.col(f"p_{c}")) / n), 9)
 
     made = F.explode(F.array(*(F.struct(F.lit(k).alias("condition"), cos(c).alias("score")) for k, c in CONDITIONS.items()))).alias("s")
-    x = x.select("agent", "id", made).select("agent", "id", "s.condition", "s.score")
-    return x.join(labels.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    return x.select("agent", "id", "positive", made).select("agent", "id", "positive", "s.condition", "s.score")
 
 
 ABLATE = ", ".join(sql_wide(cols, out=f"c_{k}") for k, cols in CONDITIONS.items())
