@@ -194,6 +194,32 @@ def test_main_text():
     assert html_text.main_text("just text") == "just text"
 
 
+PROSE = "<p>Long words of the first part, which go on, and on.</p><p>The second part, too, has a sentence.</p>"
+WRAPPED = [
+    f"<div class='content-sidebar-wrap'><main><h1>Head</h1>{PROSE}</main><div class='sidebar'>See also</div></div><footer>me</footer>",
+    f"<body><div class='page with-sidebar'><nav>Home</nav><div class='body'><h1>Head</h1>{PROSE}</div><div class='sidebar'>See also</div></div></body>",
+    f"<body><form id='f'><div><h1>Head</h1>{PROSE}</div><input name='q'></form></body>",
+    f"<article><header class='entry-header'><h1>Head</h1></header>{PROSE}</article><div class='comments'>{PROSE * 5}</div>",
+    f"<div class='with-ads'><article><div class='post-header'><h1>Head</h1></div>{PROSE}</article></div>",
+    f"<body><header>Site</header><div class='content'><div class='post-header'><h1>Head</h1></div>{PROSE}</div></body>",
+    f"<div class='no-comments'><h1>Head</h1>{PROSE}</div>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_names_of_wrappers_do_not_empty_a_page(page):
+    assert html_text.main_text(page) == "\n\n".join(["Head", *re.findall("<p>(.*?)</p>", PROSE)])
+
+
+def test_all_seeds_are_kept():
+    first, last = "Words, and words. " * 100, "More words, at last. " * 4
+    page = f"<body><div class='a'><p>{first}</p><p>{last}</p></div><div class='a'><p>{last}</p></div><nav>Home</nav></body>"
+    assert html_text.main_text(page) == "\n\n".join(x.strip() for x in (first, last, last))
+    # A long advert beside an article stays out.
+    assert html_text.main_text(f"<div class='ad'>{first}</div><article><h1>Head</h1>{PROSE}</article>").startswith("Head")
+    assert html_text.main_text("<nav>Home only</nav>") == "Home only" and html_text.main_text("<div hidden>x</div>") == "x"
+
+
 def test_page_text_of_all_articles(spark):
     import html
 

@@ -3,9 +3,10 @@
 A page is read into text nodes, each with its root-to-leaf path of tags (and class names). Per path,
 text length and punctuation are summed and set against the number of text nodes. Both ratios are
 carried back to the nodes, smoothed along the page, fused into one score and thresholded; nodes
-above the threshold are seeds. The content is the deepest section that holds nearly all of the
-seeds' score, less what lies in menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments. So a short paragraph or a heading of the article stays.
+above the threshold are seeds. The content is the deepest section that holds all seeds, less what
+lies in menus, headers, footers, sidebars, notices, adverts, forms and reader comments. So a short
+paragraph or a heading of the article stays. A name or a form only marks what is small beside the
+page: the elements around the main part are not boilerplate, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,38 +38,63 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register social share sharing related recommended recommendations widget search pagination pager copyright legal disclaimer skip toolbar".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+READERS = frozenset("comment comments commentlist respond reply replies disqus discussion related recommended".split())
+SITE = frozenset("site global masthead".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+# What an element's own mark says, the weaker first; NAMED, READER and STRONG can be void for wrappers.
+HEADER, NAMED, READER, STRONG, HIDDEN = 1, 2, 3, 4, 5
+
+
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "depth")
+    __slots__ = ("tag", "path", "parent", "own", "main", "noise", "depth")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool):
-        self.tag, self.path, self.parent, self.noise = tag, path, parent, noise
+    def __init__(self, tag: str, path: str, parent: Node | None, own: int, main: bool = False):
+        self.tag, self.path, self.parent, self.own, self.main = tag, path, parent, own, main
+        self.noise = 0
         self.depth = parent.depth + 1 if parent else 0
 
+    def around(self) -> Iterator[Node]:
+        """The element and all that hold it, the innermost first."""
+        node = self
+        while node is not None:
+            yield node
+            node = node.parent
+
 
 def _open(tag: str, attributes: str, parent: Node) -> Node:
-    names, noise = "", parent.noise or tag in BOILERPLATE
+    names, own, main = "", 0, tag == "main"
+    if tag in BOILERPLATE:
+        own = HIDDEN if tag == "head" else NAMED if tag in ("form", "fieldset") else STRONG
+    elif tag == "header":
+        own = HEADER
     if attributes and not attributes.isspace():
         found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)}
         names = _html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower()
-        words = re.findall(r"[a-z]+", names)
+        words = set(re.findall(r"[a-z]+", names))
         if tag not in ("html", "body", "article", "main"):
-            noise = noise or not NOISE.isdisjoint(words)
-        noise = noise or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
-        names = "." + ".".join(sorted(set(words))) if words else ""
-    if tag == "header" and not noise:
-        above = parent
-        while above and above.tag not in ("article", "main"):
-            above = above.parent
-        noise = above is None
-    return Node(tag, f"{parent.path}/{tag}{names}", parent, noise)
+            hits = NOISE & words
+            if hits == {"header"} and words.isdisjoint(SITE):
+                own = max(own, HEADER)
+            elif hits:
+                own = max(own, READER if hits & READERS else NAMED)
+            elif own == HEADER and not words.isdisjoint(SITE):
+                own = NAMED
+        if found.get("role", "").lower() in NOISE_ROLES:
+            own = max(own, STRONG)
+        if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
+            own = HIDDEN
+        names = "." + ".".join(sorted(words)) if words else ""
+        main = main or found.get("role", "").lower() == "main"
+    if own == HEADER and any(n.main or n.tag == "article" for n in parent.around()):
+        own = 0
+    return Node(tag, f"{parent.path}/{tag}{names}", parent, own, main)
 
 
 def text_nodes(page: str) -> list[tuple[Node, int, str]]:
     """(element, block number, text) in page order; text in scripts, styles and the like is left out."""
-    root = Node("", "", None, False)
+    root = Node("", "", None, 0)
     stack, nodes, block, at = [root], [], 0, 0
     raw_end = None
     for m in MARKUP.finditer(page):
@@ -127,37 +153,105 @@ def scores(nodes: list[tuple[Node, int, str]], width: float = 1.0) -> np.ndarray
     return np.sqrt(np.maximum(text_ratio[path], smooth(text_ratio[path])) * (1 + np.maximum(mark_ratio[path], smooth(mark_ratio[path]))))
 
 
-def main_text(page: str, share: float = 0.9) -> str:
-    """The article's blocks, joined by two line feeds; empty if the page has no text outside boilerplate."""
-    nodes = [x for x in text_nodes(page) if not x[0].noise]
-    solid = [x for x in nodes if not x[2].isspace()]
-    if not solid:
+def masses(nodes: list[tuple[Node, int, str]]) -> np.ndarray:
+    return scores(nodes) * np.array([len(t) for _, _, t in nodes])
+
+
+def mark(solid: list[tuple[Node, int, str]]) -> None:
+    """Set `noise` of all elements with text: 0, HEADER inside a header alone, else the strongest mark around it.
+
+    Void are the marks of elements around a main element, and names and forms around the page's only article or around
+    half of the text beside menus and readers' parts (nine tenths where no title, paragraphs or article are in them; where
+    the page has articles, only those that hold one or are inside one); if that leaves next to nothing, those around half of all text.
+    """
+    elements: dict[int, Node] = {}
+    for node, _, _ in solid:
+        for n in node.around():
+            if id(n) in elements:
+                break
+            elements[id(n)] = n
+    order = sorted(elements.values(), key=lambda n: n.depth)
+    void: set[int] = set()
+
+    def spread() -> None:
+        for n in order:
+            above = n.parent.noise if n.parent else 0
+            n.noise = max(above, 0 if id(n) in void else n.own)
+
+    spread()
+    if not any(HEADER <= n.own <= STRONG for n in order):
+        return
+    seen = [x for x in solid if x[0].noise != HIDDEN]
+    if not seen:
+        return
+    mass = masses(seen)
+    whole: dict[int, float] = {}
+    plain: dict[int, float] = {}  # without menus and readers' parts
+    for (node, _, _), w in zip(seen, mass):
+        counts = node.noise < READER
+        for n in node.around():
+            whole[id(n)] = whole.get(id(n), 0.0) + w
+            if counts:
+                plain[id(n)] = plain.get(id(n), 0.0) + w
+    rich: dict[int, int] = {}  # paragraphs, and a title for three of them
+    for x in order:
+        for n in x.around() if x.tag in ("p", "h1") else ():
+            rich[id(n)] = rich.get(id(n), 0) + (3 if x.tag == "h1" else 1)
+    root = id(order[0])
+    mains = [n for n in order if n.main and n.noise != HIDDEN]
+    articles = [n for n in order if n.tag == "article" and n.noise != HIDDEN and all(x.tag != "article" for x in n.around() if x is not n)]
+    void |= {id(n) for m in mains for n in m.around() if n.own < HIDDEN}
+    if len(articles) == 1:
+        void |= {id(n) for n in articles[0].around() if n.own <= NAMED}
+    holds = {id(n) for x in (*mains, *articles) for n in x.around()}
+    for n in order:
+        # Beside an article nothing else is the main part; inside one, and without a title or paragraphs, only nearly all.
+        within = any(x.main or x.tag == "article" for x in n.around())
+        if n.own in (HEADER, NAMED) and (not holds or id(n) in holds or within):
+            if plain.get(id(n), 0.0) >= (0.5 if not within and (id(n) in holds or rich.get(id(n), 0) >= 3) else 0.9) * plain.get(root, np.inf):
+                void.add(id(n))
+    spread()
+    left = sum(w for (node, _, _), w in zip(seen, mass) if not node.noise)
+    if left < 0.05 * whole[root] and not any(not n.noise for n in (*mains, *articles)):
+        void |= {id(n) for n in order if n.own in (HEADER, NAMED, READER) and whole.get(id(n), 0.0) >= 0.5 * whole[root]}
+        spread()
+
+
+def main_text(page: str) -> str:
+    """The article's blocks, joined by two line feeds. A page that is boilerplate throughout is taken whole."""
+    nodes = text_nodes(page)
+    every = [x for x in nodes if not x[2].isspace()]
+    if not every:
         return ""
+    mark(every)
+    # Where no text is left, only what is hidden stays out; and where all is hidden, nothing.
+    most = next(m for m in (0, STRONG, HIDDEN) if any(n.noise <= m for n, _, _ in every))
+    solid = [x for x in every if x[0].noise <= most]
     score = scores(solid)
     mass = score * np.array([len(t) for _, _, t in solid])
     seeds = score >= max(0.5 * np.average(score, weights=mass), score.mean() - 2 * score.std())
-    total: dict[int, float] = {}
-    element: dict[int, Node] = {}
-    for (node, _, _), w, seed in zip(solid, mass, seeds):
-        while seed and node is not None:
-            total[id(node)] = total.get(id(node), 0.0) + w
-            element[id(node)] = node
-            node = node.parent
-    whole = max(total.values())
-    held = [element[k] for k, w in total.items() if w >= share * whole and (element[k].tag in SECTIONS or not element[k].tag)]
-    chosen = max(held, key=lambda n: n.depth)
+    held: dict[int, int] = {}
+    for (node, _, _), seed in zip(solid, seeds):
+        for n in node.around() if seed else ():
+            held[id(n)] = held.get(id(n), 0) + 1
+    first = solid[int(np.argmax(seeds))][0]
+    chosen = next(n for n in first.around() if held[id(n)] == seeds.sum() and (n.tag in SECTIONS or not n.tag))
     # The article or main element around the choice is the better border, where it is one.
-    above = chosen
-    while above is not None:
-        if above.tag in ("article", "main"):
-            chosen = above
-        above = above.parent
+    for n in chosen.around():
+        if n.main or n.tag == "article":
+            chosen = n
     blocks: list[tuple[int, list[str]]] = []
     for node, block, text in nodes:
-        inside = node
-        while inside is not None and inside is not chosen:
-            inside = inside.parent
-        if inside is None:
+        if node.noise > max(most, HEADER):
+            continue
+        inside, header = False, False
+        for n in node.around():
+            if n is chosen:
+                inside = True
+                break
+            header = header or n.own == HEADER
+        # A header inside the content belongs to it; one beside it, or in the page as a whole, does not.
+        if not inside or node.noise > most and (not header or chosen.tag in ("", "html", "body")):
             continue
         if not blocks or blocks[-1][0] != block:
             blocks.append((block, []))
