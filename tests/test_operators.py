@@ -163,3 +163,21 @@ def test_multi_prototype_of_few_rows_is_the_mean(spark):
     df = spark.createDataFrame([("a", [0.0, 2.0]), ("a", [2.0, 4.0])], "g string, v array<double>")
     r = models.multi_prototypes(df, "v", "g", 3).collect()
     assert len(r) == 1 and list(r[0].prototype) == [1.0, 3.0]
+
+
+def test_spectral_gap_of_all_molecules(spark):
+    import numpy as np
+
+    from tidemark.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect():
+        xyz = 20 * np.array(r.embedding[:63], float).reshape(7, 3, 3).mean(1)
+        near = ((xyz[:, None] - xyz[None]) ** 2).sum(2) < 9.0
+        np.fill_diagonal(near, False)
+        near = near[near.any(1)][:, near.any(1)].astype(float)
+        if len(near):
+            want[r.vec_id] = np.linalg.eigvalsh(np.diag(near.sum(1)) - near)[1]
+    got = {r.mol: r.gap for r in catalog.queries()["N14_spectral_gap"](spark, folder).collect()}
+    assert max(want) > 120 and got == pytest.approx(want, abs=1e-5)

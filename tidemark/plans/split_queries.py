@@ -153,8 +153,9 @@ def x17(spark, d):
 POINTS_SQL = "a AS (SELECT vec_id AS mol, i::INT AS atom, 'R' || lpad((i // 3)::VARCHAR, 2, '0') AS res, (i // 3)::INT AS seq, 20 * embedding[3 * i + 1]::DOUBLE AS x, 20 * embedding[3 * i + 2]::DOUBLE AS y, 20 * embedding[3 * i + 3]::DOUBLE AS z FROM embeddings, range(21) t(i) WHERE vec_id < 120)"
 
 
-def points(spark, d):
-    e = read(spark, d, "embeddings").filter("vec_id < 120").select(F.col("vec_id").alias("mol"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("atom"))
+def points(spark, d, only="vec_id < 120"):
+    """The rows of POINTS_SQL; all molecules where `only` is true."""
+    e = read(spark, d, "embeddings").filter(only).select(F.col("vec_id").alias("mol"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("atom"))
     at = lambda k: (F.lit(20) * F.element_at("embedding", F.col("atom") * 3 + k).cast("double"))
     group = F.floor(F.col("atom") / 3).cast("int")
     return e.select("mol", "atom", F.concat(F.lit("R"), F.lpad(group.cast("string"), 2, "0")).alias("res"), group.alias("seq"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
@@ -225,7 +226,7 @@ def n12(spark, d):
 
 @C.add("N14_spectral_gap")
 def n14(spark, d):
-    return rounded(structure.spectral_gap(structure.contacts(points(spark, d), 3.0)))
+    return rounded(structure.spectral_gap(structure.contacts(points(spark, d, "true"), 3.0)))
 
 
 @C.add("N17_coverage_flags", "SELECT doc_id, CASE WHEN text IS NULL THEN 'parse_error' WHEN n_chars < 50 THEN 'feature_computation_error' ELSE 'OK' END AS status FROM documents")
