@@ -148,6 +148,27 @@ def test_assigned_literals(text, want):
     assert [text[s:e] for s, k, e, _ in secrets.find(text) if k == 3] == want
 
 
+MORE_CASES = [
+    ("api.key=Abcdefgh12345678\n", ["Abcdefgh12345678"]),
+    ("aws.access.key: Abcdefgh12345678\n", ["Abcdefgh12345678"]),
+    ('{"private key": "Abcdefgh12345678"}', ["Abcdefgh12345678"]),
+    ('See:\n```python\npwd = "S3cr3tP@ss"\nk = "Zx9!kkQw27p"\npassphrase = k\n```\nand `code` there\n', ["S3cr3tP@ss", "Zx9!kkQw27p"]),
+    ('a lone ` in prose\npwd = "S3cr3tP@ss"\nanother ` there\n', ["S3cr3tP@ss"]),
+    ("x = `\npwd = 'S3cr3tP@ss'\n`\n", []),
+    ('x = 1  # pwd = "S3cr3tP@ss"\n', ["S3cr3tP@ss"]),
+    ("// auth.credential: Abcdefgh12345678\n", ["Abcdefgh12345678"]),
+    ("/*\n * pwd: Abcdefgh12345678\n */\n/* pwd = Zbcdefgh12345678 */\n", ["Abcdefgh12345678", "Zbcdefgh12345678"]),
+    ('# k = "Zx9!kkQw27p"\n# passphrase = k\n', ["Zx9!kkQw27p"]),
+    ('passphrase = "abc" /* don\'t */ + "DEF123456"\n', ["abc", "DEF123456"]),
+    ("# don't\npwd = 'S3cr3tP@ss'\n", ["S3cr3tP@ss"]),
+]
+
+
+@pytest.mark.parametrize("text, want", MORE_CASES)
+def test_literals_behind_separators_fences_and_comments(text, want):
+    assert [text[s:e] for s, k, e, _ in secrets.find(text) if k == 3] == want
+
+
 def base_by_definition(text):
     found = []
     for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):

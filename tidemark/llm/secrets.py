@@ -35,10 +35,11 @@ NAMES = {
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change[_-]?me|example|sample|dummy|test|todo|none|null|true|false|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|env|redacted|placeholder|password|secret|token)$")
 THRESHOLD = 0.8
 
-TOKEN = re.compile(
-    r"""(?P<skip>[ \t\r]+|\\\n)|(?P<comment>(?:\#|//)[^\n]*|/\*.*?\*/)|(?P<string>(?:[rbuf]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`))|(?P<name>[A-Za-z_$][\w$]*(?:(?:\.|->|-)[A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<line>\n)|(?P<bare>[^\s"'`,;(){}\[\]=:+]+)|(?P<other>.)""",
-    re.DOTALL,
-)
+SYNTAX = r"""(?P<skip>[ \t\r]+|\\\n%s)|(?P<comment>%s)|(?P<fence>```+)|(?P<string>(?:[rbuf]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`(?!`)|(?:(?<=[=(+:])|(?<=[=(+:][ ]))`(?:[^`\\]|\\.)*`(?!`)))|(?P<name>[A-Za-z_$][\w$]*(?:(?:\.|->|-)[A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<line>\n)|(?P<bare>[^\s"'`,;(){}\[\]=:+]+)|(?P<other>.)"""
+TOKEN = re.compile(SYNTAX % ("", r"(?:\#|//)[^\n]*|/\*.*?\*/"), re.DOTALL)
+# Inside a comment, its marks are skipped, and there are no comments.
+REMARK = re.compile(SYNTAX % (r"|\#+|//+|/?\*+/?", r"(?!)"), re.DOTALL)
+END = re.compile(r"\s*\*+/\s*$")
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]#]+")
 
 
@@ -59,10 +60,25 @@ def randomness(value: str) -> float:
     return 0.1 * (n >= 8) + 0.1 * (kinds >= 2) + 0.1 * (kinds >= 3) + 0.1 * (entropy >= 2.75)
 
 
-def lex(text: str) -> Iterator[tuple[str, str, int, int]]:
+Tokens = list[tuple[str, str, int, int]]
+
+
+def lex(text: str) -> list[Tokens]:
+    """The tokens (kind, token, start, end) of the text without comments, then those of each run of comments: what comes
+    before a comment goes on behind it, and remarks of neighbouring lines are one text."""
+    streams: list[Tokens] = [[]]
+    stop = -1
     for m in TOKEN.finditer(text):
-        if m.lastgroup not in ("skip", "comment"):
-            yield m.lastgroup, m.group(), m.start(), m.end()
+        if m.lastgroup == "comment":
+            if stop < 0 or not text[stop : m.start()].isspace():
+                streams.append([])
+            elif streams[-1]:
+                streams[-1].append(("line", "\n", stop, stop))
+            stop = m.end()
+            streams[-1] += [(r.lastgroup, r.group(), r.start(), r.end()) for r in REMARK.finditer(text, m.start(), stop) if r.lastgroup != "skip"]
+        elif m.lastgroup != "skip":
+            streams[0].append((m.lastgroup, m.group(), m.start(), m.end()))
+    return streams
 
 
 def string_body(token: str, start: int) -> tuple[str, int, int]:
@@ -74,9 +90,15 @@ def string_body(token: str, start: int) -> tuple[str, int, int]:
 
 def literals(text: str) -> list[tuple[int, int, float]]:
     """Spans of literals that reach a sensitive name, with their scores."""
-    tokens = list(lex(text))
     constants: dict[str, list[tuple[str, int, int]]] = {}
     found: dict[tuple[int, int], float] = {}
+    for tokens in lex(text):
+        assigned(text, tokens, constants, found)
+    return [(s, e, v) for (s, e), v in sorted(found.items())]
+
+
+def assigned(text: str, tokens: Tokens, constants: dict[str, list[tuple[str, int, int]]], found: dict[tuple[int, int], float]) -> None:
+    """Add the constants of `tokens`, and the literals in them that reach a sensitive name, to `constants` and `found`."""
     i, n = 0, len(tokens)
     while i < n - 1:
         kind, token, start, end = tokens[i]
@@ -103,8 +125,9 @@ def literals(text: str) -> list[tuple[int, int, float]]:
                 line = text.rfind("\n", 0, start) + 1
                 stop = text.find("\n", s)
                 rest = text[s : stop if stop >= 0 else len(text)]
+                rest = END.sub("", rest)
                 m = BARE.match(rest)
-                if m and m.end() == len(rest.rstrip()) and re.fullmatch(r"\s*(?:export\s+|set\s+|-\s+|ENV\s+)?[\"']?", text[line:start]) and re.search("[0-9]", m.group()):
+                if m and m.end() == len(rest.rstrip()) and re.fullmatch(r"\s*(?:(?:\#+|//+|/?\*+)\s*)?(?:export\s+|set\s+|-\s+|ENV\s+)?[\"']?", text[line:start]) and re.search("[0-9]", m.group()):
                     parts.append((m.group(), s, s + m.end()))
                 break
             else:
@@ -122,7 +145,6 @@ def literals(text: str) -> list[tuple[int, int, float]]:
             i = max(j, i + 2)
         else:
             i += 2 if tokens[min(i + 2, n - 1)][0] not in ("name", "string") else 2
-    return [(s, e, v) for (s, e), v in sorted(found.items())]
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int, int]]:
@@ -137,13 +159,19 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int, int]]:
 
 
 SENSITIVE = tuple(sorted({p.replace("_", "") for p in NAMES}))
+APART = re.compile("[^a-z0-9]+")
+
+
+def sensitive(low: str) -> bool:
+    """Whether a lower-case text can hold a name with a weight, whatever separates the name's parts."""
+    return any(p in low for p in SENSITIVE) or any(map(APART.sub("", low).__contains__, SENSITIVE))
 
 
 def find(text: str) -> list[tuple[int, int, int, int]]:
     """All spans of one text, as (start, kind, end, start of the secret part), by start and kind."""
     low = text.lower()
     found = base_spans(text, low)
-    if ("=" in text or ":" in text) and any(p in low.replace("_", "").replace("-", "") for p in SENSITIVE):
+    if ("=" in text or ":" in text) and sensitive(low):
         held = [(s, e) for s, _, e, _ in found]
         found += [(s, 3, e, s) for s, e, _ in literals(text) if not any(a <= s and e <= b for a, b in held)]
     return sorted(found)
