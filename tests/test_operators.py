@@ -181,3 +181,20 @@ def test_spectral_gap_of_all_molecules(spark):
             want[r.vec_id] = np.linalg.eigvalsh(np.diag(near.sum(1)) - near)[1]
     got = {r.mol: r.gap for r in catalog.queries()["N14_spectral_gap"](spark, folder).collect()}
     assert max(want) > 120 and got == pytest.approx(want, abs=1e-5)
+
+
+def test_survey_counts_of_draws(spark, monkeypatch):
+    from tidemark.plans import catalog
+
+    folder, queries, seen = "/root/testdata/sf0.001", catalog.queries(), {}
+    rows = {round(r.noise, 2): r for r in queries["T19_noise_sweep"](spark, folder).collect()}
+    assert sorted(rows) == [0.0, 0.02, 0.05, 0.1, 0.2] and {r.draws for r in rows.values()} == {50}
+    assert rows[0.0].mrr_best != rows[0.2].mrr_best
+    resample, forest = splits.resample, models.forest
+    monkeypatch.setattr(splits, "resample", lambda df, v, k, n, *a, **b: seen.update(c05=n) or resample(df, v, k, n, *a, **b))
+    monkeypatch.setattr(models, "forest", lambda *a, **b: seen.update(b06=(b["trees"], b["depth"])) or a[0])
+    monkeypatch.setattr(stats, "empirical_p", lambda null, *a: null)
+    queries["C05_source_evaluation_ci"](spark, folder)
+    queries["B06_random_forest"](spark, folder)
+    assert seen == {"c05": 1000, "b06": (100, 10)}
+    assert queries["T13_T21_matched_null"](spark, folder).count() == 200

@@ -26,7 +26,7 @@ def b05(spark, d):
 
 @C.add("B06_random_forest")
 def b06(spark, d):
-    return rounded(models.forest(labelled(spark, d), ZCOLS, "y", trees=20, depth=5), 4)
+    return rounded(models.forest(labelled(spark, d), ZCOLS, "y", trees=100, depth=10), 4)
 
 
 @C.add("B07_multi_prototype")
@@ -111,7 +111,7 @@ def g31(spark, d):
 def c05(spark, d):
     labels = pairs(spark, d, distinct=False).filter("data_source = 'N'").select("id", "agent").distinct()
     per = ranking.metrics(ranking.ranked(wide_scores(wide(spark, d), labels, ZCOLS), ["agent"]), ["agent"])
-    boot = splits.resample(per, "mrr_best", "agent", 200, 42).groupBy("rep").agg(F.avg("mrr_best").alias("m"))
+    boot = splits.resample(per, "mrr_best", "agent", 1000, 42).groupBy("rep").agg(F.avg("mrr_best").alias("m"))
     q = lambda p: F.percentile("m", F.lit(p))
     return rounded(boot.agg(F.avg("m").alias("mean"), q(0.025).alias("lo"), q(0.975).alias("hi")))
 
@@ -129,16 +129,20 @@ def c15(spark, d):
 
 @C.add("T19_noise_sweep")
 def t19(spark, d):
-    z, labels, out = wide(spark, d).select("id", *ZCOLS), pairs(spark, d), None
-    for level in (0.0, 0.1, 0.5):
-        # Normal noise by Box and Muller from two hash numbers of (level, column, id).
-        noise = lambda i: F.sqrt(-2 * F.log(1 - hash_uniform(f_level, i, "id"))) * F.cos(6.283185307179586 * hash_uniform(f_level, i + 100, "id"))  # noqa: B023, E731
-        f_level = int(level * 1000)
-        noisy = z.select("id", *((F.col(c) + level * noise(i)).alias(c) for i, c in enumerate(ZCOLS)))
-        per = ranking.metrics(ranking.ranked(wide_scores(noisy, labels, ZCOLS), ["agent"]), ["agent"])
-        row = ranking.macro(per, METRICS).withColumn("noise", F.lit(level))
-        out = row if out is None else out.unionByName(row)
-    return rounded(out)
+    z, labels = wide(spark, d).select("id", *ZCOLS), pairs(spark, d)
+    draws = spark.range(50).withColumnRenamed("id", "rep").select("rep", F.explode(F.array(*map(F.lit, (0.0, 0.02, 0.05, 0.1, 0.2)))).alias("noise"))
+    # Normal noise by Box and Muller from two hash numbers of (level, draw, column, id).
+    level = F.round(F.col("noise") * 1000).cast("int")
+    normal = lambda i: F.sqrt(-2 * F.log(1 - hash_uniform(level, "rep", i, "id"))) * F.cos(6.283185307179586 * hash_uniform(level, "rep", i + 100, "id"))
+    noisy = z.crossJoin(draws).select("noise", "rep", "id", *((F.col(c) + F.col("noise") * normal(i)).alias(c) for i, c in enumerate(ZCOLS)))
+    proto = noisy.join(labels, "id").groupBy("noise", "rep", "agent").agg(*(F.avg(c).alias(f"p_{c}") for c in ZCOLS))
+    dot, nz, np_ = (sum((F.col(a) * F.col(b) for a, b in x), F.lit(0.0)) for x in ([(c, f"p_{c}") for c in ZCOLS], [(c, c) for c in ZCOLS], [(f"p_{c}", f"p_{c}") for c in ZCOLS]))
+    size = F.sqrt(nz) * F.sqrt(np_)
+    x = noisy.join(proto, ["noise", "rep"]).select("noise", "rep", "agent", "id", F.round(F.when(size == 0, 0.0).otherwise(dot / size), 9).alias("score"))
+    x = x.join(labels.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    per = ranking.metrics(ranking.ranked(x, ["noise", "rep", "agent"]), ["noise", "rep", "agent"])
+    one = per.groupBy("noise", "rep").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS))
+    return rounded(one.groupBy("noise").agg(F.count("*").alias("draws"), F.max("agents").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
 @C.add("T20_size_residual_test", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, r AS (SELECT id, avg_qty - (regr_intercept(avg_qty, n_lines) OVER () + regr_slope(avg_qty, n_lines) OVER () * n_lines) AS res FROM features), sc AS (SELECT agent, avg(res) AS score, count(*) AS n FROM pairs JOIN r USING (id) GROUP BY 1) SELECT agent, n, round(score, 6) AS score FROM sc WHERE n >= 2")
@@ -157,7 +161,7 @@ def t21(spark, d):
     seen = ranking.macro(ranking.metrics(ranking.ranked(scored, ["agent"]), ["agent"]), ["mrr_best"]).select(F.col("mrr_best").alias("seen"))
     base = scored.join(stratum, "id")
     order = Window.partitionBy("rep", "agent", "s")
-    mixed = base.crossJoin(spark.range(5).withColumnRenamed("id", "rep")).withColumn("r", F.row_number().over(order.orderBy(F.md5(F.concat_ws("|", F.lit("9"), "rep", "id").cast("binary")), "id")))
+    mixed = base.crossJoin(spark.range(200).withColumnRenamed("id", "rep")).withColumn("r", F.row_number().over(order.orderBy(F.md5(F.concat_ws("|", F.lit("9"), "rep", "id").cast("binary")), "id")))
     place = mixed.withColumn("r2", F.row_number().over(order.orderBy("id"))).select("rep", "agent", "s", F.col("r2").alias("r"), "id", "positive")
     x = mixed.select("rep", "agent", "s", "r", "score").join(place, ["rep", "agent", "s", "r"])
     null = ranking.metrics(ranking.ranked(x, ["rep", "agent"]), ["rep", "agent"]).groupBy("rep").agg(F.avg("mrr_best").alias("m"))
