@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -241,6 +242,34 @@ def test_all_seeds_are_kept():
     assert html_text.main_text("<nav>Home only</nav>") == "Home only" and html_text.main_text("<div hidden>x</div>") == "x"
 
 
+def test_ratios_select_where_names_say_nothing():
+    prose = "It is a long text of the page, which goes on, and has much to say. " * 4
+    page = f"<body><div><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></div><div>Buy it now.</div><div><h1>Head</h1><p>{prose}</p><p>Short.</p><p>{prose}</p></div><div>Our firm</div></body>"
+    want = "\n\n".join(["Head", prose.strip(), "Short.", prose.strip()])
+    assert html_text.main_text(page) == want
+    # Without the ratios all of it would be content.
+    true = html_text.scores
+    try:
+        html_text.scores = lambda blocks, width=1.0: np.ones(len(blocks.texts))
+        assert "Buy it now." in html_text.main_text(page)
+    finally:
+        html_text.scores = true
+    # Names of states and of wrappers are no veto, nor elements without an end; mathematics is text.
+    named = f"<div class='article-header share-enabled'><p>{prose}</p></div><div class='comment-free'><p>{prose}</p></div>"
+    assert html_text.main_text(named) == f"{prose.strip()}\n\n{prose.strip()}"
+    for tag in ("object", "svg", "audio", "video", "canvas", "select", "iframe"):
+        assert html_text.main_text(f"<p>{prose}</p><{tag}><p>{prose}</p>") == f"{prose.strip()}\n\n{prose.strip()}"
+        assert html_text.main_text(f"<p>{prose}</p><{tag}>not seen</{tag}><p>{prose}</p>") == f"{prose.strip()}\n\n{prose.strip()}"
+    assert html_text.main_text("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, we say.</p>") == "So x=2, we say."
+
+
+@pytest.mark.parametrize("page", ["<a " * 300000, "<a '" * 100000, "<a \"><b '" * 100000 + "'", "<!--" * 300000, "<b>" * 100000 + "</i>" * 100000, "<div>x" * 50000, "<title>" * 100000])
+def test_broken_markup_takes_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_page_text_of_all_articles(spark):
     import html
 

@@ -1,12 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into text nodes, each with its root-to-leaf path of tags (and class names). Per path,
-text length and punctuation are summed and set against the number of text nodes. Both ratios are
-carried back to the nodes, smoothed along the page, fused into one score and thresholded; nodes
-above the threshold are seeds. The content is the deepest section that holds all seeds, less what
-lies in menus, headers, footers, sidebars, notices, adverts, forms and reader comments. So a short
-paragraph or a heading of the article stays. A name or a form only marks what is small beside the
-page: the elements around the main part are not boilerplate, whatever they are called.
+A page is read into blocks of text, each with its root-to-leaf path of tags (and class names), blocks
+of links apart. Per path, text length and punctuation are summed and set against the number of blocks.
+Both ratios are carried back to the blocks, fused into one score, smoothed along the page and
+thresholded: blocks above the threshold are content, and nothing else decides where the content lies.
+Names of elements and classes weigh the score a little up or down; as a weight counts for all that an
+element holds, a name on a wrapper changes nothing.
+
+Gaps are filled then. Within the smallest section of the selected blocks, a block between them stays
+(and a heading before them, and what follows them in their own section) unless its own part of the page
+is named as boilerplate. Hidden elements, controls, scripts and styles are never text.
 """
 
 from __future__ import annotations
@@ -22,242 +25,297 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import free_column, slices, table
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.DOTALL)
+TAG_NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+TAG_STEP = re.compile(r"""[^>"']*""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+PUNCTUATION = re.compile(r"[.,;:!?…](?=\s|\Z)|[。，、；：！？]")  # not those in addresses and numbers
 
 # HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea noscript template iframe svg math object canvas audio video select title xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BOILERPLATE = frozenset("head nav footer aside form button dialog menu input fieldset".split())
-SECTIONS = frozenset("html body main article section div td center".split())
-CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+BLOCKS = frozenset("html head body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+SECTIONS = frozenset("html body main article section div td center form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("html body table ul ol dl div section article main td th blockquote".split())
-NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register social share sharing related recommended recommendations widget search pagination pager copyright legal disclaimer skip toolbar".split()
+# Not text, but only from a start tag to its own end tag: one without an end hides nothing.
+UNSEEN = frozenset("head select datalist button svg object audio video canvas template noscript annotation annotation-xml".split())
+
+# Names of parts that are seldom content. A word after or before one of STATES names a state, not a part.
+SOFT = frozenset("social share sharing promo promoted promotion legal copyright widget search toolbar skip related recommended recommendations".split())
+HARD = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner sidebar nav navbar navigation menu breadcrumb breadcrumbs masthead footer comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register pagination pager disclaimer".split()
 )
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-READERS = frozenset("comment comments commentlist respond reply replies disqus discussion related recommended".split())
-SITE = frozenset("site global masthead".split())
-PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-
-
-# What an element's own mark says, the weaker first; NAMED, READER and STRONG can be void for wrappers.
-HEADER, NAMED, READER, STRONG, HIDDEN = 1, 2, 3, 4, 5
-
-
-class Node:
-    __slots__ = ("tag", "path", "parent", "own", "main", "noise", "depth")
-
-    def __init__(self, tag: str, path: str, parent: Node | None, own: int, main: bool = False):
-        self.tag, self.path, self.parent, self.own, self.main = tag, path, parent, own, main
-        self.noise = 0
-        self.depth = parent.depth + 1 if parent else 0
-
-    def around(self) -> Iterator[Node]:
-        """The element and all that hold it, the innermost first."""
-        node = self
-        while node is not None:
-            yield node
-            node = node.parent
-
-
-def _open(tag: str, attributes: str, parent: Node) -> Node:
-    names, own, main = "", 0, tag == "main"
-    if tag in BOILERPLATE:
-        own = HIDDEN if tag == "head" else NAMED if tag in ("form", "fieldset") else STRONG
-    elif tag == "header":
-        own = HEADER
-    if attributes and not attributes.isspace():
-        found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)}
-        names = _html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower()
-        words = set(re.findall(r"[a-z]+", names))
-        if tag not in ("html", "body", "article", "main"):
-            hits = NOISE & words
-            if hits == {"header"} and words.isdisjoint(SITE):
-                own = max(own, HEADER)
-            elif hits:
-                own = max(own, READER if hits & READERS else NAMED)
-            elif own == HEADER and not words.isdisjoint(SITE):
-                own = NAMED
-        if found.get("role", "").lower() in NOISE_ROLES:
-            own = max(own, STRONG)
-        if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-            own = HIDDEN
-        names = "." + ".".join(sorted(words)) if words else ""
-        main = main or found.get("role", "").lower() == "main"
-    if own == HEADER and any(n.main or n.tag == "article" for n in parent.around()):
-        own = 0
-    return Node(tag, f"{parent.path}/{tag}{names}", parent, own, main)
-
-
-def text_nodes(page: str) -> list[tuple[Node, int, str]]:
-    """(element, block number, text) in page order; text in scripts, styles and the like is left out."""
-    root = Node("", "", None, 0)
-    stack, nodes, block, at = [root], [], 0, 0
-    raw_end = None
-    for m in MARKUP.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            nodes.append((stack[-1], block, page[at : m.start()]))
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if tag not in INLINE:
-            block += 1
-        elif tag == "br":
-            nodes.append((stack[-1], block, " "))
-        if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag in INLINE:
-                    break
-            continue
-        if tag in RAW and not attributes.rstrip().endswith("/"):
-            raw_end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = raw_end.end() if raw_end else len(page)
-            continue
-        if tag in VOID:
-            continue
-        ends = ("p",) if tag in P_ENDS else ()
-        for closed in {*ends, *CLOSES.get(tag, ())}:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == closed:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
-        if not attributes.rstrip().endswith("/"):
-            stack.append(_open(tag, attributes, stack[-1]))
-    if at < len(page):
-        nodes.append((stack[-1], block, page[at:]))
-    return nodes
-
-
-def scores(nodes: list[tuple[Node, int, str]], width: float = 1.0) -> np.ndarray:
-    """Fused and smoothed path ratios of text nodes."""
-    path = np.unique([n.path for n, _, _ in nodes], return_inverse=True)[1]
-    length = np.array([len(t.strip()) for _, _, t in nodes], float)
-    marks = np.array([len(PUNCTUATION.findall(t)) for _, _, t in nodes], float)
-    count = np.bincount(path)
-    text_ratio, mark_ratio = (np.bincount(path, v) / count for v in (length, marks))
-    kernel = np.exp(-np.arange(-2, 3) ** 2 / (2 * width**2))
-    weight = np.convolve(np.ones(len(nodes)), kernel, "same") if len(nodes) >= 5 else np.full(len(nodes), kernel.sum())
-    smooth = lambda v: np.convolve(v, kernel, "same") / weight if len(nodes) >= 5 else v
-    return np.sqrt(np.maximum(text_ratio[path], smooth(text_ratio[path])) * (1 + np.maximum(mark_ratio[path], smooth(mark_ratio[path]))))
-
-
-def masses(nodes: list[tuple[Node, int, str]]) -> np.ndarray:
-    return scores(nodes) * np.array([len(t) for _, _, t in nodes])
-
-
-def mark(solid: list[tuple[Node, int, str]]) -> None:
-    """Set `noise` of all elements with text: 0, HEADER inside a header alone, else the strongest mark around it.
-
-    Void are the marks of elements around a main element, and names and forms around the page's only article or around
-    half of the text beside menus and readers' parts (nine tenths where no title, paragraphs or article are in them; where
-    the page has articles, only those that hold one or are inside one); if that leaves next to nothing, those around half of all text.
-    """
-    elements: dict[int, Node] = {}
-    for node, _, _ in solid:
-        for n in node.around():
-            if id(n) in elements:
+HARD_TAGS = frozenset("nav footer aside menu dialog search form fieldset".split())
+HARD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+STATES = frozenset("no not has have is with without free enabled disabled less open closed on off".split())
+
+MAX_DEPTH = 512  # elements below this depth belong to the one that holds them, as in browsers
+WEIGHT = {0: 1.0, 1: 0.5, 2: 0.03}  # of plain, softly and hard named elements
+ARTICLE_WEIGHT = 1.8
+HALF = 2000.0  # a path of blocks with 200 characters and nine marks has half the highest score
+
+
+def named(names: str) -> int:
+    """2 or 1 where class and id names mark a part that is hardly or seldom content, else 0."""
+    level = 0
+    for name in names.split():
+        words = re.findall(r"[a-z]+", name)
+        if STATES.isdisjoint(words):
+            level = max(level, 0 if HARD.isdisjoint(words) else 2, 0 if SOFT.isdisjoint(words) else 1)
+    return level
+
+
+class Page:
+    """Elements (numbered so that parents come first) and text nodes of one page, read in one pass over it."""
+
+    def __init__(self, page: str):
+        self.tag, self.parent, self.path, self.level, self.hidden, self.main, self.header = [""], [-1], [0], [0], [0], [False], [False]
+        self.holder = [0]  # the element, or the block around it
+        self.link = [False]
+        self.nodes: list[tuple[int, int, str]] = []  # (element, block number, text)
+        self._paths: dict[tuple[int, str], int] = {}
+        self._read(page)
+
+    def _open(self, tag: str, attributes: str, parent: int) -> int:
+        level, main, header, hidden, names = 2 if tag in HARD_TAGS else 0, tag in ("main", "article"), tag == "header", False, ""
+        if attributes and not attributes.isspace():
+            found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)}
+            names = _html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower()
+            role = found.get("role", "").lower()
+            level = max(level, named(names), 2 if role in HARD_ROLES else 0)
+            main = main or role == "main"
+            header = header or "header" in re.findall(r"[a-z]+", names)
+            hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool(INVISIBLE.search(found.get("style", "")))
+            names = "." + ".".join(sorted(set(re.findall(r"[a-z]+", names)))) if names.strip() else ""
+        if tag in ("html", "body"):
+            level, header = 0, False
+        at = len(self.tag)
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.path.append(self._paths.setdefault((self.path[parent], tag + names), len(self._paths) + 1))
+        self.level.append(level)
+        self.hidden.append(1 if hidden else 0)
+        self.main.append(main)
+        self.header.append(header and not main)
+        self.holder.append(at if tag in BLOCKS or "-" in tag else self.holder[parent])
+        self.link.append(tag == "a" or self.link[parent])
+        return at
+
+    def _read(self, page: str) -> None:
+        stack, opened, block, at, size = [0], {}, 0, 0, len(page)
+        plain_until = 0  # before this place quotes are not paired: a quote there has no partner
+        no_end: set[str] = set()  # raw elements without an end tag in the rest of the page
+
+        def cut(i: int) -> None:
+            for e in stack[i:]:
+                opened[self.tag[e]] -= 1
+            del stack[i:]
+
+        while at < size:
+            lt = page.find("<", at)
+            if lt < 0:
+                self.nodes.append((stack[-1], block, page[at:]))
                 break
-            elements[id(n)] = n
-    order = sorted(elements.values(), key=lambda n: n.depth)
-    void: set[int] = set()
-
-    def spread() -> None:
-        for n in order:
-            above = n.parent.noise if n.parent else 0
-            n.noise = max(above, 0 if id(n) in void else n.own)
-
-    spread()
-    if not any(HEADER <= n.own <= STRONG for n in order):
-        return
-    seen = [x for x in solid if x[0].noise != HIDDEN]
-    if not seen:
-        return
-    mass = masses(seen)
-    whole: dict[int, float] = {}
-    plain: dict[int, float] = {}  # without menus and readers' parts
-    for (node, _, _), w in zip(seen, mass):
-        counts = node.noise < READER
-        for n in node.around():
-            whole[id(n)] = whole.get(id(n), 0.0) + w
-            if counts:
-                plain[id(n)] = plain.get(id(n), 0.0) + w
-    rich: dict[int, int] = {}  # paragraphs, and a title for three of them
-    for x in order:
-        for n in x.around() if x.tag in ("p", "h1") else ():
-            rich[id(n)] = rich.get(id(n), 0) + (3 if x.tag == "h1" else 1)
-    root = id(order[0])
-    mains = [n for n in order if n.main and n.noise != HIDDEN]
-    articles = [n for n in order if n.tag == "article" and n.noise != HIDDEN and all(x.tag != "article" for x in n.around() if x is not n)]
-    void |= {id(n) for m in mains for n in m.around() if n.own < HIDDEN}
-    if len(articles) == 1:
-        void |= {id(n) for n in articles[0].around() if n.own <= NAMED}
-    holds = {id(n) for x in (*mains, *articles) for n in x.around()}
-    for n in order:
-        # Beside an article nothing else is the main part; inside one, and without a title or paragraphs, only nearly all.
-        within = any(x.main or x.tag == "article" for x in n.around())
-        if n.own in (HEADER, NAMED) and (not holds or id(n) in holds or within):
-            if plain.get(id(n), 0.0) >= (0.5 if not within and (id(n) in holds or rich.get(id(n), 0) >= 3) else 0.9) * plain.get(root, np.inf):
-                void.add(id(n))
-    spread()
-    left = sum(w for (node, _, _), w in zip(seen, mass) if not node.noise)
-    if left < 0.05 * whole[root] and not any(not n.noise for n in (*mains, *articles)):
-        void |= {id(n) for n in order if n.own in (HEADER, NAMED, READER) and whole.get(id(n), 0.0) >= 0.5 * whole[root]}
-        spread()
+            mark = page[lt + 1 : lt + 2]
+            name = TAG_NAME.match(page, lt + 1)
+            if not name and mark not in ("!", "?", "/"):
+                lt = page.find("<", lt + 1)  # a bare sign is text
+                lt = size if lt < 0 else lt
+                self.nodes.append((stack[-1], block, page[at:lt]))
+                at = lt
+                continue
+            if lt > at:
+                self.nodes.append((stack[-1], block, page[at:lt]))
+            if not name:
+                if page.startswith("<!--", lt):
+                    short = next((s for s in ("<!-->", "<!--->") if page.startswith(s, lt)), None)
+                    end = lt + len(short) if short else page.find("-->", lt + 4) + 3
+                    at = size if end < lt + 4 else end
+                elif page.startswith("<![CDATA[", lt):
+                    end = page.find("]]>", lt)
+                    at = size if end < 0 else end + 3
+                else:
+                    end = page.find(">", lt)
+                    at = size if end < 0 else end + 1
+                continue
+            # The end of the tag, outside quotes where these pair up.
+            end = name.end()
+            if lt < plain_until:
+                end = page.find(">", end)
+            else:
+                while True:
+                    end = TAG_STEP.match(page, end).end()
+                    if end >= size:
+                        end = -1
+                        break
+                    if page[end] == ">":
+                        break
+                    close = page.find(page[end], end + 1)
+                    if close < 0:
+                        plain_until = end
+                        end = page.find(">", name.end())
+                        break
+                    end = close + 1
+            if end < 0:
+                break  # a tag without an end: nothing but markup follows
+            attributes, at = page[name.end() : end], end + 1
+            tag = name[0].lower()
+            closing = tag[0] == "/"
+            tag = tag.lstrip("/")
+            if tag in BLOCKS or "-" in tag:
+                block += 1
+            elif tag == "br":
+                self.nodes.append((stack[-1], block, " "))
+            if closing:
+                if opened.get(tag):
+                    inline = tag not in BLOCKS
+                    for i in range(len(stack) - 1, 0, -1):
+                        found = self.tag[stack[i]]
+                        if found == tag:
+                            self.hidden[stack[i]] = 2 if tag in UNSEEN else self.hidden[stack[i]]
+                            cut(i)
+                            break
+                        if inline and found in SCOPE:
+                            break
+                continue
+            bare = attributes.rstrip().endswith("/")
+            if tag in RAW and not bare:
+                finish = None if tag in no_end else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+                if finish:
+                    at = finish.end()
+                elif tag in ("script", "style"):
+                    break  # the rest of the page is code
+                else:
+                    no_end.add(tag)
+                continue
+            if tag in VOID:
+                continue
+            for closed in {*(("p",) if tag in P_ENDS else ()), *CLOSES.get(tag, ())}:
+                if opened.get(closed):
+                    for i in range(len(stack) - 1, 0, -1):
+                        found = self.tag[stack[i]]
+                        if found == closed:
+                            cut(i)
+                            break
+                        if found in SCOPE and not (tag == "tr" and found in ("td", "th")):
+                            break
+            if not bare and len(stack) < MAX_DEPTH:
+                stack.append(self._open(tag, attributes, stack[-1]))
+                opened[tag] = opened.get(tag, 0) + 1
+
+
+class Blocks:
+    """Visible blocks of a page in its order: text, holding element, path and whether links fill it."""
+
+    def __init__(self, page: Page):
+        hidden = page.hidden
+        for e in range(1, len(hidden)):
+            hidden[e] = max(hidden[e], hidden[page.parent[e]])
+        self.texts, self.holder, path = [], [], []
+        at = 0
+        least = min((hidden[e] for e, _, t in page.nodes if not t.isspace()), default=0)
+        nodes = [n for n in page.nodes if hidden[n[0]] <= min(least, 1)]  # a page that hides all its text shows it all
+        while at < len(nodes):
+            end = at
+            while end < len(nodes) and nodes[end][1] == nodes[at][1]:
+                end += 1
+            part, at = nodes[at:end], end
+            text = " ".join(_html.unescape("".join(t for _, _, t in part)).split())
+            if text:
+                inside = next(n for n, _, t in part if not t.isspace())
+                linked = sum(len(t.strip()) for n, _, t in part if page.link[n])
+                links = 2 * linked > sum(len(t.strip()) for _, _, t in part)
+                self.texts.append(text)
+                self.holder.append(page.holder[inside])
+                path.append((page.path[page.holder[inside]], links))
+        self.links = np.array([x for _, x in path], bool)
+        self.path = np.unique(np.array([2 * p + x for p, x in path], np.int64), return_inverse=True)[1]
+        self.length = np.array([len(t) for t in self.texts], float)
+
+
+def scores(blocks: Blocks, width: float = 1.0) -> np.ndarray:
+    """Path ratios of text length and punctuation, fused, and smoothed along the page."""
+    marks = np.array([len(PUNCTUATION.findall(t)) for t in blocks.texts], float)
+    count = np.bincount(blocks.path)
+    text_ratio, mark_ratio = (np.bincount(blocks.path, v) / count for v in (blocks.length, marks))
+    fused = text_ratio * (1 + mark_ratio)
+    fused = (fused / (fused + HALF))[blocks.path]  # twice the text of a long paragraph says no more than once
+    kernel = np.exp(-(np.arange(-2, 3) ** 2) / (2 * width**2))
+    around = np.convolve(fused, kernel, "full")[2:-2] / np.convolve(np.ones(len(fused)), kernel, "full")[2:-2]
+    return fused**0.75 * around**0.25
+
+
+def threshold(score: np.ndarray, length: np.ndarray) -> float:
+    """Half the score of the average character."""
+    return 0.5 * float(np.average(score, weights=length))
+
+
+def content(page: Page, blocks: Blocks) -> np.ndarray:
+    """Which blocks are content."""
+    n = len(page.tag)
+    weight = np.ones(n)
+    for e in range(1, n):
+        own = WEIGHT[page.level[e]] * (ARTICLE_WEIGHT if page.main[e] and not page.level[e] else 1)
+        weight[e] = max(weight[page.parent[e]] * own, 1e-30)
+    holder = np.array(blocks.holder)
+    plain = scores(blocks)
+    score = plain * weight[holder]
+    chosen = score >= threshold(score, blocks.length * weight[holder])
+    # Selected text below each element, and all text.
+    held = np.zeros(n)
+    np.add.at(held, holder, np.where(chosen, blocks.length, 0))
+    count = np.bincount(holder[chosen], minlength=n)
+    for e in range(n - 1, 0, -1):
+        up = page.parent[e]
+        held[up] += held[e]
+        count[up] += count[e]
+    section = 0  # the smallest section that holds all that is selected
+    for e in range(1, n):
+        if count[e] == count[0] and page.tag[e] in SECTIONS:
+            section = e
+    # An article around it is the better border.
+    border = section
+    while border > 0 and not page.main[border]:
+        border = page.parent[border]
+    section = border if border > 0 else section
+    closed = page.tag[section] not in ("", "html", "body")
+    # How strongly a part is named, where it does not hold most of the selected text. The header of an article is its own.
+    part, article, nearest, inside = [0] * n, [False] * n, [0] * n, [section == 0] * n
+    for e in range(1, n):
+        up = page.parent[e]
+        inside[e] = inside[up] or e == section
+        article[e] = article[up] or page.main[e]
+        nearest[e] = e if count[e] else nearest[up]
+        header = page.header[e] and not (article[e] or closed and inside[up])
+        part[e] = max(part[up], max(page.level[e], header) if held[e] < 0.5 * held[0] else 0)
+    first, last = np.flatnonzero(chosen)[[0, -1]]
+    raw = plain >= threshold(plain[chosen], blocks.length[chosen])
+    keep = chosen.copy()
+    for i in np.flatnonzero(~chosen):
+        e = blocks.holder[i]
+        if not inside[e] or part[e] == 2 or part[e] == 1 and not raw[i]:
+            continue
+        links = blocks.links[i] and not (article[e] and closed)
+        if first < i < last:
+            keep[i] = not links  # not a list of links beside the content
+        elif i < first:
+            keep[i] = page.tag[e] in HEADINGS or closed and not links
+        else:
+            keep[i] = not links and (closed or page.tag[nearest[e]] not in ("", "html", "body"))
+    return keep
 
 
 def main_text(page: str) -> str:
-    """The article's blocks, joined by two line feeds. A page that is boilerplate throughout is taken whole."""
-    nodes = text_nodes(page)
-    every = [x for x in nodes if not x[2].isspace()]
-    if not every:
+    """The article's blocks, joined by two line feeds. A page without any part that stands out is taken whole."""
+    read = Page(page)
+    blocks = Blocks(read)
+    if not blocks.texts:
         return ""
-    mark(every)
-    # Where no text is left, only what is hidden stays out; and where all is hidden, nothing.
-    most = next(m for m in (0, STRONG, HIDDEN) if any(n.noise <= m for n, _, _ in every))
-    solid = [x for x in every if x[0].noise <= most]
-    score = scores(solid)
-    mass = score * np.array([len(t) for _, _, t in solid])
-    seeds = score >= max(0.5 * np.average(score, weights=mass), score.mean() - 2 * score.std())
-    held: dict[int, int] = {}
-    for (node, _, _), seed in zip(solid, seeds):
-        for n in node.around() if seed else ():
-            held[id(n)] = held.get(id(n), 0) + 1
-    first = solid[int(np.argmax(seeds))][0]
-    chosen = next(n for n in first.around() if held[id(n)] == seeds.sum() and (n.tag in SECTIONS or not n.tag))
-    # The article or main element around the choice is the better border, where it is one.
-    for n in chosen.around():
-        if n.main or n.tag == "article":
-            chosen = n
-    blocks: list[tuple[int, list[str]]] = []
-    for node, block, text in nodes:
-        if node.noise > max(most, HEADER):
-            continue
-        inside, header = False, False
-        for n in node.around():
-            if n is chosen:
-                inside = True
-                break
-            header = header or n.own == HEADER
-        # A header inside the content belongs to it; one beside it, or in the page as a whole, does not.
-        if not inside or node.noise > most and (not header or chosen.tag in ("", "html", "body")):
-            continue
-        if not blocks or blocks[-1][0] != block:
-            blocks.append((block, []))
-        blocks[-1][1].append(text)
-    done = (" ".join(_html.unescape("".join(parts)).split()) for _, parts in blocks)
-    return "\n\n".join(t for t in done if t)
+    keep = content(read, blocks)
+    return "\n\n".join(t for t, k in zip(blocks.texts, keep) if k)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
