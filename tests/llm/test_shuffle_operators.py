@@ -206,6 +206,20 @@ def test_neighbour_recall(spark):
         assert found == sorted(found) and [s for s, _ in found] == pytest.approx([math.dist(np.array(dict(rows)[q], np.float32), np.array(dict(rows)[i], np.float32)) for _, i in found])
 
 
+def test_neighbours_come_from_original_doubles(spark):
+    rows = [(0, [1.0, -0.0]), (1, [1.0 + 1e-8, 0.0]), (2, [1.0, 1e-9]), (3, [2.0, 0.0]), (4, [1e100, 0.0]), (4, [5.0, 0.0]), (5, [1.0, 0.0])]
+    rows = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.search(rows, F.col("vec_id") == 0).orderBy("rank").collect()]
+    want = sorted((float(np.hypot(r.embedding[0] - 1.0, r.embedding[1])), r.vec_id) for r in rows.collect() if r.vec_id)
+    assert [i for i, _ in got] == [i for _, i in want] and np.allclose([d for _, d in got], [d for d, _ in want], rtol=1e-12)
+
+
+def test_descent_runs_at_every_size(spark, monkeypatch):
+    calls, true = [], ann.descend
+    monkeypatch.setattr(ann, "descend", lambda *a: calls.append(1) or true(*a))
+    assert ann.op8_neighbours(spark, DIR).count() and calls
+
+
 def test_neighbours_of_copies_and_odd_rows(spark):
     rng = np.random.default_rng(8)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(30)] + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(40, 60)]

@@ -1,16 +1,17 @@
 """Approximate nearest neighbours: NN-descent builds a graph, queries search it greedily.
 
 Equal vectors are one node (its copies are kept in full order up to one more than any query can return).
-The start graph comes from `trees` random hyperplane partitions, whose leaves hold `leaf` nodes at most
-(crowded leaves are split again by a hash) and are compared inside exactly. Each round of NN-descent is a
-Spark join of neighbours of neighbours: every node meets, as a centre, its neighbours and a sample of the
-nodes that have it as neighbour; all pairs at a centre are compared, and each node keeps its `k` nearest.
-Centres that share a leaf are worked off together, so a vector travels once to each leaf that needs it.
-Rounds end when fewer than `settle` of all graph entries change.
+The start graph comes from `trees` random hyperplane partitions, whose leaves hold about `leaf` nodes
+(crowded leaves are split again by a hash) and are compared inside exactly: a small and, as tables grow, vanishing
+share of all pairs. Each round of NN-descent is a Spark join of neighbours of neighbours: every node meets, as a
+centre, its neighbours and a sample of the nodes that have it as neighbour; all pairs at a centre with an entry that
+is new since the last round are compared, and each node keeps its `k` nearest. Centres near each other are worked off
+together, so a vector travels once to each unit of work that needs it. Rounds end when fewer than `settle` of all graph
+entries change. Tables of every size go this way.
 
 A query starts at its own node. Each step joins the nearest unvisited nodes of its beam with the graph and
-the new neighbours with their vectors, until the `beam` nearest are all visited. Distances of the result are
-computed again in double precision from the original vectors.
+the new neighbours with their vectors, until the nearest of the beam are all visited. The beam grows with the logarithm
+of the table. Distances of the result are computed again in double precision from the original vectors.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buckets_for, mix64, stage, table
+from tidemark.llm.common import buckets_for, discard, mix64, stage, table
 from tidemark.llm.jaccard_join import runs
 from tidemark.llm.vector_dedup import clean_vectors
 
@@ -90,22 +91,34 @@ def as_lists(graph: DataFrame, buckets: int) -> DataFrame:
     return graph.mapInArrow(run, LISTS)
 
 
-def nodes_of(vectors: DataFrame, vector: str, key: str, copies: int) -> tuple[DataFrame, int]:
-    """(node, members, vec): distinct vectors of the most common dimension; `members` are the `copies` least ids."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("float")).alias("v")).filter("id is not null")
-    rows = rows.filter(clean_vectors(rows, "v"))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    dim = dims[0]["d"] if dims else 1
-    rows = rows.filter(F.size("v") == dim)
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= copies)
-    grouped = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("members"))
+def usable(vectors: DataFrame, vector: str, key: str, extra: F.Column) -> tuple[DataFrame, int]:
+    """(id, extra, full, vec) of rows that take part: `full` holds the vector's doubles (without negative zeros), `vec` floats.
+
+    All floats are scaled by one power of two, so that no finite double is too large for a float; the order of distances stays.
+    """
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(extra, F.lit(False)).alias("extra"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rows = rows.filter("id is not null").filter(clean_vectors(rows, "v"))
+    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c"), F.max(F.array_max(F.transform("v", F.abs))).alias("m")).orderBy(F.desc("c"), F.desc("d")).limit(1).collect()
+    dim, most = (dims[0]["d"], dims[0]["m"]) if dims else (1, 1.0)
+    scale = 2.0 ** -np.ceil(np.log2(most))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float32) if b.num_rows else np.zeros((0, dim), np.float32)
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("members"), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "members", "vec"])
+            x = b.column("v").flatten().to_numpy().reshape(-1, dim) + 0.0
+            full, vec = (pa.array([r.tobytes() for r in y], pa.binary()) for y in (x, (x * scale).astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("extra"), full, vec], names=["id", "extra", "full", "vec"])
+
+    return rows.filter(F.size("v") == dim).mapInArrow(raw, "id long, extra boolean, full binary, vec binary"), dim
 
-    return stage(grouped.select(F.col("members")[0].alias("node"), "members", "v").mapInArrow(raw, "node long, members array<long>, vec binary"), "ann-nodes"), dim
+
+def nodes_of(rows: DataFrame, copies: int) -> DataFrame:
+    """(node, members, full, vec): distinct vectors; `members` are the `copies` least ids."""
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("full").orderBy("id"))).filter(F.col("r") <= copies)
+    grouped = ranked.groupBy("full").agg(F.sort_array(F.collect_list("id")).alias("members"), F.first("vec").alias("vec"))
+    # Rows that share an id may hold different vectors: numbers of nodes come from the vectors then.
+    first = F.col("members")[0]
+    twice = grouped.groupBy(first.alias("node")).count().filter("count > 1").limit(1).count()
+    return grouped.select((F.xxhash64("full") if twice else first).alias("node"), "members", "full", "vec")
 
 
 def placed(nodes: DataFrame, dim: int, n: int, trees: int, leaf: int, seed: int) -> DataFrame:
@@ -148,19 +161,27 @@ def start_graph(leaves: DataFrame, dim: int, k: int, buckets: int) -> DataFrame:
     return merged(leaves.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LISTS), k)
 
 
-def descend(graph: DataFrame, homes: DataFrame, dim: int, k: int, reverse: int, buckets: int) -> DataFrame:
-    """Candidates of one round that beat the node's farthest entry, `k` a node and leaf at most, as lists by bucket."""
-    forward = graph.select("node", F.explode("ids").alias("member"))
-    backward = forward.select(F.col("member").alias("node"), F.col("node").alias("member"))
-    order = Window.partitionBy("node").orderBy(F.xxhash64("member", "node"), "member")
+def descend(graph: DataFrame, homes: DataFrame, dim: int, k: int, reverse: int, buckets: int, drawn: int) -> DataFrame:
+    """Candidates of one round that beat the node's farthest entry, `k` a node and unit at most, as lists by bucket.
+
+    As in the paper, pairs of entries that have both met before are left out, and so are centres without a new entry. The
+    reverse sample takes new entries first and is drawn anew in each round.
+    """
+    forward = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", F.col("e.ids").alias("member"), F.col("e.fresh").alias("fresh"))
+    backward = forward.select(F.col("member").alias("node"), F.col("node").alias("member"), "fresh")
+    order = Window.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64("member", "node", F.lit(drawn)), "member")
     backward = backward.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= reverse).drop("r")
-    where = homes.select("node", "leaf", "sub")
-    met = forward.unionByName(backward).unionByName(graph.select("node", F.col("node").alias("member"))).join(where, "node")
+    met = forward.unionByName(backward)
+    active = met.filter("fresh").select("node").distinct()
+    own = graph.select("node", F.col("node").alias("member"), F.lit(False).alias("fresh"))
+    met = met.unionByName(own).join(active, "node", "left_semi").join(homes.select("node", "leaf", "sub"), "node")
     farthest = graph.select("node", F.when(F.size("gaps") >= k, F.element_at("gaps", -1)).otherwise(F.lit(float("inf")).cast("float")).alias("worst"))
     known = homes.select("node", "vec").join(farthest, "node")
     needed = met.select("leaf", "sub", F.col("member").alias("node")).distinct().join(known, "node")
     none = F.lit(None)
-    units = met.select("leaf", "sub", F.lit(1).alias("kind"), "node", "member", none.cast("binary").alias("vec"), none.cast("float").alias("worst")).unionByName(needed.select("leaf", "sub", F.lit(0).alias("kind"), "node", none.cast("long").alias("member"), "vec", "worst"))
+    units = met.select("leaf", "sub", F.lit(1).alias("kind"), "node", "member", "fresh", none.cast("binary").alias("vec"), none.cast("float").alias("worst")).unionByName(
+        needed.select("leaf", "sub", F.lit(0).alias("kind"), "node", none.cast("long").alias("member"), none.cast("boolean").alias("fresh"), "vec", "worst")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["leaf", "sub"]):
@@ -169,9 +190,11 @@ def descend(graph: DataFrame, homes: DataFrame, dim: int, k: int, reverse: int,
             ids = vectors["node"].to_numpy()
             order = np.argsort(ids)
             ids, x, worst = ids[order], matrix(vectors["vec"], dim)[order], vectors["worst"].to_numpy()[order]
-            centre, member = links["node"].to_numpy(), np.searchsorted(ids, links["member"].to_numpy())
-            order = np.lexsort((member, centre))
-            centre, member = centre[order], member[order]
+            centre, member, fresh = links["node"].to_numpy(), np.searchsorted(ids, links["member"].to_numpy()), links["fresh"].to_numpy(zero_copy_only=False).astype(bool)
+            order = np.lexsort((~fresh, member, centre))
+            centre, member, fresh = centre[order], member[order], fresh[order]
+            once = np.append(True, (centre[1:] != centre[:-1]) | (member[1:] != member[:-1]))
+            centre, member, fresh = centre[once], member[once], fresh[once]
             cuts = np.append(np.flatnonzero(np.append(True, centre[1:] != centre[:-1])), len(centre))
             square = (x * x).sum(1)
             best: list[np.ndarray] = []
@@ -189,11 +212,11 @@ def descend(graph: DataFrame, homes: DataFrame, dim: int, k: int, reverse: int,
 
             size = 0
             for s, e in zip(cuts[:-1], cuts[1:]):
-                m = np.unique(member[s:e])
+                m, new = member[s:e], fresh[s:e]
                 y = x[m]
                 d = square[m][:, None] + square[m][None, :] - 2 * (y @ y.T)
                 d[np.arange(len(m)), np.arange(len(m))] = np.inf
-                a, b = np.nonzero(d < worst[m][:, None])
+                a, b = np.nonzero((d < worst[m][:, None]) & (new[:, None] | new[None, :]))
                 best.append((m[a], m[b], np.maximum(d[a, b], 0)))
                 size += len(a)
                 if size > 2_000_000:
@@ -207,22 +230,24 @@ def descend(graph: DataFrame, homes: DataFrame, dim: int, k: int, reverse: int,
     return units.repartition("leaf", "sub").sortWithinPartitions("leaf", "sub").mapInArrow(run, LISTS)
 
 
-def build(nodes: DataFrame, dim: int, k: int = 32, trees: int = 4, leaf: int = 4096, reverse: int = 32, settle: float = 0.05, rounds: int = 8, seed: int = 5) -> DataFrame:
-    """The neighbour graph (node, ids, gaps) over all nodes."""
+def build(nodes: DataFrame, dim: int, k: int = 32, trees: int = 4, leaf: int = 512, unit: int = 4096, reverse: int = 32, settle: float = 0.02, rounds: int = 12, seed: int = 5) -> DataFrame:
+    """The neighbour graph (node, ids, gaps) over all nodes. `unit` centres, near each other, are worked off together."""
     n = nodes.count()
-    leaves = stage(placed(nodes, dim, n, trees, leaf, seed), "ann-leaves")
     buckets = buckets_for(n, 2048, 64)
-    graph = stage(start_graph(leaves, dim, k, buckets), "ann-graph")
-    homes = leaves.filter("tree = 0").select("node", "vec", "leaf", "sub")
-    if n <= leaf and trees:  # one leaf: the start graph is exact
-        return graph
-    for _ in range(rounds):
-        new = stage(merged(as_lists(graph, buckets).unionByName(descend(graph, homes, dim, k, reverse, buckets)), k), "ann-graph")
-        old = graph.select("node", F.col("ids").alias("before"))
-        changed = new.join(old, "node", "left").select(F.sum(F.size(F.array_except("ids", F.coalesce("before", F.array().cast("array<long>"))))).alias("c")).first()["c"]
+    graph = start_graph(placed(nodes, dim, n, trees, leaf, seed), dim, k, buckets)
+    graph = stage(graph.select("*", F.transform("ids", lambda x: F.lit(True)).alias("fresh")), "ann-graph")
+    homes = stage(placed(nodes, dim, n, 1, unit, seed).drop("tree"), "ann-homes")
+    for drawn in range(rounds):
+        new = merged(as_lists(graph, buckets).unionByName(descend(graph, homes, dim, k, reverse, buckets, drawn)), k)
+        new = new.join(graph.select("node", F.col("ids").alias("before")), "node", "left")
+        new = new.withColumn("fresh", F.transform("ids", lambda x: ~F.array_contains(F.coalesce("before", F.array().cast("array<long>")), x))).drop("before")
+        new = stage(new, "ann-graph")
+        discard(graph)
         graph = new
+        changed = graph.select(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0]
         if (changed or 0) < settle * n * k:
             break
+    discard(homes)
     return graph
 
 
@@ -262,41 +287,39 @@ def greedy(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int, bea
         fresh = reached.join(nodes.select("node", "vec"), "node").select("q", "node", "vec", F.lit(False).alias("expanded"))
         visited = front.select("q", "node", F.lit(None).cast("binary").alias("vec"), F.lit(True).alias("expanded"))
         rows = state.unionByName(fresh.unionByName(visited), allowMissingColumns=True)
-        state = stage(rows.repartition("q").sortWithinPartitions("q").mapInArrow(step, STATE), "ann-state")
+        new = stage(rows.repartition("q").sortWithinPartitions("q").mapInArrow(step, STATE), "ann-state")
+        discard(state, front)
+        state = new
     return state.select("q", "node", "ids")
 
 
-def search(vectors: DataFrame, is_query: F.Column, vector: str = "embedding", key: str = "vec_id", top: int = 10, k: int = 32, beam: int = 160, width: int = 32, steps: int = 30, leaf: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query: F.Column, vector: str = "embedding", key: str = "vec_id", top: int = 10, k: int = 32, beam: int = 12, width: int = 32, steps: int = 40, leaf: int = 512) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the `top` nearest rows found for each row that `is_query` holds for.
 
     Nearest first, ties to the smaller id; a row never finds itself; rows equal to the query count,
     with distance 0. If fewer than `top` other rows exist, all are returned. Vectors that are null,
     zero, or hold null or non-finite components, rows without an id, and rows of another dimension than
-    the most common take no part. Rows that share an id are told apart by their vectors. Every row is
-    in the graph; only plane offsets are fitted on a sample (2000 vectors). The search is approximate:
-    tests measure its recall against brute force.
+    the most common take no part. Rows that share an id are told apart by their vectors; as a query, such an
+    id stands for the vector that comes first in byte order. Every row is in the graph; only plane offsets are fitted on a
+    sample (2000 vectors). The search runs on floats; scores and the order of the result come from the
+    original doubles of four times `top` candidates. The beam has `beam` places for each doubling of the nodes. It is approximate: tests measure its recall against brute force.
     """
-    nodes, dim = nodes_of(vectors, vector, key, top + 1)
+    rows, dim = usable(vectors, vector, key, is_query)
+    nodes = stage(nodes_of(rows, top + 1), "ann-nodes")
     graph = build(nodes, dim, k, leaf=leaf)
-    rows = vectors.filter(is_query).select(F.col(key).cast("long").alias("q"), F.transform(vector, lambda x: x.cast("float")).alias("v")).filter("q is not null")
-    rows = rows.filter(clean_vectors(rows, "v")).filter(F.size("v") == dim).dropDuplicates(["q"])
-
-    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [np.array(v, np.float32).tobytes() for v in b.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("q"), pa.array(x, pa.binary())], names=["q", "vec"])
-
-    queries = rows.mapInArrow(raw, "q long, vec binary").join(nodes.select("node", "vec"), "vec").select("q", "node", "vec")
-    queries = stage(queries, "ann-queries")
-    beams = greedy(queries, graph, nodes, dim, beam, width, steps)
-    near = beams.select("q", F.explode(F.slice("ids", 1, top + 2)).alias("node")).join(nodes, "node").withColumnRenamed("vec", "other").join(queries.select("q", "vec"), "q")
+    asked = rows.filter("extra").groupBy(F.col("id").alias("q")).agg(F.min("full").alias("full"))
+    queries = stage(asked.join(nodes.select("full", "node", "vec"), "full").select("q", "node", "vec", "full"), "ann-queries")
+    places = max(4 * top, beam * max(1, nodes.count().bit_length()))
+    beams = greedy(queries.drop("full"), graph, nodes, dim, places, width, steps)
+    discard(graph)
+    near = beams.select("q", F.explode(F.slice("ids", 1, 4 * top)).alias("node")).join(nodes.select("node", "members", F.col("full").alias("other")), "node").join(queries.select("q", "full"), "q")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = matrix(b.column("vec"), dim).astype(np.float64), matrix(b.column("other"), dim).astype(np.float64)
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float64).reshape(-1, dim) for c in ("full", "other"))
             yield pa.RecordBatch.from_arrays([b.column("q"), b.column("members"), pa.array(np.sqrt(((x - y) ** 2).sum(1)))], names=["q", "members", "score"])
 
-    found = near.select("q", "members", "vec", "other").mapInArrow(exact, "q long, members array<long>, score double")
+    found = near.select("q", "members", "full", "other").mapInArrow(exact, "q long, members array<long>, score double")
     found = found.select("q", F.explode("members").alias("vec_id"), "score").filter("vec_id <> q")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).filter(F.col("rank") <= top)
     return ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")

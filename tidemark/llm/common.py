@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 _STAGED: dict[str, list[str]] = {}
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # of staged frames
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,15 +48,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    _PATHS[read] = path
+    return read
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more: what was made from them must be staged itself."""
+    for df in staged:
+        path = _PATHS.pop(df, None)
+        if path:
+            _STAGED[df.sparkSession.sparkContext.applicationId].remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Remove the tables that this process staged for the session's application; frames that read them are void then."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _STAGED.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, path)
 
 
 def free_column(df: DataFrame, wanted: str) -> str:
@@ -171,6 +187,7 @@ def components(edges: DataFrame, spark: SparkSession, name: str, max_rounds: int
         new = stage(new.filter("u <> v").distinct(), f"{name}-edges")
         # At the fixed point every node has one edge, to its root, and no root has an edge of its own.
         loose = new.groupBy("u").count().filter("count > 1").limit(1).count() or new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        discard(e, large)
         e = new
         if not loose:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
