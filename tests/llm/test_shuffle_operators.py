@@ -95,6 +95,29 @@ def test_shingle_classes_on_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["1", "2", "3", "4", "5", "None"]
 
 
+@pytest.mark.parametrize("room", [300, 1_000_000])
+def test_size_classes_lose_no_link(spark, room):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[: int(k)]) for k in rng.integers(40, 400, 60)] + [" ".join(base[:k]) for k in (104, 84, 129, 5, 6, 7)]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want, got = links_by_brute_force(docs), jaccard_join.jaccard_join(df, bands=200, per_band=4, room=room, block=7).collect()
+    check_classes(got, [d for d, _ in docs], want)
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = (family(i, 3, words=200, changes=1) for i in (1, 2))
+    docs = [(1, a[0]), (1, b[0]), (2, a[1]), (3, b[1]), (3, b[1]), (4, a[2]), (0, b[2])]
+    got = sorted((r.doc_id, r.n_links, r.class_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 2, 1), (1, 3, 0), (2, 2, 1), (3, 3, 0), (3, 3, 0), (4, 2, 1), (0, 3, 0)])
+    kept = jaccard_join.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, a[0]), (0, b[2])])
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (0, [0.01, 1.0], 1)]
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_dedup.vector_dedup(vectors_frame(spark, rows)).collect())
+    assert found == [(0, 1, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1)]
+
+
 def test_shared_passages_alone_are_no_link(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = [(k, passage + " " + " ".join(f"d{k}_{i}" for i in range(60))) for k in range(40)]

@@ -6,10 +6,11 @@
    band with probability 1 - (1 - s^rows)^bands: with 40 x 8 it is 0.9994 at s = 0.8 and above
    0.99999 at 0.85. Each bucket of a band links its nodes to its least node (a star, not all pairs);
    connected components of these stars are the candidate groups.
-3. Candidate groups are cut into blocks, and each pair of blocks of one group is a unit of work of
-   its own with bounded memory: it compares the full shingle sets of its pairs by sparse products
-   and keeps counts of links and a spanning forest, never the pairs. All pairs of a group are
-   compared, so no link between two texts that share a bucket is lost.
+3. Similar sets are of similar size, so a candidate group is parted by size class (steps of
+   1 / threshold), and only neighbouring classes meet. Classes are cut into blocks by the room their sets
+   take, and each pair of blocks that can meet is a unit of work of its own with bounded memory: it compares
+   the full shingle sets of its pairs and keeps counts of links and a spanning forest, never the pairs. All
+   pairs of a group that can link by size are compared, so no link between two texts that share a bucket is lost.
 4. Components of the forests are the classes.
 """
 
@@ -20,10 +21,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MIX, components, free_column, hashed_words, mix64, shingles, slices, stage, table
+from tidemark.llm.common import MIX, components, dealt_anew, free_column, hashed_words, mix64, shingles, slices, stage, table
 
 
 def hash_family(count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -49,27 +50,34 @@ def band_hashes(low: np.ndarray, bands: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def digest(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sorted set, as two numbers."""
+    d = xxhash.xxh3_128_digest(own.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def signatures(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
-    """(id, k1, k2, bands) of rows (id, text); the keys and bands of a text without words are null."""
+    """(id, hash, k1, k2, size, bands) of rows (id, hash, text); the keys and bands of a text without words are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = hash_family(bands * per_band)
         for batch in slices(batches, "text", 3_000_000):
             grams, offsets = shingles(*hashed_words(batch.column("text")), n)
-            keys, found = [], []
+            keys, sizes, found = [], [], []
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 if s == e:
                     keys.append((None, None))
+                    sizes.append(0)
                     found.append(None)
                     continue
                 own = np.unique(grams[s:e])
-                d = xxhash.xxh3_128_digest(own.tobytes())
-                keys.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                keys.append(digest(own))
+                sizes.append(len(own))
                 found.append(band_hashes(minhash(own, a, b), bands))
             k1, k2 = zip(*keys)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "hash", "k1", "k2", "size", "bands"])
 
-    return rows.mapInArrow(run, "id long, k1 long, k2 long, bands array<long>")
+    return rows.mapInArrow(run, "id long, hash long, k1 long, k2 long, size long, bands array<long>")
 
 
 def compare(sets: list[np.ndarray], split: int, threshold: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +110,33 @@ def compare(sets: list[np.ndarray], split: int, threshold: float, columns: int =
     return i, j + (split or 0)
 
 
+def compare_by_size(sets: list[np.ndarray], split: int, threshold: float, part: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """As `compare`, part by part: sets are taken by size, and parts whose sizes lie too far apart are not compared."""
+    size = np.array([len(s) for s in sets])
+    rows = np.arange(split or len(sets))
+    left = [a for a in np.array_split(rows[np.argsort(size[rows], kind="stable")], -(-len(rows) // part))]
+    if split:
+        other = np.arange(split, len(sets))
+        right = [a for a in np.array_split(other[np.argsort(size[other], kind="stable")], -(-len(other) // part))]
+    else:
+        right = left
+    found = []
+    for x, a in enumerate(left):
+        for y, b in enumerate(right):
+            if not split and y < x or size[a[-1]] < threshold * size[b[0]] - 1e-9 or size[b[-1]] < threshold * size[a[0]] - 1e-9:
+                continue
+            if not split and y == x:
+                i, j = compare([sets[k] for k in a], 0, threshold)
+                found.append((a[i], a[j]))
+            else:
+                i, j = compare([sets[k] for k in (*a, *b)], len(a), threshold)
+                found.append((a[i], b[j - len(a)]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = (np.concatenate(c) for c in zip(*found))
+    return np.minimum(i, j), np.maximum(i, j)
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     """Root of each of n nodes under links (i, j); the root is the least index of a tree."""
     root = list(range(n))
@@ -139,8 +174,11 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def verify(threshold: float, sets_of: Callable) -> Callable:
-    """Rows (u, v, w): with v null, w rows link with node u inside this unit; otherwise u and v are one tree."""
+def verify(threshold: float, sets_of: Callable, repeats: bool = False) -> Callable:
+    """Rows (u, v, w): with v null, w rows link with node u inside this unit; otherwise u and v are one tree.
+
+    With `repeats`, a node may arrive more than once, and counts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -153,6 +191,9 @@ def verify(threshold: float, sets_of: Callable) -> Callable:
         for group in runs(batches, ["root", "bi", "bj"]):
             bi, bj = group["bi"][0].as_py(), group["bj"][0].as_py()
             block = group["blk"].to_numpy()
+            if repeats:
+                group = group.take(pa.array(np.unique(group["node"].to_numpy(), return_index=True)[1]))
+                block = group["blk"].to_numpy()
             order = np.argsort(block, kind="stable")
             group = group.take(pa.array(order))
             split = int((block == bi).sum()) if bi != bj else 0
@@ -175,15 +216,37 @@ def verify(threshold: float, sets_of: Callable) -> Callable:
     return run
 
 
-def members_of(stars: DataFrame, nodes: DataFrame, block: int, name: str) -> DataFrame:
-    """(node, w, root, nb, blk): candidate groups of more than one node, with the block of each node."""
+def numbered(groups: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """`groups` (with `low`, the least id of each) staged with a number `node` of each, and whether the numbers differ from `low`.
+
+    The number is `low` itself, unless rows of different groups share an id.
+    """
+    groups = stage(groups, name)
+    shared = groups.groupBy("low").count().filter("count > 1").limit(1).count() > 0
+    return (stage(groups.withColumn("node", F.monotonically_increasing_id()), name) if shared else groups.withColumn("node", F.col("low"))), shared
+
+
+def members_of(stars: DataFrame, nodes: DataFrame, threshold: float, room: int, most: int, name: str) -> DataFrame:
+    """(node, w, low, k1, k2, root, blk, met): candidate groups of more than one node.
+
+    `blk` is the block of a node (size class and number), `met` all blocks that its block must meet. A block holds about
+    `room` shingles, and `most` nodes at most.
+    """
     spark = stars.sparkSession
-    grouped = stage(components(stars, spark, name), f"{name}-groups")
-    every = grouped.unionByName(grouped.select(F.col("root").alias("node"), "root").distinct())
-    sizes = grouped.groupBy("root").agg((F.count("*") + 1).alias("m"))
-    every = every.join(sizes, "root").withColumn("nb", F.ceil(F.col("m") / block).cast("long"))
-    every = every.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb"))).drop("m")
-    return every.join(nodes.select("node", "w"), "node")
+    grouped = components(stars, spark, name)
+    every = dealt_anew(grouped.unionByName(grouped.select(F.col("root").alias("node"), "root").distinct()), "node")
+    step = float(np.log(1.0001 / threshold))
+    own = nodes.select("node", "w", "low", "k1", "k2", "size", F.floor(F.log("size") / step).cast("long").alias("class"))
+    every = stage(every.join(own, "node"), f"{name}-groups")
+    sizes = every.groupBy("root", "class").agg(F.count("*").alias("m"), F.max("size").alias("size"))
+    fits = F.greatest(F.lit(2), F.least(F.lit(most), F.floor(F.lit(room) / F.col("size"))))
+    near = Window.partitionBy("root").orderBy("class").rangeBetween
+    blocks = F.collect_list(F.struct("class", "nb"))
+    sizes = sizes.select(F.col("root"), F.col("class"), F.ceil(F.col("m") / fits).cast("long").alias("nb")).withColumn("around", blocks.over(near(-1, 1))).withColumnRenamed("nb", "own")
+    code = lambda kind, number: F.shiftleft(kind, 32) + number
+    met = F.flatten(F.transform("around", lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c["nb"] - 1), lambda i: code(c["class"], i))))
+    every = dealt_anew(every, "root").join(sizes, ["root", "class"])
+    return every.select("node", "w", "low", "k1", "k2", "root", code(F.col("class"), F.pmod(F.xxhash64("node"), F.col("own"))).alias("blk"), met.alias("met"))
 
 
 def unit_keys(rows: DataFrame) -> DataFrame:
@@ -192,64 +255,85 @@ def unit_keys(rows: DataFrame) -> DataFrame:
     return rows.select("*", other).select("*", F.least("blk", "__j").alias("bi"), F.greatest("blk", "__j").alias("bj")).drop("__j")
 
 
-def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, threshold: float = 0.8, bands: int = 40, per_band: int = 8, block: int = 64) -> DataFrame:
+def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, threshold: float = 0.8, bands: int = 40, per_band: int = 8, room: int = 1_000_000, block: int = 1024) -> DataFrame:
     """Rows (doc_id, class_id, n_links), one for each row of `docs`.
 
     n_links is the number of other rows whose shingle sets have similarity `threshold` or more
     (copies counted each), class_id the least id that links lead to. Words are lower-cased and
     parted by white space. A text of fewer than `n` words has one shingle, of all its words. Texts
     that are null, empty or white space have no shingles: no links, and class_id is their own id.
-    Rows without an id take no part and get class_id null and n_links 0. Rows that share an id are
-    one node that links where any of their texts does. Other columns are not read. No caps.
+    Rows without an id take no part and get class_id null and n_links 0. Rows that share an id count
+    as rows of their own. Other columns are not read. No caps.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    return classified(docs, text, key, n, threshold, bands, per_band, room, block).select("doc_id", "class_id", "n_links")
+
+
+def classified(docs: DataFrame, text: str, key: str, n: int = 5, threshold: float = 0.8, bands: int = 40, per_band: int = 8, room: int = 1_000_000, block: int = 1024) -> DataFrame:
+    """As `jaccard_join`, with a hash of each row's text and the number `root` of its class (null for rows that take no part)."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     sig = stage(signatures(rows, n, bands, per_band), "signatures")
     with_words = sig.filter("k1 is not null and id is not null")
-    nodes = stage(with_words.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("w"), F.first("bands").alias("bands")), "nodes")
+    groups = with_words.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("w"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes, apart = numbered(groups, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("c")).filter("c > 1")
-    stars = banded.join(shared, "band").filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-    members = stage(members_of(stars, nodes, block, "near"), "members")
+    shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    stars = banded.join(shared, "band").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    members = stage(members_of(stars, nodes, threshold, room, block, "near"), "members")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "w", "root", "blk", "met"]
         for batch in slices(batches, "text", 3_000_000):
             grams, offsets = shingles(*hashed_words(batch.column("text")), n)
-            blobs = [np.unique(grams[s:e]).tobytes() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            names = ["node", "w", "root", "nb", "blk"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(blobs, pa.binary())], names=[*names, "grams"])
+            sets = [np.unique(grams[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            if apart:  # rows of one id with other texts than the node's
+                same = [digest(own) == key for own, key in zip(sets, zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))]
+                batch, sets = batch.filter(pa.array(same)), [own for own, x in zip(sets, same) if x]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([own.tobytes() for own in sets], pa.binary())], names=[*names, "grams"])
 
-    texts = rows.join(members, rows["id"] == members["node"]).select("node", "w", "root", "nb", "blk", "text")
-    sets = texts.mapInArrow(with_sets, "node long, w long, root long, nb long, blk long, grams binary")
-    units = unit_keys(sets).repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    read = lambda group, split, t: compare([np.frombuffer(g, np.uint64) for g in group["grams"].to_pylist()], split, t)
-    found = stage(units.select("root", "bi", "bj", "blk", "node", "w", "grams").mapInArrow(verify(threshold, read), "u long, v long, w long"), "links")
-    return classes(found, nodes.select("k1", "k2", "node", "w"), sig, ["k1", "k2"], "near")
+    texts = rows.join(members, rows["id"] == members["low"]).select("node", "w", "root", "blk", "met", "k1", "k2", "text")
+    sets = texts.mapInArrow(with_sets, "node long, w long, root long, blk long, met array<long>, grams binary")
+    units = sets.select("*", F.explode("met").alias("other")).select("root", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "w", "grams")
+    units = units.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    read = lambda group, split, t: compare_by_size([np.frombuffer(g, np.uint64) for g in group["grams"].to_pylist()], split, t)
+    found = stage(units.mapInArrow(verify(threshold, read, repeats=True), "u long, v long, w long"), "links")
+    return classes(found, nodes.select("k1", "k2", "node", "low", "w"), sig, ["k1", "k2"], "near", apart)
 
 
-def classes(found: DataFrame, nodes: DataFrame, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Classes and link counts of `rows` (id and keys) from verified links between nodes."""
+def classes(found: DataFrame, nodes: DataFrame, rows: DataFrame, keys: list[str], name: str, apart: bool) -> DataFrame:
+    """Classes and link counts of `rows` (id and keys) from verified links between nodes.
+
+    `apart` says that numbers of nodes differ from their least ids, so that a class takes its id from the least of its nodes.
+    """
     spark = rows.sparkSession
     links = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("links"))
     roots = components(found.filter("v is not null").select("u", "v"), spark, f"{name}-classes")
     of_node = nodes.join(links, "node", "left").join(roots, "node", "left")
-    of_node = of_node.select(*keys, F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    of_node = of_node.withColumn("root", F.coalesce("root", "node")).withColumn("class_id", F.col("root"))
+    if apart:
+        least = dealt_anew(of_node.groupBy("root").agg(F.min("low").alias("least")), "root")
+        of_node = of_node.join(least, "root").withColumn("class_id", F.col("least"))
+    of_node = of_node.select(*keys, "class_id", "root", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     part = F.col(keys[0]).isNotNull() & F.col("id").isNotNull()
-    linked = rows.filter(part).select("id", *keys).join(of_node, keys).select(F.col("id").alias("doc_id"), "class_id", "n_links")
-    alone = rows.filter(~part).select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    more = [c for c in ("hash",) if c in rows.columns]
+    linked = rows.filter(part).select("id", *more, *keys).join(of_node, keys).select(F.col("id").alias("doc_id"), *more, "class_id", "root", "n_links")
+    alone = rows.filter(~part).select(F.col("id").alias("doc_id"), *more, F.col("id").alias("class_id"), F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """`docs` with one document of each class of near-duplicates, the one with the least id; columns stay as they are.
 
-    Rows without an id, and rows without words, all stay. Rows that share an id stay as one for each different text.
+    Rows without an id, and rows without words, all stay. Where texts of one class share the least id, one of them stays.
     """
-    found = jaccard_join(docs, text, key)
-    kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
-    mark = free_column(docs, "__hash")
-    rows = docs.withColumn(mark, F.xxhash64(text))
-    lead = rows.filter(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key, mark])
-    return lead.unionByName(rows.filter(F.col(key).isNull())).select(*docs.columns)
+    mark, number = free_column(docs, "__hash"), free_column(docs, "__key")
+    found = classified(docs, text, key)
+    least = found.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("m"))
+    kept = least.select(F.col("m.doc_id").alias(number), F.col("m.hash").alias(mark)).distinct()
+    rows = docs.withColumn(number, F.col(key).cast("long")).withColumn(mark, F.xxhash64(text))
+    wordless = found.filter("root is null and doc_id is not null").select(F.col("doc_id").alias(number), F.col("hash").alias(mark)).distinct()
+    lead = rows.join(kept, [number, mark], "left_semi").dropDuplicates([number, mark])
+    rest = rows.join(wordless, [number, mark], "left_semi").unionByName(rows.filter(F.col(number).isNull()))
+    return lead.unionByName(rest).select(*docs.columns)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

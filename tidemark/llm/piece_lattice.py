@@ -265,7 +265,7 @@ def encode_batch(texts: list[str], path: str, count: int) -> Iterator[tuple[np.n
     cut = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(byte[starts], byte[-1])), pa.py_buffer(raw))
     coded = cut.dictionary_encode()
     names = coded.dictionary.to_pylist()
-    solved = [model.solve(p) if p != "\0" else (0.0, -INF, np.zeros(0, np.uint32)) for p in names]
+    solved = [model.solve(p) for p in names]  # the filler is solved too, as a text may hold its sign, but belongs to no text
     best, second = np.array([s[0] for s in solved]), np.array([s[1] for s in solved])
     sizes = np.fromiter((len(s[2]) for s in solved), np.int64, len(solved))
     flat, offset = np.concatenate([s[2] for s in solved]), np.cumsum(sizes) - sizes

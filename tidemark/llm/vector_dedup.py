@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage, table
-from tidemark.llm.jaccard_join import classes, unit_keys, verify
+from tidemark.llm.jaccard_join import classes, numbered, unit_keys, verify
 
 
 def clean_vectors(rows: DataFrame, vector: str) -> F.Column:
@@ -64,7 +64,7 @@ def vector_dedup(vectors: DataFrame, vector: str = "embedding", key: str = "vec_
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     rows = rows.withColumn("label", F.when(clean_vectors(rows, "vector") & F.col("label").isNotNull() & F.col("id").isNotNull(), F.col("label")))
     used = rows.filter("label is not null")
-    nodes = stage(used.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("w")), "vectors")
+    nodes, apart = numbered(used.groupBy("label", "vector").agg(F.min("id").alias("low"), F.count("*").alias("w")), "vectors")
     sizes = [r[0] for r in nodes.groupBy(F.size("vector")).count().select(F.col("size(vector)")).collect()]
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "u long, v long, w long")
@@ -73,7 +73,7 @@ def vector_dedup(vectors: DataFrame, vector: str = "embedding", key: str = "vec_
         own = nodes.filter(F.size("vector") == dim)
         found = found.unionByName(links(own, dim, threshold, min(parts, dim), block, sample))
     keyed = rows.withColumnRenamed("label", "k1").select("id", "k1", "vector")
-    out = classes(found, nodes.withColumnRenamed("label", "k1"), keyed, ["k1", "vector"], "vectors")
+    out = classes(found, nodes.withColumnRenamed("label", "k1"), keyed, ["k1", "vector"], "vectors", apart)
     return out.select(F.col("doc_id").alias("vec_id"), "n_links", F.col("class_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
