@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +37,21 @@ NAMES = {
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change[_-]?me|example|sample|dummy|test|todo|none|null|true|false|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|env|redacted|placeholder|password|secret|token)$")
 THRESHOLD = 0.8
 
-SYNTAX = r"""(?P<skip>[ \t\r]+|\\\n%s)|(?P<comment>%s)|(?P<fence>```+)|(?P<string>(?:[rbuf]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`(?!`)|(?:(?<=[=(+:])|(?<=[=(+:][ ]))`(?:[^`\\]|\\.)*`(?!`)))|(?P<name>[A-Za-z_$][\w$]*(?:(?:\.|->|-)[A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<line>\n)|(?P<bare>[^\s"'`,;(){}\[\]=:+]+)|(?P<other>.)"""
-TOKEN = re.compile(SYNTAX % ("", r"(?:\#|//)[^\n]*|/\*.*?\*/"), re.DOTALL)
+SKIP = r"(?P<skip>[ \t\r]+|\\\n%s)|(?P<comment>%s)|(?P<fence>```+)|"
+STRING = r"""(?P<string>(?:[rbuf]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`(?!`)|(?:(?<=[=(+:])|(?<=[=(+:][ ]))`(?:[^`\\]|\\.)*`(?!`)))|"""
+PLAIN = r"""(?P<name>[A-Za-z_$][\w$]*(?:(?:\.|->|-)[A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<line>\n)|(?P<bare>[^\s"'`,;(){}\[\]=:+]+)|(?P<other>.)"""
+
+
+def grammar(skip: str, comment: str, strings: bool = True) -> re.Pattern:
+    return re.compile(SKIP % (skip, comment) + (STRING if strings else "") + PLAIN, re.DOTALL)
+
+
+# By whether a block comment can still end, and whether a string can.
+LINES, REGIONS = r"(?:\#|//)[^\n]*", r"(?:\#|//)[^\n]*|/\*.*?\*/"
+TOKEN = {(block, strings): grammar("", REGIONS if block else LINES, strings) for block in (False, True) for strings in (False, True)}
 # Inside a comment, its marks are skipped, and there are no comments.
-REMARK = re.compile(SYNTAX % (r"|\#+|//+|/?\*+/?", r"(?!)"), re.DOTALL)
-END = re.compile(r"\s*\*+/\s*$")
+REMARK = {(block, strings): grammar(r"|\#+|//+|/?\*+/?", r"(?!)", strings) for block in (False, True) for strings in (False, True)}
+LEAD = re.compile(r"\s*(?:(?:\#+|//+|/?\*+)\s*)?(?:export\s+|set\s+|-\s+|ENV\s+)?[\"']?")
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]#]+")
 
 
@@ -63,19 +75,33 @@ def randomness(value: str) -> float:
 Tokens = list[tuple[str, str, int, int]]
 
 
+def scan(rules: dict[tuple[bool, bool], re.Pattern], text: str, at: int, end: int) -> Iterator[re.Match]:
+    """Tokens of text[at:end] in one pass: where a comment or a string was found not to end, none of its kind is tried again."""
+    last = text.rfind("*/", at, end)
+    dead = {'"': -1, "'": -1, "`": -1}  # up to these places no quote of the kind has a partner on its line
+    while at < end:
+        quote = next((c for c in text[at : min(at + 3, end)] if c in dead), "")
+        m = rules[at < last, at >= dead.get(quote, -1)].match(text, at, end)
+        if m.lastgroup == "other" and m.group() in dead:
+            stop = text.find("\n", at, end)
+            dead[m.group()] = end if stop < 0 else stop
+        at = m.end()
+        yield m
+
+
 def lex(text: str) -> list[Tokens]:
     """The tokens (kind, token, start, end) of the text without comments, then those of each run of comments: what comes
     before a comment goes on behind it, and remarks of neighbouring lines are one text."""
     streams: list[Tokens] = [[]]
     stop = -1
-    for m in TOKEN.finditer(text):
+    for m in scan(TOKEN, text, 0, len(text)):
         if m.lastgroup == "comment":
             if stop < 0 or not text[stop : m.start()].isspace():
                 streams.append([])
             elif streams[-1]:
                 streams[-1].append(("line", "\n", stop, stop))
             stop = m.end()
-            streams[-1] += [(r.lastgroup, r.group(), r.start(), r.end()) for r in REMARK.finditer(text, m.start(), stop) if r.lastgroup != "skip"]
+            streams[-1] += [(r.lastgroup, r.group(), r.start(), r.end()) for r in scan(REMARK, text, m.start(), stop) if r.lastgroup != "skip"]
         elif m.lastgroup != "skip":
             streams[0].append((m.lastgroup, m.group(), m.start(), m.end()))
     return streams
@@ -92,13 +118,17 @@ def literals(text: str) -> list[tuple[int, int, float]]:
     """Spans of literals that reach a sensitive name, with their scores."""
     constants: dict[str, list[tuple[str, int, int]]] = {}
     found: dict[tuple[int, int], float] = {}
+    breaks = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
     for tokens in lex(text):
-        assigned(text, tokens, constants, found)
+        assigned(text, breaks, tokens, constants, found)
     return [(s, e, v) for (s, e), v in sorted(found.items())]
 
 
-def assigned(text: str, tokens: Tokens, constants: dict[str, list[tuple[str, int, int]]], found: dict[tuple[int, int], float]) -> None:
-    """Add the constants of `tokens`, and the literals in them that reach a sensitive name, to `constants` and `found`."""
+def assigned(text: str, breaks: list[int], tokens: Tokens, constants: dict[str, list[tuple[str, int, int]]], found: dict[tuple[int, int], float]) -> None:
+    """Add the constants of `tokens`, and the literals in them that reach a sensitive name, to `constants` and `found`.
+
+    `breaks` are the places of line feeds, with one before and one after the text. A literal counts once in a value.
+    """
     i, n = 0, len(tokens)
     while i < n - 1:
         kind, token, start, end = tokens[i]
@@ -122,18 +152,20 @@ def assigned(text: str, tokens: Tokens, constants: dict[str, list[tuple[str, int
                 parts += constants[t]
             elif k in ("name", "bare") and not parts:
                 # An unquoted value counts where the pair stands alone on its line.
-                line = text.rfind("\n", 0, start) + 1
-                stop = text.find("\n", s)
-                rest = text[s : stop if stop >= 0 else len(text)]
-                rest = END.sub("", rest)
-                m = BARE.match(rest)
-                if m and m.end() == len(rest.rstrip()) and re.fullmatch(r"\s*(?:(?:\#+|//+|/?\*+)\s*)?(?:export\s+|set\s+|-\s+|ENV\s+)?[\"']?", text[line:start]) and re.search("[0-9]", m.group()):
-                    parts.append((m.group(), s, s + m.end()))
+                line = breaks[bisect_left(breaks, start) - 1] + 1
+                if LEAD.fullmatch(text, line, start):
+                    rest = text[s : breaks[bisect_left(breaks, s)]].rstrip()
+                    open_end = rest[:-1].rstrip("*") if rest.endswith("/") else rest
+                    rest = open_end.rstrip() if len(open_end) < len(rest) - 1 else rest
+                    m = BARE.match(rest)
+                    if m and m.end() == len(rest) and re.search("[0-9]", m.group()):
+                        parts.append((m.group(), s, s + m.end()))
                 break
             else:
                 break
             j, expects = j + 1, False
         if parts:
+            parts = list(dict.fromkeys(parts))
             constants[name] = parts
             weight = name_weight(name)
             if weight:
@@ -172,8 +204,9 @@ def find(text: str) -> list[tuple[int, int, int, int]]:
     low = text.lower()
     found = base_spans(text, low)
     if ("=" in text or ":" in text) and sensitive(low):
-        held = [(s, e) for s, _, e, _ in found]
-        found += [(s, 3, e, s) for s, e, _ in literals(text) if not any(a <= s and e <= b for a, b in held)]
+        starts, reach = [s for s, _, _, _ in found], list(accumulate((e for _, _, e, _ in found), max))
+        inside = lambda s, e: (i := bisect_right(starts, s)) and reach[i - 1] >= e
+        found += [(s, 3, e, s) for s, e, _ in literals(text) if not inside(s, e)]
     return sorted(found)
 
 
