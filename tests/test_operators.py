@@ -1,5 +1,6 @@
 """Hand-sized cases with known answers, and properties."""
 
+import hashlib
 import math
 
 import pytest
@@ -147,10 +148,18 @@ def test_grid_join_equals_all_pairs(spark):
 
 
 def test_sequence_keys(spark):
-    df = spark.createDataFrame([("WURCS=2.0/1,2,1/[a2122h-1b_1-5]/1-1/a4-b1",), ("a4-b1_a3-c1_a4-b1",), ("",)], "s string")
-    r = df.select(keys.linkages(F.col("s")).alias("l"), keys.key_cascade("k", F.lit("G00001AB"), keys.linkages(F.col("s"))).alias("k")).collect()
-    assert r[0].l == "a4-b1" and r[1].l == "a3-c1,a4-b1" and r[2].k == "fallback_k_G00001AB"
-    assert one(df.limit(1).select(keys.terminals(F.array(F.lit("z"))).alias("t"))).t == "z"
+    plain, slash = "WURCS=2.0/1,2,1/[a2122h-1b_1-5]/1-1/a4-b1", "WURCS=2.0/1,2,1/[a2122h-1b_1-5_2*NCC/3=O]/1-1/a4-b1"
+    full = "WURCS=2.0/2,3,2/1-1/[b1_4*OC][a12*h-1x][a2122h-1b_1-5]/a4-b1_a3-c1_a4-b1"
+    rows = [("G00001AB", plain, None), ("G00002AB", slash, ""), ("G0000003C", full, None), ("G00004", None, "Gal(b1-4)[Fuc(a1-3)]Glc NAc"), ("G00000005", "", None)]
+    df = spark.createDataFrame(rows, "id string, wurcs string, iupac string")
+    r = {x.id: x for x in keys.structure_keys(df, "id", "wurcs", "iupac").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()[:16]
+    assert r["G00001AB"].linkage_key == f"wurcs_linkage_{sha('a4-b1')}" and r["G00001AB"].scaffold_key == f"wurcs_scaffold_{sha('|[a2122h-1b_1-5]')}"
+    assert r["G00002AB"].linkage_key == "fallback_linkage_G00002AB" and r["G00002AB"].terminal_motif_key == "fallback_terminal_G00002AB"
+    assert r["G0000003C"].linkage_key == f"wurcs_linkage_{sha('a3-c1,a4-b1')}" and r["G0000003C"].terminal_motif_key == f"wurcs_terminal_{sha('a12*h-1x,a2122h-1b_1-5')}"
+    assert r["G0000003C"].scaffold_key == f"wurcs_scaffold_{sha('a2122h-1b_,ah-1x,b1|1-1')}"
+    assert r["G00004"].linkage_key == f"iupac_linkage_{sha('a1-3,b1-4')}" and r["G00004"].terminal_motif_key == f"iupac_terminal_{sha('Ac,Fuc,Gal')}"
+    assert r["G00000005"].scaffold_key == "fallback_scaffold_G0000000"
 
 
 def test_model_registry():

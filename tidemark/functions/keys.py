@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,31 +10,76 @@ def short_hash(c: Column) -> Column:
     return F.substring(F.sha2(c.cast("binary"), 256), 1, 16)
 
 
-def residues(c: Column) -> Column:
-    """Contents of all square brackets."""
-    return F.regexp_extract_all(c, F.lit(r"\[([^\]]+)\]"), F.lit(1))
+# How the sections of a sequence are cut into residues and linkages.
+RESIDUE = r"\[([^\]]+)\]"
+RESIDUE_DETAILS = (r"_\d+\*.*", r"\d+\*", r"/.*")
+LINKAGE = r"[a-z]\d+-[a-z]\d+"
+PLAIN_LINKAGE = r"[ab]\d+-\d+"
+TOPOLOGY, RESIDUES, CONNECTIONS = 2, 3, 4  # sections between slashes, from 0; a slash inside a residue shifts them
+CORE_WIDTH = 10
 
 
-def normal_residues(c: Column, width: int = 10) -> Column:
-    """Residues without anomer, position and substituent marks, cut, sorted and joined."""
-    plain = lambda x: F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"-\d[abxu]_", ""), r"_\d-\d", ""), r"\*[A-Z]+", ""), 1, width)
-    return F.array_join(F.array_sort(F.transform(residues(c), plain)), "|")
+def section(sequence: Column, index: int) -> Column:
+    """One section of a sequence; null where it has fewer."""
+    return F.try_element_at(F.split(sequence, "/"), F.lit(index + 1))
 
 
-def terminals(a: Column) -> Column:
-    """The last two entries of an array, sorted and joined."""
-    return F.array_join(F.array_sort(F.when(F.size(a) >= 2, F.slice(a, -2, 2)).otherwise(a)), "|")
+def joined(found: Column) -> Column:
+    return F.array_join(F.array_sort(found), ",")
 
 
-def linkages(c: Column, pattern: str = r"[a-z]\d+-[a-z]\d+") -> Column:
-    """Distinct linkages, sorted and joined; empty if there are none."""
-    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))), ",")
+def residues(part: Column) -> Column:
+    """Contents of all square brackets of a residue section."""
+    return F.regexp_extract_all(part, F.lit(RESIDUE), F.lit(1))
 
 
-def key_cascade(prefix: str, id_: Column, *candidates: Column) -> Column:
-    """The hash of the first candidate that is neither null nor empty, else a fallback by id."""
-    found = [F.concat(F.lit(f"{prefix}_"), short_hash(F.nullif(c, F.lit("")))) for c in candidates]
-    return F.coalesce(*found, F.concat(F.lit(f"fallback_{prefix}_"), F.substring(id_, 1, 8)))
+def core_residues(part: Column) -> Column:
+    """Residues without modifications and positions, cut to their core, sorted and joined."""
+
+    def core(x: Column) -> Column:
+        for pattern in RESIDUE_DETAILS:
+            x = F.regexp_replace(x, pattern, "")
+        return F.substring(x, 1, CORE_WIDTH)
+
+    return joined(F.transform(residues(part), core))
+
+
+def scaffold(sequence: Column) -> Column:
+    """Core residues and topology; null where there is no residue section."""
+    part = section(sequence, RESIDUES)
+    return F.when(part.isNotNull(), F.concat(core_residues(part), F.lit("|"), section(sequence, TOPOLOGY)))
+
+
+def terminals(sequence: Column) -> Column:
+    """The last two residues, sorted and joined; null where there is no connection section."""
+    a = residues(section(sequence, RESIDUES))
+    last = F.when(F.size(a) >= 2, F.slice(a, -2, 2)).otherwise(a)
+    return F.when(section(sequence, CONNECTIONS).isNotNull(), joined(last))
+
+
+def linkages(sequence: Column) -> Column:
+    """Distinct linkages of the connection section, sorted and joined; null where there is none."""
+    return linkages_in(section(sequence, CONNECTIONS), LINKAGE)
+
+
+def linkages_in(part: Column, pattern: str) -> Column:
+    return joined(F.array_distinct(F.regexp_extract_all(part, F.lit(pattern), F.lit(0))))
+
+
+def key_cascade(kind: str, id_: Column, **candidates: Column) -> Column:
+    """`<source>_<kind>_` and the hash of the first candidate that is neither null nor empty, else a fallback by id."""
+    found = [F.concat(F.lit(f"{source}_{kind}_"), short_hash(F.nullif(c, F.lit("")))) for source, c in candidates.items()]
+    return F.coalesce(*found, F.concat(F.lit(f"fallback_{kind}_"), F.substring(id_, 1, 8)))
+
+
+def structure_keys(df: DataFrame, key: str, wurcs: str, iupac: str) -> DataFrame:
+    """`df` with scaffold_key, terminal_motif_key and linkage_key, from the WURCS sequence, else the IUPAC one, else the id."""
+    w, i, name = F.nullif(F.col(wurcs), F.lit("")), F.nullif(F.col(iupac), F.lit("")), F.col(key).cast("string")
+    return df.withColumns({
+        "scaffold_key": key_cascade("scaffold", name, wurcs=scaffold(w), iupac=plain_scaffold(i)),
+        "terminal_motif_key": key_cascade("terminal", name, wurcs=terminals(w), iupac=plain_terminals(i)),
+        "linkage_key": key_cascade("linkage", name, wurcs=linkages(w), iupac=plain_linkages(i)),
+    })
 
 
 def links(html: Column) -> Column:
@@ -56,14 +101,14 @@ def first_match(c: Column, *patterns: str) -> Column:
 
 def plain_scaffold(c: Column) -> Column:
     """A condensed sequence with every linkage as x-x, without anomer letters and white space."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ab]\d+-\d+", "x-x"), "[αβ]", ""), r"\s+", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, PLAIN_LINKAGE, "x-x"), "[αβ]", ""), r"\s+", "")
 
 
 def plain_terminals(c: Column) -> Column:
-    """Last capitalised name of each part between brackets, distinct, sorted and joined."""
-    parts = F.transform(F.split(c, r"[\[\]()]"), lambda p: F.try_element_at(F.regexp_extract_all(p, F.lit("[A-Z][a-z]*"), F.lit(0)), F.lit(-1)))
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda p: p.isNotNull()))), "|")
+    """Last capitalised name of each part between square brackets, distinct, sorted and joined."""
+    parts = F.transform(F.split(c, r"[\[\]]"), lambda p: F.try_element_at(F.regexp_extract_all(p, F.lit("[A-Z][a-z]*"), F.lit(0)), F.lit(-1)))
+    return joined(F.array_distinct(F.filter(parts, lambda p: p.isNotNull())))
 
 
 def plain_linkages(c: Column) -> Column:
-    return linkages(c, r"[ab]\d+-\d+")
+    return linkages_in(c, PLAIN_LINKAGE)

@@ -2,14 +2,99 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mann_whitney(df: DataFrame, value: str, first: str, groups: Sequence[str]) -> DataFrame:
+def normal_tail(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+EXACT_ROWS = 2000  # above this size of the larger group, exact counts are left for the normal approximation
+
+
+def rank_sum_p(u: float, n1: int, n2: int, sigma: float | None, ties: float, alternative: str, exact: bool = True) -> float | None:
+    """p of U: exact where a group has at most 8 rows and no value is tied, else normal with ties and a continuity of one half."""
+    if not n1 or not n2:
+        return None
+    top = max(u, n1 * n2 - u) if alternative == "two-sided" else u if alternative == "greater" else n1 * n2 - u
+    k, m = sorted((n1, n2))
+    if exact and k <= 8 and not ties and m <= EXACT_ROWS:
+        ways = np.zeros((k + 1, k * m + 1))  # choices of j of the first ranks, by the sum of their excess over 1..j
+        ways[0, 0] = 1
+        for r in range(n1 + n2):
+            for j in range(min(k, r + 1), 0, -1):
+                gap = r - j + 1
+                if gap <= k * m:
+                    ways[j, gap:] += ways[j - 1, : k * m + 1 - gap]
+        share = float(ways[k, math.ceil(top) :].sum() / ways[k].sum())
+    elif not sigma:
+        return 1.0
+    else:
+        share = normal_tail((top - n1 * n2 / 2 - 0.5) / sigma)
+    return min(1.0, 2 * share if alternative == "two-sided" else share)
+
+
+def signed_rank_p(w: float, n: int, sigma: float | None, ties: float, alternative: str, exact: bool = True) -> float | None:
+    """p of W+: exact up to 50 differences without ties, else normal."""
+    if not n:
+        return None
+    if exact and n <= 50 and not ties:
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for r in range(1, n + 1):
+            ways[r:] += ways[:-r].copy()
+        low, high = float(ways[: int(w) + 1].sum() / 2.0**n), float(ways[int(w) :].sum() / 2.0**n)
+    elif not sigma:
+        return 1.0
+    else:
+        z = (w - n * (n + 1) / 4) / sigma
+        low, high = normal_tail(-z), normal_tail(z)
+    return low if alternative == "less" else high if alternative == "greater" else min(1.0, 2 * min(low, high))
+
+
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = 0.0
+    for i in range(400, 0, -1):
+        m = i // 2
+        step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = step / (1 + value)
+    return front / (1 + value)
+
+
+def correlation_p(r: float | None, n: int) -> float | None:
+    """Two-sided p of a correlation (of values or ranks) by Student's t with n - 2 degrees of freedom."""
+    if r is None or math.isnan(r) or n < 3:
+        return None
+    return 0.0 if abs(r) >= 1 else beta_share((n - 2) / 2, 0.5, 1 - r * r)
+
+
+def with_p(rows: DataFrame, p_of: Callable[[dict], float | None], needs: list[str], out: str = "p") -> DataFrame:
+    """`rows` (one a test, so few) with a column for p, which SQL functions cannot express."""
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), f"`{out}` double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [p_of(r) for r in b.select(needs).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, out])
+
+    return rows.mapInArrow(run, schema)
+
+
+def mann_whitney(df: DataFrame, value: str, first: str, groups: Sequence[str], alternative: str | None = None, exact: bool = True) -> DataFrame:
     """Per group: n1, n2, U of the rows where `first` holds, z (tie-corrected, continuity one half) and Cliff's delta.
+    With an `alternative` (two-sided, greater, less), p as well; `exact` lets small groups without ties be counted out.
 
     Works on counts of distinct values, so one row a value reaches the window, not one a row.
     """
@@ -22,18 +107,34 @@ def mann_whitney(df: DataFrame, value: str, first: str, groups: Sequence[str]) -
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     z = F.when(sigma > 0, (u - n1 * n2 / 2 - F.signum(u - n1 * n2 / 2) * 0.5) / sigma)
     delta = F.when((n1 > 0) & (n2 > 0), 2 * u / (n1 * n2) - 1)
-    return sums.select(*groups, "n1", "n2", u.alias("u"), z.alias("z"), delta.alias("delta"))
+    out = sums.select(*groups, "n1", "n2", u.alias("u"), z.alias("z"), delta.alias("delta"), sigma.alias("sigma"), F.col("ties"))
+    if alternative is None:
+        return out.drop("sigma", "ties")
+    return with_p(out, lambda r: rank_sum_p(r["u"], r["n1"], r["n2"], r["sigma"], r["ties"], alternative, exact), ["u", "n1", "n2", "sigma", "ties"]).drop("sigma", "ties")
 
 
-def wilcoxon(df: DataFrame, diff: str, groups: Sequence[str]) -> DataFrame:
-    """Per group: non-zero differences, W+, W-, and z of W+ by the normal approximation, tie-corrected."""
+def wilcoxon(df: DataFrame, diff: str, groups: Sequence[str], alternative: str | None = None, exact: bool = True) -> DataFrame:
+    """Per group: non-zero differences, W+, W-, and z of W+ by the normal approximation, tie-corrected.
+    With an `alternative` (two-sided, greater, less), p as well; `exact` lets small groups without ties be counted out."""
     d = df.filter(F.col(diff) != 0).groupBy(*groups, F.abs(diff).alias("m")).agg(F.sum((F.col(diff) > 0).cast("long")).alias("up"), F.sum((F.col(diff) < 0).cast("long")).alias("down"))
     before = Window.partitionBy(*groups).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
     r = d.withColumn("t", F.col("up") + F.col("down")).withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2.0)
     s = r.groupBy(*groups).agg(F.sum("t").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w_plus"), F.sum(F.col("down") * F.col("rank")).alias("w_minus"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return s.select(*groups, "n", "w_plus", "w_minus", F.when(sigma > 0, (F.col("w_plus") - n * (n + 1) / 4) / sigma).alias("z"))
+    out = s.select(*groups, "n", "w_plus", "w_minus", F.when(sigma > 0, (F.col("w_plus") - n * (n + 1) / 4) / sigma).alias("z"), sigma.alias("sigma"), "ties")
+    if alternative is None:
+        return out.drop("sigma", "ties")
+    return with_p(out, lambda r: signed_rank_p(r["w_plus"], r["n"], r["sigma"], r["ties"], alternative, exact), ["w_plus", "n", "sigma", "ties"]).drop("sigma", "ties")
+
+
+def spearman(df: DataFrame, a: str, b: str, groups: Sequence[str]) -> DataFrame:
+    """Per group: n, rank correlation (ties averaged) and its two-sided p."""
+    from tidemark.operators.ranking import average_rank
+
+    ranks = df.select(*groups, average_rank(a, *groups).alias("a"), average_rank(b, *groups).alias("b"))
+    rho = ranks.groupBy(*groups).agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"))
+    return with_p(rho, lambda r: correlation_p(r["rho"], r["n"]), ["rho", "n"])
 
 
 def cohens_d(df: DataFrame, value: str, first: str, groups: Sequence[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +55,38 @@ def plane_fit(df: DataFrame, targets: Sequence[str], a: str, b: str) -> DataFram
     for y in targets:
         row = row.withColumns({f"ca_{y}": F.expr(f"(sa_{y} * sbb - sb_{y} * sab) / det"), f"cb_{y}": F.expr(f"(sb_{y} * saa - sa_{y} * sab) / det")})
     return row.select(*(F.struct((F.col(f"m_{y}") - F.col(f"ca_{y}") * F.col("ma") - F.col(f"cb_{y}") * F.col("mb")).alias("c0"), F.col(f"ca_{y}").alias("ca"), F.col(f"cb_{y}").alias("cb")).alias(f"r_{y}") for y in targets))
+
+
+def block_extremes(left: DataFrame, right: DataFrame, measure: str, block: int = 2048) -> DataFrame:
+    """(id, group, value): for each row (id, e) of `left` the best value over the rows (group, e) of `right` in each group.
+
+    `measure` is "cosine" (the greatest; 0 for zero vectors) or "distance" (the least Euclidean). Both sides are dealt into
+    blocks by hash; each pair of blocks is a unit of work of bounded size, whose partial values are then aggregated.
+    """
+    blocks = lambda df: max(1, -(-df.count() // block))
+    nl, nr = blocks(left), blocks(right)
+    spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    a = left.select("id", "e", F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int").alias("i"), spread(nr, "j"))
+    b = right.select("group", "e", spread(nl, "i"), F.pmod(F.xxhash64("e"), F.lit(nr)).cast("int").alias("j"))
+    kind, group = dict(left.dtypes)["id"], dict(right.dtypes)["group"]
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not (x.num_rows and y.num_rows):
+            return pa.table({"id": x["id"].slice(0, 0), "group": y["group"].slice(0, 0), "value": pa.array([], pa.float64())})
+        p, q = (t["e"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (x, y))
+        codes = y["group"].combine_chunks().dictionary_encode()
+        place = codes.indices.to_numpy()
+        order = np.argsort(place, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(place[order]) > 0))
+        if measure == "cosine":
+            n = np.linalg.norm(p, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+            value = np.where(n > 0, p @ q.T / np.where(n > 0, n, 1), 0.0)
+            best = np.maximum.reduceat(value[:, order], starts, axis=1)
+        else:
+            square = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T
+            best = np.sqrt(np.maximum(np.minimum.reduceat(square[:, order], starts, axis=1), 0))
+        ids = np.repeat(np.arange(len(p)), len(starts))
+        return pa.table({"id": x["id"].combine_chunks().take(pa.array(ids)), "group": codes.dictionary.take(pa.array(np.tile(place[order][starts], len(p)))), "value": pa.array(best.reshape(-1))})
+
+    part = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(run, f"id {kind}, group {group}, value double")
+    return part.groupBy("id", "group").agg((F.max if measure == "cosine" else F.min)("value").alias("value"))

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine, hash_uniform
-from tidemark.operators import models, ranking, splits, stats, vectors
+from tidemark.operators import models, ranking, resampling, splits, stats, vectors
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_ranked, sql_z
-from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, sql_wide, wide, wide_scores
+from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, nearest_train, sql_wide, wide, wide_scores
 
 C = Catalog()
 QUERIES, SQL = C.queries, C.sql
@@ -43,13 +43,17 @@ def b13(spark, d):
     return rounded(models.agent_map(x, ZCOLS, "agent"), 4)
 
 
-@C.add("B02_B04_prototype_of_permuted", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF} SELECT agent, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ZCOLS)} FROM pairs JOIN z USING (id) GROUP BY agent")
-def b02(spark, d):
-    # A mean does not change when a column is permuted among the rows it is taken over.
+@C.add("B04_prototype", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF} SELECT agent, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ZCOLS)} FROM pairs JOIN z USING (id) GROUP BY agent")
+def b04(spark, d):
     x = pairs(spark, d).join(wide(spark, d).select("id", *ZCOLS), "id")
-    w = Window.partitionBy("agent")
-    cols = {c: F.first(c).over(w.orderBy(hash_uniform(i, "id")).rowsBetween(0, 0)) for i, c in enumerate(ZCOLS)}
-    return rounded(x.withColumns(cols).groupBy("agent").agg(*(F.avg(c).alias(c) for c in ZCOLS)))
+    return rounded(x.groupBy("agent").agg(*(F.avg(c).alias(c) for c in ZCOLS)))
+
+
+@C.add("B02_permuted_columns")
+def b02(spark, d):
+    mixed = resampling.permuted_columns(wide(spark, d).select("id", *ZCOLS), "id", ZCOLS)
+    per = ranking.metrics(ranking.ranked(wide_scores(mixed, pairs(spark, d), ZCOLS), ["agent"]), ["agent"])
+    return rounded(per)
 
 
 SETS = {"a": ZCOLS[:4], "b": ZCOLS[4:], "a+b": ZCOLS}
@@ -118,10 +122,7 @@ def c05(spark, d):
 
 @C.add("C15_distance_bins", "WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), nr AS (SELECT t.id, round(min(list_distance(t.e, s.e)), 9) AS dist FROM x t, x s WHERE t.id % 5 = 0 AND s.id % 5 <> 0 GROUP BY 1), q AS (SELECT quantile_cont(dist, 0.25) AS a, quantile_cont(dist, 0.5) AS b, quantile_cont(dist, 0.75) AS c FROM nr) SELECT CASE WHEN dist <= a THEN 1 WHEN dist <= b THEN 2 WHEN dist <= c THEN 3 ELSE 4 END AS bin, count(*) AS n, round(avg(dist), 6) AS mean FROM nr, q GROUP BY 1")
 def c15(spark, d):
-    from tidemark.functions.columns import euclidean
-
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    near = e.filter("id % 5 = 0").crossJoin(e.filter("id % 5 <> 0").select(F.col("e").alias("o"))).groupBy("id").agg(F.round(F.min(euclidean(F.col("e"), F.col("o"))), 9).alias("dist"))
+    near = nearest_train(spark, d, 5).withColumn("dist", F.round("dist", 9))
     edges = near.agg(F.percentile("dist", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
     x = near.crossJoin(F.broadcast(edges)).withColumn("bin", (F.size(F.filter("q", lambda v: v < F.col("dist"))) + 1).cast("int"))
     return rounded(x.groupBy("bin").agg(F.count("*").alias("n"), F.avg("dist").alias("mean")))
@@ -153,7 +154,7 @@ def t20(spark, d):
     return rounded(pairs(spark, d).join(r, "id").groupBy("agent").agg(F.count("*").alias("n"), F.avg("res").alias("score")).filter("n >= 2"))
 
 
-@C.add("T13_T21_matched_null")
+@C.add("T21_matched_null")
 def t21(spark, d):
     z, labels = wide(spark, d), pairs(spark, d)
     scored = wide_scores(z, labels, ZCOLS)

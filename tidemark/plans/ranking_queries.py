@@ -162,18 +162,28 @@ def c08(spark, d):
     return rounded(ranking.macro(per, METRICS))
 
 
-@C.add("B03_nearest_positive", "WITH q AS (SELECT vec_id AS a, label AS agent, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 0) SELECT agent, vec_id AS id, round(max(list_cosine_similarity(e, embedding::DOUBLE[])), 6) AS score FROM q JOIN embeddings ON TRUE GROUP BY agent, vec_id")
+@C.add("B03_nearest_positive", "WITH q AS (SELECT vec_id AS a, label AS agent, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL) SELECT agent, vec_id AS id, round(max(list_cosine_similarity(e, embedding::DOUBLE[])), 6) AS score FROM q JOIN embeddings ON TRUE GROUP BY agent, vec_id")
 def b03(spark, d):
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("n", norm(F.col("e")))
-    q = e.filter("id % 10 = 0").select(F.col("label").alias("agent"), F.col("e").alias("qe"), F.col("n").alias("qn"))
-    return e.crossJoin(q).groupBy("agent", "id").agg(F.round(F.max(cosine(F.col("qe"), F.col("e"), F.col("qn"), F.col("n"))), 6).alias("score"))
+    e = doubles(spark, d)
+    best = vectors.block_extremes(e, e.filter("label is not null").select(F.col("label").alias("group"), "e"), "cosine")
+    return best.select(F.col("group").alias("agent"), "id", F.round("value", 6).alias("score"))
 
 
+def doubles(spark, d) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+
+
+def nearest_train(spark, d, folds: int) -> DataFrame:
+    """(id, dist): distance of each test row (the fold of ids divisible by `folds`) to its nearest training row."""
+    e = doubles(spark, d)
+    train = e.filter(F.col("id") % folds != 0).select(F.lit(0).alias("group"), "e")
+    return vectors.block_extremes(e.filter(F.col("id") % folds == 0), train, "distance").select("id", F.col("value").alias("dist"))
+
+
+# The test fold of the next query is one tenth of the ids, as in ten-fold evaluation.
 @C.add("B09_distance_to_train", "WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings) SELECT t.id, round(min(list_distance(t.e, s.e)), 6) AS nearest FROM x t, x s WHERE t.id % 10 = 0 AND s.id % 10 <> 0 GROUP BY t.id")
 def b09(spark, d):
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    test, train = e.filter("id % 10 = 0"), e.filter("id % 10 <> 0").select(F.col("e").alias("te"))
-    return test.crossJoin(train).groupBy("id").agg(F.round(F.min(euclidean(F.col("e"), F.col("te"))), 6).alias("nearest"))
+    return nearest_train(spark, d, 10).select("id", F.round("dist", 6).alias("nearest"))
 
 
 @C.add("X25_distances", "SELECT a.vec_id AS id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS euclid, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS cityblock, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys
-from tidemark.operators import splits, structure
+from tidemark.operators import splits, stats, structure
 from tidemark.plans.base import SQL_FEATURES, SQL_PAIRS, Catalog, features, pairs, read, rounded
 
 C = Catalog()
@@ -73,43 +73,75 @@ def g19(spark, d):
     return x.withColumn("per_agent", F.round(F.col("n_pairs") / F.col("n_agents"), 6))
 
 
-# ---- sequence keys over synthetic sequence strings of parts
-SEQ = "WITH s AS (SELECT p_partkey AS id, CASE WHEN p_size % 9 = 0 THEN '' ELSE 'WURCS=2.0/1,2,1/[a2122h-1b_1-5_2*NCC][b' || p_size || 'x_1-5]/1-1/a' || (p_size % 6) || '-b1_c3-a' || (p_size % 4) || '_a4-b1' END AS seq FROM part)"
+# ---- sequence keys over sequence strings made from parts: plain, with a slash in a residue, with residues in their section, or none
+SEQ = """WITH s AS (SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'WURCS=2.0/1,2,1/[a2122h-1b_1-5]/1-1/a' || (p_size % 6) || '-b1_c3-a' || (p_size % 4) || '_a4-b1'
+  WHEN 2 THEN 'WURCS=2.0/2,2,1/[a2122h-1b_1-5_2*NCC/3=O][b' || p_size || 'x_1-5_4*OC]/1-2/a' || (p_size % 6) || '-b1' WHEN 3 THEN 'WURCS=2.0/2,3,2' ELSE 'WURCS=2.0/2,3,2/1-' || (p_size % 3) || '/[a2122h-1b_1-5_2*NCC][b' || p_size || 'x-1a_12*OC][a12*h-1x]/a4-b1_a3-c1_a4-b1' END AS wurcs,
+  CASE WHEN p_size % 4 = 0 THEN '' ELSE 'Neu Ac(a2-' || (p_size % 6) || ')Gal(b1-4)[Fuc(a1-3)]Glc NAc α' END AS iupac FROM part)"""
+RESIDUE_LIST = "regexp_extract_all(coalesce(string_split(wurcs, '/')[4], ''), '\\[([^\\]]+)\\]', 1)"
+CORE = f"array_to_string(list_sort(list_transform({RESIDUE_LIST}, lambda x: left(regexp_replace(regexp_replace(regexp_replace(x, '_\\d+\\*.*', '', 'g'), '\\d+\\*', '', 'g'), '/.*', '', 'g'), 10))), ',')"
+SCAFFOLD_OF = f"CASE WHEN len(string_split(wurcs, '/')) >= 4 THEN {CORE} || '|' || string_split(wurcs, '/')[3] END"
+TERMINALS_OF = f"CASE WHEN len(string_split(wurcs, '/')) >= 5 THEN array_to_string(list_sort({RESIDUE_LIST}[-2:]), ',') END"
+LINKS_OF = "CASE WHEN len(string_split(wurcs, '/')) >= 5 THEN array_to_string(list_sort(list_distinct(regexp_extract_all(string_split(wurcs, '/')[5], '[a-z]\\d+-[a-z]\\d+'))), ',') END"
+PLAIN_SCAFFOLD = "regexp_replace(regexp_replace(regexp_replace({0}, '[ab]\\d+-\\d+', 'x-x', 'g'), '[αβ]', '', 'g'), '\\s+', '', 'g')"
+PLAIN_TERMINALS = "array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array({0}, '[\\[\\]]'), lambda p: list_last(regexp_extract_all(p, '[A-Z][a-z]*'))), lambda p: p IS NOT NULL))), ',')"
+PLAIN_LINKS = "array_to_string(list_sort(list_distinct(regexp_extract_all({0}, '[ab]\\d+-\\d+'))), ',')"
+
+
+def sql_key(kind: str, wurcs: str, iupac: str) -> str:
+    hashed = lambda source, c: f"'{source}_{kind}_' || left(sha256(nullif({c}, '')), 16)"
+    return f"coalesce({hashed('wurcs', wurcs)}, {hashed('iupac', iupac.format('iupac'))}, 'fallback_{kind}_' || left(id::VARCHAR, 8))"
+
+
+SQL_KEYS = f"{SEQ}, k AS (SELECT id, {sql_key('scaffold', SCAFFOLD_OF, PLAIN_SCAFFOLD)} AS scaffold_key, {sql_key('terminal', TERMINALS_OF, PLAIN_TERMINALS)} AS terminal_motif_key, {sql_key('linkage', LINKS_OF, PLAIN_LINKS)} AS linkage_key FROM s)"
 
 
 def sequences(spark, d):
     p = F.col("p_size")
-    made = F.concat(F.lit("WURCS=2.0/1,2,1/[a2122h-1b_1-5_2*NCC][b"), p, F.lit("x_1-5]/1-1/a"), p % 6, F.lit("-b1_c3-a"), p % 4, F.lit("_a4-b1"))
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(p % 9 == 0, "").otherwise(made).alias("seq"))
+    text = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
+    plain = text("WURCS=2.0/1,2,1/[a2122h-1b_1-5]/1-1/a", p % 6, "-b1_c3-a", p % 4, "_a4-b1")
+    slash = text("WURCS=2.0/2,2,1/[a2122h-1b_1-5_2*NCC/3=O][b", p, "x_1-5_4*OC]/1-2/a", p % 6, "-b1")
+    full = text("WURCS=2.0/2,3,2/1-", p % 3, "/[a2122h-1b_1-5_2*NCC][b", p, "x-1a_12*OC][a12*h-1x]/a4-b1_a3-c1_a4-b1")
+    wurcs = F.when(p % 5 == 0, "").when(p % 5 == 1, plain).when(p % 5 == 2, slash).when(p % 5 == 3, "WURCS=2.0/2,3,2").otherwise(full)
+    iupac = F.when(p % 4 == 0, "").otherwise(text("Neu Ac(a2-", p % 6, ")Gal(b1-4)[Fuc(a1-3)]Glc NAc α"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), wurcs.alias("wurcs"), iupac.alias("iupac"))
 
 
-@C.add("X01_section_split", f"{SEQ} SELECT id, coalesce(string_split(seq, '/')[3], '') AS residues, coalesce(string_split(seq, '/')[5], '') AS links FROM s")
+@C.add("X01_section_split", f"{SEQ} SELECT id, string_split(wurcs, '/')[3] AS topology, string_split(wurcs, '/')[4] AS residues, string_split(wurcs, '/')[5] AS links FROM s")
 def x01(spark, d):
-    part = lambda i: F.coalesce(F.try_element_at(F.split("seq", "/"), F.lit(i)), F.lit(""))
-    return sequences(spark, d).select("id", part(3).alias("residues"), part(5).alias("links"))
+    w = F.col("wurcs")
+    return sequences(spark, d).select("id", keys.section(w, keys.TOPOLOGY).alias("topology"), keys.section(w, keys.RESIDUES).alias("residues"), keys.section(w, keys.CONNECTIONS).alias("links"))
 
 
-@C.add("X02_X03_residues", f"{SEQ} SELECT id, len(regexp_extract_all(seq, '\\[([^\\]]+)\\]', 1)) AS n, array_to_string(list_sort(list_transform(regexp_extract_all(seq, '\\[([^\\]]+)\\]', 1), lambda x: left(regexp_replace(regexp_replace(regexp_replace(x, '-\\d[abxu]_', '', 'g'), '_\\d-\\d', '', 'g'), '\\*[A-Z]+', '', 'g'), 10))), '|') AS residues FROM s")
+@C.add("X02_X03_residues", f"{SEQ} SELECT id, len({RESIDUE_LIST}) AS n, {CORE} AS residues, {SCAFFOLD_OF} AS scaffold FROM s")
 def x02(spark, d):
-    return sequences(spark, d).select("id", F.size(keys.residues(F.col("seq"))).cast("long").alias("n"), keys.normal_residues(F.col("seq")).alias("residues"))
+    part = F.coalesce(keys.section(F.col("wurcs"), keys.RESIDUES), F.lit(""))
+    return sequences(spark, d).select("id", F.size(keys.residues(part)).cast("long").alias("n"), keys.core_residues(part).alias("residues"), keys.scaffold(F.col("wurcs")).alias("scaffold"))
 
 
-@C.add("X05_terminals", "SELECT p_partkey AS id, array_to_string(list_sort(CASE WHEN len(a) >= 2 THEN a[-2:] ELSE a END), '|') AS terminals FROM (SELECT p_partkey, string_split(p_name, ' ') AS a FROM part)")
+@C.add("X05_terminals", f"{SEQ} SELECT id, {TERMINALS_OF} AS terminals FROM s")
 def x05(spark, d):
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), keys.terminals(F.split("p_name", " ")).alias("terminals"))
-
+    return sequences(spark, d).select("id", keys.terminals(F.col("wurcs")).alias("terminals"))
 
-LINKS = "array_to_string(list_sort(list_distinct(regexp_extract_all(seq, '[a-z]\\d+-[a-z]\\d+'))), ',')"
 
-
-@C.add("X07_linkages", f"{SEQ} SELECT id, {LINKS} AS linkages FROM s")
+@C.add("X07_linkages", f"{SEQ} SELECT id, {LINKS_OF} AS linkages FROM s")
 def x07(spark, d):
-    return sequences(spark, d).select("id", keys.linkages(F.col("seq")).alias("linkages"))
+    return sequences(spark, d).select("id", keys.linkages(F.col("wurcs")).alias("linkages"))
 
 
-@C.add("X09_X10_key_cascade", f"{SEQ} SELECT id, coalesce('link_' || left(sha256(nullif({LINKS}, '')), 16), 'fallback_link_' || left(id::VARCHAR, 8)) AS key FROM s")
+@C.add("X09_X10_key_cascade", f"{SQL_KEYS} SELECT id, scaffold_key, terminal_motif_key, linkage_key FROM k")
 def x10(spark, d):
-    return sequences(spark, d).select("id", keys.key_cascade("link", F.col("id").cast("string"), keys.linkages(F.col("seq"))).alias("key"))
+    return keys.structure_keys(sequences(spark, d), "id", "wurcs", "iupac").drop("wurcs", "iupac")
+
+
+@C.add("L05_L06_structure_key_report", f"{SQL_KEYS}, g AS (SELECT scaffold_key AS key, count(*) AS n FROM k GROUP BY 1), a AS (SELECT count(*) AS groups, max(n) / sum(n) AS top1, sum(n * n) / pow(sum(n), 2) AS hhi FROM g) SELECT groups, round(top1, 6) AS top1, round(hhi, 6) AS hhi, hhi > 0.25 AS concentrated, top1 > 0.5 AS dominated FROM a")
+def l05(spark, d):
+    r = stats.concentration(keys.structure_keys(sequences(spark, d), "id", "wurcs", "iupac"), "scaffold_key")
+    return rounded(r.select("groups", F.col("top1_share").alias("top1"), "hhi", (F.col("hhi") > 0.25).alias("concentrated"), (F.col("top1_share") > 0.5).alias("dominated")))
+
+
+@C.add("L04_folds_by_true_key")
+def l04(spark, d):
+    return splits.group_folds(keys.structure_keys(sequences(spark, d), "id", "wurcs", "iupac"), "linkage_key", 4)
 
 
 @C.add("X12_link_predicate", "SELECT page_id, regexp_matches(url, '(?i)/(en|de)/\\d+') AS hit FROM pages")
@@ -150,12 +182,12 @@ def x17(spark, d):
 
 
 # ---- molecules: each embedding is read as 21 points, three of them a residue
-POINTS_SQL = "a AS (SELECT vec_id AS mol, i::INT AS atom, 'R' || lpad((i // 3)::VARCHAR, 2, '0') AS res, (i // 3)::INT AS seq, 20 * embedding[3 * i + 1]::DOUBLE AS x, 20 * embedding[3 * i + 2]::DOUBLE AS y, 20 * embedding[3 * i + 3]::DOUBLE AS z FROM embeddings, range(21) t(i) WHERE vec_id < 120)"
+POINTS_SQL = "a AS (SELECT vec_id AS mol, i::INT AS atom, 'R' || lpad((i // 3)::VARCHAR, 2, '0') AS res, (i // 3)::INT AS seq, 20 * embedding[3 * i + 1]::DOUBLE AS x, 20 * embedding[3 * i + 2]::DOUBLE AS y, 20 * embedding[3 * i + 3]::DOUBLE AS z FROM embeddings, range(21) t(i))"
 
 
-def points(spark, d, only="vec_id < 120"):
-    """The rows of POINTS_SQL; all molecules where `only` is true."""
-    e = read(spark, d, "embeddings").filter(only).select(F.col("vec_id").alias("mol"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("atom"))
+def points(spark, d):
+    """The rows of POINTS_SQL."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("mol"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("atom"))
     at = lambda k: (F.lit(20) * F.element_at("embedding", F.col("atom") * 3 + k).cast("double"))
     group = F.floor(F.col("atom") / 3).cast("int")
     return e.select("mol", "atom", F.concat(F.lit("R"), F.lpad(group.cast("string"), 2, "0")).alias("res"), group.alias("seq"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
@@ -226,7 +258,7 @@ def n12(spark, d):
 
 @C.add("N14_spectral_gap")
 def n14(spark, d):
-    return rounded(structure.spectral_gap(structure.contacts(points(spark, d, "true"), 3.0)))
+    return rounded(structure.spectral_gap(structure.contacts(points(spark, d), 3.0)))
 
 
 @C.add("N17_coverage_flags", "SELECT doc_id, CASE WHEN text IS NULL THEN 'parse_error' WHEN n_chars < 50 THEN 'feature_computation_error' ELSE 'OK' END AS status FROM documents")

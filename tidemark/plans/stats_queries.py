@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hash_uniform
-from tidemark.operators import ranking, splits, stats
+from tidemark.functions.columns import cosine, hash_uniform
+from tidemark.operators import ranking, resampling, splits, stats, vectors
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_ranked
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, PROTO, ZCOLS, ZF, EMBED, embedded, sql_wide, wide, wide_scores
 
@@ -15,31 +15,42 @@ QUERIES, SQL = C.queries, C.sql
 
 # Long form of features by agent: does the agent have the part?
 TESTED = ["p_size", "p_retailprice", "avg_qty"]
-LONG_SQL = f"""{SQL_FEATURES}, {SQL_PAIRS}, ag AS (SELECT DISTINCT agent FROM pairs WHERE agent < 8), fl AS ({' UNION ALL '.join(f"SELECT id, '{c}' AS feature, {c} AS value FROM features" for c in TESTED)}),
+LONG_SQL = f"""{SQL_FEATURES}, {SQL_PAIRS}, ag AS (SELECT DISTINCT agent FROM pairs), fl AS ({' UNION ALL '.join(f"SELECT id, '{c}' AS feature, {c} AS value FROM features" for c in TESTED)}),
  xl AS (SELECT a.agent, f.feature, round(f.value, 6) AS value, p.id IS NOT NULL AS pos FROM fl f CROSS JOIN ag a LEFT JOIN pairs p ON p.agent = a.agent AND p.id = f.id)"""
 
 
 def tested(spark, d):
     f = features(spark, d).select("id", *TESTED).unpivot("id", TESTED, "feature", "value").withColumn("value", F.round("value", 6))
-    labels = pairs(spark, d).filter("agent < 8")
+    labels = pairs(spark, d)
     x = f.crossJoin(labels.select("agent").distinct())
     return x.join(labels.withColumn("pos", F.lit(True)), ["agent", "id"], "left").select("agent", "feature", "value", F.coalesce("pos", F.lit(False)).alias("pos"))
 
 
+def sql_tail(z: str) -> str:
+    """Upper tail of the normal distribution in SQL: a power series below 3, a continued fraction beyond."""
+    series, fraction = "1.0", f"(abs({z}) + 8)"
+    for k in range(45, 0, -1):
+        series = f"(1 + {z} * {z} / {2 * k + 1} * {series})"
+    for k in range(60, 0, -1):
+        fraction = f"(abs({z}) + {k} / {fraction})"
+    density = f"exp(-{z} * {z} / 2) / sqrt(2 * pi())"
+    return f"CASE WHEN abs({z}) < 3 THEN 0.5 - {density} * {z} * {series} WHEN {z} > 0 THEN {density} / {fraction} ELSE 1 - {density} / {fraction} END"
+
+
 MWU = """r AS (SELECT agent, feature, pos, rank() OVER (PARTITION BY agent, feature ORDER BY value) + (count(*) OVER (PARTITION BY agent, feature, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY agent, feature, value) AS t FROM xl),
  s AS (SELECT agent, feature, count(*) FILTER (pos) AS n1, count(*) FILTER (NOT pos) AS n2, sum(rk) FILTER (pos) AS r1, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY 1, 2),
  m AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u, sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS sg FROM s)"""
 
 
-@C.add("T01_T03_rank_sum", f"WITH {LONG_SQL}, {MWU} SELECT agent, feature, n1, n2, round(u, 6) AS u, round((u - n1 * n2 / 2.0 - sign(u - n1 * n2 / 2.0) * 0.5) / sg, 6) AS z, round(2 * u / (n1 * n2) - 1, 6) AS delta FROM m")
+@C.add("T01_T03_rank_sum", f"WITH {LONG_SQL}, {MWU} SELECT agent, feature, n1, n2, round(u, 6) AS u, round((u - n1 * n2 / 2.0 - sign(u - n1 * n2 / 2.0) * 0.5) / sg, 6) AS z, round(2 * u / (n1 * n2) - 1, 6) AS delta, round(least(1.0, 2 * {sql_tail('q')}), 6) AS p FROM (SELECT *, (abs(u - n1 * n2 / 2.0) - 0.5) / sg AS q FROM m)")
 def t01(spark, d):
-    return rounded(stats.mann_whitney(tested(spark, d), "value", "pos", ["agent", "feature"]))
+    return rounded(stats.mann_whitney(tested(spark, d), "value", "pos", ["agent", "feature"], "two-sided", exact=False))
 
 
-@C.add("T02_wilcoxon", "WITH x AS (SELECT p_brand, round(p_retailprice - 1300, 2) AS diff FROM part), r AS (SELECT p_brand, diff, rank() OVER (PARTITION BY p_brand ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY p_brand, abs(diff)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY p_brand, abs(diff)) AS t FROM x WHERE diff <> 0), s AS (SELECT p_brand, count(*) AS n, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS wp, sum(CASE WHEN diff < 0 THEN rk ELSE 0 END) AS wm, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY 1) SELECT p_brand, n, round(wp, 6) AS w_plus, round(wm, 6) AS w_minus, round((wp - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48), 6) AS z FROM s")
+@C.add("T02_wilcoxon", f"WITH x AS (SELECT p_brand, round(p_retailprice - 1300, 2) AS diff FROM part), r AS (SELECT p_brand, diff, rank() OVER (PARTITION BY p_brand ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY p_brand, abs(diff)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY p_brand, abs(diff)) AS t FROM x WHERE diff <> 0), s AS (SELECT p_brand, count(*) AS n, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS wp, sum(CASE WHEN diff < 0 THEN rk ELSE 0 END) AS wm, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY 1) SELECT p_brand, n, round(wp, 6) AS w_plus, round(wm, 6) AS w_minus, round(z, 6) AS z, round(1 - {sql_tail('z')}, 6) AS p FROM (SELECT *, (wp - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) AS z FROM s)")
 def t02(spark, d):
     x = read(spark, d, "part").select("p_brand", F.round(F.col("p_retailprice") - 1300, 2).alias("diff"))
-    return rounded(stats.wilcoxon(x, "diff", ["p_brand"]))
+    return rounded(stats.wilcoxon(x, "diff", ["p_brand"], "less", exact=False))
 
 
 @C.add("T04_cohens_d", f"WITH {LONG_SQL}, s AS (SELECT agent, feature, count(*) FILTER (pos) AS n1, count(*) FILTER (NOT pos) AS n2, avg(value) FILTER (pos) AS m1, avg(value) FILTER (NOT pos) AS m2, var_samp(value) FILTER (pos) AS v1, var_samp(value) FILTER (NOT pos) AS v2 FROM xl GROUP BY 1, 2) SELECT agent, feature, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS d FROM s")
@@ -47,7 +58,7 @@ def t04(spark, d):
     return rounded(stats.cohens_d(tested(spark, d), "value", "pos", ["agent", "feature"]))
 
 
-PVAL = "ps AS (SELECT p_partkey AS id, p_brand AS g, round(((p_partkey * 7919) % 1000 + 1) / 4000.0, 6) AS p FROM part WHERE p_partkey % 20 = 0)"
+PVAL = "ps AS (SELECT p_partkey AS id, p_brand AS g, round(((p_partkey * 7919) % 1000 + 1) / 4000.0, 6) AS p FROM part)"
 CORR = f"""WITH {PVAL}, k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p, id) AS k, count(*) OVER (PARTITION BY g) AS n FROM ps)
 SELECT id, g, p, round(least(1.0, max((n - k + 1) * p) OVER w), 6) AS holm, p <= 0.05 / (n - k + 1) AS holm_rank, min((p <= 0.05 / (n - k + 1))::INT) OVER w = 1 AS holm_step, max((p <= 0.05 * k / n)::INT) OVER (PARTITION BY g ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) = 1 AS bh
 FROM k WINDOW w AS (PARTITION BY g ORDER BY p, id ROWS UNBOUNDED PRECEDING)"""
@@ -55,7 +66,7 @@ FROM k WINDOW w AS (PARTITION BY g ORDER BY p, id ROWS UNBOUNDED PRECEDING)"""
 
 @C.add("T05_T08_corrections", CORR)
 def t05(spark, d):
-    x = read(spark, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("g"), F.round(((F.col("p_partkey") * 7919) % 1000 + 1) / 4000.0, 6).alias("p"))
+    x = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("g"), F.round(((F.col("p_partkey") * 7919) % 1000 + 1) / 4000.0, 6).alias("p"))
     return rounded(stats.corrections(x, "p", "id", groups=["g"]))
 
 
@@ -77,47 +88,83 @@ def t10(spark, d):
     return rounded(top.join(z.select("id", *ZCOLS), "id").groupBy("agent").agg(*(F.avg(c).alias(c) for c in ZCOLS)))
 
 
+@C.add("T10_permutation_p")
+def t10p(spark, d):
+    z = wide(spark, d)
+    seen = t10(spark, d).unpivot("agent", ZCOLS, "feature", "score")
+    null = resampling.top_k_null(z.select("id", *ZCOLS), ZCOLS, 20)
+    both = seen.join(null, "feature").groupBy("agent", "feature", "score")
+    return rounded(both.agg(((1 + F.count_if(F.abs("null") >= F.abs("score"))) / (1 + F.count("*"))).alias("p")))
+
+
 UNI = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0"
-NULL_RANDOM = f"WITH {SQL_PAIRS}, scored AS (SELECT r AS rep, agent, p_partkey AS id, round({UNI.format(chr(39) + '42|' + chr(39) + ' || r || ' + chr(39) + '|' + chr(39) + ' || agent || ' + chr(39) + '|' + chr(39) + ' || p_partkey')}, 9) AS score, EXISTS (SELECT 1 FROM pairs q WHERE q.agent = a.agent AND q.id = p_partkey) AS positive FROM range(3) t(r), (SELECT DISTINCT agent FROM pairs WHERE agent < 5) a, part), {sql_ranked('rep, agent')}, per AS ({FULL.format(g='rep, agent')}) SELECT rep, count(*) AS agents, {MACRO} FROM per GROUP BY rep"
+NULL_RANDOM = f"WITH {SQL_PAIRS}, scored AS (SELECT r AS rep, agent, p_partkey AS id, round({UNI.format(chr(39) + '42|' + chr(39) + ' || r || ' + chr(39) + '|' + chr(39) + ' || agent || ' + chr(39) + '|' + chr(39) + ' || p_partkey')}, 9) AS score, EXISTS (SELECT 1 FROM pairs q WHERE q.agent = a.agent AND q.id = p_partkey) AS positive FROM range(3) t(r), (SELECT DISTINCT agent FROM pairs) a, part), {sql_ranked('rep, agent')}, per AS ({FULL.format(g='rep, agent')}) SELECT rep, count(*) AS agents, {MACRO} FROM per GROUP BY rep"
 
 
-def random_scores(spark, d, repeats: int, agents: str = "agent < 5", seed: int = 42):
-    labels = pairs(spark, d).filter(agents)
+def random_scores(spark, d, repeats: int, seed: int = 42):
+    labels = pairs(spark, d)
     x = spark.range(repeats).withColumnRenamed("id", "rep").crossJoin(labels.select("agent").distinct()).crossJoin(read(spark, d, "part").select(F.col("p_partkey").alias("id")))
     x = x.withColumn("score", F.round(hash_uniform(seed, "rep", "agent", "id"), 9))
     return x.join(labels.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
 
 
-@C.add("T11_B01_random_null", NULL_RANDOM)
-def t11(spark, d):
+@C.add("B01_random_baseline", NULL_RANDOM)
+def b01(spark, d):
     per = ranking.metrics(ranking.ranked(random_scores(spark, d, 3), ["rep", "agent"], low=0.0), ["rep", "agent"])
     return rounded(per.groupBy("rep").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
-PERM = f"""WITH {EMBED}, {PROTO}, ord AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM (SELECT DISTINCT id FROM scored)), sh AS (SELECT rep, id, row_number() OVER (PARTITION BY rep ORDER BY md5('7|' || rep || '|' || id), id) AS r FROM range(2) t(rep), (SELECT DISTINCT id FROM scored)),
- pm AS (SELECT rep, o.id, s.id AS vec FROM sh s JOIN ord o USING (r)), sc2 AS (SELECT rep, agent, pm.id, score, own.positive FROM pm JOIN scored s ON s.id = pm.vec JOIN (SELECT agent AS ag, id AS i, positive FROM scored) own ON own.ag = s.agent AND own.i = pm.id),
- {sql_ranked('rep, agent', 'sc2')}, per AS ({FULL.format(g='rep, agent')}) SELECT rep, count(*) AS agents, {MACRO} FROM per GROUP BY rep"""
+def null_by_repeat(rows, *groups: str):
+    """Metrics of each repeat, averaged over agents."""
+    per = ranking.metrics(rows, ["rep", *groups, "agent"])
+    return rounded(per.groupBy("rep", *groups).agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
-@C.add("T12_permutation_null", PERM)
-def t12(spark, d):
-    scored = embedded(spark, d)
-    ids = scored.select("id").distinct()
-    place = ids.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")))
-    mixed = spark.range(2).withColumnRenamed("id", "rep").crossJoin(ids)
-    mixed = mixed.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.md5(F.concat_ws("|", F.lit("7"), "rep", "id").cast("binary")), "id"))).withColumnRenamed("id", "vec")
-    linked = mixed.join(place, "r").select("rep", "id", "vec")
-    x = linked.join(scored.select("agent", F.col("id").alias("vec"), "score"), "vec").join(scored.select("agent", "id", "positive"), ["agent", "id"])
-    per = ranking.metrics(ranking.ranked(x.select("rep", "agent", "id", "score", "positive"), ["rep", "agent"]), ["rep", "agent"])
-    return rounded(per.groupBy("rep").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
+@C.add("T11_random_null")
+def t11(spark, d):
+    return null_by_repeat(resampling.random_null(pairs(spark, d), read(spark, d, "part").count()))
+
 
+def standardised(spark, d):
+    """Vectors (id, z), labels (agent, id) and the number of components of the embeddings."""
+    z = vectors.zscore_array(read(spark, d, "embeddings"), "embedding").select(F.col("vec_id").alias("id"), F.col("label").alias("agent"), "z")
+    return z.select("id", "z"), z.filter("agent is not null").select("agent", "id"), z.select(F.max(F.size("z"))).first()[0] or 0
 
-BOOT = f"WITH x AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS slot, count(*) OVER (PARTITION BY p_brand) AS n FROM part), dr AS (SELECT p_brand, rep, slot AS i, floor({UNI.format(chr(39) + '11|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || p_brand || ' + chr(39) + '|' + chr(39) + ' || slot')} * n)::BIGINT AS slot FROM x, range(50) t(rep)), b AS (SELECT p_brand, rep, avg(v) AS m FROM dr JOIN x USING (p_brand, slot) GROUP BY 1, 2) SELECT p_brand, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(stddev_pop(m) / abs(avg(m)), 6) AS cv FROM b GROUP BY 1"
+
+@C.add("T12_permutation_null")
+def t12(spark, d):
+    return null_by_repeat(resampling.permutation_null(*standardised(spark, d)))
+
+
+@C.add("T13_fold_nulls")
+def t13(spark, d):
+    """p of the mean over five folds against random and permuted nulls of each fold, 1,000 a fold."""
+    z, labels, dim = standardised(spark, d)
+    seen, random, permuted = None, None, None
+    join = lambda a, b: b if a is None else a.unionByName(b)
+    for fold in range(5):
+        test = z.filter(F.col("id") % 5 == fold).select("id")
+        mean = lambda rows: ranking.metrics(rows, ["rep", "agent"]).groupBy("rep").agg(F.avg("mrr_best").alias("m"))
+        known = labels.join(test, "id", "left_anti").select("agent").distinct()
+        held = labels.join(test, "id", "left_semi").join(known, "agent", "left_semi")
+        random = join(random, mean(resampling.random_null(held, test.count(), seed=42 + fold)))
+        permuted = join(permuted, mean(resampling.permutation_null(z, labels, dim, seed=42 + fold, tested=test)))
+        train = z.join(labels, "id").join(test, "id", "left_anti")
+        proto = vectors.mean_vector(train, "z", "agent", "p")
+        scored = z.join(test, "id", "left_semi").crossJoin(proto).select("agent", "id", F.round(cosine(F.col("z"), F.col("p")), 9).alias("score"))
+        scored = scored.join(held.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+        seen = join(seen, ranking.metrics(ranking.ranked(scored, ["agent"]), ["agent"]).agg(F.avg("mrr_best").alias("m")))
+    seen = seen.agg(F.avg("m").alias("seen"))
+    p = lambda null, mode: stats.empirical_p(null, seen, [], "m", "seen").select(F.lit(mode).alias("mode"), "p")
+    return rounded(p(random, "random").unionByName(p(permuted, "permutation")))
+
+
+BOOT = f"WITH x AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS slot, count(*) OVER (PARTITION BY p_brand) AS n FROM part), dr AS (SELECT p_brand, rep, slot AS i, floor({UNI.format(chr(39) + '11|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || p_brand || ' + chr(39) + '|' + chr(39) + ' || slot')} * n)::BIGINT AS slot FROM x, range(1000) t(rep)), b AS (SELECT p_brand, rep, avg(v) AS m FROM dr JOIN x USING (p_brand, slot) GROUP BY 1, 2) SELECT p_brand, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(stddev_pop(m) / abs(avg(m)), 6) AS cv FROM b GROUP BY 1"
 
 
 @C.add("T14_T17_bootstrap", BOOT)
 def t14(spark, d):
-    drawn = splits.resample(read(spark, d, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("v")), "v", "p_partkey", 50, 11, ("p_brand",))
+    drawn = splits.resample(read(spark, d, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("v")), "v", "p_partkey", 1000, 11, ("p_brand",))
     b = drawn.groupBy("p_brand", "rep").agg(F.avg("v").alias("m"))
     a = b.groupBy("p_brand").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     return rounded(a.withColumn("cv", F.col("std") / F.abs("mean")))
@@ -125,7 +172,7 @@ def t14(spark, d):
 
 @C.add("T15_bootstrap_median", BOOT.replace("avg(v)", "median(v)").replace("'11|'", "'12|'"))
 def t15(spark, d):
-    drawn = splits.resample(read(spark, d, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("v")), "v", "p_partkey", 50, 12, ("p_brand",))
+    drawn = splits.resample(read(spark, d, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("v")), "v", "p_partkey", 1000, 12, ("p_brand",))
     b = drawn.groupBy("p_brand", "rep").agg(F.median("v").alias("m"))
     a = b.groupBy("p_brand").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     return rounded(a.withColumn("cv", F.col("std") / F.abs("mean")))
@@ -133,9 +180,11 @@ def t15(spark, d):
 
 CONT = f"""WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, {sql_wide(ZCOLS)}, {sql_ranked('agent')}, np AS (SELECT agent, count(*) AS n_pos FROM ranked WHERE positive GROUP BY 1),
  un AS (SELECT agent, id, rank, row_number() OVER (PARTITION BY agent ORDER BY rank) AS k FROM ranked WHERE NOT positive), pool AS (SELECT un.*, n_pos, least(2 * n_pos, (SELECT count(*) FROM un u2 WHERE u2.agent = un.agent)) AS m FROM un JOIN np USING (agent) WHERE k <= 2 * n_pos),
- pick AS (SELECT level, agent, id, rank, floor(m * level + 1e-9)::BIGINT AS take, row_number() OVER (PARTITION BY level, agent ORDER BY md5('3|' || agent || '|' || id), id) AS o FROM pool, (VALUES (0.05::DOUBLE), (0.1), (0.2), (0.5)) v(level)),
- al AS (SELECT level, agent, rank FROM pick WHERE o <= take UNION ALL SELECT level, agent, rank FROM ranked, (VALUES (0.05::DOUBLE), (0.1), (0.2), (0.5)) v(level) WHERE positive)
-SELECT level, agent, count(*) AS n_pos, round(1.0 / min(rank), 6) AS mrr_best, round(avg((rank <= 10)::INT), 6) AS recall_10 FROM al GROUP BY 1, 2"""
+ lv AS (SELECT level, rep FROM (VALUES (0.0::DOUBLE), (0.05), (0.1), (0.2), (0.3), (0.5)) v(level), range(100) t(rep)),
+ pick AS (SELECT level, rep, agent, id, rank, floor(m * level + 1e-9)::BIGINT AS take, row_number() OVER (PARTITION BY level, rep, agent ORDER BY md5('3|' || rep || '|' || agent || '|' || id), id) AS o FROM pool, lv),
+ al AS (SELECT level, rep, agent, rank FROM pick WHERE o <= take UNION ALL SELECT level, rep, agent, rank FROM ranked, lv WHERE positive),
+ one AS (SELECT level, rep, agent, count(*) AS n_pos, 1.0 / min(rank) AS mrr, avg((rank <= 10)::INT) AS r10 FROM al GROUP BY 1, 2, 3)
+SELECT level, agent, max(n_pos) AS n_pos, round(avg(mrr), 6) AS mrr_best, round(avg(r10), 6) AS recall_10 FROM one GROUP BY 1, 2"""
 
 
 @C.add("T18_contamination", CONT)
@@ -145,11 +194,15 @@ def t18(spark, d):
     size = pos.groupBy("agent").agg(F.count("*").alias("n_pos"))
     un = r.filter("not positive").join(size, "agent").withColumn("k", F.row_number().over(Window.partitionBy("agent").orderBy("rank"))).filter("k <= 2 * n_pos")
     un = un.withColumn("m", F.count("*").over(Window.partitionBy("agent")))
-    levels = F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.2, 0.5)))).alias("level")
-    pick = un.select("*", levels).withColumn("o", F.row_number().over(Window.partitionBy("level", "agent").orderBy(F.md5(F.concat_ws("|", F.lit("3"), "agent", "id").cast("binary")), "id")))
-    pick = pick.filter(F.col("o") <= F.floor(F.col("m") * F.col("level") + 1e-9)).select("level", "agent", "rank")
-    every = pick.unionByName(pos.select(levels, "agent", "rank"))
-    return rounded(every.groupBy("level", "agent").agg(F.count("*").alias("n_pos"), (1.0 / F.min("rank")).alias("mrr_best"), F.avg((F.col("rank") <= 10).cast("double")).alias("recall_10")))
+    # Levels share the order of a draw, so rows are ordered once a draw, not once a level.
+    order = Window.partitionBy("rep", "agent").orderBy(F.md5(F.concat_ws("|", F.lit("3"), "rep", "agent", "id").cast("binary")), "id")
+    levels = F.explode(F.array(*map(F.lit, (0.0, 0.05, 0.1, 0.2, 0.3, 0.5)))).alias("level")
+    pick = resampling.repeated(un, 100).withColumn("o", F.row_number().over(order)).select("*", levels)
+    hits = lambda: (F.count("*").alias("n"), F.min("rank").alias("best"), F.sum((F.col("rank") <= 10).cast("long")).alias("hits"))
+    drawn = pick.filter(F.col("o") <= F.floor(F.col("m") * F.col("level") + 1e-9)).groupBy("level", "rep", "agent").agg(*hits())
+    every = drawn.unionByName(resampling.repeated(pos.groupBy("agent").agg(*hits()).select("*", levels), 100))
+    one = every.groupBy("level", "rep", "agent").agg(F.sum("n").alias("n_pos"), (1.0 / F.min("best")).alias("mrr"), (F.sum("hits") / F.sum("n")).alias("r10"))
+    return rounded(one.groupBy("level", "agent").agg(F.max("n_pos").alias("n_pos"), F.avg("mrr").alias("mrr_best"), F.avg("r10").alias("recall_10")))
 
 
 @C.add("T22_strata_metrics", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, t AS (SELECT quantile_cont(p_size, 0.33) AS a, quantile_cont(p_size, 0.67) AS b FROM features), {sql_wide(ZCOLS, out='s0')}, scored AS (SELECT CASE WHEN f.p_size <= a THEN 'S' WHEN f.p_size <= b THEN 'M' ELSE 'L' END AS stratum, s0.* FROM s0 JOIN features f USING (id), t), {sql_ranked('stratum, agent')}, per AS ({FULL.format(g='stratum, agent')}) SELECT stratum, count(*) AS agents, {MACRO} FROM per GROUP BY stratum")
@@ -162,11 +215,12 @@ def t22(spark, d):
     return rounded(per.groupBy("stratum").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
-@C.add("T23_distance_comparison", "WITH x AS (SELECT p_type AS g, p_size > 25 AS big, round(p_retailprice, 6) AS v FROM part) SELECT g, round(avg(v) FILTER (big), 6) AS mean_a, round(avg(v) FILTER (NOT big), 6) AS mean_b, round(median(v) FILTER (big), 6) AS median_a, round(stddev_samp(v) FILTER (NOT big), 6) AS std_b FROM x GROUP BY 1")
+@C.add("T23_distance_comparison", f"WITH xl AS (SELECT p_type AS agent, 'v' AS feature, p_size > 25 AS pos, round(p_retailprice, 6) AS value FROM part), {MWU}, p AS (SELECT agent, u, {sql_tail('q')} AS p FROM (SELECT *, (u - n1 * n2 / 2.0 - 0.5) / sg AS q FROM m)) SELECT agent AS g, round(avg(value) FILTER (pos), 6) AS mean_a, round(avg(value) FILTER (NOT pos), 6) AS mean_b, round(median(value) FILTER (pos), 6) AS median_a, round(stddev_samp(value) FILTER (NOT pos), 6) AS std_b, round(max(u), 6) AS u, round(max(p), 6) AS p FROM xl JOIN p USING (agent) GROUP BY 1")
 def t23(spark, d):
     x = read(spark, d, "part").select(F.col("p_type").alias("g"), (F.col("p_size") > 25).alias("big"), F.round("p_retailprice", 6).alias("v"))
     a, b = F.when(F.col("big"), F.col("v")), F.when(~F.col("big"), F.col("v"))
-    return rounded(x.groupBy("g").agg(F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.median(a).alias("median_a"), F.stddev_samp(b).alias("std_b")))
+    shape = x.groupBy("g").agg(F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.median(a).alias("median_a"), F.stddev_samp(b).alias("std_b"))
+    return rounded(shape.join(stats.mann_whitney(x, "v", "big", ["g"], "greater", exact=False).select("g", "u", "p"), "g"))
 
 
 @C.add("T24_spearman", "WITH r AS (SELECT p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS a, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0 AS b FROM part) SELECT p_brand, round(corr(a, b), 6) AS rho FROM r GROUP BY 1")
@@ -175,6 +229,11 @@ def t24(spark, d):
     return rounded(r.groupBy("p_brand").agg(F.corr("a", "b").alias("rho")))
 
 
+@C.add("T24_spearman_p")
+def t24p(spark, d):
+    return rounded(stats.spearman(read(spark, d, "part"), "p_size", "p_retailprice", ["p_brand"]))
+
+
 PROFILE = f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {' , '.join(f'm_{c} AS (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM features)' for c in FEATURES)}, p AS ({' UNION ALL '.join(f'''SELECT agent, '{c}' AS feature, (avg({c}) - max(m)) / max(s) AS zs FROM pairs JOIN features USING (id), m_{c} GROUP BY agent''' for c in FEATURES)}), k AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY round(abs(zs), 9) DESC, feature) AS r FROM p) SELECT agent, feature, round(zs, 6) AS zs, r FROM k WHERE r <= 5"
 
 
@@ -195,30 +254,42 @@ def t26(spark, d):
     return x.select("p_brand", F.round(100 * F.col("a"), 6).alias("pct"), F.when(F.col("a") >= 0.42, "MAIN_TEXT").when(F.col("a") >= 0.38, "SUPPLEMENTARY").otherwise("BRIEF").alias("decision"))
 
 
-@C.add("C10_preference_profile", f"WITH {LONG_SQL}, {MWU} SELECT agent, feature, n1, round(2 * u / (n1 * n2) - 1, 6) AS delta FROM m WHERE n1 >= 5 AND abs(2 * u / (n1 * n2) - 1) >= 0.05")
+PROFILE_TESTS = f"""WITH {LONG_SQL}, {MWU}, md AS (SELECT agent, feature, avg(value) FILTER (pos) AS m1, avg(value) FILTER (NOT pos) AS m2, var_samp(value) FILTER (pos) AS v1, var_samp(value) FILTER (NOT pos) AS v2 FROM xl GROUP BY 1, 2),
+ t AS (SELECT agent, feature, n1, n2, 2 * u / (n1 * n2) - 1 AS delta, least(1.0, 2 * {sql_tail('q')}) AS p FROM (SELECT *, (abs(u - n1 * n2 / 2.0) - 0.5) / sg AS q FROM m WHERE n1 >= 5 AND n2 >= 3)),
+ h AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY agent) AS n FROM t WINDOW w AS (PARTITION BY agent ORDER BY round(p, 12), feature))
+SELECT agent, feature, n1, n2, round(delta, 6) AS delta, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS d, round(p, 6) AS p, round(holm, 6) AS p_holm, CASE WHEN m1 > m2 THEN 'higher' ELSE 'lower' END AS direction, holm < 0.05 AND abs(round(delta, 9)) >= 0.33 AS preferred
+FROM (SELECT *, least(1.0, max((n - k + 1) * p) OVER (PARTITION BY agent ORDER BY k)) AS holm FROM h) JOIN md USING (agent, feature)"""
+
+
+@C.add("C10_preference_profile", PROFILE_TESTS)
 def c10(spark, d):
-    m = stats.mann_whitney(tested(spark, d), "value", "pos", ["agent", "feature"])
-    return rounded(m.filter((F.col("n1") >= 5) & (F.abs("delta") >= 0.05)).select("agent", "feature", "n1", "delta"))
+    x, keys = tested(spark, d), ["agent", "feature"]
+    m = stats.mann_whitney(x, "value", "pos", keys, "two-sided", exact=False).filter("n1 >= 5 and n2 >= 3").drop("u", "z")
+    m = stats.corrections(m.withColumn("__p", F.round("p", 12)), "__p", "feature", groups=["agent"]).withColumnRenamed("holm", "p_holm")
+    means = x.groupBy(*keys).agg(F.avg(F.when(F.col("pos"), F.col("value"))).alias("m1"), F.avg(F.when(~F.col("pos"), F.col("value"))).alias("m2"))
+    out = m.join(stats.cohens_d(x, "value", "pos", keys), keys).join(means, keys)
+    kept = (F.col("p_holm") < 0.05) & (F.abs(F.round("delta", 9)) >= 0.33)
+    return rounded(out.select(*keys, "n1", "n2", "delta", "d", "p", "p_holm", F.when(F.col("m1") > F.col("m2"), "higher").otherwise("lower").alias("direction"), kept.alias("preferred")))
 
 
-@C.add("B10_C11_few_shot", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, pk AS (SELECT agent, id, row_number() OVER (PARTITION BY agent ORDER BY md5('42|' || agent || '|' || id), id) AS o FROM pairs), shots AS (SELECT k, agent, id FROM pk, (VALUES (1), (2), (3)) v(k) WHERE o <= k), pr AS (SELECT k, agent, {', '.join(f'avg({c}) AS p_{c}' for c in ZCOLS)} FROM shots JOIN z USING (id) GROUP BY 1, 2), ds AS (SELECT k, agent, z.id, round(-sqrt({' + '.join(f'({c} - p_{c}) * ({c} - p_{c})' for c in ZCOLS)}), 9) AS score FROM z, pr), scored AS (SELECT ds.*, l.id IS NOT NULL AS positive FROM ds LEFT JOIN pairs l ON l.agent = ds.agent AND l.id = ds.id), {sql_ranked('k, agent')}, per AS ({FULL.format(g='k, agent')}) SELECT k, count(*) AS agents, {MACRO} FROM per GROUP BY k")
+@C.add("B10_C11_few_shot", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, pk AS (SELECT rep, agent, id, row_number() OVER (PARTITION BY rep, agent ORDER BY md5('42|' || rep || '|' || agent || '|' || id), id) AS o FROM pairs, range(20) t(rep)), shots AS (SELECT k, rep, agent, id FROM pk, (VALUES (1), (2), (3)) v(k) WHERE o <= k), pr AS (SELECT k, rep, agent, {', '.join(f'avg({c}) AS p_{c}' for c in ZCOLS)} FROM shots JOIN z USING (id) GROUP BY 1, 2, 3), ds AS (SELECT k, rep, agent, z.id, round(-sqrt({' + '.join(f'({c} - p_{c}) * ({c} - p_{c})' for c in ZCOLS)}), 9) AS score FROM z, pr), scored AS (SELECT ds.*, l.id IS NOT NULL AS positive FROM ds LEFT JOIN pairs l ON l.agent = ds.agent AND l.id = ds.id), {sql_ranked('k, rep, agent')}, per AS ({FULL.format(g='k, rep, agent')}) SELECT k, count(DISTINCT agent) AS agents, {MACRO} FROM per GROUP BY k")
 def b10(spark, d):
     labels, z = pairs(spark, d), wide(spark, d).select("id", *ZCOLS)
-    w = Window.partitionBy("agent").orderBy(F.md5(F.concat_ws("|", F.lit("42"), "agent", "id").cast("binary")), "id")
-    shots = labels.withColumn("o", F.row_number().over(w)).filter("o <= 3").select("agent", "id", F.explode(F.sequence("o", F.lit(3))).alias("k"))
-    proto = shots.join(z, "id").groupBy("k", "agent").agg(*(F.avg(c).alias(f"p_{c}") for c in ZCOLS))
+    w = Window.partitionBy("rep", "agent").orderBy(F.md5(F.concat_ws("|", F.lit("42"), "rep", "agent", "id").cast("binary")), "id")
+    shots = resampling.repeated(labels, 20).withColumn("o", F.row_number().over(w)).filter("o <= 3").select("rep", "agent", "id", F.explode(F.sequence("o", F.lit(3))).alias("k"))
+    proto = shots.join(z, "id").groupBy("k", "rep", "agent").agg(*(F.avg(c).alias(f"p_{c}") for c in ZCOLS))
     dist = F.sqrt(sum(((F.col(c) - F.col(f"p_{c}")) * (F.col(c) - F.col(f"p_{c}")) for c in ZCOLS), F.lit(0.0)))
-    x = z.crossJoin(proto).select("k", "agent", "id", F.round(-dist, 9).alias("score"))
+    x = z.crossJoin(proto).select("k", "rep", "agent", "id", F.round(-dist, 9).alias("score"))
     x = x.join(labels.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-    per = ranking.metrics(ranking.ranked(x, ["k", "agent"], low=-20.0, high=0.0), ["k", "agent"])
-    return rounded(per.groupBy("k").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
+    per = ranking.metrics(ranking.ranked(x, ["k", "rep", "agent"], low=-20.0, high=0.0), ["k", "rep", "agent"])
+    return rounded(per.groupBy("k").agg(F.countDistinct("agent").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
-@C.add("C16_source_decomposition", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, x AS (SELECT DISTINCT data_source AS agent, id FROM rawpairs), xl AS (SELECT agent, 'price' AS feature, round(p_retailprice, 6) AS value, p_size > 25 AS pos FROM x JOIN features USING (id)), {MWU} SELECT agent AS data_source, n1, n2, round(u, 6) AS u, round(2 * u / (n1 * n2) - 1, 6) AS delta FROM m")
+@C.add("C16_source_decomposition", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, x AS (SELECT DISTINCT data_source AS agent, id FROM rawpairs), xl AS (SELECT agent, 'price' AS feature, round(p_retailprice, 6) AS value, p_size > 25 AS pos FROM x JOIN features USING (id)), {MWU} SELECT agent AS data_source, n1, n2, round(u, 6) AS u, round(2 * u / (n1 * n2) - 1, 6) AS delta, round(least(1.0, 2 * {sql_tail('q')}), 6) AS p FROM (SELECT *, (abs(u - n1 * n2 / 2.0) - 0.5) / sg AS q FROM m)")
 def c16(spark, d):
     x = pairs(spark, d, distinct=False).select("data_source", "id").distinct().join(features(spark, d), "id")
     x = x.select("data_source", F.round("p_retailprice", 6).alias("value"), (F.col("p_size") > 25).alias("pos"))
-    return rounded(stats.mann_whitney(x, "value", "pos", ["data_source"]).select("data_source", "n1", "n2", "u", "delta"))
+    return rounded(stats.mann_whitney(x, "value", "pos", ["data_source"], "two-sided", exact=False).select("data_source", "n1", "n2", "u", "delta", "p"))
 
 
 @C.add("X27_generalisation_gap", f"WITH {SQL_PAIRS}, a AS (SELECT agent, count(*) FILTER (id % 2 = 0) AS i, count(*) FILTER (id % 2 = 1) AS o FROM pairs GROUP BY 1) SELECT agent, i - o AS gap, round(CASE WHEN i = 0 THEN 0 ELSE (i - o) / i * 100 END, 6) AS gap_pct FROM a")

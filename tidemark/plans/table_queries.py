@@ -19,10 +19,10 @@ def s01(spark, d):
     return rounded(features(spark, d).select("id", *FEATURES))
 
 
-@C.add("S02_numeric_columns", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_linenumber = 7")
+@C.add("S02_numeric_columns", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
 def s02(spark, d):
     li = read(spark, d, "lineitem")
-    return li.filter("l_linenumber = 7").select(*(f.name for f in li.schema if f.dataType.typeName() in ("long", "integer", "double", "float")))
+    return li.select(*(f.name for f in li.schema if f.dataType.typeName() in ("long", "integer", "double", "float")))
 
 
 @C.add("S03_positive_labels", "SELECT doc_id, quality FROM labels WHERE quality = 1")
