@@ -294,11 +294,11 @@ def katz_by_definition(docs):
     return out
 
 
-@pytest.mark.parametrize("chars", [3000, 10_000_000])
-def test_katz_by_definition(spark, chars):
+@pytest.mark.parametrize("chars, words", [(3000, 3_000_000), (10_000_000, 3_000_000), (3000, 200), (30_000, 2000)])
+def test_katz_by_definition(spark, chars, words):
     docs = table("documents", "doc_id, text")
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = katz.katz_scores(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, max_chars=chars).collect()
+    got = katz.katz_scores(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, max_chars=chars, words_per_bucket=words).collect()
     want = katz_by_definition(docs)
     assert len(got) == len(want)
     for r in got:
