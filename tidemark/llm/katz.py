@@ -375,7 +375,7 @@ def scored(rows: DataFrame, unigrams: Unigrams, factor: np.ndarray, train_docs:
     return rows.mapInArrow(run, SCORES)
 
 
-def katz_scores(docs: DataFrame, train, text: str = "text", key: str = "doc_id", max_chars: int = 6_000_000, words_per_bucket: int = 3_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, train, text: str = "text", key: str = "doc_id", max_chars: int = 6_000_000, words_per_bucket: int = 1_000_000) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of `docs`.
 
     `train` is a column that holds for rows to learn from (null counts as false). Tokens are words between ASCII white
@@ -391,7 +391,7 @@ def katz_scores(docs: DataFrame, train, text: str = "text", key: str = "doc_id",
     size = held.agg(F.sum("tokens")).first()[0]
     if not size:
         return spark.createDataFrame([], SCORES)
-    bits = max(6, min(20, int(np.ceil(np.log2(max(1, size / words_per_bucket))))))
+    bits = max(4, min(20, int(np.ceil(np.log2(max(1, size / words_per_bucket))))))
     one = stage(unigram_replies(unigram_requests(held, bits), bits), "katz-unigrams")
     sums = lambda replies, n: [int(x or 0) for x in replies.filter(F.col("kind") == FIGURES).agg(*(F.sum(F.col("stats")[i]) for i in range(n))).first()]
     unigrams = Unigrams(sums(one, CLASSES + 3))
