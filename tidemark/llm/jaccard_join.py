@@ -255,7 +255,7 @@ def unit_keys(rows: DataFrame) -> DataFrame:
     return rows.select("*", other).select("*", F.least("blk", "__j").alias("bi"), F.greatest("blk", "__j").alias("bj")).drop("__j")
 
 
-def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, threshold: float = 0.8, bands: int = 40, per_band: int = 8, room: int = 1_000_000, block: int = 256) -> DataFrame:
+def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, threshold: float = 0.8, bands: int = 40, per_band: int = 8, room: int = 1_000_000, block: int = 128) -> DataFrame:
     """Rows (doc_id, class_id, n_links), one for each row of `docs`.
 
     n_links is the number of other rows whose shingle sets have similarity `threshold` or more
@@ -268,7 +268,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: in
     return classified(docs, text, key, n, threshold, bands, per_band, room, block).select("doc_id", "class_id", "n_links")
 
 
-def classified(docs: DataFrame, text: str, key: str, n: int = 5, threshold: float = 0.8, bands: int = 40, per_band: int = 8, room: int = 1_000_000, block: int = 256) -> DataFrame:
+def classified(docs: DataFrame, text: str, key: str, n: int = 5, threshold: float = 0.8, bands: int = 40, per_band: int = 8, room: int = 1_000_000, block: int = 128) -> DataFrame:
     """As `jaccard_join`, with a hash of each row's text and the number `root` of its class (null for rows that take no part)."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     sig = stage(signatures(rows, n, bands, per_band), "signatures")
