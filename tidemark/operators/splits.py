@@ -65,7 +65,10 @@ def resample(df: DataFrame, value: str, order: str, repeats: int, seed: int, gro
     """(groups, rep, i, value): `repeats` bootstrap samples with replacement by hash numbers."""
     part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
     x = df.select(*groups, value, (F.row_number().over(part.orderBy(order)) - 1).alias("at"), F.count("*").over(part).alias("n"))
-    draws = x.select(*groups, F.col("at").alias("i"), "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    # Few rows become many: they are spread first, and not drawn together again by their small size.
+    spread = x.select(*groups, F.col("at").alias("i"), "n").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i", *groups)
+    draws = spread.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     u = hash_uniform(seed, "rep", *groups, "i")
     draws = draws.withColumn("at", F.floor(u * F.col("n")).cast("int")).drop("n")
-    return draws.join(x.select(*groups, "at", value), [*groups, "at"]).select(*groups, "rep", "i", value)
+    # The draws are `repeats` times the values, which Spark's estimate does not see: without the hint it would broadcast them.
+    return draws.join(x.select(*groups, "at", value).hint("shuffle_hash"), [*groups, "at"]).select(*groups, "rep", "i", value)
