@@ -206,4 +206,4 @@ def test_survey_counts_of_draws(spark, monkeypatch):
     queries["C05_source_evaluation_ci"](spark, folder)
     queries["B06_random_forest"](spark, folder)
     assert seen == {"c05": 1000, "b06": (100, 10)}
-    assert queries["T13_T21_matched_null"](spark, folder).count() == 200
+    assert queries["T21_matched_null"](spark, folder).count() == 200
