@@ -1,7 +1,8 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Terms are bigrams of character classes, trigrams of class runs, and repeats of words, counted over the
-whole text; labels, language, source and ids are no inputs. A term-document matrix of a bounded sample of
+Terms are words and pairs of neighbouring words (lower-cased, hashed into `LEXICON` and `PAIRS` bins, so
+that their number does not grow with the corpus), bigrams of character classes, trigrams of class runs,
+and repeats of words, counted over the whole text; labels, language, source and ids are no inputs. A term-document matrix of a bounded sample of
 labelled rows (`per_class` rows of each label, the only data that comes to the driver) is weighted by
 tf-idf and reduced by a truncated singular value decomposition. The labelled latent vectors, at most
 2 x `per_class` x `rank` numbers whatever the input, are broadcast. Every document is projected, its
@@ -26,7 +27,8 @@ LOWER, UPPER, DIGIT, BLANK, LINE, WORD, CONTROL, WIDE, MARK0 = range(9)
 CLASSES = MARK0 + 33
 RUN_TERMS = 4096
 WORD_TERMS = 24
-TERMS = CLASSES * CLASSES + RUN_TERMS + WORD_TERMS
+LEXICON, PAIRS = 1 << 12, 1 << 11  # bins by the upper 12 and 11 bits of a hash
+TERMS = CLASSES * CLASSES + RUN_TERMS + WORD_TERMS + LEXICON + PAIRS
 _TABLE: list[np.ndarray] = []
 
 
@@ -75,6 +77,15 @@ def term_counts(texts: list[str]) -> np.ndarray:
     share = np.where(count > 0, distinct / np.maximum(count, 1), 0)
     has = count > 0
     out[np.arange(n)[has], base + 8 + np.minimum((share[has] * 10).astype(int), 10)] = count[has]
+    # The words themselves and pairs of neighbours, by the upper bits of their hashes.
+    base += WORD_TERMS
+    bin_ = (words >> np.uint64(52)).astype(np.int64)
+    out[:, base : base + LEXICON] = np.bincount(owner * LEXICON + bin_, minlength=n * LEXICON).reshape(n, -1)
+    if len(words) > 1:
+        inside = owner[1:] == owner[:-1]
+        with np.errstate(over="ignore"):
+            both = ((words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(53)
+        out[:, base + LEXICON :] = np.bincount(owner[1:][inside] * PAIRS + both[inside].astype(np.int64), minlength=n * PAIRS).reshape(n, -1)
     return out
 
 
@@ -89,11 +100,16 @@ class Model:
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         x = counts[:, self.terms]
-        total = np.maximum(x.sum(axis=1, keepdims=True), 1)
-        return np.sqrt(x / total) * self.idf
+        x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+        np.sqrt(x, out=x)
+        x *= self.idf
+        return x
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        z = self.weigh(counts) @ self.axes
+        return self.unit(self.weigh(counts))
+
+    def unit(self, x: np.ndarray) -> np.ndarray:
+        z = x @ self.axes
         norm = np.linalg.norm(z, axis=1, keepdims=True)
         return z / np.where(norm > 0, norm, 1)
 
@@ -129,7 +145,7 @@ def fit_matrix(counts: np.ndarray, labels: np.ndarray, prior: float, rank: int,
         q = np.linalg.qr(x.T @ (x @ q))[0]
     axes = q @ np.linalg.svd(x @ q, full_matrices=False)[2][:k].T
     model.axes = axes.astype(np.float32)
-    model.vectors = model.latent(counts)
+    model.vectors = model.unit(x)
     return model
 
 
