@@ -163,11 +163,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             at = [np.flatnonzero(r) for r in counts]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([r[a] for r, a in zip(counts, at)], pa.list_(pa.float32()))], names=["id", "label", "at", "n"])
 
-    got = sorted(rows.mapInArrow(run, "id long, label int, at array<int>, n array<float>").collect(), key=lambda r: (r["id"], len(r["at"]), r["n"]))[: 2 * per_class]
-    counts = np.zeros((len(got), TERMS), np.float32)
-    for i, r in enumerate(got):
-        counts[i, r["at"]] = r["n"]
-    return fit_matrix(counts, np.array([r["label"] for r in got], np.float64), 0.5 if share is None else float(share), rank)
+    # One row an id, so at most 2 x `per_class` rows of sparse counts reach the driver, as Arrow.
+    found = rows.mapInArrow(run, "id long, label int, at array<int>, n array<float>")
+    got = found.groupBy("id").agg(F.min(F.struct("at", "n", "label")).alias("r")).select("id", "r.*").toArrow().sort_by("id").combine_chunks()
+    counts = np.zeros((got.num_rows, TERMS), np.float32)
+    for i, (at, n) in enumerate(zip(got["at"].combine_chunks(), got["n"].combine_chunks())):
+        counts[i, at.values.to_numpy()] = n.values.to_numpy()
+    return fit_matrix(counts, got["label"].to_numpy().astype(np.float64), 0.5 if share is None else float(share), rank)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", neighbours: int = 15, power: float = 8.0) -> DataFrame:
