@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,24 +32,45 @@ def agent_holdout(pairs: DataFrame, agent: str, test_share: float, min_pos: int,
     return iid_split(pairs.groupBy(agent).agg(F.count("*").alias("n")).filter(F.col("n") >= min_pos), agent, test_share, seed)
 
 
+def dealt_runs(runs: Iterable[tuple[int, int]], folds: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(size, first, cycle) for each (size, count) in falling order of size: `count` groups of one size go, each in turn, to
+    the lightest fold. Once loads lie within one size of each other, the order of folds repeats; `first` holds the steps before."""
+    load = [0] * folds
+    for size, count in runs:
+        first = []
+        while count > len(first) and max(load) - min(load) >= size:
+            at = load.index(min(load))
+            load[at] += size
+            first.append(at)
+        cycle = sorted(range(folds), key=lambda f: (load[f], f))
+        rest, extra = divmod(count - len(first), folds)
+        for place, f in enumerate(cycle):
+            load[f] += size * (rest + (place < extra))
+        yield size, first, cycle
+
+
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """(group, n, fold): groups by size, largest first (ties by name), each to the lightest fold (ties to the lower).
+    """(group, n, fold): groups by size, largest first (ties in hash order), each to the lightest fold (ties to the lower).
 
-    Greedy balance is sequential by nature; it runs as one fold over the array of group sizes, a table of
-    groups, not of rows.
+    Greedy balance is sequential over sizes only: groups of one size are a run whose folds repeat. So one task walks the
+    distinct sizes, at most sqrt(2 x rows) of them, and groups find their fold by their number inside their size.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    order = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(group).alias("g")))).alias("a"))
-    kind = f"struct<load:array<bigint>,out:array<struct<g:{dict(df.dtypes)[group]},n:bigint,fold:int>>>"
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), folds).alias("load"), F.expr(f"cast(array() as array<struct<g:{dict(df.dtypes)[group]},n:bigint,fold:int>>)").alias("out")).cast(kind)
-
-    def step(s: Column, x: Column) -> Column:
-        at = F.array_position(s["load"], F.array_min(s["load"])).cast("int") - 1
-        load = F.transform(s["load"], lambda v, i: F.when(i == at, v - x["m"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(s["out"], F.array(F.struct(x["g"].alias("g"), (-x["m"]).alias("n"), at.alias("fold")))).alias("out")).cast(kind)
-
-    done = order.select(F.explode(F.aggregate("a", start, step)["out"]).alias("r"))
-    return done.select(F.col("r.g").alias(group), F.col("r.n").alias("n"), F.col("r.fold").alias("fold"))
+    x = sizes.withColumn("__u", F.xxhash64(group)).withColumn("__r", F.pmod("__u", F.lit(1024)))
+    counts = x.groupBy("n", "__r").agg(F.count("*").alias("c"))
+    before = counts.select("n", "__r", (F.sum("c").over(Window.partitionBy("n").orderBy("__r")) - F.col("c")).alias("__before"))
+    number = F.row_number().over(Window.partitionBy("n", "__r").orderBy("__u", group)) - 1 + F.col("__before")
+    numbered = x.join(before, ["n", "__r"]).withColumn("__i", number)
+
+    def walk(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("n", "descending")])
+        rows = list(dealt_runs(zip(t["n"].to_pylist(), t["c"].to_pylist()), folds))
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (1, 2))], names=["n", "__first", "__cycle"])
+
+    runs = counts.groupBy("n").agg(F.sum("c").alias("c")).groupBy().applyInArrow(walk, "n bigint, __first array<int>, __cycle array<int>")
+    ahead = F.size("__first")
+    fold = F.when(F.col("__i") < ahead, F.get("__first", F.col("__i").cast("int"))).otherwise(F.get("__cycle", F.pmod(F.col("__i") - ahead, F.lit(folds)).cast("int")))
+    return numbered.join(runs, "n").select(group, "n", fold.alias("fold"))
 
 
 def tercile_key(size: Column, low: Column, high: Column) -> Column:
