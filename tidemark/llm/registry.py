@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["ann", "html_text", "jaccard_join", "katz", "packing", "piece_lattice", "quality", "secrets", "token_counts", "vector_dedup"]
+MODULES = ["ann", "collocations", "filter_audit", "html_text", "jaccard_join", "katz", "packing", "piece_lattice", "quality", "secrets", "token_counts", "vector_dedup", "winnowing"]
 
 
 def queries() -> dict[str, Callable]:
