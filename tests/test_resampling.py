@@ -23,15 +23,26 @@ def test_dense_index(spark):
     assert got == list(range(500))
 
 
+@pytest.fixture(params=["true", "false"])
+def adaptive(spark, request):
+    """With adaptive execution off, partitions stay apart, as they do on large tables."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", request.param)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", was)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.mark.parametrize("fold", [None, 4])
-def test_permutation_null_by_brute_force(spark, fold):
+def test_permutation_null_by_brute_force(spark, fold, adaptive):
     rng = np.random.default_rng(1)
     z = {i: rng.normal(size=3) for i in range(40)}
     z[7] = z[3]
     labels = [(f"a{i % 3}", i) for i in range(0, 40, 2)]
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in z.items()], "id long, z array<double>")
     tested = None if fold is None else frame.select("id").filter(F.col("id") % fold == 0)
-    out = resampling.permutation_null(frame, spark.createDataFrame(labels, "agent string, id long"), 3, repeats=3, seed=5, tested=tested, block=7, keys=1)
+    out = resampling.permutation_null(frame, spark.createDataFrame(labels, "agent string, id long"), 3, repeats=3, seed=5, tested=tested, block=7, room=2)
     got = {(r.rep, r.agent): sorted(x for x in r.ranks) for r in out.groupBy("rep", "agent").agg(F.collect_list("rank").alias("ranks")).collect()}
     index = {r["id"]: r["index"] for r in resampling.dense_index(frame, "id").collect()}
     back = {v: k for k, v in index.items()}
@@ -76,7 +87,7 @@ def test_exact_and_normal_p():
     assert stats.rank_sum_p(0.0, 0, 5, None, 0, "two-sided") is None
 
 
-def test_block_extremes(spark):
+def test_block_extremes(spark, adaptive):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(30, 4))
     x[3] = 0
