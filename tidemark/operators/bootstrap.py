@@ -13,11 +13,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.resampling import mixed
-
 BLOCK = 1 << 16
 RANGES = 256
 
@@ -37,16 +35,22 @@ def hash_of(*parts: object) -> int:
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
 
-def start_of(key: int, seed: int, reps: np.ndarray) -> np.ndarray:
-    """The hash state of each repeat of a group."""
-    return mixed((np.uint64(key) << np.uint64(32)) + np.uint64(seed * 100_000) + reps.astype(np.uint64))
+def mixed32(x: np.ndarray) -> np.ndarray:
+    """The finaliser of 32-bit murmur hashes, on unsigned 64-bit numbers below 2**32."""
+    low = np.uint64(0xFFFFFFFF)
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & low
+    x = ((x ^ (x >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & low
+    return x ^ (x >> np.uint64(16))
 
 
-def places(state: np.ndarray, first: int, count: int, n: int) -> np.ndarray:
-    """For each state, `count` places below `n`: draws `first` to `first + count - 1`."""
-    with np.errstate(over="ignore"):
-        x = mixed(state[:, None] + (np.uint64(first) + np.arange(count, dtype=np.uint64))[None, :])
-    return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+def places(key: int, seed: int, reps: np.ndarray, first: int, count: int, n: int) -> np.ndarray:
+    """For each repeat of a group, `count` places below `n`: draws `first` to `first + count - 1`."""
+    low = np.uint64(0xFFFFFFFF)
+    a = mixed32(np.uint64(key) ^ mixed32(np.uint64(seed * 100_000) + reps.astype(np.uint64)))
+    h = mixed32((a + np.uint64(0x9E3779B9)) & low)
+    draw = np.uint64(first & 0xFFFFFFFF) + np.arange(count, dtype=np.uint64)
+    x = mixed32(mixed32((a[:, None] + draw[None, :]) & low) ^ h[:, None])
+    return ((x * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def share_of(at: int, blocks: int, n: int, key: int, seed: int, rep: int, size: int = BLOCK) -> int:
@@ -82,9 +86,8 @@ def bootstrap(df: DataFrame, value: str, order: str, repeats: int, seed: int, gr
                 step = max(1, 2_000_000 // len(v))
                 for s in range(0, repeats, step):
                     reps = np.arange(s, min(repeats, s + step))
-                    state = start_of(key, seed, reps)
                     share = np.full(len(reps), n) if blocks == 1 else np.array([share_of(at, blocks, n, key, seed, int(r), size) for r in reps])
-                    to = places(state, at * size, int(share.max(initial=0)), len(v))
+                    to = places(key, seed, reps, at * size, int(share.max(initial=0)), len(v))
                     drawn = v[to]
                     if blocks > 1:
                         inside = np.arange(to.shape[1])[None, :] < share[:, None]

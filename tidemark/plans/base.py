@@ -78,3 +78,22 @@ def sql_ranked(groups: str, source: str = "scored") -> str:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """`df` with all doubles rounded."""
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def sql_mixed(value: str, out: str) -> str:
+    """Columns that end with `out`: the finaliser of 32-bit murmur hashes, of an unsigned 64-bit `value` below 2**32."""
+    step = lambda c, k, times: f"(xor({c}, {c} >> {k}) * {times}::UBIGINT) & 4294967295::UBIGINT"
+    return f"{value} AS {out}0, {step(out + '0', 16, 0x85EBCA6B)} AS {out}1, {step(out + '1', 13, 0xC2B2AE35)} AS {out}2, xor({out}2, {out}2 >> 16) AS {out}"
+
+
+def sql_bootstrap(groups: str, seed: int, stat: str, repeats: int = 1000, source: str = "x") -> str:
+    """A common table `b` (groups, rep, m) of `repeats` bootstrap samples of `source` (groups, v, o), for groups of one block."""
+    text = " || '|' || ".join(g.strip() for g in groups.split(","))
+    return f"""bn AS (SELECT {groups}, v, row_number() OVER (PARTITION BY {groups} ORDER BY o % 256, o) - 1 AS slot, count(*) OVER (PARTITION BY {groups}) AS n FROM {source} WHERE v IS NOT NULL),
+ bg AS (SELECT {groups}, n, ('0x' || substr(md5({text}), 1, 8))::UBIGINT AS key FROM bn WHERE slot = 0),
+ bs AS (SELECT {groups}, n, rep, {sql_mixed(f"({seed * 100_000} + rep)::UBIGINT", "r")}, {sql_mixed("xor(key, r)", "a")}, {sql_mixed("(a + 2654435769::UBIGINT) & 4294967295::UBIGINT", "h")} FROM bg, range({repeats}) t(rep)),
+ bd AS (SELECT {groups}, bs.rep, {sql_mixed("(a + i::UBIGINT) & 4294967295::UBIGINT", "c")}, {sql_mixed("xor(c, h)", "d")}, ((d * bs.n::UBIGINT) >> 32)::BIGINT AS slot FROM bs JOIN (SELECT {groups}, slot AS i FROM bn) USING ({groups})),
+ b AS (SELECT {groups}, rep, {stat}(v) AS m FROM bd JOIN bn USING ({groups}, slot) GROUP BY {groups}, rep)"""
+
+
+SQL_INTERVAL = "avg(m) AS mean, stddev_pop(m) AS std, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi"

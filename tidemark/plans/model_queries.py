@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine, hash_uniform
-from tidemark.operators import models, ranking, resampling, splits, stats, vectors
-from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_ranked, sql_z
+from tidemark.operators import bootstrap, models, ranking, resampling, splits, stats, vectors
+from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_z
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, nearest_train, sql_wide, wide, wide_scores
 
 C = Catalog()
@@ -169,14 +169,26 @@ def t21(spark, d):
     return rounded(stats.empirical_p(null, seen, [], "m", "seen"))
 
 
-STAB = f"WITH {SQL_FEATURES}, b AS (SELECT p_size AS size, {', '.join(f'stddev_pop({c}) / nullif(abs(avg({c})), 0) AS cv_{c}' for c in ('avg_qty', 'p_retailprice', 'avg_tax'))}, count(*) AS n FROM features GROUP BY 1) SELECT size::INT AS size, n, {', '.join(f'round(cv_{c}, 6) AS cv_{c}' for c in ('avg_qty', 'p_retailprice', 'avg_tax'))} FROM b WHERE n >= 3"
+STABLE = [c for c in FEATURES if c != "p_size"]
+BANDS = f"""WITH {SQL_FEATURES}, cl AS (SELECT p_size::BIGINT AS size, count(*) AS c FROM features GROUP BY 1), bands AS (SELECT a.size AS band, b.size FROM cl a JOIN cl b ON abs(a.size - b.size) <= CASE WHEN a.c >= 5 THEN 0 ELSE 1 END),
+ fl AS ({' UNION ALL '.join(f"SELECT id, p_size::BIGINT AS size, '{c}' AS feature, {c} AS value FROM features" for c in STABLE)}), x AS (SELECT band, feature, id AS o, value AS v FROM fl JOIN bands USING (size) WHERE value IS NOT NULL),
+ wd AS (SELECT band, feature, count(*) AS n, var_pop(v) AS w FROM x GROUP BY 1, 2), {sql_bootstrap('band, feature', 42, 'avg')}, iv AS (SELECT band, feature, {SQL_INTERVAL} FROM b GROUP BY 1, 2),
+ bf AS (SELECT band, feature, n, CASE WHEN n >= 3 THEN mean END AS mean, CASE WHEN n >= 3 THEN lo END AS lo, CASE WHEN n >= 3 THEN hi END AS hi, CASE WHEN n >= 3 THEN std ELSE 0 END AS std, CASE WHEN n >= 3 THEN w ELSE 0 END AS within_var FROM iv JOIN wd USING (band, feature))"""
 
 
-@C.add("C12_T16_stability", STAB)
+def stability(spark, d):
+    return bootstrap.band_bootstrap(features(spark, d), "id", "p_size", STABLE)
+
+
+@C.add("C12_T16_stability", f"{BANDS} SELECT band, feature, n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(std, 6) AS std, round(within_var, 6) AS within_var FROM bf")
 def c12(spark, d):
-    cols = ("avg_qty", "p_retailprice", "avg_tax")
-    b = features(spark, d).groupBy(F.col("p_size").cast("int").alias("size")).agg(F.count("*").alias("n"), *((F.stddev_pop(c) / F.nullif(F.abs(F.avg(c)), F.lit(0.0))).alias(f"cv_{c}") for c in cols))
-    return rounded(b.filter("n >= 3"))
+    """Bootstrap of each feature inside each band of similar size: mean, interval, deviation and the band's own variance."""
+    return rounded(stability(spark, d)[0])
+
+
+@C.add("C12_feature_stability", f"{BANDS} SELECT feature, count(*) AS rows, round(avg(value), 6) AS mean_value, round(median(std), 6) AS median_std, round(avg(std), 6) AS mean_std, round(CASE WHEN avg(value) <> 0 THEN avg(std) / abs(avg(value)) ELSE 0 END, 6) AS cv FROM fl JOIN bf ON bf.band = fl.size AND bf.feature = fl.feature GROUP BY fl.feature".replace("SELECT feature, count(*) AS rows", "SELECT fl.feature, count(*) AS rows"))
+def c12_summary(spark, d):
+    return rounded(stability(spark, d)[1])
 
 
 @C.add("C17_C18_release_summary", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {sql_z(FEATURES[:2])} SELECT 'pairs' AS metric, printf('%.3f', count(*)::DOUBLE) AS value FROM pairs UNION ALL SELECT 'agents', printf('%.3f', count(DISTINCT agent)::DOUBLE) FROM pairs UNION ALL SELECT 'mean_z', printf('%.3f', abs(round(avg(z_p_size), 3))) FROM z")

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine, hash_uniform
-from tidemark.operators import ranking, resampling, splits, stats, vectors
-from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_ranked
+from tidemark.operators import bootstrap, ranking, resampling, splits, stats, vectors
+from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, PROTO, ZCOLS, ZF, EMBED, embedded, sql_wide, wide, wide_scores
 
 C = Catalog()
@@ -159,23 +159,23 @@ def t13(spark, d):
     return rounded(p(random, "random").unionByName(p(permuted, "permutation")))
 
 
-BOOT = f"WITH x AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS slot, count(*) OVER (PARTITION BY p_brand) AS n FROM part), dr AS (SELECT p_brand, rep, slot AS i, floor({UNI.format(chr(39) + '11|' + chr(39) + ' || rep || ' + chr(39) + '|' + chr(39) + ' || p_brand || ' + chr(39) + '|' + chr(39) + ' || slot')} * n)::BIGINT AS slot FROM x, range(1000) t(rep)), b AS (SELECT p_brand, rep, avg(v) AS m FROM dr JOIN x USING (p_brand, slot) GROUP BY 1, 2) SELECT p_brand, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(stddev_pop(m) / abs(avg(m)), 6) AS cv FROM b GROUP BY 1"
+BRANDS = "x AS (SELECT p_brand, p_partkey AS o, p_retailprice AS v FROM part)"
+FIGURES = "SELECT p_brand, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS lo, round(hi, 6) AS hi, round(CASE WHEN mean <> 0 THEN std / abs(mean) ELSE 0 END, 6) AS cv"
 
 
-@C.add("T14_T17_bootstrap", BOOT)
+def brand_bootstrap(spark, d, seed: int, median: bool):
+    drawn = bootstrap.bootstrap(read(spark, d, "part"), "p_retailprice", "p_partkey", 1000, seed, ["p_brand"], median)
+    return rounded(bootstrap.interval(drawn, ["p_brand"]))
+
+
+@C.add("T14_T17_bootstrap", f"WITH {BRANDS}, {sql_bootstrap('p_brand', 11, 'avg')} {FIGURES} FROM (SELECT p_brand, {SQL_INTERVAL} FROM b GROUP BY 1)")
 def t14(spark, d):
-    drawn = splits.resample(read(spark, d, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("v")), "v", "p_partkey", 1000, 11, ("p_brand",))
-    b = drawn.groupBy("p_brand", "rep").agg(F.avg("v").alias("m"))
-    a = b.groupBy("p_brand").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    return rounded(a.withColumn("cv", F.col("std") / F.abs("mean")))
+    return brand_bootstrap(spark, d, 11, median=False)
 
 
-@C.add("T15_bootstrap_median", BOOT.replace("avg(v)", "median(v)").replace("'11|'", "'12|'"))
+@C.add("T15_bootstrap_median", f"WITH {BRANDS}, {sql_bootstrap('p_brand', 12, 'median')} {FIGURES} FROM (SELECT p_brand, {SQL_INTERVAL} FROM b GROUP BY 1)")
 def t15(spark, d):
-    drawn = splits.resample(read(spark, d, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("v")), "v", "p_partkey", 1000, 12, ("p_brand",))
-    b = drawn.groupBy("p_brand", "rep").agg(F.median("v").alias("m"))
-    a = b.groupBy("p_brand").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    return rounded(a.withColumn("cv", F.col("std") / F.abs("mean")))
+    return brand_bootstrap(spark, d, 12, median=True)
 
 
 CONT = f"""WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, {sql_wide(ZCOLS)}, {sql_ranked('agent')}, np AS (SELECT agent, count(*) AS n_pos FROM ranked WHERE positive GROUP BY 1),
