@@ -9,6 +9,7 @@ from tidemark.plans.base import Catalog, read
 from tidemark.plans.split_queries import D2, POINTS_SQL, points
 from tidemark.sources import molecules
 from tidemark.sources.scratch import scratch
+from tidemark.streaming import staged
 
 C = Catalog()
 QUERIES, SQL = C.queries, C.sql
@@ -59,3 +60,46 @@ def c03_contacts(spark, d):
 @C.add("C03_coverage_flags", "SELECT vec_id::VARCHAR AS mol, CASE WHEN vec_id % 50 IN (7, 8) THEN 'FAILED' ELSE 'OK' END AS status, CASE vec_id % 50 WHEN 7 THEN 'parse_error' WHEN 8 THEN 'feature_computation_error' ELSE '' END AS failure_reason, CASE WHEN vec_id % 50 = 9 THEN 'second' ELSE 'first' END AS source_dir FROM embeddings WHERE vec_id % 50 <> 10")
 def c03_flags(spark, d):
     return feature_job.feature_tables(spark, molecule_files(spark, d))["coverage_flags"]
+
+
+def delivered(spark, d, again: bool):
+    """Documents as items of their source, one in ten without payload; again: every third id a second time, whole now."""
+    docs = read(spark, d, "documents").filter(F.col("doc_id").isNotNull())
+    if again:
+        docs = docs.filter("doc_id % 3 = 0")
+    lost = F.lit(False) if again else F.col("doc_id") % 10 == 9
+    return docs.select(
+        F.coalesce("source", F.lit("none")).alias("source"), F.col("doc_id").cast("string").alias("source_item_id"), F.lit("text").alias("item_type"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
+        F.when(~lost, F.col("text")).alias("payload"), F.timestamp_seconds(F.lit(int(again))).alias("listed_at"),
+    )
+
+
+def two_deliveries(spark, d) -> str:
+    """A staged run that is stopped after the first delivery and started again for the second one."""
+    root = scratch(spark, "stage")
+    sources = [r[0] for r in read(spark, d, "documents").select(F.coalesce("source", F.lit("none"))).distinct().collect()]
+    for again in (False, True):
+        delivered(spark, d, again).repartition(6).write.mode("append").json(f"{root}/incoming")
+        staged.run_stage(spark, f"{root}/incoming", f"{root}/out", sources, lambda items: staged.stored(items, 200), files=4)
+    return f"{root}/out"
+
+
+STAGED = """WITH i AS (SELECT coalesce(source, 'none') AS source, doc_id::VARCHAR AS source_item_id, CASE WHEN again = 1 OR doc_id % 10 <> 9 THEN text END AS payload, again FROM documents, range(2) t(again) WHERE doc_id IS NOT NULL AND (again = 0 OR doc_id % 3 = 0)),
+ s AS (SELECT *, coalesce(strlen(payload), 0) AS size, coalesce(strlen(payload), 0) >= 200 AS good FROM i),
+ f AS (SELECT *, coalesce(bool_or(good) OVER (PARTITION BY source, source_item_id ORDER BY again ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS had FROM s)"""
+
+
+@C.add("C01_staged_attempts", f"{STAGED} SELECT source, source_item_id, CASE WHEN good THEN 'ok' ELSE 'failed' END AS status, CASE WHEN good THEN size ELSE 0 END AS bytes, CASE WHEN good THEN sha256(payload) END AS sha256, CASE WHEN payload IS NULL THEN 'not found' WHEN NOT good THEN size || ' bytes, fewer than 200' END AS error FROM f WHERE NOT had")
+def c01(spark, d):
+    """The log of a staged run (K03, F12): failed items are tried again, fetched ones are not."""
+    return staged.attempts(spark, two_deliveries(spark, d)).select("source", "source_item_id", "status", "bytes", "sha256", "error")
+
+
+@C.add("C01_staged_totals", f"{STAGED} SELECT source, count(*) FILTER (good AND NOT had) AS ok, count(*) FILTER (NOT good AND NOT had) AS failed, count(*) FILTER (had) AS skipped, coalesce(sum(size) FILTER (good AND NOT had), 0)::BIGINT AS bytes FROM f GROUP BY 1")
+def c01_totals(spark, d):
+    return staged.run_totals(spark, two_deliveries(spark, d))
+
+
+@C.add("K06_checksum_file", f"{STAGED} SELECT source_item_id, sha256(payload) AS sha256 FROM f WHERE good AND NOT had")
+def k06(spark, d):
+    return staged.checksums(spark, two_deliveries(spark, d))
