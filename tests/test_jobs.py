@@ -109,7 +109,7 @@ class Killed(Exception):
 
 
 def run(spark, folder, out, process=staged.stored):
-    staged.run_stage(spark, str(folder), str(out), ["a", "b", "closed"], process, refused=["closed"], files=1)
+    staged.run_stage(spark, str(folder), str(out), ["a", "b", "closed"], process, refused=["closed"], files=2)
 
 
 def outcome(spark, out):
@@ -128,12 +128,12 @@ def test_a_killed_run_leaves_the_rows_of_an_uninterrupted_one(spark, tmp_path, m
 
     def broken(items, batch, out, *rest):
         calls.append(batch)
-        if moment == "process" and calls.count(2) == 1 and batch == 2:
+        if moment == "process" and calls.count(1) == 1 and batch == 1:
             raise Killed("before anything is written")
         real(items, batch, out, *rest)
-        if calls.count(3) == 1 and batch == 3:
+        if calls.count(1) == 1 and batch == 1:
             if moment == "manifest":  # killed before the manifest of the batch was written
-                shutil.rmtree(f"{out}/manifest/batch=3", ignore_errors=True)
+                shutil.rmtree(f"{out}/manifest/batch=1", ignore_errors=True)
             if moment != "process":
                 raise Killed("after the log, before the checkpoint")
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cityblock, cosine, euclidean, norm
-from tidemark.operators import ranking, vectors
-from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_METRICS, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_ranked, sql_z
+from tidemark.operators import ablation, ranking, vectors
+from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_METRICS, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_tail, sql_z
+from tidemark.sources.scratch import staged
 
 C = Catalog()
 QUERIES, SQL = C.queries, C.sql
@@ -99,34 +100,42 @@ def m09(spark, d):
     return rounded(ranking.metrics(ranking.ranked(wide_scores(wide(spark, d), pairs(spark, d), ZCOLS), ["agent"]), ["agent"]))
 
 
-BLOCKS = {"size": ["z_p_size", "z_n_lines"], "price": ["z_p_retailprice", "z_avg_disc", "z_avg_tax"], "shape": ["z_avg_qty", "z_sd_qty", "z_avg_ship"]}
-CONDITIONS = {"all": ZCOLS} | {f"drop_{b}": [c for c in ZCOLS if c not in cols] for b, cols in BLOCKS.items()} | {f"only_{b}": cols for b, cols in BLOCKS.items()}
+BLOCKS = {"size": ["z_p_size", "z_n_lines"], "price": ["z_p_retailprice"], "discount": ["z_avg_disc"], "tax": ["z_avg_tax"], "quantity": ["z_avg_qty", "z_sd_qty"], "shipping": ["z_avg_ship"]}
+CONDITIONS = ablation.block_conditions(BLOCKS)
 
 
-def ablation(spark, d) -> DataFrame:
-    """(condition, agent, id, score, positive): per-column products are made once, each condition adds up its own."""
-    z, labels = wide(spark, d).select("id", *ZCOLS), pairs(spark, d)
-    proto = labels.join(z, "id").groupBy("agent").agg(*(F.avg(c).alias(f"p_{c}") for c in ZCOLS))
-    # Labels join before the conditions multiply rows.
-    x = z.crossJoin(proto).join(labels.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-
-    def cos(cols):
-        add = lambda f: sum((f(c) for c in cols), F.lit(0.0))
-        n = F.sqrt(add(lambda c: F.col(c) * F.col(c))) * F.sqrt(add(lambda c: F.col(f"p_{c}") * F.col(f"p_{c}")))
-        return F.round(F.when(n == 0, 0.0).otherwise(add(lambda c: F.col(c) * F.col(f"p_{c}")) / n), 9)
-
-    made = F.explode(F.array(*(F.struct(F.lit(k).alias("condition"), cos(c).alias("score")) for k, c in CONDITIONS.items()))).alias("s")
-    return x.select("agent", "id", "positive", made).select("agent", "id", "positive", "s.condition", "s.score")
+def block_metrics(spark, d) -> DataFrame:
+    """(condition, agent, metrics) of the thirteen conditions."""
+    z = vectors.zscore(staged(features(spark, d).select("id", *FEATURES), "features"), FEATURES)
+    return ablation.condition_metrics(z, pairs(spark, d), CONDITIONS)
 
 
 ABLATE = ", ".join(sql_wide(cols, out=f"c_{k}") for k, cols in CONDITIONS.items())
 UNION = " UNION ALL ".join(f"SELECT '{k}' AS condition, * FROM c_{k}" for k in CONDITIONS)
+ABLATED = f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, {ABLATE}, scored AS ({UNION}), {sql_ranked('condition, agent')}, per AS ({FULL.format(g='condition, agent')} HAVING count(*) >= 2)"
 
 
-@C.add("C07_block_ablation", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, {ABLATE}, scored AS ({UNION}), {sql_ranked('condition, agent')}, per AS ({FULL.format(g='condition, agent')}) SELECT condition, count(*) AS agents, {MACRO} FROM per GROUP BY condition")
+@C.add("C07_block_ablation", f"{ABLATED} SELECT condition, count(*) AS agents, {MACRO} FROM per GROUP BY condition")
 def c07(spark, d):
-    per = ranking.metrics(ranking.ranked(ablation(spark, d), ["condition", "agent"]), ["condition", "agent"])
-    return rounded(per.groupBy("condition").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
+    return rounded(block_metrics(spark, d).groupBy("condition").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
+
+
+PAIRED = f"""{ABLATED}, lg AS ({' UNION ALL '.join(f"SELECT condition, agent, '{m}' AS metric, {m} AS value FROM per WHERE {m} IS NOT NULL" for m in ablation.COMPARED)}),
+ bo AS (SELECT x.condition, x.metric, x.agent, x.value, y.value AS base, round(x.value - y.value, 9) AS delta FROM lg x JOIN lg y ON y.condition = 'all' AND y.agent = x.agent AND y.metric = x.metric WHERE x.condition <> 'all'),
+ sh AS (SELECT condition, metric, count(*) AS n_agents, avg(base) AS mean_all, avg(value) AS mean_cond, avg(delta) AS mean_delta, median(delta) AS median_delta FROM bo GROUP BY 1, 2 HAVING count(*) >= 10),
+ x AS (SELECT condition, metric, agent AS o, delta AS v FROM bo), {sql_bootstrap('condition, metric', 1, 'median')}, iv AS (SELECT condition, metric, {SQL_INTERVAL} FROM b GROUP BY 1, 2),
+ rk AS (SELECT condition, metric, delta, rank() OVER (PARTITION BY condition, metric ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY condition, metric, abs(delta)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY condition, metric, abs(delta)) AS t FROM bo WHERE delta <> 0),
+ ws AS (SELECT condition, metric, count(*) AS n, sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN delta < 0 THEN r ELSE 0 END) AS wm, sum(t * t - 1)::DOUBLE AS ties FROM rk GROUP BY 1, 2),
+ wz AS (SELECT condition, metric, least(wp, wm) AS w, abs(wp - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) AS z FROM ws), wt AS (SELECT condition, metric, w, least(1.0, 2 * ({sql_tail('z')})) AS p FROM wz),
+ ho AS (SELECT sh.*, lo, hi, w, p, row_number() OVER v AS k, count(*) OVER (PARTITION BY metric) AS n FROM sh JOIN iv USING (condition, metric) LEFT JOIN wt USING (condition, metric) WINDOW v AS (PARTITION BY metric ORDER BY round(coalesce(p, 1.0), 12), condition))
+SELECT condition, metric, n_agents, round(mean_all, 6) AS mean_all, round(mean_cond, 6) AS mean_cond, round(mean_delta, 6) AS mean_delta, round(median_delta, 6) AS median_delta, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(w, 6) AS w, round(p, 6) AS p,
+ min((round(coalesce(p, 1.0), 12) <= 0.05 / (n - k + 1))::INT) OVER (PARTITION BY metric ORDER BY k) = 1 AS sig_holm FROM ho"""
+
+
+@C.add("C07_ablation_statistics", PAIRED)
+def c07_statistics(spark, d):
+    """Twelve conditions by four metrics against all columns. The normal p, as SQL has it."""
+    return rounded(ablation.paired_statistics(staged(block_metrics(spark, d), "ablation"), exact=False))
 
 
 OLS_SQL = """reg AS (SELECT {parts} FROM features), z0 AS (SELECT id, {res} FROM features, reg)"""
@@ -155,11 +164,43 @@ def b12(spark, d):
     return rounded(residualised(spark, d))
 
 
+RZ = ["z_" + c for c in RES]
+SIZE = BLOCKS["size"]
+RESIDUAL = {"raw": ZCOLS, "size_only": SIZE, "residualized": [*SIZE, *(f"r{c}" for c in RZ)], "non_size_only": [c for c in ZCOLS if c not in SIZE], "residuals_alone": [f"r{c}" for c in RZ]}
+
+
+def residual_metrics(spark, d, *conditions: str) -> DataFrame:
+    """(condition, agent, metrics): raw and residualised columns are standardised side by side in one table of candidates."""
+    f = staged(features(spark, d).select("id", *FEATURES), "features")
+    fit = vectors.plane_fit(f, RES, "p_size", "n_lines")
+    plane = lambda y: F.col(f"r_{y}.c0") + F.col(f"r_{y}.ca") * F.col("p_size") + F.col(f"r_{y}.cb") * F.col("n_lines")
+    both = f.crossJoin(F.broadcast(fit)).select("id", *FEATURES, *((F.col(y) - plane(y)).alias(f"res_{y}") for y in RES))
+    z = vectors.zscore(both, [*FEATURES, *(f"res_{y}" for y in RES)]).withColumnsRenamed({f"z_res_{y}": f"rz_{y}" for y in RES})
+    return ablation.condition_metrics(staged(z, "residuals"), pairs(spark, d), {c: RESIDUAL[c] for c in conditions})
+
+
 @C.add("C08_residual_ranking", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {OLS}, {sql_z(RES, 'z0', 'z')}, {sql_wide(['z_' + c for c in RES])}, {sql_ranked('agent')}, per AS ({FULL.format(g='agent')}) SELECT count(*) AS agents, {MACRO} FROM per")
 def c08(spark, d):
-    z = vectors.zscore(residualised(spark, d), RES)
-    per = ranking.metrics(ranking.ranked(wide_scores(z, pairs(spark, d), ["z_" + c for c in RES]), ["agent"]), ["agent"])
-    return rounded(ranking.macro(per, METRICS))
+    return rounded(ranking.macro(residual_metrics(spark, d, "residuals_alone"), METRICS))
+
+
+FOUR = ["raw", "size_only", "residualized", "non_size_only"]
+RESIDUALS = f"""WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, {OLS}, {sql_z(RES, 'z0', 'zr')}, zz AS (SELECT z.*, {', '.join(f'zr.z_{c} AS rz_{c}' for c in RES)} FROM z JOIN zr USING (id)),
+ {', '.join(sql_wide(RESIDUAL[k], z='zz', out=f'k_{k}') for k in FOUR)}, scored AS ({' UNION ALL '.join(f"SELECT '{k}' AS condition, * FROM k_{k}" for k in FOUR)}), {sql_ranked('condition, agent')}, per AS ({FULL.format(g='condition, agent')} HAVING count(*) >= 2)"""
+
+
+@C.add("C08_residualisation", f"{RESIDUALS} SELECT condition, count(*) AS agents, {MACRO} FROM per GROUP BY condition")
+def c08_conditions(spark, d):
+    """Raw columns, size alone, size with the others' residuals on it, and the others alone."""
+    return rounded(residual_metrics(spark, d, *FOUR).groupBy("condition").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
+
+
+DELTA = "SELECT agent, '{m}' AS metric, round(x.{m}, 6) AS val_residualized, round(y.{m}, 6) AS val_raw, round(w.{m}, 6) AS val_size_only, round(x.{m} - y.{m}, 6) AS delta_raw, round(x.{m} - w.{m}, 6) AS delta_size_only FROM per x JOIN per y USING (agent) JOIN per w USING (agent) WHERE x.condition = 'residualized' AND y.condition = 'raw' AND w.condition = 'size_only'"
+
+
+@C.add("C08_deltas", f"{RESIDUALS} {' UNION ALL '.join(DELTA.format(m=m) for m in ablation.COMPARED)}")
+def c08_deltas(spark, d):
+    return rounded(ablation.condition_deltas(residual_metrics(spark, d, *FOUR[:3]), "residualized", ["raw", "size_only"]))
 
 
 @C.add("B03_nearest_positive", "WITH q AS (SELECT vec_id AS a, label AS agent, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL) SELECT agent, vec_id AS id, round(max(list_cosine_similarity(e, embedding::DOUBLE[])), 6) AS score FROM q JOIN embeddings ON TRUE GROUP BY agent, vec_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine, hash_uniform
 from tidemark.operators import bootstrap, ranking, resampling, splits, stats, vectors
-from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked
+from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_tail
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, PROTO, ZCOLS, ZF, EMBED, embedded, sql_wide, wide, wide_scores
 
 C = Catalog()
@@ -26,17 +26,6 @@ def tested(spark, d):
     return x.join(labels.withColumn("pos", F.lit(True)), ["agent", "id"], "left").select("agent", "feature", "value", F.coalesce("pos", F.lit(False)).alias("pos"))
 
 
-def sql_tail(z: str) -> str:
-    """Upper tail of the normal distribution in SQL: a power series below 3, a continued fraction beyond."""
-    series, fraction = "1.0", f"(abs({z}) + 8)"
-    for k in range(45, 0, -1):
-        series = f"(1 + {z} * {z} / {2 * k + 1} * {series})"
-    for k in range(60, 0, -1):
-        fraction = f"(abs({z}) + {k} / {fraction})"
-    density = f"exp(-{z} * {z} / 2) / sqrt(2 * pi())"
-    return f"CASE WHEN abs({z}) < 3 THEN 0.5 - {density} * {z} * {series} WHEN {z} > 0 THEN {density} / {fraction} ELSE 1 - {density} / {fraction} END"
-
-
 MWU = """r AS (SELECT agent, feature, pos, rank() OVER (PARTITION BY agent, feature ORDER BY value) + (count(*) OVER (PARTITION BY agent, feature, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY agent, feature, value) AS t FROM xl),
  s AS (SELECT agent, feature, count(*) FILTER (pos) AS n1, count(*) FILTER (NOT pos) AS n2, sum(rk) FILTER (pos) AS r1, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY 1, 2),
  m AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u, sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS sg FROM s)"""
