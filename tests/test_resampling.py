@@ -99,3 +99,54 @@ def test_block_extremes(spark, adaptive):
             size = np.linalg.norm(others, axis=1) * np.linalg.norm(x[r.id])
             want = max(np.where(size > 0, others @ x[r.id] / np.where(size > 0, size, 1), 0)) if measure == "cosine" else min(np.linalg.norm(others - x[r.id], axis=1))
             assert r.value == pytest.approx(want, abs=1e-7)
+
+
+def test_permutations_of_uneven_sizes():
+    sizes = np.repeat([1, 2, 3, 7, 64, 65, 1000], [1, 2, 3, 7, 64, 65, 1000])
+    x = np.concatenate([np.arange(n) for n in (1, 2, 3, 7, 64, 65, 1000)])
+    to = resampling.permuted(x, sizes, np.full(len(x), 11, np.uint64))
+    for n in (1, 2, 3, 7, 64, 65, 1000):
+        assert sorted(to[sizes == n].tolist()) == list(range(n))
+
+
+def test_matched_null_by_brute_force(spark, adaptive):
+    rng = np.random.default_rng(4)
+    strata = {i * 3: int(i > 3) + int(i > 20) for i in range(30)}  # 4, 17 and 9 rows
+    rows = [(a, i, float(round(rng.choice([0.1, 0.2, rng.random()]), 9)), (i + len(a)) % 4 == 0) for a in ("a", "bb") for i in strata]
+    scored = spark.createDataFrame(rows, "agent string, id long, score double, positive boolean")
+    ranks = ranking.ranked(scored, ["agent"])
+    by_s = spark.createDataFrame(list(strata.items()), "id long, s int")
+    out = resampling.matched_null(ranks, by_s, repeats=4, seed=9)
+    got = {(r.rep, r.agent): sorted(r.x) for r in out.groupBy("rep", "agent").agg(F.collect_list(F.struct("rank", "n_above", "tp_above")).alias("x")).collect()}
+    order = {s: sorted((i for i in strata if strata[i] == s), key=lambda i: (i % 256, i)) for s in range(3)}
+    known = {(r.agent, r.id): r for r in ranks.collect()}
+    for rep in range(4):
+        for agent in ("a", "bb"):
+            now = []
+            for a, i, _, positive in rows:
+                if a == agent and positive:
+                    ids = order[strata[i]]
+                    key = np.array([spark.range(1).select(F.xxhash64(F.lit(9), F.lit(rep), F.lit(strata[i]))).first()[0]], np.int64).view(np.uint64)
+                    r = known[agent, ids[int(resampling.permuted(np.array([ids.index(i)]), len(ids), key)[0])]]
+                    now.append((r["rank"], r.n_above))
+            assert [tuple(x) for x in got[rep, agent]] == sorted((k, n, sum(m <= n for _, m in now)) for k, n in now)
+
+
+def test_noise_sweep_by_brute_force(spark, adaptive):
+    rng = np.random.default_rng(6)
+    z = {i * 7: rng.normal(size=3) for i in range(25)}
+    labels = [(i % 2, i * 7) for i in range(0, 25, 3)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in z.items()], "id long, z array<double>")
+    out = resampling.noise_sweep(frame, spark.createDataFrame(labels, "agent int, id long"), 3, (0.0, 0.5), 3, seed=2, block=6)
+    got = {(r.draw, r.agent): sorted(r.x) for r in out.groupBy("draw", "agent").agg(F.collect_list("rank").alias("x")).collect()}
+    ids = np.array(sorted(z))
+    for draw in range(6):
+        now = np.array([z[i] for i in ids]) + (0.5 if draw >= 3 else 0.0) * resampling.noise(draw, ids, 3, 2)
+        for agent in (0, 1):
+            own = [i for a, i in labels if a == agent]
+            proto = now[np.isin(ids, own)].mean(0)
+            score = np.round(now @ proto / np.linalg.norm(now, axis=1) / np.linalg.norm(proto), 9)
+            order = sorted(ids, key=lambda i: (-score[list(ids).index(i)], i))
+            assert got[draw, agent] == sorted(order.index(i) + 1 for i in own)
+    x = resampling.noise(3, np.arange(20000), 4)
+    assert abs(x.mean()) < 0.02 and abs(x.std() - 1) < 0.02 and abs(np.corrcoef(x.T)[0, 1]) < 0.03

@@ -6,7 +6,7 @@ rows above, beside and (of equal ones) before it, and these counts add up. Only
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,27 @@ def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(rows, -1)
 
 
-def positive_ranks(asked: DataFrame, rows: DataFrame, keys: Sequence[str], n: int, groups: int, shared: str | None = None, block: int = 4096, room: int = 256) -> DataFrame:
+def above(score: np.ndarray, ordered: np.ndarray, ids: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For positives (at, own): candidates of a higher score, of an equal one, and of an equal one with a smaller id."""
+    rising, n = score[ordered], len(score)
+    low, high = np.searchsorted(rising, own - TIE), np.searchsorted(rising, own + TIE, "right")
+    before = ((high - low == 1) & (ids[ordered[np.minimum(low, n - 1)]] < at)).astype(np.int64)
+    tied = np.flatnonzero(high - low > 1)
+    span = low[tied] * (n + 1) + high[tied]
+    for edge in np.unique(span):  # positives of one score share their ties
+        mine, (first, end) = tied[span == edge], divmod(int(edge), n + 1)
+        before[mine] = np.searchsorted(np.sort(ids[ordered[first:end]]), at[mine])
+    return n - high, high - low, before
+
+
+def positive_ranks(asked: DataFrame, rows: DataFrame, keys: Sequence[str], n: int, groups: int, shared: str | None = None, block: int = 4096, room: int = 256, vary: str | None = None, make: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Ranked positives (keys, at, rank, n_above, n_rows, tp_above, positive).
 
     `asked` (keys, at, own, p[, w]) holds each positive's own score and its group's prototype `p`, the same in all rows of a
     group; `rows` (at, z) the candidates, `n` of them. The score is the cosine of z and p over the components that the weights
     `w` (0 or 1) keep. `groups` is about the number of groups. With `shared`, candidates belong to the groups of one value of
-    that key (a column of both sides, an integer), `n` for each value.
+    that key (a column of both sides, an integer), `n` for each value. With `vary` (a key, an integer), the candidates of its groups
+    are `make`(its value, at, z): they are made in the block, not sent.
     """
     weighted = "w" in asked.columns
     chunks, parts = max(1, -(-n // (16 * block))), max(1, -(-n // block))
@@ -55,29 +69,29 @@ def positive_ranks(asked: DataFrame, rows: DataFrame, keys: Sequence[str], n: in
     def count(a: pa.Table, b: pa.Table) -> pa.Table:
         of, out = [], []
         if a.num_rows and b.num_rows:
-            z, ids = matrix(b["z"], b.num_rows), b["at"].to_numpy()
+            base, ids = matrix(b["z"], b.num_rows), b["at"].to_numpy()
             owns = a["own"].combine_chunks()
             cut, places, scores = owns.offsets.to_numpy(), owns.values.field("at").to_numpy(), owns.values.field("own").to_numpy()
-            for s in range(0, a.num_rows, 64):
-                p = matrix(a["p"].slice(s, 64), min(64, a.num_rows - s))
-                if weighted:
-                    w = matrix(a["w"].slice(s, 64), len(p))
-                    p, size = p * w, np.sqrt((z * z) @ w.T)
-                else:
-                    size = np.linalg.norm(z, axis=1)[:, None]
-                size = size * np.linalg.norm(p, axis=1)[None, :]
-                score = np.round(np.where(size > 0, z @ p.T / np.where(size > 0, size, 1), 0.0), 9)
-                ordered = np.argsort(score, axis=0)
-                for j in range(len(p)):
-                    at, own = places[cut[s + j] : cut[s + j + 1]], scores[cut[s + j] : cut[s + j + 1]]
-                    rising = score[ordered[:, j], j]
-                    low, high = np.searchsorted(rising, own - TIE), np.searchsorted(rising, own + TIE, "right")
-                    before = (high - low == 1) & (ids[ordered[np.minimum(low, len(z) - 1), j]] < at)
-                    before = before.astype(np.int64)
-                    for k in np.flatnonzero(high - low > 1):
-                        before[k] = (ids[ordered[low[k] : high[k], j]] < at[k]).sum()
-                    of.append(np.full(len(at), s + j))
-                    out.append(np.stack([at, len(z) - high, high - low, before, np.full(len(at), len(z))]))
+            kind = a[vary].to_numpy() if vary else np.zeros(a.num_rows, np.int64)
+            prototypes = matrix(a["p"], a.num_rows)
+            masks = matrix(a["w"], a.num_rows) if weighted else None
+            for value in np.unique(kind):
+                z = make(int(value), ids, base) if vary else base
+                rows_of = np.flatnonzero(kind == value)
+                for some in (rows_of[s : s + 64] for s in range(0, len(rows_of), 64)):
+                    p = prototypes[some]
+                    if weighted:
+                        p, size = p * masks[some], np.sqrt((z * z) @ masks[some].T)
+                    else:
+                        size = np.linalg.norm(z, axis=1)[:, None]
+                    size = size * np.linalg.norm(p, axis=1)[None, :]
+                    score = np.round(np.where(size > 0, z @ p.T / np.where(size > 0, size, 1), 0.0), 9)
+                    ordered = np.argsort(score, axis=0)
+                    for j, row in enumerate(some):
+                        at, own = places[cut[row] : cut[row + 1]], scores[cut[row] : cut[row + 1]]
+                        high, equal, before = above(score[:, j], ordered[:, j], ids, at, own)
+                        of.append(np.full(len(at), row))
+                        out.append(np.stack([at, high, equal, before, np.full(len(at), len(z))]))
         of = np.concatenate(of) if of else np.zeros(0, np.int64)
         out = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
         return pa.table([*(a[c].take(pa.array(of)) for c in names), *(pa.array(c.astype(np.int64)) for c in out)], names=[*names, "at", "higher", "equal", "before", "seen"])

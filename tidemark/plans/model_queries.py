@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import cosine, hash_uniform
+from tidemark.functions.columns import cosine
 from tidemark.operators import bootstrap, models, ranking, resampling, splits, stats, vectors
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_z
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, nearest_train, sql_wide, wide, wide_scores
+from tidemark.sources.scratch import staged
 
 C = Catalog()
 QUERIES, SQL = C.queries, C.sql
@@ -128,22 +129,19 @@ def c15(spark, d):
     return rounded(x.groupBy("bin").agg(F.count("*").alias("n"), F.avg("dist").alias("mean")))
 
 
+def vectors_of(z, cols):
+    return z.select("id", F.array(*cols).alias("z"))
+
+
 @C.add("T19_noise_sweep")
 def t19(spark, d):
-    z, labels = wide(spark, d).select("id", *ZCOLS), pairs(spark, d)
-    draws = spark.range(50).withColumnRenamed("id", "rep").select("rep", F.explode(F.array(*map(F.lit, (0.0, 0.02, 0.05, 0.1, 0.2)))).alias("noise"))
-    # Normal noise by Box and Muller from two hash numbers of (level, draw, column, id).
-    level = F.round(F.col("noise") * 1000).cast("int")
-    normal = lambda i: F.sqrt(-2 * F.log(1 - hash_uniform(level, "rep", i, "id"))) * F.cos(6.283185307179586 * hash_uniform(level, "rep", i + 100, "id"))
-    noisy = z.crossJoin(draws).select("noise", "rep", "id", *((F.col(c) + F.col("noise") * normal(i)).alias(c) for i, c in enumerate(ZCOLS)))
-    proto = noisy.join(labels, "id").groupBy("noise", "rep", "agent").agg(*(F.avg(c).alias(f"p_{c}") for c in ZCOLS))
-    dot, nz, np_ = (sum((F.col(a) * F.col(b) for a, b in x), F.lit(0.0)) for x in ([(c, f"p_{c}") for c in ZCOLS], [(c, c) for c in ZCOLS], [(f"p_{c}", f"p_{c}") for c in ZCOLS]))
-    size = F.sqrt(nz) * F.sqrt(np_)
-    x = noisy.join(proto, ["noise", "rep"]).select("noise", "rep", "agent", "id", F.round(F.when(size == 0, 0.0).otherwise(dot / size), 9).alias("score"))
-    x = x.join(labels.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-    per = ranking.metrics(ranking.ranked(x, ["noise", "rep", "agent"]), ["noise", "rep", "agent"])
-    one = per.groupBy("noise", "rep").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS))
-    return rounded(one.groupBy("noise").agg(F.count("*").alias("draws"), F.max("agents").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
+    """Five noise levels of fifty draws: metrics of each level, averaged over agents, then over draws."""
+    levels = (0.0, 0.02, 0.05, 0.1, 0.2)
+    z = vectors_of(staged(wide(spark, d).select("id", *ZCOLS), "noise"), ZCOLS)
+    per = ranking.metrics(resampling.noise_sweep(z, pairs(spark, d), len(ZCOLS), levels), ["draw", "agent"])
+    one = per.groupBy("draw").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS))
+    noise = F.element_at(F.array(*map(F.lit, levels)), F.floor(F.col("draw") / 50).cast("int") + 1)
+    return rounded(one.groupBy(noise.alias("noise")).agg(F.count("*").alias("draws"), F.max("agents").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
 @C.add("T20_size_residual_test", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, r AS (SELECT id, avg_qty - (regr_intercept(avg_qty, n_lines) OVER () + regr_slope(avg_qty, n_lines) OVER () * n_lines) AS res FROM features), sc AS (SELECT agent, avg(res) AS score, count(*) AS n FROM pairs JOIN r USING (id) GROUP BY 1) SELECT agent, n, round(score, 6) AS score FROM sc WHERE n >= 2")
@@ -156,16 +154,12 @@ def t20(spark, d):
 
 @C.add("T21_matched_null")
 def t21(spark, d):
-    z, labels = wide(spark, d), pairs(spark, d)
-    scored = wide_scores(z, labels, ZCOLS)
-    stratum = z.select("id", F.floor(F.col("p_size") / 10).cast("int").alias("s"))
-    seen = ranking.macro(ranking.metrics(ranking.ranked(scored, ["agent"]), ["agent"]), ["mrr_best"]).select(F.col("mrr_best").alias("seen"))
-    base = scored.join(stratum, "id")
-    order = Window.partitionBy("rep", "agent", "s")
-    mixed = base.crossJoin(spark.range(200).withColumnRenamed("id", "rep")).withColumn("r", F.row_number().over(order.orderBy(F.md5(F.concat_ws("|", F.lit("9"), "rep", "id").cast("binary")), "id")))
-    place = mixed.withColumn("r2", F.row_number().over(order.orderBy("id"))).select("rep", "agent", "s", F.col("r2").alias("r"), "id", "positive")
-    x = mixed.select("rep", "agent", "s", "r", "score").join(place, ["rep", "agent", "s", "r"])
-    null = ranking.metrics(ranking.ranked(x, ["rep", "agent"]), ["rep", "agent"]).groupBy("rep").agg(F.avg("mrr_best").alias("m"))
+    """Scores permuted inside bands of ten sizes, 200 times."""
+    z = staged(wide(spark, d), "matched")
+    ranks = staged(ranking.ranked(wide_scores(z, pairs(spark, d), ZCOLS), ["agent"]), "ranks")
+    seen = ranking.macro(ranking.metrics(ranks, ["agent"]), ["mrr_best"]).select(F.col("mrr_best").alias("seen"))
+    null = resampling.matched_null(ranks, z.select("id", F.floor(F.col("p_size") / 10).cast("int").alias("s")))
+    null = ranking.metrics(null, ["rep", "agent"]).groupBy("rep").agg(F.avg("mrr_best").alias("m"))
     return rounded(stats.empirical_p(null, seen, [], "m", "seen"))
 
 
