@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine
-from tidemark.operators import bootstrap, models, ranking, resampling, splits, stats, vectors
+from tidemark.operators import bootstrap, logistic, models, ranking, resampling, splits, stats, vectors
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_z
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, nearest_train, sql_wide, wide, wide_scores
 from tidemark.sources.scratch import staged
@@ -22,7 +22,8 @@ def labelled(spark, d, agent: int = 3):
 
 @C.add("B05_logistic_regression")
 def b05(spark, d):
-    return rounded(models.linear(labelled(spark, d), ZCOLS, "y"), 4)
+    """A score of each agent's model for each id."""
+    return rounded(logistic.linear_scores(wide(spark, d).select("id", F.array(*ZCOLS).alias("x")), pairs(spark, d)), 4)
 
 
 @C.add("B06_random_forest")
@@ -152,6 +153,61 @@ def t20(spark, d):
     return rounded(pairs(spark, d).join(r, "id").groupBy("agent").agg(F.count("*").alias("n"), F.avg("res").alias("score")).filter("n >= 2"))
 
 
+PROBED = ["z_avg_qty", "z_avg_disc"]
+SIZES = ["z_p_size", "z_n_lines"]
+
+
+def residual_columns(z):
+    """`z` with the residual of each probed column on the two size columns."""
+    fit = vectors.plane_fit(z, PROBED, *SIZES)
+    plane = lambda y: F.col(f"r_{y}.c0") + F.col(f"r_{y}.ca") * F.col(SIZES[0]) + F.col(f"r_{y}.cb") * F.col(SIZES[1])
+    return z.crossJoin(F.broadcast(fit)).withColumns({f"{y}_resid": F.col(y) - plane(y) for y in PROBED}).select(*z.columns, *(f"{y}_resid" for y in PROBED))
+
+
+def top_preferences(z, labels, k: int = 10):
+    """(agent, n_positives, means of the probed columns and their residuals over the agent's first `k` rows)."""
+    w = Window.partitionBy("agent").orderBy(F.desc("score"), "id")
+    top = wide_scores(z, labels, ZCOLS).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("agent", "id")
+    size = labels.groupBy("agent").agg(F.count("*").alias("n_positives")).filter("n_positives >= 2")
+    cols = [c for y in PROBED for c in (y, f"{y}_resid")]
+    return top.join(z.select("id", *cols), "id").groupBy("agent").agg(*(F.avg(c).alias(c) for c in cols)).join(size, "agent")
+
+
+def _sql_plane(y: str) -> str:
+    a, b = SIZES
+    det = f"(var_pop({a}) * var_pop({b}) - covar_pop({a}, {b}) * covar_pop({a}, {b}))"
+    ca = f"((covar_pop({a}, {y}) * var_pop({b}) - covar_pop({b}, {y}) * covar_pop({a}, {b})) / {det})"
+    cb = f"((covar_pop({b}, {y}) * var_pop({a}) - covar_pop({a}, {y}) * covar_pop({a}, {b})) / {det})"
+    return f"{ca} AS ca_{y}, {cb} AS cb_{y}, avg({y}) - {ca} * avg({a}) - {cb} * avg({b}) AS c0_{y}"
+
+
+@C.add("T20_top_residuals", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, {sql_wide(ZCOLS)}, {sql_ranked('agent')}, ft AS (SELECT {', '.join(map(_sql_plane, PROBED))} FROM z), zr AS (SELECT id, {', '.join(f'{y}, {y} - (c0_{y} + ca_{y} * {SIZES[0]} + cb_{y} * {SIZES[1]}) AS {y}_resid' for y in PROBED)} FROM z, ft), np AS (SELECT agent, count(*) AS n_positives FROM pairs GROUP BY 1 HAVING count(*) >= 2) SELECT agent, max(n_positives) AS n_positives, {', '.join(f'round(avg({c}), 6) AS {c}' for y in PROBED for c in (y, y + '_resid'))} FROM ranked JOIN zr USING (id) JOIN np USING (agent) WHERE rank <= 10 GROUP BY agent")
+def t20_top(spark, d):
+    return rounded(top_preferences(staged(residual_columns(wide(spark, d)), "residuals"), pairs(spark, d)))
+
+
+def accessibility(z, labels, k: int = 10, repeats: int = 10_000, seed: int = 1):
+    """Per agent: means over its first `k` rows, two-sided p of the residuals' means against `repeats` draws of `k` of all rows, and
+    Benjamini-Hochberg flags over the agents; the correlation of each probed column with size. The null does not depend on the
+    agent, so all agents share its draws, which are counted by value, not met one by one."""
+    resid = [f"{y}_resid" for y in PROBED]
+    top = top_preferences(z, labels, k)
+    null = resampling.top_k_null(z.select("id", *resid), resid, k, repeats, seed)
+    sizes = null.groupBy("feature").agg(F.sort_array(F.collect_list(F.abs("null"))).alias("sizes"))  # `repeats` numbers a column
+    long = top.unpivot(["agent"], resid, "feature", "value").join(F.broadcast(sizes), "feature")
+    hits = F.size(F.filter("sizes", lambda v: v >= F.abs("value")))
+    p = long.select("agent", "feature", ((1 + hits) / (1 + F.size("sizes"))).alias("p"))
+    flagged = stats.corrections(p, "p", "agent", groups=["feature"]).select("agent", "feature", "p", "bh")
+    wide_p = flagged.groupBy("agent").agg(*(F.max(F.when(F.col("feature") == c, F.col(x))).alias(f"{x}_{c}") for c in resid for x in ("p", "bh")))
+    corr = z.agg(*(F.corr(y, SIZES[0]).alias(f"corr_{y}") for y in PROBED))
+    return top.join(wide_p, "agent").crossJoin(F.broadcast(corr))
+
+
+@C.add("T20_accessibility")
+def t20_test(spark, d):
+    return rounded(accessibility(staged(residual_columns(wide(spark, d)), "residuals"), pairs(spark, d)))
+
+
 @C.add("T21_matched_null")
 def t21(spark, d):
     """Scores permuted inside bands of ten sizes, 200 times."""

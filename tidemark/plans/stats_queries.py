@@ -9,6 +9,7 @@ from tidemark.functions.columns import cosine, hash_uniform
 from tidemark.operators import bootstrap, ranking, resampling, splits, stats, vectors
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_tail
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, PROTO, ZCOLS, ZF, EMBED, embedded, sql_wide, wide, wide_scores
+from tidemark.sources.scratch import staged
 
 C = Catalog()
 QUERIES, SQL = C.queries, C.sql
@@ -125,27 +126,69 @@ def t12(spark, d):
     return null_by_repeat(resampling.permutation_null(*standardised(spark, d)))
 
 
-@C.add("T13_fold_nulls")
-def t13(spark, d):
-    """p of the mean over five folds against random and permuted nulls of each fold, 1,000 a fold."""
+TESTED_METRICS = ["mrr_best", "recall_5", "ap"]
+
+
+def against_nulls(seen, nulls):
+    """(mode, metric, observed, null_mean, null_std, p, holm_significant): `seen` is one row, `nulls` (mode, rep, metrics).
+    Holm's step-down runs over the metrics of a mode."""
+    long = nulls.unpivot(["mode", "rep"], TESTED_METRICS, "metric", "value")
+    observed = seen.unpivot([], TESTED_METRICS, "metric", "observed")
+    both = long.join(F.broadcast(observed), "metric").groupBy("mode", "metric")
+    out = both.agg(F.max("observed").alias("observed"), F.avg("value").alias("null_mean"), F.stddev_samp("value").alias("null_std"), ((1 + F.count_if(F.col("value") >= F.col("observed"))) / (1 + F.count("*"))).alias("p"))
+    return stats.corrections(out, "p", "metric", groups=["mode"]).select("mode", "metric", "observed", "null_mean", "null_std", "p", F.col("holm_step").alias("holm_significant"))
+
+
+def mean_of(rows, *groups: str):
+    """Metrics of `groups`, averaged over agents."""
+    return ranking.metrics(rows, [*groups, "agent"]).groupBy(*groups).agg(*(F.avg(c).alias(c) for c in TESTED_METRICS))
+
+
+@C.add("C13_null_run")
+def c13(spark, d):
+    """The baselines' run: observed prototypes against 1,000 random rankings and 1,000 permutations of the rows."""
     z, labels, dim = standardised(spark, d)
-    seen, random, permuted = None, None, None
+    z, labels = staged(z, "null-vectors"), staged(labels, "null-labels")
+    seen = ranking.metrics(ranking.ranked(embedded(spark, d), ["agent"]), ["agent"]).agg(*(F.avg(c).alias(c) for c in TESTED_METRICS))
+    random = mean_of(resampling.random_null(labels, z.count()), "rep").withColumn("mode", F.lit("random"))
+    permuted = mean_of(resampling.permutation_null(z, labels, dim), "rep").withColumn("mode", F.lit("permutation"))
+    return rounded(against_nulls(seen, random.unionByName(permuted)))
+
+
+def fold_run(spark, d, folds: int = 5, repeats: int = 1000):
+    """(observed metrics of each fold (fold, …), nulls of each fold (mode, rep, fold, …)): the folds are `id % folds`."""
+    z, labels, dim = standardised(spark, d)
+    z, labels = staged(z, "fold-vectors"), staged(labels, "fold-labels")
+    seen = nulls = None
     join = lambda a, b: b if a is None else a.unionByName(b)
-    for fold in range(5):
-        test = z.filter(F.col("id") % 5 == fold).select("id")
-        mean = lambda rows: ranking.metrics(rows, ["rep", "agent"]).groupBy("rep").agg(F.avg("mrr_best").alias("m"))
+    for fold in range(folds):
+        test = z.filter(F.col("id") % folds == fold).select("id")
+        named = lambda rows, mode: mean_of(rows, "rep").select(F.lit(mode).alias("mode"), "rep", F.lit(fold).alias("fold"), *TESTED_METRICS)  # noqa: B023, E731
         known = labels.join(test, "id", "left_anti").select("agent").distinct()
         held = labels.join(test, "id", "left_semi").join(known, "agent", "left_semi")
-        random = join(random, mean(resampling.random_null(held, test.count(), seed=42 + fold)))
-        permuted = join(permuted, mean(resampling.permutation_null(z, labels, dim, seed=42 + fold, tested=test)))
-        train = z.join(labels, "id").join(test, "id", "left_anti")
-        proto = vectors.mean_vector(train, "z", "agent", "p")
+        nulls = join(nulls, named(resampling.random_null(held, test.count(), repeats, seed=42 + fold), "random"))
+        nulls = join(nulls, named(resampling.permutation_null(z, labels, dim, repeats, seed=42 + fold, tested=test), "permutation"))
+        proto = vectors.mean_vector(z.join(labels, "id").join(test, "id", "left_anti"), "z", "agent", "p")
         scored = z.join(test, "id", "left_semi").crossJoin(proto).select("agent", "id", F.round(cosine(F.col("z"), F.col("p")), 9).alias("score"))
         scored = scored.join(held.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-        seen = join(seen, ranking.metrics(ranking.ranked(scored, ["agent"]), ["agent"]).agg(F.avg("mrr_best").alias("m")))
-    seen = seen.agg(F.avg("m").alias("seen"))
-    p = lambda null, mode: stats.empirical_p(null, seen, [], "m", "seen").select(F.lit(mode).alias("mode"), "p")
-    return rounded(p(random, "random").unionByName(p(permuted, "permutation")))
+        own = ranking.metrics(ranking.ranked(scored, ["agent"]), ["agent"]).agg(*(F.avg(c).alias(c) for c in TESTED_METRICS))
+        seen = join(seen, own.select(F.lit(fold).alias("fold"), *TESTED_METRICS))
+    return seen, nulls
+
+
+@C.add("T13_fold_nulls")
+def t13(spark, d):
+    """p of the mean over five folds against random and permuted nulls of each fold, 1,000 a fold."""
+    seen, nulls = fold_run(spark, d)
+    seen = seen.agg(F.avg("mrr_best").alias("seen"))
+    return rounded(stats.empirical_p(nulls.select("mode", F.col("mrr_best").alias("m")), seen.select(F.explode(F.array(F.lit("random"), F.lit("permutation"))).alias("mode"), "seen"), ["mode"], "m", "seen"))
+
+
+@C.add("C14_fold_nulls")
+def c14(spark, d):
+    """The folds' run: means over folds against each fold's nulls, for three metrics, with Holm's step-down."""
+    seen, nulls = fold_run(spark, d)
+    return rounded(against_nulls(seen.agg(*(F.avg(c).alias(c) for c in TESTED_METRICS)), nulls))
 
 
 BRANDS = "x AS (SELECT p_brand, p_partkey AS o, p_retailprice AS v FROM part)"
