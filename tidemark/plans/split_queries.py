@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import keys
+from tidemark.functions import array_pages, keys
 from tidemark.operators import splits, stats, structure
 from tidemark.plans.base import SQL_FEATURES, SQL_PAIRS, Catalog, features, pairs, read, rounded
 
@@ -144,15 +144,76 @@ def l04(spark, d):
     return splits.group_folds(keys.structure_keys(sequences(spark, d), "id", "wurcs", "iupac"), "linkage_key", 4)
 
 
-@C.add("X12_link_predicate", "SELECT page_id, regexp_matches(url, '(?i)/(en|de)/\\d+') AS hit FROM pages")
+# Links of pages in the registry's eight manners, by page.
+MANNERS = ["/primscreen/{n}", "list/experiment_{n}", "view/EXP{n}", "Request/{n}", "data/CFG{n}", "run-Pa{n}", "view?run={n}", "about"]
+SAID = ["Lectin: SNA-{n}, array v5.{n} of 3/14/2009", "protein\tConA; v4.{n} array, 2011-02-{d}", "Sample  W{n} version 3.1 on Mar {d}, 2012", "no date", "Protein: X1 then lectin: L{n} version 2 (December 1 2010)", "sample:", "array version 7", "March {d} 2014 and 2014-03-01"]
+
+
+def _case(column, kinds: list[str]):
+    out = None
+    for k, text in enumerate(kinds[:-1]):
+        out = F.when(column % len(kinds) == k, F.lit(text)) if out is None else out.when(column % len(kinds) == k, F.lit(text))
+    return out.otherwise(F.lit(kinds[-1]))
+
+
+def _filled(kinds: list[str]):
+    page = F.col("page_id")
+    return F.replace(F.replace(_case(page, kinds), F.lit("{n}"), page.cast("string")), F.lit("{d}"), F.lpad((page % 28 + 1).cast("string"), 2, "0"))
+
+
+def _sql_filled(kinds: list[str]) -> str:
+    cases = " ".join(f"WHEN {k} THEN '{text}'" for k, text in enumerate(kinds)).replace("\t", "' || chr(9) || '")
+    return f"replace(replace(CASE page_id % {len(kinds)} {cases} END, '{{n}}', page_id::VARCHAR), '{{d}}', lpad((page_id % 28 + 1)::VARCHAR, 2, '0'))"
+
+
+def _sql_first(text: str, patterns) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({text}, '(?i){p}', 1), '')" for p in patterns) + ")"
+
+
+MANNER_SQL = f"m AS (SELECT page_id, url, {_sql_filled(MANNERS)} AS href, CASE WHEN page_id % 3 = 0 THEN 'Run ' || page_id ELSE 'details' END AS name FROM pages)"
+ID_SQL = f"coalesce({_sql_first('href || chr(32) || name', array_pages.IDS)}, 'exp_' || nullif(regexp_extract(href || ' ' || name, '\\d+'), ''))"
+
+
+def linked(spark, d):
+    name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Run "), F.col("page_id").cast("string"))).otherwise("details")
+    return read(spark, d, "pages").select("page_id", "url", _filled(MANNERS).alias("href"), name.alias("name"))
+
+
+@C.add("X12_link_predicate", f"WITH {MANNER_SQL} SELECT page_id, href, regexp_matches(href || ' ' || name, '(?i){'|'.join(array_pages.LINKS)}') AS hit FROM m")
 def x12(spark, d):
-    return read(spark, d, "pages").select("page_id", F.col("url").rlike(r"(?i)/(en|de)/\d+").alias("hit"))
+    return linked(spark, d).select("page_id", "href", array_pages.is_experiment(F.col("href"), F.col("name")).alias("hit"))
 
 
-@C.add("X13_experiment_id", "SELECT page_id, coalesce(nullif(regexp_extract(url, 'page=(\\d+)', 1), ''), nullif(regexp_extract(url, '/en/(\\d+)', 1), ''), 'exp_' || regexp_extract(url, '(\\d+)', 1)) AS exp FROM pages")
+@C.add("X13_experiment_id", f"WITH {MANNER_SQL} SELECT page_id, href, {ID_SQL} AS exp FROM m")
 def x13(spark, d):
-    u = F.col("url")
-    return read(spark, d, "pages").select("page_id", F.coalesce(keys.first_match(u, r"page=(\d+)", r"/en/(\d+)"), F.concat(F.lit("exp_"), F.regexp_extract(u, r"(\d+)", 1))).alias("exp"))
+    return linked(spark, d).select("page_id", "href", array_pages.experiment_id(F.col("href"), F.col("name")).alias("exp"))
+
+
+@C.add("S14_experiment_links", f"""WITH {MANNER_SQL}, e AS (SELECT page_id, url, href, name, {ID_SQL} AS id, CASE page_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'list' ELSE 'any' END AS layout FROM m WHERE page_id % 4 <> 3 AND regexp_matches(href || ' ' || name, '(?i){'|'.join(array_pages.LINKS)}')),
+ u AS (SELECT page_id, layout, id, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS url, name FROM e WHERE id IS NOT NULL)
+SELECT * FROM u UNION ALL SELECT page_id, layout, id, url, 'again' FROM u WHERE layout = 'list'""")
+def s14(spark, d):
+    """Pages in three layouts, each with its link twice, other links and rows of one cell: links of the first layout that shows any."""
+    x = linked(spark, d)
+    link = lambda name: F.concat(F.lit("<a class=x href='"), F.col("href"), F.lit("'><b>"), name, F.lit("</b></a>"))
+    a, b = link(F.col("name")), link(F.lit("again"))
+    cell = lambda *parts: F.concat(*(F.concat(F.lit("<td>"), p, F.lit("</td>")) for p in parts))
+    noise = F.lit("<p><a href='about'>About</a></p><table><tr><td><a href='/primscreen/999'>one cell</a></td></tr></table>")
+    table = F.concat(F.lit("<table><tr>"), cell(a, b), F.lit("</tr></table>"), F.lit("<ul><li><a href='/primscreen/777'>x</a></li></ul>"))
+    items = F.concat(F.lit("<ol><li>"), a, F.lit("</li><LI>"), b, F.lit("</LI></ol><a href='/primscreen/888'>loose</a>"))
+    kind = F.col("page_id") % 4
+    html = F.when(kind == 0, F.concat(noise, table)).when(kind == 1, F.concat(F.lit("<a href='about'>About</a>"), items)).when(kind == 2, F.concat(a, F.lit(" "), b)).otherwise(F.lit("<p>nothing</p>"))
+    shown = array_pages.experiments(x.withColumn("html", html))
+    return shown
+
+
+SAID_COLUMN = "said"
+
+
+@C.add("X15_page_metadata", f"WITH s AS (SELECT page_id, {_sql_filled(SAID)} AS said FROM pages) SELECT page_id, {', '.join(f'{_sql_first(SAID_COLUMN, p)} AS {c}' for c, p in (('lectin', array_pages.LECTINS), ('array_version', array_pages.VERSIONS), ('experiment_date', array_pages.DATES)))} FROM s")
+def x15(spark, d):
+    said = read(spark, d, "pages").select("page_id", _filled(SAID).alias("said"))
+    return said.select("page_id", *(c.alias(n) for n, c in array_pages.page_metadata(F.col("said")).items()))
 
 
 HREF = "regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)"
@@ -163,8 +224,8 @@ def x14(spark, d):
     return read(spark, d, "pages").select("page_id", F.explode(keys.links(F.col("html"))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@C.add("X15_page_metadata", "SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, coalesce(nullif(regexp_extract(html, 'lang=\"([a-z]+)\"', 1), ''), 'none') AS lang FROM pages")
-def x15(spark, d):
+@C.add("X15_title_and_language", "SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, coalesce(nullif(regexp_extract(html, 'lang=\"([a-z]+)\"', 1), ''), 'none') AS lang FROM pages")
+def x15_title(spark, d):
     h = F.col("html")
     return read(spark, d, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract(h, "<title>([^<]*)</title>", 1)), F.lit("")).alias("title"), F.coalesce(keys.first_match(h, 'lang="([a-z]+)"'), F.lit("none")).alias("lang"))
 
