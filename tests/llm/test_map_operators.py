@@ -340,3 +340,22 @@ def test_every_code_point(library):
     assert token_counts.count_batch(texts, BPE).tolist() == [len(e.ids) for e in want]
     encode = packing.encoder(BPE).encode
     assert all(encode(t).tolist() == e.ids for t, e in zip(texts, want))
+
+
+def test_a_long_run_of_letters_is_segmented_in_linear_time():
+    model, _ = piece_lattice.pieces(SPM)
+    text = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150_000))
+    began = time.time()
+    got = model.nbest(text, 4)
+    assert time.time() - began < 60 and len(got) == 4 and len({ids for _, ids in got}) == 4
+    best, _, _ = model.solve(text)
+    assert got[0][0] == pytest.approx(best) and all(a >= b for (a, _), (b, _) in zip(got, got[1:]))
+    assert all(model.decode(ids) == text for _, ids in got)
+
+
+def test_states_of_one_long_piece_are_bounded():
+    merges, _ = token_counts.load(BPE)
+    text = "".join(random.Random(4).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    want = len(Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids)
+    merges.max_states = 500
+    assert merges.count(text.encode()) == want and len(merges.states) <= 502

@@ -57,6 +57,22 @@ def fields(raw: bytes) -> Iterator[tuple[int, int, object, int, int]]:
         yield tag >> 3, kind, value, begin, at
 
 
+class Suffix:
+    """Ids of the end of a path, as a chain of edges that suffixes share."""
+
+    __slots__ = ("own", "rest")
+
+    def __init__(self, own: tuple[int, ...], rest: Suffix | None) -> None:
+        self.own, self.rest = own, rest
+
+    def ids(self) -> tuple[int, ...]:
+        out, at = [], self
+        while at is not None:
+            out += at.own
+            at = at.rest
+        return tuple(out)
+
+
 class Pieces:
     """Vocabulary and normalisation flags of a model file."""
 
@@ -93,6 +109,7 @@ class Pieces:
         # Scores of pieces (none is positive), None for what only begins a piece.
         self.steps: dict[str, float | None] = {p: None for p in self.prefixes} | {p: min(v, 0.0) for p, v in self.score.items()}
         self.score = {p: min(v, 0.0) for p, v in self.score.items()}
+        self.longest = max(map(len, self.score), default=1)
         self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.solved: dict[str, tuple[float, float, np.ndarray]] = {}
         self.lists: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
@@ -122,6 +139,15 @@ class Pieces:
         if not single:
             yield i + 1, self.unknown_score
 
+    def edges_into(self, part: str, at: int) -> Iterator[tuple[int, float]]:
+        """Begins and scores of the edges that end at `at`."""
+        score = self.score
+        for i in range(max(0, at - self.longest), at - 1):
+            s = score.get(part[i:at])
+            if s is not None:
+                yield i, s
+        yield at - 1, score.get(part[at - 1 : at], self.unknown_score)
+
     def numbers(self, sub: str) -> tuple[int, ...]:
         n = self.id.get(sub)
         return (n,) if n is not None else self.unknown(sub)
@@ -189,28 +215,40 @@ class Pieces:
     def nbest(self, part: str, count: int) -> list[tuple[float, tuple[int, ...]]]:
         """The `count` best segmentations (fewer if there are not as many), best first, as scores and ids.
 
-        Backward A-star: a queue entry is a suffix path; its priority is the suffix's score plus the forward Viterbi score
-        of the place where it begins, which is exact. Ties: fewer ids in the suffix, then smaller ids.
+        Backward A-star: a queue entry is a suffix path; its priority is the suffix's score plus the forward Viterbi score of the
+        place where it begins, which is exact, and among equal ones the number of ids, known in the same way. What still ties is
+        followed to its end before others, so that a long part full of ties ends; of such paths those met first are returned.
+        Memory is linear in the part: suffixes share their ends, edges are found where a suffix is extended, and only as many
+        entries are kept as paths are asked for, with some room for rounding.
         """
         n = len(part)
-        forward = [-INF] * (n + 1)
+        forward, fewest = [-INF] * (n + 1), [0] * (n + 1)
         forward[0] = 0.0
-        into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for i in range(n):
+            here, ids = forward[i], fewest[i]
             for j, s in self.edges(part, i):
-                into[j].append((i, s))
-                forward[j] = max(forward[j], forward[i] + s)
-        queue = [(-forward[n], 0, (), n, 0.0)]
+                v = here + s
+                if v >= forward[j]:
+                    k = ids + len(self.numbers(part[i:j]))
+                    if v > forward[j] or k < fewest[j]:
+                        forward[j], fewest[j] = v, k
+        queue = [(-forward[n], fewest[n], n, 0, 0.0, 0, Suffix((), None))]
         found: list[tuple[float, tuple[int, ...]]] = []
+        made, room = 0, 16 * count + 64
         while queue and len(found) < count:
-            _, _, ids, at, score = heapq.heappop(queue)
+            _, _, at, _, score, length, suffix = heapq.heappop(queue)
             if not at:
-                found.append((score, ids))
+                found.append((score, suffix.ids()))
                 continue
-            for i, s in into[at]:
-                new = (*self.numbers(part[i:at]), *ids)
-                heapq.heappush(queue, (-(score + s + forward[i]), len(new), new, i, score + s))
-        return found
+            for i, s in self.edges_into(part, at):
+                own = self.numbers(part[i:at])
+                made += 1
+                k = length + len(own)
+                heapq.heappush(queue, (-(score + s + forward[i]), k + fewest[i], i, made, score + s, k, Suffix(own, suffix)))
+            if len(queue) > room:
+                # Each entry stands for paths of its own, the best of which has the entry's priority.
+                queue = heapq.nsmallest(4 * count + 16, queue)
+        return sorted(found, key=lambda x: (-x[0], len(x[1]), x[1]))
 
     def listed(self, part: str, count: int) -> list[tuple[float, tuple[int, ...]]]:
         found = self.lists.get(part)

@@ -165,6 +165,16 @@ class MergeTransducer:
         first = (b"", (None,), (0,))
         self.ids, self.states, self.next = {first: 0}, [first], [{}]
 
+    def _restart(self, state: int) -> int:
+        """Forget all states but the first and `state`, which gets a new number."""
+        kept = self.states[state]
+        self._clear()
+        if kept not in self.ids:
+            self.ids[kept] = len(self.states)
+            self.states.append(kept)
+            self.next.append({})
+        return self.ids[kept]
+
     def follows(self, a: bytes, b: bytes) -> bool:
         """Whether the merges of a + b stop at these two tokens: no merge across the border comes first."""
         found = self.pairs.get((a, b))
@@ -205,11 +215,14 @@ class MergeTransducer:
     def count(self, piece: bytes) -> int:
         found = self.known.get(piece)
         if found is None:
-            if len(self.states) > self.max_states:
-                self._clear()
             state, found, step = 0, 0, self.next
             for byte in piece:
-                hop = step[state].get(byte) or self.compile(state, byte)
+                hop = step[state].get(byte)
+                if hop is None:
+                    if len(self.states) > self.max_states:
+                        state = self._restart(state)
+                        step = self.next
+                    hop = self.compile(state, byte)
                 state = hop[0]
                 found += hop[1]
             if len(piece) <= 64:
