@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine
 from tidemark.operators import bootstrap, logistic, models, ranking, resampling, splits, stats, vectors
+from tidemark.operators.counting import positive_ranks
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_z
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, nearest_train, sql_wide, wide, wide_scores
 from tidemark.sources.scratch import staged
@@ -113,13 +114,36 @@ def g31(spark, d):
     return rounded(s.join(features(spark, d), "id").groupBy(part.alias("part")).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in FEATURES)))
 
 
-@C.add("C05_source_evaluation_ci")
+CROSSED = ["mrr_best", "recall_5", "recall_10", "ap"]
+CROSS_SQL = f"""WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, sp AS (SELECT DISTINCT id, agent, data_source FROM rawpairs), so AS (SELECT data_source FROM sp GROUP BY 1 HAVING count(*) >= 10), dr AS (SELECT a.data_source AS tr, b.data_source AS te, a.data_source || '>' || b.data_source AS direction FROM so a JOIN so b ON a.data_source <> b.data_source),
+ tn AS (SELECT direction, agent, id FROM sp JOIN dr ON tr = data_source), ka AS (SELECT direction, agent FROM tn GROUP BY 1, 2 HAVING count(*) >= 2), tt AS (SELECT direction, agent, id FROM sp JOIN dr ON te = data_source JOIN ka USING (direction, agent)),
+ pr AS (SELECT direction, agent, {', '.join(f'avg({c}) AS p_{c}' for c in ZCOLS)} FROM tn JOIN ka USING (direction, agent) JOIN z USING (id) GROUP BY 1, 2), s0 AS (SELECT direction, agent, z.id, {' + '.join(f'{c} * p_{c}' for c in ZCOLS)} AS dp, sqrt({' + '.join(f'{c} * {c}' for c in ZCOLS)}) * sqrt({' + '.join(f'p_{c} * p_{c}' for c in ZCOLS)}) AS nn FROM z, pr),
+ scored AS (SELECT s0.direction, s0.agent, s0.id, round(CASE WHEN nn = 0 THEN 0 ELSE dp / nn END, 9) AS score, t.id IS NOT NULL AS positive FROM s0 LEFT JOIN tt t ON t.direction = s0.direction AND t.agent = s0.agent AND t.id = s0.id), {sql_ranked('direction, agent')}, per AS ({FULL.format(g='direction, agent')}),
+ lg AS ({' UNION ALL '.join(f"SELECT direction, agent, '{m}' AS metric, {m} AS value FROM per WHERE {m} IS NOT NULL" for m in CROSSED)}), x AS (SELECT direction, metric, agent AS o, value AS v FROM lg), {sql_bootstrap('direction, metric', 42, 'avg')}, iv AS (SELECT direction, metric, {SQL_INTERVAL} FROM b GROUP BY 1, 2), ob AS (SELECT direction, metric, count(*) AS agents, avg(value) AS observed FROM lg GROUP BY 1, 2)"""
+
+
+@C.add("C05_source_evaluation_ci", f"{CROSS_SQL} SELECT direction, metric, agents, round(observed, 6) AS observed, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ob JOIN iv USING (direction, metric)")
 def c05(spark, d):
-    labels = pairs(spark, d, distinct=False).filter("data_source = 'N'").select("id", "agent").distinct()
-    per = ranking.metrics(ranking.ranked(wide_scores(wide(spark, d), labels, ZCOLS), ["agent"]), ["agent"])
-    boot = splits.resample(per, "mrr_best", "agent", 1000, 42).groupBy("rep").agg(F.avg("mrr_best").alias("m"))
-    q = lambda p: F.percentile("m", F.lit(p))
-    return rounded(boot.agg(F.avg("m").alias("mean"), q(0.025).alias("lo"), q(0.975).alias("hi")))
+    """Prototypes learnt from one source rank the other's positives, for every ordered pair of sources with ten pairs or more;
+    bootstrap intervals of each metric's mean over agents."""
+    own = pairs(spark, d, distinct=False).select("id", "agent", "data_source").distinct()
+    sources = own.groupBy("data_source").agg(F.count("*").alias("n")).filter("n >= 10").select("data_source")
+    ways = sources.select(F.col("data_source").alias("tr")).join(sources.select(F.col("data_source").alias("te")), F.col("tr") != F.col("te")).withColumn("direction", F.concat("tr", F.lit(">"), "te"))
+    z = staged(wide(spark, d).select("id", *ZCOLS), "crossed")
+    train = own.join(ways, F.col("tr") == F.col("data_source")).select("direction", "agent", "id")
+    known = train.groupBy("direction", "agent").agg(F.count("*").alias("c")).filter("c >= 2").select("direction", "agent")
+    test = own.join(ways, F.col("te") == F.col("data_source")).select("direction", "agent", "id").join(known, ["direction", "agent"], "left_semi")
+    proto = train.join(known, ["direction", "agent"], "left_semi").join(z, "id").groupBy("direction", "agent").agg(*(F.avg(c).alias(f"p_{c}") for c in ZCOLS))
+    add = lambda g: sum((g(c) for c in ZCOLS), F.lit(0.0))
+    size = F.sqrt(add(lambda c: F.col(c) * F.col(c))) * F.sqrt(add(lambda c: F.col(f"p_{c}") * F.col(f"p_{c}")))
+    score = F.round(F.when(size == 0, 0.0).otherwise(add(lambda c: F.col(c) * F.col(f"p_{c}")) / size), 9)
+    asked = test.join(z, "id").join(proto, ["direction", "agent"]).select("direction", "agent", F.col("id").alias("at"), score.alias("own"), F.array(*(f"p_{c}" for c in ZCOLS)).alias("p"))
+    rows = z.select(F.col("id").alias("at"), F.array(*ZCOLS).alias("z"))
+    per = staged(ranking.metrics(positive_ranks(asked, rows, ["direction", "agent"], z.count(), 150), ["direction", "agent"]), "crossed-metrics")
+    long = per.unpivot(["direction", "agent"], CROSSED, "metric", "value").filter("value is not null")
+    seen = long.groupBy("direction", "metric").agg(F.count("*").alias("agents"), F.avg("value").alias("observed"))
+    drawn = bootstrap.interval(bootstrap.bootstrap(long, "value", "agent", 1000, 42, ["direction", "metric"]), ["direction", "metric"])
+    return rounded(seen.join(drawn, ["direction", "metric"]).select("direction", "metric", "agents", "observed", "mean", "lo", "hi"))
 
 
 @C.add("C15_distance_bins", "WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), nr AS (SELECT t.id, round(min(list_distance(t.e, s.e)), 9) AS dist FROM x t, x s WHERE t.id % 5 = 0 AND s.id % 5 <> 0 GROUP BY 1), q AS (SELECT quantile_cont(dist, 0.25) AS a, quantile_cont(dist, 0.5) AS b, quantile_cont(dist, 0.75) AS c FROM nr) SELECT CASE WHEN dist <= a THEN 1 WHEN dist <= b THEN 2 WHEN dist <= c THEN 3 ELSE 4 END AS bin, count(*) AS n, round(avg(dist), 6) AS mean FROM nr, q GROUP BY 1")

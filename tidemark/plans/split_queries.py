@@ -51,9 +51,20 @@ def l03(spark, d):
     return splits.group_folds(scaffold(spark, d), "key", 5)
 
 
-@C.add("L03_fold_loads", f"WITH {SCAFFOLD} SELECT count(*) AS groups, sum(n)::BIGINT AS rows FROM (SELECT key, count(*) AS n FROM k GROUP BY 1)")
+@C.add("L03_fold_loads", f"""WITH RECURSIVE {SCAFFOLD}, g AS (SELECT key, count(*) AS n FROM k GROUP BY 1), o AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM g),
+ w(i, loads) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL SELECT o.i, list_transform(w.loads, lambda v, j: v + CASE WHEN j = list_position(w.loads, list_min(w.loads)) THEN o.n ELSE 0 END) FROM w JOIN o ON o.i = w.i + 1),
+ last AS (SELECT loads FROM w ORDER BY i DESC LIMIT 1), every AS (SELECT unnest(loads) AS load FROM last)
+SELECT (row_number() OVER (ORDER BY load, 1) - 1)::BIGINT AS place, load, (SELECT count(*) FROM g) AS groups, (SELECT sum(n)::BIGINT FROM g) AS rows, 1::BIGINT AS folds_of_a_group FROM every""")
 def l03b(spark, d):
-    return splits.group_folds(scaffold(spark, d), "key", 5).agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
+    """Loads of the five folds, least first, beside the numbers of groups and rows, and in how many folds a group lies at most."""
+    x = scaffold(spark, d)
+    folds = splits.group_folds(x, "key", 5)
+    loads = folds.groupBy("fold").agg(F.sum("n").alias("load"))
+    loads = spark.range(5).select(F.col("id").cast("int").alias("fold")).join(loads, "fold", "left").select(F.coalesce("load", F.lit(0)).alias("load"))
+    totals = folds.agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
+    most = x.select("key").join(folds, "key").groupBy("key").agg(F.countDistinct("fold").alias("f")).agg(F.max("f").alias("folds_of_a_group"))
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("load")) - 1  # five rows
+    return loads.withColumn("place", place.cast("long")).crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(most))
 
 
 @C.add("L07_cross_source_split", f"WITH {SQL_PAIRS}, a AS (SELECT DISTINCT id, agent FROM rawpairs WHERE data_source = 'A'), b AS (SELECT DISTINCT id, agent FROM rawpairs WHERE data_source = 'N'), k AS (SELECT agent FROM a GROUP BY 1 HAVING count(*) >= 12) SELECT id, agent, 'train' AS side FROM a UNION ALL SELECT id, agent, 'test' FROM b WHERE agent IN (SELECT agent FROM k)")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import falsy, human_size, ladder
+from tidemark.functions.columns import falsy, hash_uniform, human_size, ladder
 from tidemark.operators import audit, stats
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_PAIRS, Catalog, features, pairs, read, rounded
 
@@ -473,9 +474,16 @@ def x26(spark, d):
     return n.select("agent", "n", "t", F.explode(F.array(*map(F.lit, (1.0, 0.8, 0.5, 0.2)))).alias("completeness")).select("agent", "completeness", F.round(F.col("n") / F.col("t") / F.col("completeness"), 6).alias("prior"))
 
 
-@C.add("X28_backoff", "SELECT a AS attempt, least(1.0 * pow(2, a), 60.0)::DOUBLE AS delay FROM range(10) t(a)")
+# A user's events of one type are its attempts; each waits twice as long as the one before, at most a minute, and up to a tenth more.
+ATTEMPT = "row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1"
+
+
+@C.add("X28_backoff", f"WITH a AS (SELECT event_id, {ATTEMPT} AS attempt FROM events), b AS (SELECT *, least(pow(2.0, least(attempt, 40)), 60.0) AS base, ('0x' || substr(md5('28|' || event_id || '|' || attempt), 1, 8))::BIGINT / 4294967296.0 AS u FROM a) SELECT event_id, attempt, round(base, 6) AS base, round(base * (1 + 0.1 * u), 6) AS delay FROM b")
 def x28(spark, d):
-    return spark.range(10).select(F.col("id").alias("attempt"), F.least(F.lit(1.0) * F.pow(F.lit(2.0), F.col("id")), F.lit(60.0)).alias("delay"))
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    a = read(spark, d, "events").select("event_id", (F.row_number().over(w) - 1).cast("long").alias("attempt"))
+    base = F.least(F.pow(F.lit(2.0), F.least("attempt", F.lit(40))), F.lit(60.0))
+    return a.select("event_id", "attempt", F.round(base, 6).alias("base"), F.round(base * (1 + 0.1 * hash_uniform(28, "event_id", "attempt")), 6).alias("delay"))
 
 
 @C.add("P15_falsy_default", "SELECT event_id, coalesce(nullif(props, ''), 'none') AS p FROM events")
