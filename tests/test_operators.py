@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys
-from tidemark.operators import models, ranking, splits, stats, structure, vectors
+from tidemark.operators import bootstrap, models, ranking, splits, stats, structure, vectors
 
 
 def one(df):
@@ -223,8 +223,8 @@ def test_survey_counts_of_draws(spark, monkeypatch):
     rows = {round(r.noise, 2): r for r in queries["T19_noise_sweep"](spark, folder).collect()}
     assert sorted(rows) == [0.0, 0.02, 0.05, 0.1, 0.2] and {r.draws for r in rows.values()} == {50}
     assert rows[0.0].mrr_best != rows[0.2].mrr_best
-    resample, forest = splits.resample, models.forest
-    monkeypatch.setattr(splits, "resample", lambda df, v, k, n, *a, **b: seen.update(c05=n) or resample(df, v, k, n, *a, **b))
+    real = bootstrap.bootstrap
+    monkeypatch.setattr(bootstrap, "bootstrap", lambda df, v, k, n, *a, **b: seen.update(c05=n) or real(df, v, k, n, *a, **b))
     monkeypatch.setattr(models, "forest", lambda *a, **b: seen.update(b06=(b["trees"], b["depth"])) or a[0])
     monkeypatch.setattr(stats, "empirical_p", lambda null, *a: null)
     queries["C05_source_evaluation_ci"](spark, folder)

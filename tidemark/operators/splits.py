@@ -8,8 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hash_uniform
-
 
 def iid_split(ids: DataFrame, key: str, test_share: float, seed: int) -> DataFrame:
     """(key, side): the first max(1, int(n * share)) ids in hash order are the test side.
@@ -83,16 +81,3 @@ def cross_source(pairs: DataFrame, train: str, test: str, source: str = "data_so
     b = pairs.filter(F.col(source) == test).select("id", "agent").distinct()
     known = a.groupBy("agent").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pos)
     return a.withColumn("side", F.lit("train")).unionByName(b.join(known, "agent", "left_semi").select("id", "agent").withColumn("side", F.lit("test")))
-
-
-def resample(df: DataFrame, value: str, order: str, repeats: int, seed: int, groups: tuple[str, ...] = ()) -> DataFrame:
-    """(groups, rep, i, value): `repeats` bootstrap samples with replacement by hash numbers."""
-    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    x = df.select(*groups, value, (F.row_number().over(part.orderBy(order)) - 1).alias("at"), F.count("*").over(part).alias("n"))
-    # Few rows become many: they are spread first, and not drawn together again by their small size.
-    spread = x.select(*groups, F.col("at").alias("i"), "n").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i", *groups)
-    draws = spread.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    u = hash_uniform(seed, "rep", *groups, "i")
-    draws = draws.withColumn("at", F.floor(u * F.col("n")).cast("int")).drop("n")
-    # The draws are `repeats` times the values, which Spark's estimate does not see: without the hint it would broadcast them.
-    return draws.join(x.select(*groups, "at", value).hint("shuffle_hash"), [*groups, "at"]).select(*groups, "rep", "i", value)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys
 from tidemark.functions.columns import falsy
-from tidemark.operators import splits, stats
+from tidemark.operators import stats
 from tidemark.plans.base import SQL_FEATURES, SQL_PAIRS, Catalog, features, pairs, read, rounded
 from tidemark.plans.stats_queries import LONG_SQL, MWU, PVAL, tested
 

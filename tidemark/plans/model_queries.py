@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine
-from tidemark.operators import bootstrap, logistic, models, ranking, resampling, splits, stats, vectors
+from tidemark.operators import bootstrap, logistic, models, ranking, resampling, stats, vectors
 from tidemark.operators.counting import positive_ranks
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_z
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, nearest_train, sql_wide, wide, wide_scores

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import cityblock, cosine, euclidean, norm
+from tidemark.functions.columns import cityblock, cosine, euclidean
 from tidemark.operators import ablation, ranking, vectors
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_METRICS, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_tail, sql_z
 from tidemark.sources.scratch import staged

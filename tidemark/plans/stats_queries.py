@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import cosine, hash_uniform
 from tidemark.operators import bootstrap, ranking, resampling, splits, stats, vectors
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_tail
-from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, PROTO, ZCOLS, ZF, EMBED, embedded, sql_wide, wide, wide_scores
+from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, embedded, sql_wide, wide, wide_scores
 from tidemark.sources.scratch import staged
 
 C = Catalog()
