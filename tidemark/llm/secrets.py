@@ -1,7 +1,7 @@
 """Secret scans: three base patterns and an assignment-aware lexer.
 
-The lexer reads source and configuration syntax (Python, shell, JSON, YAML, INI, call arguments)
-into pairs of a name and the literals assigned to it. Names that get a constant are remembered, so
+The lexer reads source and configuration syntax (Python, shell, JSON, YAML, INI, XML, call arguments,
+subscripts, typed names, lists, labelled values, setters) into pairs of a name and the literals assigned to it. Names that get a constant are remembered, so
 that `k = "…"; password = k` and `"…" + k` lead back to the literals. Each literal that reaches a
 sensitive name is scored by that name and by how random it looks; spans of literals that pass are
 added to the base spans, unless a base span holds them already.
@@ -53,10 +53,22 @@ TOKEN = {(block, strings): grammar("", REGIONS if block else LINES, strings) for
 REMARK = {(block, strings): grammar(r"|\#+|//+|/?\*+/?", r"(?!)", strings) for block in (False, True) for strings in (False, True)}
 LEAD = re.compile(r"\s*(?:(?:\#+|//+|/?\*+)\s*)?(?:export\s+|set\s+|-\s+|ENV\s+)?[\"']?")
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]#]+")
+MEMBER = re.compile(r"\??(?:\.|->)[A-Za-z_$][\w$.]*")
+SETTER = re.compile(r"(?:set|with|use)(?=[_A-Z])")
+PUTTER = re.compile(r"(?i)define|set|put|add|append")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*(?:<!\[CDATA\[)?([^\s<>]+?)(?:\]\]>)?\s*</\1\s*>")
+
+
+# Words that only hold a sensitive one, and last words of names for what is about a secret, not the secret.
+INNOCENT = re.compile(r"authors?(?![a-z])|secretar(?:y|ies)|tokeni[sz][a-z]*|(?:de|as)signing|basalt")
+ABOUT = re.compile(r"(?:name|type|url|uri|path|file|field|label|length|limit|count|size|header|endpoint|hint|prefix|regex|pattern|policy)s?")
 
 
 def name_weight(name: str) -> float:
     low = re.sub(r"[^a-z0-9]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower())
+    low = INNOCENT.sub("", low)
+    if ABOUT.fullmatch(low.rstrip("_").rpartition("_")[2]):
+        return 0.0
     return max((w for part, w in NAMES.items() if part in low or part in low.replace("_", "")), default=0.0)
 
 
@@ -73,6 +85,7 @@ def randomness(value: str) -> float:
 
 
 Tokens = list[tuple[str, str, int, int]]
+Part = tuple[str, int, int]  # content, start and end of a string
 
 
 def scan(rules: dict[tuple[bool, bool], re.Pattern], text: str, at: int, end: int) -> Iterator[re.Match]:
@@ -116,30 +129,95 @@ def string_body(token: str, start: int) -> tuple[str, int, int]:
 
 def literals(text: str) -> list[tuple[int, int, float]]:
     """Spans of literals that reach a sensitive name, with their scores."""
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, list[Part]] = {}
     found: dict[tuple[int, int], float] = {}
     breaks = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
     for tokens in lex(text):
-        assigned(text, breaks, tokens, constants, found)
+        Walk(text, breaks, tokens, constants, found).run()
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            judge(m[1], [(m[2], m.start(2), m.end(2))], found)
     return [(s, e, v) for (s, e), v in sorted(found.items())]
 
 
-def assigned(text: str, breaks: list[int], tokens: Tokens, constants: dict[str, list[tuple[str, int, int]]], found: dict[tuple[int, int], float]) -> None:
-    """Add the constants of `tokens`, and the literals in them that reach a sensitive name, to `constants` and `found`.
+def judge(name: str, parts: list[Part], found: dict[tuple[int, int], float]) -> None:
+    """Add the spans of `parts`, which are one value of `name`, to `found` if the two together score enough."""
+    weight = name_weight(name)
+    if weight:
+        score = weight + randomness("".join(p[0] for p in parts))
+        if score >= THRESHOLD:
+            for _, s, e in parts:
+                if e > s:
+                    found[s, e] = max(score, found.get((s, e), 0.0))
+
 
-    `breaks` are the places of line feeds, with one before and one after the text. A literal counts once in a value.
+class Walk:
+    """One pass over the tokens of a text or of a run of comments. Constants go to `constants`, and literals that reach a
+    sensitive name to `found`; both are shared by the runs of a text.
+
+    Targets are names, strings (keys), subscripts (`a["key"] = ..`), names with a type, the label of a labelled value
+    (`name: KEY`, `value: ..`), setters and calls of a key and a value. Values are literals, lists of them in brackets, or lines
+    of dashes; each item of a list is judged by itself. `breaks` are the places of line feeds, with one before and one after
+    the text.
     """
-    i, n = 0, len(tokens)
-    while i < n - 1:
-        kind, token, start, end = tokens[i]
-        op = tokens[i + 1][1] if tokens[i + 1][0] == "op" else ""
-        if op not in ("=", ":", ":=", "=>") or kind not in ("name", "string"):
+
+    def __init__(self, text: str, breaks: list[int], tokens: Tokens, constants: dict[str, list[Part]], found: dict[tuple[int, int], float]):
+        self.text, self.breaks, self.tokens, self.constants, self.found = text, breaks, tokens, constants, found
+        self.n = len(tokens)
+        self.label = ("", -9)  # the last label, and the token behind it
+
+    def run(self) -> None:
+        i = 0
+        while i < self.n - 1:
+            i = self.step(i)
+
+    def kind(self, i: int) -> str:
+        return self.tokens[i][0] if i < self.n else ""
+
+    def op(self, i: int) -> str:
+        return self.tokens[i][1] if self.kind(i) == "op" else ""
+
+    def skip(self, i: int) -> int:
+        """The next token that is not a line feed."""
+        while self.kind(i) == "line":
             i += 1
-            continue
-        name = token if kind == "name" else string_body(token, start)[0]
-        j, parts, expects = i + 2, [], True
-        while j < n:
-            k, t, s, e = tokens[j]
+        return i
+
+    def step(self, i: int) -> int:
+        """Read what starts with token `i`; the token to go on with."""
+        kind, token, start, _ = self.tokens[i]
+        if kind not in ("name", "string"):
+            return i + 1
+        if kind == "name" and self.op(i + 1) == "(":
+            self.call(token, self.skip(i + 2))
+            return i + 1
+        name, j = (token, i + 1) if kind == "name" else (string_body(token, start)[0], i + 1)
+        if kind == "name" and self.op(j) == "[":
+            name, j = self.subscripts(name, j)
+        op = self.op(j)
+        if op not in ("=", ":", ":=", "=>"):
+            return i + 1
+        j = self.behind_type(j + 1) if op == ":" else j + 1
+        parts, end = self.literal(j, start)
+        target = self.label[0] if name.lower() == "value" and i - self.label[1] <= 3 else name
+        if name.lower() in ("name", "key"):
+            self.label = ("".join(p[0] for p in parts) or (self.tokens[j][1] if self.kind(j) == "name" else ""), max(end, j + 1))
+        if parts:
+            parts = list(dict.fromkeys(parts))
+            self.constants[name] = parts
+            judge(target, parts, self.found)
+            return max(end, j)
+        for item in self.items(j):
+            judge(target, item, self.found)
+        return j
+
+    def literal(self, j: int, start: int = -1) -> tuple[list[Part], int]:
+        """Parts of the literal at `j` (strings and constants, added up or side by side) and the token behind it. An
+        unquoted value counts where the pair, which begins at place `start`, stands alone on its line."""
+        parts: list[Part] = []
+        expects = True
+        while j < self.n:
+            k, t, s, _ = self.tokens[j]
             if not expects:
                 if k == "op" and t == "+":
                     j, expects = j + 1, True
@@ -148,35 +226,99 @@ def assigned(text: str, breaks: list[int], tokens: Tokens, constants: dict[str,
                     break
             if k == "string":
                 parts.append(string_body(t, s))
-            elif k == "name" and t in constants and (j + 1 >= n or tokens[j + 1][1] not in ("(", "=", ":")):
-                parts += constants[t]
-            elif k in ("name", "bare") and not parts:
-                # An unquoted value counts where the pair stands alone on its line.
-                line = breaks[bisect_left(breaks, start) - 1] + 1
-                if LEAD.fullmatch(text, line, start):
-                    rest = text[s : breaks[bisect_left(breaks, s)]].rstrip()
-                    open_end = rest[:-1].rstrip("*") if rest.endswith("/") else rest
-                    rest = open_end.rstrip() if len(open_end) < len(rest) - 1 else rest
-                    m = BARE.match(rest)
-                    if m and m.end() == len(rest) and re.search("[0-9]", m.group()):
-                        parts.append((m.group(), s, s + m.end()))
-                break
+            elif k == "name" and t in self.constants and (j + 1 >= self.n or self.tokens[j + 1][1] not in ("(", "=", ":")):
+                parts += self.constants[t]
             else:
+                if k in ("name", "bare") and not parts and start >= 0:
+                    parts = self.unquoted(start, s)
                 break
             j, expects = j + 1, False
-        if parts:
-            parts = list(dict.fromkeys(parts))
-            constants[name] = parts
-            weight = name_weight(name)
-            if weight:
-                score = weight + randomness("".join(p[0] for p in parts))
-                if score >= THRESHOLD:
-                    for _, s, e in parts:
-                        if e > s:
-                            found[s, e] = max(score, found.get((s, e), 0.0))
-            i = max(j, i + 2)
+        return parts, j
+
+    def unquoted(self, start: int, s: int) -> list[Part]:
+        line = self.breaks[bisect_left(self.breaks, start) - 1] + 1
+        if not LEAD.fullmatch(self.text, line, start):
+            return []
+        rest = self.text[s : self.breaks[bisect_left(self.breaks, s)]].rstrip()
+        open_end = rest[:-1].rstrip("*") if rest.endswith("/") else rest
+        rest = open_end.rstrip() if len(open_end) < len(rest) - 1 else rest
+        m = BARE.match(rest)
+        return [(m.group(), s, s + m.end())] if m and m.end() == len(rest) and re.search("[0-9]", m.group()) else []
+
+    def subscripts(self, name: str, j: int) -> tuple[str, int]:
+        """The name with its subscripts (`a["key"][0].part`) where an `=` follows them, and its place; else the name alone."""
+        names, at = [name], j
+        while self.op(at) == "[":
+            if self.op(at + 1) == "]":
+                at += 2
+            elif self.op(at + 2) == "]" and self.kind(at + 1) in ("name", "string", "bare"):
+                token, s = self.tokens[at + 1][1:3]
+                names.append(string_body(token, s)[0] if self.kind(at + 1) == "string" else token)
+                at += 3
+            else:
+                break
+        if self.kind(at) == "bare" and MEMBER.fullmatch(self.tokens[at][1]):
+            names.append(self.tokens[at][1])
+            at += 1
+        return ("_".join(names), at) if self.op(at) == "=" else (name, j)
+
+    def behind_type(self, j: int) -> int:
+        """The place of the value in `name: type = value`, else `j`."""
+        e = j
+        while self.kind(e) == "name":
+            e += 1
+            if self.op(e) == "[":
+                while self.kind(e) == "name" or self.op(e) in ("[", ","):
+                    e += 1
+                while self.op(e) == "]":
+                    e += 1
+            if self.kind(e) != "bare" or self.tokens[e][1] != "|":
+                break
+            e += 1
+        return e + 1 if e > j and self.op(e) == "=" else j
+
+    def items(self, j: int) -> Iterator[list[Part]]:
+        """The literals of the list at `j`, if there is one. A list ends, for now, where another target begins in it."""
+        if self.op(j) == "[" and self.op(j + 1) == "]" and self.kind(j + 2) == "name":
+            j += 3  # a type before the brackets
+        if self.op(j) in ("[", "(", "{"):
+            j = self.skip(j + 1)
+            while j < self.n and self.op(j) not in ("]", ")", "}"):
+                parts, end = self.literal(j)
+                if end == j:  # no literal: numbers and other names are passed over
+                    if self.op(j) not in ("", ",", ";"):
+                        return
+                    j = self.skip(j + 1)
+                    continue
+                j = self.skip(end)
+                if self.op(j) not in ("", ",", ";", "]", ")", "}"):
+                    return
+                if parts:
+                    yield parts
         else:
-            i += 2 if tokens[min(i + 2, n - 1)][0] not in ("name", "string") else 2
+            while self.kind(j) == "line" and self.kind(j + 1) == "bare" and self.tokens[j + 1][1] == "-" and j + 2 < self.n:
+                j += 2
+                parts, _ = self.literal(j, self.tokens[j][2])
+                while j < self.n and self.kind(j) != "line":
+                    if self.op(j) in ("=", ":", ":=", "=>"):
+                        return
+                    j += 1
+                if parts:
+                    yield parts
+
+    def call(self, name: str, j: int) -> None:
+        """Arguments, from token `j`, of a setter (`setPassword(value)`) or of a call with a key and a value."""
+        last = re.split(r"\.|->", name)[-1]
+        setter = SETTER.match(last)
+        parts, end = self.literal(j)
+        if setter:
+            for item in [parts] if parts and self.op(self.skip(end)) == ")" else self.items(j):
+                judge(last, item, self.found)
+        if PUTTER.match(last) and self.kind(j) == "string" and self.op(j + 1) == ",":
+            key = string_body(self.tokens[j][1], self.tokens[j][2])[0]
+            parts, end = self.literal(self.skip(j + 2))
+            if parts and self.op(self.skip(end)) in (",", ")"):
+                judge(f"{last}_{key}" if setter else key, parts, self.found)
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int, int]]:
@@ -203,7 +345,7 @@ def find(text: str) -> list[tuple[int, int, int, int]]:
     """All spans of one text, as (start, kind, end, start of the secret part), by start and kind."""
     low = text.lower()
     found = base_spans(text, low)
-    if ("=" in text or ":" in text) and sensitive(low):
+    if any(c in text for c in "=:(<") and sensitive(low):
         starts, reach = [s for s, _, _, _ in found], list(accumulate((e for _, _, e, _ in found), max))
         inside = lambda s, e: (i := bisect_right(starts, s)) and reach[i - 1] >= e
         found += [(s, 3, e, s) for s, e, _ in literals(text) if not inside(s, e)]
@@ -262,7 +404,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "literal")
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), count("literal").alias("n_literal"), F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), count("literal").alias("n_literal"))
 
 
 QUERIES: dict[str, Callable] = {"op9_secret_scans": op9_secret_scans}
