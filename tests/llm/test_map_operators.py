@@ -262,6 +262,28 @@ def test_names_of_wrappers_do_not_empty_a_page(page):
     assert html_text.main_text(page) == "\n\n".join(["Head", *re.findall("<p>(.*?)</p>", PROSE)])
 
 
+def test_parts_of_an_article_stay_whatever_they_are_about():
+    prose = "It is a long text of the page, which goes on, and has much to say. " * 5
+    for word in ("discussion", "comment", "reply", "search", "banner", "article-menu"):
+        page = f"<article><h1>Head</h1><p>{prose}</p><div class='{word}'><p>{prose}</p></div><p>{prose}</p></article>"
+        assert html_text.main_text(page) == "\n\n".join(["Head", *[prose.strip()] * 3]), word
+    # Readers' comments, one beside the other or in a part of their own, notices and adverts go.
+    readers = f"<div class='comment'><p>{prose}</p></div>" * 2
+    for rest in (readers, f"<div class='comments'><p>{prose}</p></div>", f"<div class='notice'><p>{prose}</p></div>", f"<div class='ad'>{prose}</div>", f"<nav class='menu'>{prose}</nav>", f"<div role='search' class='search'>{prose}</div>"):
+        assert html_text.main_text(f"<article><h1>Head</h1><p>{prose}</p><p>{prose}</p><p>{prose}</p>{rest}</article>") == "\n\n".join(["Head", *[prose.strip()] * 3]), rest
+    assert html_text.main_text(f"<article><p>{prose}</p></article><div class='discussion'><p>{prose}</p></div>") == prose.strip()
+
+
+def test_links_between_paragraphs_of_one_part_stay():
+    prose = "It is a long text of the page, which goes on, and has much to say. " * 5
+    links = "<ul><li><a href='/a'>First work</a></li><li><a href='/b'>Second work</a></li></ul>"
+    text = prose.strip()
+    assert html_text.main_text(f"<body><div>Menu</div><div class='x'><p>{prose}</p>{links}<p>{prose}</p></div></body>") == f"{text}\n\nFirst work\n\nSecond work\n\n{text}"
+    for wrapped in (f"<div>{links}</div>", links.replace("<ul>", "<ul class='share'>"), f"<nav>{links}</nav>"):
+        assert html_text.main_text(f"<body><div class='x'><p>{prose}</p>{wrapped}<p>{prose}</p></div></body>") == f"{text}\n\n{text}", wrapped
+    assert html_text.main_text(f"<body><p>{prose}</p>{links}<p>{prose}</p></body>") == f"{text}\n\n{text}"
+
+
 def test_all_seeds_are_kept():
     first, last = "Words, and words. " * 100, "More words, at last. " * 4
     page = f"<body><div class='a'><p>{first}</p><p>{last}</p></div><div class='a'><p>{last}</p></div><nav>Home</nav></body>"

@@ -37,6 +37,7 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 BLOCKS = frozenset("html head body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SECTIONS = frozenset("html body main article section div td center form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = frozenset("p ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("html body table ul ol dl div section article main td th blockquote".split())
@@ -50,6 +51,8 @@ HARD = frozenset(
 )
 HARD_TAGS = frozenset("nav footer aside menu dialog search form fieldset".split())
 HARD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+# Hard names that can also be what an article's part is about: on one element of a page alone, and inside an article, they are soft.
+TOPICS = frozenset("discussion comment reply respond banner alert menu navigation search".split())
 STATES = frozenset("no not has have is with without free enabled disabled less open closed on off".split())
 
 MAX_DEPTH = 512  # elements below this depth belong to the one that holds them, as in browsers
@@ -58,14 +61,16 @@ ARTICLE_WEIGHT = 1.8
 HALF = 2000.0  # a path of blocks with 200 characters and nine marks has half the highest score
 
 
-def named(names: str) -> int:
-    """2 or 1 where class and id names mark a part that is hardly or seldom content, else 0."""
-    level = 0
+def named(names: str) -> tuple[int, bool]:
+    """2 or 1 where class and id names mark a part that is hardly or seldom content, else 0; and whether words of TOPICS alone make it 2."""
+    level, firm = 0, False
     for name in names.split():
         words = re.findall(r"[a-z]+", name)
         if STATES.isdisjoint(words):
-            level = max(level, 0 if HARD.isdisjoint(words) else 2, 0 if SOFT.isdisjoint(words) else 1)
-    return level
+            hard = HARD.intersection(words)
+            level = max(level, 2 if hard else 0, 0 if SOFT.isdisjoint(words) else 1)
+            firm = firm or not hard <= TOPICS
+    return level, level == 2 and not firm
 
 
 class Page:
@@ -74,18 +79,22 @@ class Page:
     def __init__(self, page: str):
         self.tag, self.parent, self.path, self.level, self.hidden, self.main, self.header = [""], [-1], [0], [0], [0], [False], [False]
         self.holder = [0]  # the element, or the block around it
+        self.topics: dict[str, list[int]] = {}  # elements inside an article that are named by TOPICS alone
+        self.inner = [False]  # whether the element lies in an article or is one
         self.link = [False]
         self.nodes: list[tuple[int, int, str]] = []  # (element, block number, text)
         self._paths: dict[tuple[int, str], int] = {}
         self._read(page)
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
-        level, main, header, hidden, names = 2 if tag in HARD_TAGS else 0, tag in ("main", "article"), tag == "header", False, ""
+        level, main, header, hidden, names, topic = 2 if tag in HARD_TAGS else 0, tag in ("main", "article"), tag == "header", False, "", False
         if attributes and not attributes.isspace():
             found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)}
             names = _html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower()
             role = found.get("role", "").lower()
-            level = max(level, named(names), 2 if role in HARD_ROLES else 0)
+            own = 2 if role in HARD_ROLES else level
+            level, topic = named(names)
+            level, topic = max(level, own), topic and own < 2
             main = main or role == "main"
             header = header or "header" in re.findall(r"[a-z]+", names)
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool(INVISIBLE.search(found.get("style", "")))
@@ -97,6 +106,9 @@ class Page:
         self.parent.append(parent)
         self.path.append(self._paths.setdefault((self.path[parent], tag + names), len(self._paths) + 1))
         self.level.append(level)
+        self.inner.append(main or self.inner[parent])
+        if topic and self.inner[at]:
+            self.topics.setdefault(names, []).append(at)
         self.hidden.append(1 if hidden else 0)
         self.main.append(main)
         self.header.append(header and not main)
@@ -205,6 +217,9 @@ class Page:
             if not bare and len(stack) < MAX_DEPTH:
                 stack.append(self._open(tag, attributes, stack[-1]))
                 opened[tag] = opened.get(tag, 0) + 1
+        for alone in self.topics.values():
+            if len(alone) == 1:
+                self.level[alone[0]] = 1
 
 
 class Blocks:
@@ -284,21 +299,31 @@ def content(page: Page, blocks: Blocks) -> np.ndarray:
     closed = page.tag[section] not in ("", "html", "body")
     # How strongly a part is named, where it does not hold most of the selected text. The header of an article is its own.
     part, article, nearest, inside = [0] * n, [False] * n, [0] * n, [section == 0] * n
+    plainly = [True] * n  # whether only text elements lie between it and the nearest one with selected text
     for e in range(1, n):
         up = page.parent[e]
+        plainly[e] = bool(count[e]) or plainly[up] and page.tag[e] in TEXTUAL
         inside[e] = inside[up] or e == section
         article[e] = article[up] or page.main[e]
         nearest[e] = e if count[e] else nearest[up]
         header = page.header[e] and not (article[e] or closed and inside[up])
         part[e] = max(part[up], max(page.level[e], header) if held[e] < 0.5 * held[0] else 0)
     first, last = np.flatnonzero(chosen)[[0, -1]]
+    # The first and last selected block below each element.
+    low, high = np.full(n, len(chosen)), np.full(n, -1)
+    np.minimum.at(low, holder[chosen], np.flatnonzero(chosen))
+    np.maximum.at(high, holder[chosen], np.flatnonzero(chosen))
+    for e in range(n - 1, 0, -1):
+        up = page.parent[e]
+        low[up], high[up] = min(low[up], low[e]), max(high[up], high[e])
     raw = plain >= threshold(plain[chosen], blocks.length[chosen])
     keep = chosen.copy()
     for i in np.flatnonzero(~chosen):
         e = blocks.holder[i]
         if not inside[e] or part[e] == 2 or part[e] == 1 and not raw[i]:
             continue
-        links = blocks.links[i] and not (article[e] and closed)
+        among = plainly[e] and low[nearest[e]] < i < high[nearest[e]]  # a list of links between paragraphs of one part
+        links = blocks.links[i] and not (closed and (article[e] or among))
         if first < i < last:
             keep[i] = not links  # not a list of links beside the content
         elif i < first:
