@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: list[str] = ["ranking_queries", "table_queries", "stats_queries", "split_queries", "model_queries", "idiom_queries", "job_queries"]
+MODULES: list[str] = ["ranking_queries", "table_queries", "stats_queries", "split_queries", "model_queries", "idiom_queries", "job_queries", "result_queries"]
 
 
 def queries() -> dict[str, Callable]:
