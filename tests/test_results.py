@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.errors import PySparkException
 
+from tidemark.operators import stats
 from tidemark.sources import results, transfer
 
 FIELDS = {"n": ("n", "bigint"), "mean": ("mrr.mean", "double"), "when": ("when", "string")}
@@ -53,3 +54,12 @@ def test_transfer_of_no_rows(spark, tmp_path):
     transfer.save_transfer(empty, str(tmp_path / "t"), "A", "N")
     members, manifest = transfer.load_transfer(spark, str(tmp_path / "t"))
     assert members.count() == 0 and manifest.first().n_train_ids == 0 and manifest.first().metadata == {}
+
+
+def test_placement_by_both_rules(spark):
+    gains = {"main": [1.5] * 30, "less": [1.3] * 16 + [1.05] * 14, "small": [1.08] * 30, "few": [9.0] + [1.0] * 29, "same": [1.0] * 30}
+    rows = [(k, 0.1 + i / 100, (0.1 + i / 100) * g) for k, v in gains.items() for i, g in enumerate(v)]
+    rows += [("main", None, 1.0), ("main", 1.0, None), ("nought", 0.0, 0.5)]
+    got = {r.k: r for r in stats.placement(spark.createDataFrame(rows, "k string, a double, b double"), "a", "b", ["k"]).collect()}
+    assert {k: r.decision for k, r in got.items()} == {"main": "MAIN_TEXT", "less": "SUPPLEMENTARY", "small": "BRIEF_MENTION", "few": "BRIEF_MENTION", "same": "BRIEF_MENTION", "nought": "BRIEF_MENTION"}
+    assert got["main"].n == 30 and got["same"].p is None and got["nought"].relative_gain is None and round(got["less"].pct_improved, 6) == round(1600 / 30, 6)

@@ -128,6 +128,22 @@ def wilcoxon(df: DataFrame, diff: str, groups: Sequence[str], alternative: str |
     return with_p(out, lambda r: signed_rank_p(r["w_plus"], r["n"], r["sigma"], r["ties"], alternative, exact), ["w_plus", "n", "sigma", "ties"]).drop("sigma", "ties")
 
 
+def placement(df: DataFrame, base: str, other: str, groups: Sequence[str]) -> DataFrame:
+    """Per group, where a comparison of two methods is told: n pairs, percent of them improved by over 5 %, percent of gain of
+    the mean, two-sided p of the signed ranks, and the decision by all three. Pairs with a null do not count; without a p
+    (no pair differs) or a gain (mean of nought) the decision is BRIEF_MENTION.
+    """
+    x = df.filter(F.col(base).isNotNull() & F.col(other).isNotNull()).withColumn("__d", F.round(F.col(other) - F.col(base), 9))
+    better = (F.round(F.col(other) - 1.05 * F.col(base), 9) > 0).cast("int")
+    gain = 100 * (F.try_divide(F.avg(other), F.avg(base)) - 1)
+    per = x.groupBy(*groups).agg(F.count("*").alias("n"), (100 * F.avg(better)).alias("pct_improved"), gain.alias("relative_gain"))
+    p = wilcoxon(x, "__d", groups, "two-sided", exact=False).select(*groups, "p")
+    met = lambda pct, rel, level: (F.round("pct_improved", 9) > pct) & (F.round("relative_gain", 9) > rel) & (F.col("p") < level)
+    # The limits of the two rules.
+    decision = F.when(met(30, 20, 0.01), "MAIN_TEXT").when(met(15, 10, 0.05), "SUPPLEMENTARY").otherwise("BRIEF_MENTION")
+    return per.join(p, list(groups), "left").withColumn("decision", decision)
+
+
 def spearman(df: DataFrame, a: str, b: str, groups: Sequence[str]) -> DataFrame:
     """Per group: n, rank correlation (ties averaged) and its two-sided p."""
     from tidemark.operators.ranking import average_rank

@@ -286,6 +286,21 @@ def t26(spark, d):
     return x.select("p_brand", F.round(100 * F.col("a"), 6).alias("pct"), F.when(F.col("a") >= 0.42, "MAIN_TEXT").when(F.col("a") >= 0.38, "SUPPLEMENTARY").otherwise("BRIEF").alias("decision"))
 
 
+PLACEMENT = f"""WITH x AS (SELECT l_partkey, p_brand, avg(l_discount) AS base, avg(l_discount) FILTER (l_discount >= right(p_brand, 1)::INT / 100.0 - 0.001) AS other FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+ y AS (SELECT *, round(other - base, 9) AS diff FROM x WHERE other IS NOT NULL), r AS (SELECT p_brand, diff, rank() OVER (PARTITION BY p_brand ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY p_brand, abs(diff)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY p_brand, abs(diff)) AS t FROM y WHERE diff <> 0),
+ s AS (SELECT p_brand, count(*) AS n, sum(CASE WHEN diff > 0 THEN rk ELSE 0 END) AS wp, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY 1), z AS (SELECT p_brand, abs((wp - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48)) AS z FROM s),
+ q AS (SELECT p_brand, least(1.0, 2 * {sql_tail('z')}) AS p FROM z), g AS (SELECT p_brand, count(*) AS n, 100 * avg((round(other - 1.05 * base, 9) > 0)::INT) AS pct, 100 * (avg(other) / avg(base) - 1) AS rel FROM y GROUP BY 1)
+SELECT p_brand, n, round(pct, 6) AS pct_improved, round(rel, 6) AS relative_gain, round(p, 6) AS p, CASE WHEN pct > 30 AND rel > 20 AND p < 0.01 THEN 'MAIN_TEXT' WHEN pct > 15 AND rel > 10 AND p < 0.05 THEN 'SUPPLEMENTARY' ELSE 'BRIEF_MENTION' END AS decision FROM g LEFT JOIN q USING (p_brand)"""
+
+
+@C.add("T26_placement", PLACEMENT)
+def t26_placement(spark, d):
+    x = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    least = F.substring("p_brand", -1, 1).cast("int") / 100.0 - 0.001
+    x = x.groupBy("l_partkey", "p_brand").agg(F.avg("l_discount").alias("base"), F.avg(F.when(F.col("l_discount") >= least, F.col("l_discount"))).alias("other"))
+    return rounded(stats.placement(x, "base", "other", ["p_brand"]))
+
+
 PROFILE_TESTS = f"""WITH {LONG_SQL}, {MWU}, md AS (SELECT agent, feature, avg(value) FILTER (pos) AS m1, avg(value) FILTER (NOT pos) AS m2, var_samp(value) FILTER (pos) AS v1, var_samp(value) FILTER (NOT pos) AS v2 FROM xl GROUP BY 1, 2),
  t AS (SELECT agent, feature, n1, n2, 2 * u / (n1 * n2) - 1 AS delta, least(1.0, 2 * {sql_tail('q')}) AS p FROM (SELECT *, (abs(u - n1 * n2 / 2.0) - 0.5) / sg AS q FROM m WHERE n1 >= 5 AND n2 >= 3)),
  h AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY agent) AS n FROM t WINDOW w AS (PARTITION BY agent ORDER BY round(p, 12), feature))
