@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine
-from tidemark.operators import bootstrap, logistic, models, ranking, resampling, stats, vectors
+from tidemark.operators import bootstrap, forests, logistic, models, ranking, resampling, stats, vectors
 from tidemark.operators.counting import positive_ranks
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_z
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, nearest_train, sql_wide, wide, wide_scores
@@ -16,11 +16,6 @@ C = Catalog()
 QUERIES, SQL = C.queries, C.sql
 
 
-def labelled(spark, d, agent: int = 3):
-    own = pairs(spark, d).filter(F.col("agent") == agent).select("id", F.lit(1).alias("y"))
-    return wide(spark, d).select("id", *ZCOLS).join(own, "id", "left").withColumn("y", F.coalesce("y", F.lit(0)))
-
-
 @C.add("B05_logistic_regression")
 def b05(spark, d):
     """A score of each agent's model for each id."""
@@ -29,7 +24,8 @@ def b05(spark, d):
 
 @C.add("B06_random_forest")
 def b06(spark, d):
-    return rounded(models.forest(labelled(spark, d), ZCOLS, "y", trees=100, depth=10), 4)
+    """A score of each agent's forest for each id."""
+    return rounded(forests.forest_scores(wide(spark, d).select("id", F.array(*ZCOLS).alias("x")), pairs(spark, d)), 4)
 
 
 @C.add("B07_multi_prototype")
