@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine, hash_uniform
-from tidemark.operators import bootstrap, ranking, resampling, splits, stats, vectors
+from tidemark.operators import bootstrap, preference, ranking, resampling, splits, stats, vectors
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_tail
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, embedded, sql_wide, wide, wide_scores
 from tidemark.sources.scratch import staged
@@ -78,6 +78,25 @@ def t10(spark, d):
     return rounded(top.join(z.select("id", *ZCOLS), "id").groupBy("agent").agg(*(F.avg(c).alias(c) for c in ZCOLS)))
 
 
+PREFERRED = f"""{TOPK}, np AS (SELECT agent, count(*) AS n_positives FROM ranked WHERE positive GROUP BY 1 HAVING count(*) >= 2), zl AS ({' UNION ALL '.join(f"SELECT id, '{c}' AS feature, round({c}, 9) AS value FROM z" for c in ZCOLS)}),
+ tp AS (SELECT agent, k::INT AS k, id FROM ranked JOIN np USING (agent), (VALUES (10), (20)) v(k) WHERE rank <= k), tv AS (SELECT agent, k, feature, id, value FROM tp JOIN zl USING (id)), mn AS (SELECT agent, k, feature, avg(value) AS score FROM tv GROUP BY 1, 2, 3),
+ rv AS (SELECT g.agent, g.k, zl.feature, zl.value FROM (SELECT DISTINCT agent, k FROM tp) g CROSS JOIN zl LEFT JOIN tp ON tp.agent = g.agent AND tp.k = g.k AND tp.id = zl.id WHERE tp.id IS NULL), dl AS (SELECT agent, k, feature, avg(sign(tv.value - rv.value)) AS delta FROM tv JOIN rv USING (agent, k, feature) GROUP BY 1, 2, 3)"""
+
+
+@C.add("C09_preference_effects", f"{PREFERRED} SELECT agent, k, feature, round(score, 6) AS score, round(delta, 6) AS delta, n_positives, (SELECT count(*) FROM z) AS n_candidates FROM mn JOIN np USING (agent) LEFT JOIN dl USING (agent, k, feature)")
+def c09(spark, d):
+    """Means and Cliff's delta of each agent's first ten and twenty rows against the rest."""
+    z = staged(wide(spark, d).select("id", *ZCOLS), "preferred")
+    return rounded(preference.preferences(z, wide_scores(z, pairs(spark, d), ZCOLS), ZCOLS))
+
+
+@C.add("C09_preference_tests")
+def c09_tests(spark, d):
+    """The same with permutation p and corrections over the features of an agent."""
+    z = staged(wide(spark, d).select("id", *ZCOLS), "preferred")
+    return rounded(preference.preference_tests(z, preference.preferences(z, wide_scores(z, pairs(spark, d), ZCOLS), ZCOLS), ZCOLS))
+
+
 @C.add("T10_permutation_p")
 def t10p(spark, d):
     z = wide(spark, d)
