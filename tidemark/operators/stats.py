@@ -92,13 +92,15 @@ def with_p(rows: DataFrame, p_of: Callable[[dict], float | None], needs: list[st
     return rows.mapInArrow(run, schema)
 
 
-def mann_whitney(df: DataFrame, value: str, first: str, groups: Sequence[str], alternative: str | None = None, exact: bool = True) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, first: str, groups: Sequence[str], alternative: str | None = None, exact: bool = True, times: str | None = None) -> DataFrame:
     """Per group: n1, n2, U of the rows where `first` holds, z (tie-corrected, continuity one half) and Cliff's delta.
     With an `alternative` (two-sided, greater, less), p as well; `exact` lets small groups without ties be counted out.
+    A row counts as often as the column `times` tells, or once.
 
     Works on counts of distinct values, so one row a value reaches the window, not one a row.
     """
-    counts = df.groupBy(*groups, value).agg(F.sum(F.col(first).cast("long")).alias("a"), F.sum((~F.col(first)).cast("long")).alias("b"))
+    times_of = F.col(times) if times else F.lit(1)
+    counts = df.groupBy(*groups, value).agg(F.sum(F.when(F.col(first), times_of).otherwise(0)).alias("a"), F.sum(F.when(~F.col(first), times_of).otherwise(0)).alias("b"))
     before = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn("t", F.col("a") + F.col("b")).withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2.0)
     sums = ranks.groupBy(*groups).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))

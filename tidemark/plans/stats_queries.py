@@ -358,6 +358,45 @@ def c16(spark, d):
     return rounded(stats.mann_whitney(x, "value", "pos", ["data_source"], "two-sided", exact=False).select("data_source", "n1", "n2", "u", "delta", "p"))
 
 
+COMPOSED = ["p_size", "n_lines", "avg_qty", "avg_disc"]
+
+
+@C.add("C16_source_composition", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, x AS (SELECT DISTINCT data_source, id FROM rawpairs), l AS ({' UNION ALL '.join(f"SELECT data_source, '{c}' AS feature, round({c}, 9) AS v FROM x JOIN features USING (id)" for c in COMPOSED)}) SELECT data_source, feature, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(median(v), 6) AS median FROM l GROUP BY 1, 2")
+def c16_composition(spark, d):
+    return rounded(sourced(spark, d).groupBy("data_source", "feature").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.percentile("v", F.lit(0.5)).alias("median")))
+
+
+def sourced(spark, d):
+    """(data_source, feature, v): features of each source's rows, a row once a source."""
+    x = pairs(spark, d, distinct=False).select("data_source", "id").distinct().join(features(spark, d).select("id", *COMPOSED), "id")
+    return x.unpivot(["data_source", "id"], COMPOSED, "feature", "v").select("data_source", "feature", F.round("v", 9).alias("v"))
+
+
+@C.add("C16_source_comparison", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, x AS (SELECT DISTINCT data_source, id FROM rawpairs), so AS (SELECT DISTINCT data_source FROM x), l AS ({' UNION ALL '.join(f"SELECT data_source, '{c}' AS feature, round({c}, 9) AS value FROM x JOIN features USING (id)" for c in COMPOSED)}), xl AS (SELECT a.data_source || '|' || b.data_source AS agent, l.feature, l.value, l.data_source = a.data_source AS pos FROM so a JOIN so b ON a.data_source < b.data_source JOIN l ON l.data_source IN (a.data_source, b.data_source)), {MWU}, mm AS (SELECT agent, feature, avg(value) FILTER (pos) AS mean_a, avg(value) FILTER (NOT pos) AS mean_b FROM xl GROUP BY 1, 2), f AS (SELECT agent, feature, n1, n2, u, least(1.0, 2 * {sql_tail('q')}) AS p FROM (SELECT *, (abs(u - n1 * n2 / 2.0) - 0.5) / sg AS q FROM m)) SELECT agent AS sources, feature, n1, n2, round(u, 6) AS u, round(p, 6) AS p, p < 0.05 AS significant, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b FROM f JOIN mm USING (agent, feature)")
+def c16_comparison(spark, d):
+    """Each pair of sources: rank test and means of each feature. Values meet as counts, so a row is not repeated for each pair."""
+    counts = staged(sourced(spark, d).groupBy("data_source", "feature", F.col("v").alias("value")).agg(F.count("*").alias("c")), "sourced")
+    own = counts.select("data_source").distinct()
+    a, b = own.select(F.col("data_source").alias("a")), own.select(F.col("data_source").alias("b"))
+    ways = a.join(b, F.col("a") < F.col("b"))
+    both = counts.join(ways, (F.col("data_source") == F.col("a")) | (F.col("data_source") == F.col("b"))).select(F.concat("a", F.lit("|"), "b").alias("sources"), "feature", "value", "c", (F.col("data_source") == F.col("a")).alias("pos"))
+    test = stats.mann_whitney(both, "value", "pos", ["sources", "feature"], "two-sided", exact=False, times="c")
+    mean = lambda side: F.sum(F.when(side, F.col("value") * F.col("c"))) / F.sum(F.when(side, F.col("c")))
+    means = both.groupBy("sources", "feature").agg(mean(F.col("pos")).alias("mean_a"), mean(~F.col("pos")).alias("mean_b"))
+    return rounded(test.join(means, ["sources", "feature"]).select("sources", "feature", "n1", "n2", "u", "p", (F.col("p") < 0.05).alias("significant"), "mean_a", "mean_b"))
+
+
+@C.add("C16_agent_overlap", f"WITH {SQL_PAIRS}, x AS (SELECT DISTINCT data_source, agent FROM rawpairs), n AS (SELECT data_source, count(*) AS n FROM x GROUP BY 1), s AS (SELECT a.data_source AS a, b.data_source AS b, count(*) AS shared FROM x a JOIN x b ON a.agent = b.agent AND a.data_source < b.data_source GROUP BY 1, 2) SELECT na.data_source AS source_a, nb.data_source AS source_b, na.n AS agents_a, nb.n AS agents_b, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / (na.n + nb.n - coalesce(shared, 0)), 6) AS jaccard FROM n na JOIN n nb ON na.data_source < nb.data_source LEFT JOIN s ON s.a = na.data_source AND s.b = nb.data_source")
+def c16_overlap(spark, d):
+    """Agents of each pair of sources, shared ones and their Jaccard index; pairs that share none are there with zeros."""
+    own = staged(pairs(spark, d, distinct=False).select("data_source", "agent").distinct(), "source-agents")
+    n = own.groupBy("data_source").agg(F.count("*").alias("n"))
+    ways = n.select(F.col("data_source").alias("source_a"), F.col("n").alias("agents_a")).join(n.select(F.col("data_source").alias("source_b"), F.col("n").alias("agents_b")), F.col("source_a") < F.col("source_b"))
+    met = own.withColumnRenamed("data_source", "source_a").join(own.withColumnRenamed("data_source", "source_b"), "agent").filter("source_a < source_b").groupBy("source_a", "source_b").agg(F.count("*").alias("s"))
+    shared = F.coalesce("s", F.lit(0))
+    return rounded(ways.join(met, ["source_a", "source_b"], "left").select("source_a", "source_b", "agents_a", "agents_b", shared.alias("shared"), (shared / (F.col("agents_a") + F.col("agents_b") - shared)).alias("jaccard")))
+
+
 @C.add("X27_generalisation_gap", f"WITH {SQL_PAIRS}, a AS (SELECT agent, count(*) FILTER (id % 2 = 0) AS i, count(*) FILTER (id % 2 = 1) AS o FROM pairs GROUP BY 1) SELECT agent, i - o AS gap, round(CASE WHEN i = 0 THEN 0 ELSE (i - o) / i * 100 END, 6) AS gap_pct FROM a")
 def x27(spark, d):
     a = pairs(spark, d).groupBy("agent").agg(F.count_if(F.col("id") % 2 == 0).alias("i"), F.count_if(F.col("id") % 2 == 1).alias("o"))
