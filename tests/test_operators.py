@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys
-from tidemark.operators import bootstrap, models, ranking, splits, stats, structure, vectors
+from tidemark.operators import bootstrap, forests, models, ranking, splits, stats, structure, vectors
 
 
 def one(df):
@@ -217,6 +217,8 @@ def test_spectral_gap_of_all_molecules(spark):
 
 
 def test_survey_counts_of_draws(spark, monkeypatch):
+    import numpy as np
+
     from tidemark.plans import catalog
 
     folder, queries, seen = "/root/testdata/sf0.001", catalog.queries(), {}
@@ -225,7 +227,8 @@ def test_survey_counts_of_draws(spark, monkeypatch):
     assert rows[0.0].mrr_best != rows[0.2].mrr_best
     real = bootstrap.bootstrap
     monkeypatch.setattr(bootstrap, "bootstrap", lambda df, v, k, n, *a, **b: seen.update(c05=n) or real(df, v, k, n, *a, **b))
-    monkeypatch.setattr(models, "forest", lambda *a, **b: seen.update(b06=(b["trees"], b["depth"])) or a[0])
+    bare = lambda rows, agents, positives, n, dim, trees, depth, *a: seen.update(b06=(trees, depth)) or forests.Trees(np.zeros(len(agents) * trees, np.uint64), depth)
+    monkeypatch.setattr(forests, "grow", bare)
     monkeypatch.setattr(stats, "empirical_p", lambda null, *a: null)
     queries["C05_source_evaluation_ci"](spark, folder)
     queries["B06_random_forest"](spark, folder)
