@@ -11,31 +11,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import bootstrap, ranking, stats
+from tidemark.operators import bootstrap, stats
 from tidemark.operators.counting import positive_ranks
 
 COMPARED = ["mrr_best", "recall_5", "recall_10", "ap"]
 
 
-def _cosine(cols: Sequence[str]):
-    add = lambda f: sum((f(c) for c in cols), F.lit(0.0))
-    size = F.sqrt(add(lambda c: F.col(c) * F.col(c))) * F.sqrt(add(lambda c: F.col(f"p_{c}") * F.col(f"p_{c}")))
-    return F.round(F.when(size == 0, 0.0).otherwise(add(lambda c: F.col(c) * F.col(f"p_{c}")) / size), 9)
-
-
 def condition_metrics(z: DataFrame, labels: DataFrame, conditions: Mapping[str, Sequence[str]], least: int = 2) -> DataFrame:
     """(condition, agent, metrics) of agents with at least `least` positives (id, agent), by cosine with the mean of the positives'
     rows over the condition's columns of `z` (id, columns). `z` is read several times: stage it where it is costly."""
-    every = sorted({c for cols in conditions.values() for c in cols})
+    # In the order of their first condition, so that a sum over a condition's columns runs in the condition's own order.
+    every = list(dict.fromkeys(c for cols in conditions.values() for c in cols))
     base = z.select("id", *every)
     own = labels.select("id", "agent").distinct().join(base, "id")
     proto = own.groupBy("agent").agg(*(F.avg(c).alias(f"p_{c}") for c in every), F.count("*").alias("__n")).filter(F.col("__n") >= least)
     mask = lambda cols: F.array(*(F.lit(1.0 if c in cols else 0.0) for c in every))
-    made = F.explode(F.array(*(F.struct(F.lit(k).alias("condition"), _cosine(cols).alias("own"), mask(cols).alias("w")) for k, cols in conditions.items())))
-    asked = own.join(proto, "agent").select("agent", F.col("id").alias("at"), F.array(*(f"p_{c}" for c in every)).alias("p"), made.alias("c")).select("c.condition", "agent", "at", "c.own", "p", "c.w")
+    made = F.explode(F.array(*(F.struct(F.lit(k).alias("condition"), mask(cols).alias("w")) for k, cols in conditions.items())))
+    groups = proto.select("agent", F.array(*(f"p_{c}" for c in every)).alias("p"), made.alias("c")).select("c.condition", "agent", "p", "c.w")
     rows = base.select(F.col("id").alias("at"), F.array(*every).alias("z"))
     agents = labels.select("agent").distinct().count()
-    return ranking.metrics(positive_ranks(asked, rows, ["condition", "agent"], z.count(), len(conditions) * agents), ["condition", "agent"])
+    positives = own.select("agent", F.col("id").alias("at"), F.array(*every).alias("z"))
+    return positive_ranks(groups, positives, rows, ["agent"], z.count(), len(conditions) * agents, summed=True)
 
 
 def block_conditions(blocks: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:

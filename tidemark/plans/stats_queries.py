@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine, hash_uniform
 from tidemark.operators import bootstrap, preference, ranking, resampling, splits, stats, vectors
+from tidemark.operators.counting import positive_ranks
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_tail
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, embedded, sql_wide, wide, wide_scores
 from tidemark.sources.scratch import staged
@@ -123,15 +124,14 @@ def b01(spark, d):
     return rounded(per.groupBy("rep").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
-def null_by_repeat(rows, *groups: str):
+def null_by_repeat(per, *groups: str):
     """Metrics of each repeat, averaged over agents."""
-    per = ranking.metrics(rows, ["rep", *groups, "agent"])
     return rounded(per.groupBy("rep", *groups).agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
 @C.add("T11_random_null")
 def t11(spark, d):
-    return null_by_repeat(resampling.random_null(pairs(spark, d), read(spark, d, "part").count()))
+    return null_by_repeat(resampling.random_metrics(pairs(spark, d), read(spark, d, "part").count()))
 
 
 def standardised(spark, d):
@@ -142,7 +142,7 @@ def standardised(spark, d):
 
 @C.add("T12_permutation_null")
 def t12(spark, d):
-    return null_by_repeat(resampling.permutation_null(*standardised(spark, d)))
+    return null_by_repeat(resampling.permutation_null(*standardised(spark, d), summed=True))
 
 
 TESTED_METRICS = ["mrr_best", "recall_5", "ap"]
@@ -158,9 +158,9 @@ def against_nulls(seen, nulls):
     return stats.corrections(out, "p", "metric", groups=["mode"]).select("mode", "metric", "observed", "null_mean", "null_std", "p", F.col("holm_step").alias("holm_significant"))
 
 
-def mean_of(rows, *groups: str):
+def mean_of(per, *groups: str):
     """Metrics of `groups`, averaged over agents."""
-    return ranking.metrics(rows, [*groups, "agent"]).groupBy(*groups).agg(*(F.avg(c).alias(c) for c in TESTED_METRICS))
+    return per.groupBy(*groups).agg(*(F.avg(c).alias(c) for c in TESTED_METRICS))
 
 
 @C.add("C13_null_run")
@@ -169,8 +169,8 @@ def c13(spark, d):
     z, labels, dim = standardised(spark, d)
     z, labels = staged(z, "null-vectors"), staged(labels, "null-labels")
     seen = ranking.metrics(ranking.ranked(embedded(spark, d), ["agent"]), ["agent"]).agg(*(F.avg(c).alias(c) for c in TESTED_METRICS))
-    random = mean_of(resampling.random_null(labels, z.count()), "rep").withColumn("mode", F.lit("random"))
-    permuted = mean_of(resampling.permutation_null(z, labels, dim), "rep").withColumn("mode", F.lit("permutation"))
+    random = mean_of(resampling.random_metrics(labels, z.count()), "rep").withColumn("mode", F.lit("random"))
+    permuted = mean_of(resampling.permutation_null(z, labels, dim, summed=True), "rep").withColumn("mode", F.lit("permutation"))
     return rounded(against_nulls(seen, random.unionByName(permuted)))
 
 
@@ -178,15 +178,16 @@ def fold_run(spark, d, folds: int = 5, repeats: int = 1000):
     """(observed metrics of each fold (fold, …), nulls of each fold (mode, rep, fold, …)): the folds are `id % folds`."""
     z, labels, dim = standardised(spark, d)
     z, labels = staged(z, "fold-vectors"), staged(labels, "fold-labels")
-    seen = nulls = None
+    # All folds' permutations share the passes over the rows.
+    moved = resampling.permutation_null(z, labels, dim, repeats, folds=folds, summed=True)
+    seen, nulls = None, mean_of(moved, "rep", "fold").select(F.lit("permutation").alias("mode"), "rep", "fold", *TESTED_METRICS)
     join = lambda a, b: b if a is None else a.unionByName(b)
     for fold in range(folds):
         test = z.filter(F.col("id") % folds == fold).select("id")
         named = lambda rows, mode: mean_of(rows, "rep").select(F.lit(mode).alias("mode"), "rep", F.lit(fold).alias("fold"), *TESTED_METRICS)  # noqa: B023, E731
         known = labels.join(test, "id", "left_anti").select("agent").distinct()
         held = labels.join(test, "id", "left_semi").join(known, "agent", "left_semi")
-        nulls = join(nulls, named(resampling.random_null(held, test.count(), repeats, seed=42 + fold), "random"))
-        nulls = join(nulls, named(resampling.permutation_null(z, labels, dim, repeats, seed=42 + fold, tested=test), "permutation"))
+        nulls = join(nulls, named(resampling.random_metrics(held, test.count(), repeats, seed=42 + fold), "random"))
         proto = vectors.mean_vector(z.join(labels, "id").join(test, "id", "left_anti"), "z", "agent", "p")
         scored = z.join(test, "id", "left_semi").crossJoin(proto).select("agent", "id", F.round(cosine(F.col("z"), F.col("p")), 9).alias("score"))
         scored = scored.join(held.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
@@ -340,14 +341,14 @@ def c10(spark, d):
 
 @C.add("B10_C11_few_shot", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, pk AS (SELECT rep, agent, id, row_number() OVER (PARTITION BY rep, agent ORDER BY md5('42|' || rep || '|' || agent || '|' || id), id) AS o FROM pairs, range(20) t(rep)), shots AS (SELECT k, rep, agent, id FROM pk, (VALUES (1), (2), (3)) v(k) WHERE o <= k), pr AS (SELECT k, rep, agent, {', '.join(f'avg({c}) AS p_{c}' for c in ZCOLS)} FROM shots JOIN z USING (id) GROUP BY 1, 2, 3), ds AS (SELECT k, rep, agent, z.id, round(-sqrt({' + '.join(f'({c} - p_{c}) * ({c} - p_{c})' for c in ZCOLS)}), 9) AS score FROM z, pr), scored AS (SELECT ds.*, l.id IS NOT NULL AS positive FROM ds LEFT JOIN pairs l ON l.agent = ds.agent AND l.id = ds.id), {sql_ranked('k, rep, agent')}, per AS ({FULL.format(g='k, rep, agent')}) SELECT k, count(DISTINCT agent) AS agents, {MACRO} FROM per GROUP BY k")
 def b10(spark, d):
-    labels, z = pairs(spark, d), wide(spark, d).select("id", *ZCOLS)
+    labels, z = pairs(spark, d), staged(wide(spark, d).select("id", *ZCOLS), "shots")
     w = Window.partitionBy("rep", "agent").orderBy(F.md5(F.concat_ws("|", F.lit("42"), "rep", "agent", "id").cast("binary")), "id")
     shots = resampling.repeated(labels, 20).withColumn("o", F.row_number().over(w)).filter("o <= 3").select("rep", "agent", "id", F.explode(F.sequence("o", F.lit(3))).alias("k"))
     proto = shots.join(z, "id").groupBy("k", "rep", "agent").agg(*(F.avg(c).alias(f"p_{c}") for c in ZCOLS))
-    dist = F.sqrt(sum(((F.col(c) - F.col(f"p_{c}")) * (F.col(c) - F.col(f"p_{c}")) for c in ZCOLS), F.lit(0.0)))
-    x = z.crossJoin(proto).select("k", "rep", "agent", "id", F.round(-dist, 9).alias("score"))
-    x = x.join(labels.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-    per = ranking.metrics(ranking.ranked(x, ["k", "rep", "agent"], low=-20.0, high=0.0), ["k", "rep", "agent"])
+    groups = proto.select("k", "rep", "agent", F.array(*(f"p_{c}" for c in ZCOLS)).alias("p"))
+    rows = z.select(F.col("id").alias("at"), F.array(*ZCOLS).alias("z"))
+    size = 60 * labels.select("agent").distinct().count()
+    per = positive_ranks(groups, labels.withColumnRenamed("id", "at").join(rows, "at"), rows, ["agent"], z.count(), size, measure="distance", summed=True)
     return rounded(per.groupBy("k").agg(F.countDistinct("agent").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
