@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine
-from tidemark.operators import bootstrap, forests, logistic, models, ranking, resampling, stats, vectors
+from tidemark.operators import ablation, bootstrap, forests, logistic, models, ranking, resampling, stats, vectors
 from tidemark.operators.counting import positive_ranks
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_z
 from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, nearest_train, sql_wide, wide, wide_scores
@@ -60,11 +60,8 @@ SETS = {"a": ZCOLS[:4], "b": ZCOLS[4:], "a+b": ZCOLS}
 
 @C.add("C06_feature_sets", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, {', '.join(sql_wide(c, out=f'c{i}') for i, c in enumerate(SETS.values()))}, scored AS ({' UNION ALL '.join(f'''SELECT '{k}' AS fs, * FROM c{i}''' for i, k in enumerate(SETS))}), {sql_ranked('fs, agent')}, per AS ({FULL.format(g='fs, agent')}) SELECT fs, count(*) AS agents, {MACRO} FROM per GROUP BY fs")
 def c06(spark, d):
-    z, labels, x = wide(spark, d), pairs(spark, d), None
-    for k, cols in SETS.items():
-        s = wide_scores(z, labels, cols).withColumn("fs", F.lit(k))
-        x = s if x is None else x.unionByName(s)
-    per = ranking.metrics(ranking.ranked(x, ["fs", "agent"]), ["fs", "agent"])
+    z = vectors.zscore(staged(features(spark, d).select("id", *FEATURES), "features"), FEATURES)
+    per = ablation.condition_metrics(z, pairs(spark, d), SETS, least=1).withColumnRenamed("condition", "fs")
     return rounded(per.groupBy("fs").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
@@ -138,7 +135,9 @@ def c05(spark, d):
     long = per.unpivot(["direction", "agent"], CROSSED, "metric", "value").filter("value is not null")
     seen = long.groupBy("direction", "metric").agg(F.count("*").alias("agents"), F.avg("value").alias("observed"))
     drawn = bootstrap.interval(bootstrap.bootstrap(long, "value", "agent", 1000, 42, ["direction", "metric"]), ["direction", "metric"])
-    return rounded(seen.join(drawn, ["direction", "metric"]).select("direction", "metric", "agents", "observed", "mean", "lo", "hi"))
+    out = seen.join(drawn, ["direction", "metric"]).select("direction", "metric", "agents", "observed", "mean", "lo", "hi")
+    # Means of few distinct values often lie halfway between six-digit numbers: sums in another order must not part them.
+    return rounded(rounded(out, 12))
 
 
 @C.add("C15_distance_bins", "WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), nr AS (SELECT t.id, round(min(list_distance(t.e, s.e)), 9) AS dist FROM x t, x s WHERE t.id % 5 = 0 AND s.id % 5 <> 0 GROUP BY 1), q AS (SELECT quantile_cont(dist, 0.25) AS a, quantile_cont(dist, 0.5) AS b, quantile_cont(dist, 0.75) AS c FROM nr) SELECT CASE WHEN dist <= a THEN 1 WHEN dist <= b THEN 2 WHEN dist <= c THEN 3 ELSE 4 END AS bin, count(*) AS n, round(avg(dist), 6) AS mean FROM nr, q GROUP BY 1")
