@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import cosine, hash_uniform
+from tidemark.functions.columns import cosine
 from tidemark.operators import bootstrap, preference, ranking, resampling, splits, stats, vectors
 from tidemark.operators.counting import positive_ranks
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_tail
@@ -111,16 +111,14 @@ UNI = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0"
 NULL_RANDOM = f"WITH {SQL_PAIRS}, scored AS (SELECT r AS rep, agent, p_partkey AS id, round({UNI.format(chr(39) + '42|' + chr(39) + ' || r || ' + chr(39) + '|' + chr(39) + ' || agent || ' + chr(39) + '|' + chr(39) + ' || p_partkey')}, 9) AS score, EXISTS (SELECT 1 FROM pairs q WHERE q.agent = a.agent AND q.id = p_partkey) AS positive FROM range(3) t(r), (SELECT DISTINCT agent FROM pairs) a, part), {sql_ranked('rep, agent')}, per AS ({FULL.format(g='rep, agent')}) SELECT rep, count(*) AS agents, {MACRO} FROM per GROUP BY rep"
 
 
-def random_scores(spark, d, repeats: int, seed: int = 42):
-    labels = pairs(spark, d)
-    x = spark.range(repeats).withColumnRenamed("id", "rep").crossJoin(labels.select("agent").distinct()).crossJoin(read(spark, d, "part").select(F.col("p_partkey").alias("id")))
-    x = x.withColumn("score", F.round(hash_uniform(seed, "rep", "agent", "id"), 9))
-    return x.join(labels.withColumn("positive", F.lit(True)), ["agent", "id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-
-
 @C.add("B01_random_baseline", NULL_RANDOM)
 def b01(spark, d):
-    per = ranking.metrics(ranking.ranked(random_scores(spark, d, 3), ["rep", "agent"], low=0.0), ["rep", "agent"])
+    labels, ids = pairs(spark, d), read(spark, d, "part").select(F.col("p_partkey").alias("at"), F.array(F.lit(0.0)).alias("z"))
+    agents = labels.select("agent").distinct()
+    draws = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))
+    groups = agents.withColumn("rep", draws).withColumn("draw", F.concat_ws("|", F.lit("42"), "rep", "agent")).withColumn("p", F.array(F.lit(1.0)))
+    own = labels.withColumnRenamed("id", "at").join(ids, "at")  # a score is minus the distance of its number from one
+    per = positive_ranks(groups, own, ids, ["agent"], ids.count(), 3 * agents.count(), measure="distance", summed=True, vary="draw", make=resampling.uniform)
     return rounded(per.groupBy("rep").agg(F.count("*").alias("agents"), *(F.avg(c).alias(c) for c in METRICS)))
 
 
