@@ -172,7 +172,9 @@ def corrections(df: DataFrame, p: str, key: str, alpha: float = 0.05, groups: Se
     up = order.rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("holm", F.least(F.lit(1.0), F.max((F.col("n") - F.col("k") + 1) * F.col(p)).over(up)))
     x = x.withColumn("holm_rank", ok).withColumn("holm_step", F.min(ok.cast("int")).over(up) == 1)
-    bh = F.max((F.col(p) <= alpha * F.col("k") / F.col("n")).cast("int")).over(order.rowsBetween(0, Window.unboundedFollowing)) == 1
+    # From the last row back: a frame that reaches to the end of its group is summed up anew for each row.
+    down = part.orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
+    bh = F.max((F.col(p) <= alpha * F.col("k") / F.col("n")).cast("int")).over(down) == 1
     return x.withColumn("bh", bh).drop("k", "n")
 
 
