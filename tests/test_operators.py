@@ -234,3 +234,26 @@ def test_survey_counts_of_draws(spark, monkeypatch):
     queries["B06_random_forest"](spark, folder)
     assert seen == {"c05": 1000, "b06": (100, 10)}
     assert queries["T21_matched_null"](spark, folder).count() == 200
+
+
+def test_exploded_neighbours_are_not_broadcast(spark):
+    points = spark.range(50).selectExpr("id % 5 as mol", "id as atom", "cast(id as double) as x", "0.0D as y", "0.0D as z")
+    plan = structure.close_pairs(points, ["atom"], 2.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+
+
+def test_last_significant_row_is_found_from_the_end(spark):
+    x = spark.createDataFrame([(i, p) for i, p in enumerate([0.04, 0.001, 0.03, 0.03, 0.9])], "id int, p double")
+    out = stats.corrections(x, "p", "id")
+    assert "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing$())" not in out._jdf.queryExecution().analyzed().toString()
+    assert [r.bh for r in out.orderBy("id").collect()] == [True, True, True, True, False]
+
+
+def test_means_on_a_limit_do_not_depend_on_the_order_of_the_sum(spark, tmp_path):
+    from tidemark.plans import split_queries
+
+    for i, discounts in enumerate(([0.01, 0.02, 0.05, 0.06, 0.07, 0.06], [0.07, 0.06, 0.06, 0.05, 0.02, 0.01], [0.1, 0.02, 0.03, 0.03], [0.03, 0.03, 0.02, 0.1])):
+        spark.createDataFrame([(i, 10.0, x, 0.0, 1) for x in discounts], "l_partkey long, l_quantity double, l_discount double, l_tax double, l_linenumber int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, 1, 1.0, "b", "t") for i in range(4)], "p_partkey long, p_size int, p_retailprice double, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    rows = split_queries.QUERIES["P06_P07_proxy_keys"](spark, str(tmp_path)).collect()
+    assert {r.linkage.split("_")[0] for r in rows} == {"medium"}

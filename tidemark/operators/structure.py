@@ -22,7 +22,8 @@ def close_pairs(points: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
     for a in "xyz":
         own = F.floor(F.col(f"{a}2") / cutoff)
         near = near.withColumn(f"c{a}", F.explode(F.array(own - 1, own, own + 1)))
-    both = home.join(near, ["mol", "cx", "cy", "cz"]).withColumn("d2", F.expr(FAR))
+    # Spark takes the exploded side to be as small as its source and would broadcast it.
+    both = home.join(near.hint("merge"), ["mol", "cx", "cy", "cz"]).withColumn("d2", F.expr(FAR))
     return both.filter((F.col("d2") < cutoff * cutoff) & (F.col(keys[0]) != F.col(f"{keys[0]}2"))).select("mol", *keys, *(f"{k}2" for k in keys), "d2")
 
 
