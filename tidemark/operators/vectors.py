@@ -57,11 +57,12 @@ def plane_fit(df: DataFrame, targets: Sequence[str], a: str, b: str) -> DataFram
     return row.select(*(F.struct((F.col(f"m_{y}") - F.col(f"ca_{y}") * F.col("ma") - F.col(f"cb_{y}") * F.col("mb")).alias("c0"), F.col(f"ca_{y}").alias("ca"), F.col(f"cb_{y}").alias("cb")).alias(f"r_{y}") for y in targets))
 
 
-def block_extremes(left: DataFrame, right: DataFrame, measure: str, block: int = 2048) -> DataFrame:
+def block_extremes(left: DataFrame, right: DataFrame, measure: str, block: int = 16_384, tile: int = 2048) -> DataFrame:
     """(id, group, value): for each row (id, e) of `left` the best value over the rows (group, e) of `right` in each group.
 
     `measure` is "cosine" (the greatest; 0 for zero vectors) or "distance" (the least Euclidean). Both sides are dealt into
-    blocks by hash; each pair of blocks is a unit of work of bounded size, whose partial values are then aggregated.
+    blocks by hash; each pair of blocks is a unit of work of bounded size, compared tile by tile, whose partial values are then
+    aggregated. All pairs are compared, so work grows with the square of the rows; traffic is a row once a block of the other side.
     """
     blocks = lambda df: max(1, -(-df.count() // block))
     nl, nr = blocks(left), blocks(right)
@@ -78,13 +79,23 @@ def block_extremes(left: DataFrame, right: DataFrame, measure: str, block: int =
         place = codes.indices.to_numpy()
         order = np.argsort(place, kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(place[order]) > 0))
-        if measure == "cosine":
-            n = np.linalg.norm(p, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
-            value = np.where(n > 0, p @ q.T / np.where(n > 0, n, 1), 0.0)
-            best = np.maximum.reduceat(value[:, order], starts, axis=1)
-        else:
-            square = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T
-            best = np.sqrt(np.maximum(np.minimum.reduceat(square[:, order], starts, axis=1), 0))
+        q, of = q[order], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+        best = np.full((len(p), len(starts)), -np.inf if measure == "cosine" else np.inf)
+        extreme = np.maximum if measure == "cosine" else np.minimum
+        for i in range(0, len(p), tile):
+            a = p[i : i + tile]
+            for j in range(0, len(q), tile):
+                b, mine = q[j : j + tile], of[j : j + tile]
+                edge = np.flatnonzero(np.append(True, np.diff(mine) > 0))
+                if measure == "cosine":
+                    n = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+                    value = np.divide(a @ b.T, n, out=np.zeros(n.shape), where=n > 0)
+                else:
+                    value = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+                part = best[i : i + tile]
+                part[:, mine[edge]] = extreme(part[:, mine[edge]], extreme.reduceat(value, edge, axis=1))
+        if measure == "distance":
+            best = np.sqrt(np.maximum(best, 0))
         ids = np.repeat(np.arange(len(p)), len(starts))
         return pa.table({"id": x["id"].combine_chunks().take(pa.array(ids)), "group": codes.dictionary.take(pa.array(np.tile(place[order][starts], len(p)))), "value": pa.array(best.reshape(-1))})
 
