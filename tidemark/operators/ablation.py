@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bootstrap, stats
 from tidemark.operators.counting import positive_ranks
+from tidemark.sources.scratch import staged
 
 COMPARED = ["mrr_best", "recall_5", "recall_10", "ap"]
 
 
 def condition_metrics(z: DataFrame, labels: DataFrame, conditions: Mapping[str, Sequence[str]], least: int = 2) -> DataFrame:
     """(condition, agent, metrics) of agents with at least `least` positives (id, agent), by cosine with the mean of the positives'
-    rows over the condition's columns of `z` (id, columns). `z` is read several times: stage it where it is costly."""
+    rows over the condition's columns of `z` (id, columns). `z` is staged: positives and candidates are the very same numbers, which
+    statistics summed up anew for each reader, in another order, would part."""
     # In the order of their first condition, so that a sum over a condition's columns runs in the condition's own order.
     every = list(dict.fromkeys(c for cols in conditions.values() for c in cols))
-    base = z.select("id", *every)
+    base = staged(z.select("id", *every), "conditions")
     own = labels.select("id", "agent").distinct().join(base, "id")
     proto = own.groupBy("agent").agg(*(F.avg(c).alias(f"p_{c}") for c in every), F.count("*").alias("__n")).filter(F.col("__n") >= least)
     mask = lambda cols: F.array(*(F.lit(1.0 if c in cols else 0.0) for c in every))
@@ -31,7 +33,7 @@ def condition_metrics(z: DataFrame, labels: DataFrame, conditions: Mapping[str,
     rows = base.select(F.col("id").alias("at"), F.array(*every).alias("z"))
     agents = labels.select("agent").distinct().count()
     positives = own.select("agent", F.col("id").alias("at"), F.array(*every).alias("z"))
-    return positive_ranks(groups, positives, rows, ["agent"], z.count(), len(conditions) * agents, summed=True)
+    return positive_ranks(groups, positives, rows, ["agent"], base.count(), len(conditions) * agents, summed=True)
 
 
 def block_conditions(blocks: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:

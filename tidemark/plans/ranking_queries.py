@@ -176,7 +176,7 @@ def residual_metrics(spark, d, *conditions: str) -> DataFrame:
     plane = lambda y: F.col(f"r_{y}.c0") + F.col(f"r_{y}.ca") * F.col("p_size") + F.col(f"r_{y}.cb") * F.col("n_lines")
     both = f.crossJoin(F.broadcast(fit)).select("id", *FEATURES, *((F.col(y) - plane(y)).alias(f"res_{y}") for y in RES))
     z = vectors.zscore(both, [*FEATURES, *(f"res_{y}" for y in RES)]).withColumnsRenamed({f"z_res_{y}": f"rz_{y}" for y in RES})
-    return ablation.condition_metrics(staged(z, "residuals"), pairs(spark, d), {c: RESIDUAL[c] for c in conditions})
+    return ablation.condition_metrics(z, pairs(spark, d), {c: RESIDUAL[c] for c in conditions})
 
 
 @C.add("C08_residual_ranking", f"WITH {SQL_FEATURES}, {SQL_PAIRS}, {OLS}, {sql_z(RES, 'z0', 'z')}, {sql_wide(['z_' + c for c in RES])}, {sql_ranked('agent')}, per AS ({FULL.format(g='agent')}) SELECT count(*) AS agents, {MACRO} FROM per")
