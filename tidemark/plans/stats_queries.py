@@ -138,9 +138,18 @@ def standardised(spark, d):
     return z.select("id", "z"), z.filter("agent is not null").select("agent", "id"), z.select(F.max(F.size("z"))).first()[0] or 0
 
 
+def raw(spark, d):
+    """The vectors as they are (id, z), and their means and deviations by component."""
+    e = read(spark, d, "embeddings")
+    row = vectors.long_form(e, "embedding").groupBy("j").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("j").collect()
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("z")), ([r["m"] for r in row], [r["s"] for r in row])
+
+
 @C.add("T12_permutation_null")
 def t12(spark, d):
-    return null_by_repeat(resampling.permutation_null(*standardised(spark, d), summed=True))
+    _, labels, dim = standardised(spark, d)
+    z, scale = raw(spark, d)
+    return null_by_repeat(resampling.permutation_null(z, labels, dim, summed=True, scale=scale))
 
 
 TESTED_METRICS = ["mrr_best", "recall_5", "ap"]
@@ -168,7 +177,8 @@ def c13(spark, d):
     z, labels = staged(z, "null-vectors"), staged(labels, "null-labels")
     seen = ranking.metrics(ranking.ranked(embedded(spark, d), ["agent"]), ["agent"]).agg(*(F.avg(c).alias(c) for c in TESTED_METRICS))
     random = mean_of(resampling.random_metrics(labels, z.count()), "rep").withColumn("mode", F.lit("random"))
-    permuted = mean_of(resampling.permutation_null(z, labels, dim, summed=True), "rep").withColumn("mode", F.lit("permutation"))
+    own, scale = raw(spark, d)
+    permuted = mean_of(resampling.permutation_null(own, labels, dim, summed=True, scale=scale), "rep").withColumn("mode", F.lit("permutation"))
     return rounded(against_nulls(seen, random.unionByName(permuted)))
 
 
