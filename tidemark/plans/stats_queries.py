@@ -187,7 +187,8 @@ def fold_run(spark, d, folds: int = 5, repeats: int = 1000):
     z, labels, dim = standardised(spark, d)
     z, labels = staged(z, "fold-vectors"), staged(labels, "fold-labels")
     # All folds' permutations share the passes over the rows.
-    moved = resampling.permutation_null(z, labels, dim, repeats, folds=folds, summed=True)
+    own, scale = raw(spark, d)
+    moved = resampling.permutation_null(own, labels, dim, repeats, folds=folds, summed=True, scale=scale)
     seen, nulls = None, mean_of(moved, "rep", "fold").select(F.lit("permutation").alias("mode"), "rep", "fold", *TESTED_METRICS)
     join = lambda a, b: b if a is None else a.unionByName(b)
     for fold in range(folds):
