@@ -103,3 +103,17 @@ def test_nulls_and_empty_tables(spark):
     assert len({r.score for r in rows if r.agent == 9 and r.id == 3}) == 1
     assert forests.forest_scores(vectors, labels.limit(0)).collect() == []
     assert forests.forest_scores(vectors.limit(0), labels).collect() == []
+
+
+def test_samples_and_walks_by_tree():
+    """What a pass over many rows is made of: a tree at a time, whole numbers for the draws, leaves left behind."""
+    keys, trees = np.arange(5000, dtype=np.uint64) * np.uint64(77), forests.mixed(np.arange(3, dtype=np.uint64) + np.uint64(1))
+    for t in range(3):
+        row, times = forests.sample(keys, trees[t])
+        want = forests.draws(keys, trees)[:, t]
+        assert np.array_equal(row, np.flatnonzero(want)) and np.array_equal(times, want[row])
+    grown = forests.Trees(trees[:1], 2)
+    grown.column[0, [0, 2]], grown.cut[0, [0, 2]] = (1, 0), (4, 7)
+    bins = np.array([[7, 8, 9, 0], [4, 5, 6, 9]], np.uint8)
+    assert [x.tolist() for x in grown.walk(0, bins, np.arange(4), 2)] == [[1, 2, 3], [6, 6, 5]]
+    assert [x.tolist() for x in grown.walk(0, bins, np.arange(4), 2, whole=True)] == [[0, 1, 2, 3], [1, 6, 6, 5]]

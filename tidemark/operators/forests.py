@@ -24,7 +24,8 @@ from tidemark.sources.scratch import staged
 
 BINS = 32
 POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1, 12)]))
-ROWS = 1024  # rows that are sent down the trees at once
+LIMITS = np.ceil(POISSON * 2.0**53).astype(np.uint64)
+ROWS = 1 << 16  # rows that are sent down a tree at once
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,21 +81,50 @@ class Trees:
         self.cut = np.zeros((len(keys), size), np.uint8)
         self.value = np.zeros((len(keys), size), np.float32)
 
-    def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        """(rows, trees): the node that each row reaches after `levels` steps, or its leaf above."""
-        node = np.zeros((len(bins), len(self.keys)), np.int32)
-        tree, row = np.arange(len(self.keys))[None, :], np.arange(len(bins))[:, None]
-        for _ in range(levels):
-            column = self.column[tree, node]
-            over = bins[row, np.maximum(column, 0)] > self.cut[tree, node]
-            node = np.where(column >= 0, 2 * node + 1 + over, node)
-        return node
-
-
-def _blocks(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
-    for s in range(0, batch.num_rows, ROWS):
-        part = batch.slice(s, ROWS)
-        yield np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(part.num_rows, dim), part
+    def walk(self, tree: int, bins: np.ndarray, row: np.ndarray, levels: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows `row` of `bins` (columns, rows): those that `levels` steps do not lead to a leaf above, and their nodes; with `whole`
+        all rows, at their leaf where it is above."""
+        column, cut = self.column[tree].astype(np.int64), self.cut[tree]
+        flat, size, node = bins.reshape(-1), bins.shape[1], np.zeros(len(row), np.int64)
+        for level in range(levels):
+            c = column[node]
+            # Below a leaf there are leaves only, so a level without leaves has none above.
+            ended = column[2**level - 1 : 2 ** (level + 1) - 1].min() < 0
+            if ended and not whole:
+                kept = c >= 0
+                row, node, c = row[kept], node[kept], c[kept]
+            step = 2 * node + 1 + (flat[c * size + row] > cut[node])
+            node = np.where(c >= 0, step, node) if ended and whole else step
+        return row, node
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Bins (columns, rows) of blocks of rows."""
+    held, n = [], 0
+
+    def block() -> tuple[np.ndarray, pa.Table]:
+        part = pa.Table.from_batches(held).combine_chunks()
+        return np.ascontiguousarray(np.frombuffer(b"".join(part["bins"].to_pylist()), np.uint8).reshape(n, dim).T), part
+
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= ROWS:
+            yield block()
+            held, n = [], 0
+    if n:
+        yield block()
+
+
+def sample(keys: np.ndarray, tree: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are in a tree's sample, and how often: `draws` by whole numbers."""
+    y = mixed(keys ^ tree) >> np.uint64(11)
+    row = np.flatnonzero(y >= LIMITS[0])
+    y = y[row]
+    times = np.ones(len(row), np.uint8)
+    for limit in LIMITS[1:]:
+        times += y >= limit
+    return row, times
 
 
 def _level(rows: DataFrame, grown: Trees, level: int, nodes: np.ndarray, agents: list, per: int, dim: int, k: int, weights: dict) -> list:
@@ -106,31 +136,41 @@ def _level(rows: DataFrame, grown: Trees, level: int, nodes: np.ndarray, agents:
     of_agent = {a: i for i, a in enumerate(agents)}
     width = k * BINS * 2
     alive = Trees(grown.keys[some], 0)
-    alive.column, alive.cut = grown.column[some], grown.cut[some]
+    alive.column, alive.cut, slot = grown.column[some], grown.cut[some], slot[some]
+    first = np.searchsorted(nodes[:, 0], some)  # nodes come by tree
+    many = np.diff(np.append(first, len(nodes)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(nodes) * width, np.int64)
-        for b in batches:
-            for bins, part in _blocks(b, dim):
-                node = alive.nodes(bins, level)
-                at = slot[some[None, :], node]
-                taken = draws(part.column("key").to_numpy().view(np.uint64), alive.keys)
-                own = part.column("own")
-                positive = np.zeros((len(bins), len(agents)), bool)
-                row = np.repeat(np.arange(len(bins)), np.diff(own.offsets.to_numpy()))
-                col = np.array([of_agent.get(a, -1) for a in own.flatten().to_pylist()], np.int64)
-                positive[row[col >= 0], col[col >= 0]] = True
-                r, t = np.nonzero((at >= 0) & (taken > 0))
-                s = at[r, t].astype(np.int64)
-                side = positive[r, some[t] // per].astype(np.int64)
+        total = np.zeros(len(nodes) * width, np.int32)
+        for bins, part in _blocks(batches, dim):
+            size, flat = bins.shape[1], bins.reshape(-1)
+            keys = part["key"].to_numpy().view(np.uint64)
+            own = part["own"].combine_chunks()
+            positive = np.zeros((len(agents), size), np.int64)
+            row = np.repeat(np.arange(size), np.diff(own.offsets.to_numpy()))
+            col = np.array([of_agent.get(a, -1) for a in own.flatten().to_pylist()], np.int64)
+            positive[col[col >= 0], row[col >= 0]] = 1
+            times = np.zeros(size, np.uint8)
+            for i, tree in enumerate(some):
+                drawn, often = sample(keys, alive.keys[i])
+                times[drawn] = often
+                r, node = alive.walk(i, bins, drawn, level)
+                s = slot[i][node].astype(np.int64)
+                if level:
+                    kept = s >= 0
+                    r, s = r[kept], s[kept]
+                side, weight, local = positive[tree // per][r], times[r].astype(float), s - first[i]
+                mine = total[first[i] * width : (first[i] + many[i]) * width]
                 for j in range(k):
-                    where = ((s * k + j) * BINS + bins[r, looked[s, j]]) * 2 + side
-                    total += np.bincount(where, taken[r, t], len(total)).astype(np.int64)
+                    where = ((local * k + j) * BINS + flat[looked[s, j] * size + r]) * 2 + side
+                    mine += np.bincount(where, weight, len(mine)).astype(np.int32)
         total = total.reshape(len(nodes), width)
         met = np.flatnonzero(total.any(1))
         for s in range(0, len(met), 4096):
             ids = met[s : s + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([c.tobytes() for c in total[ids]], pa.binary())], names=["slot", "t"])
+            # Counts are small in most nodes: they travel in as few bytes as hold them.
+            kind = np.min_scalar_type(total[ids].max())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([c.tobytes() for c in total[ids].astype(kind)], pa.binary())], names=["slot", "t"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = {}, np.zeros((64, width), np.int64)
@@ -139,7 +179,11 @@ def _level(rows: DataFrame, grown: Trees, level: int, nodes: np.ndarray, agents:
             place = np.array([at.setdefault(i, len(at)) for i in ids], np.int64)
             while len(at) > len(total):
                 total = np.vstack([total, np.zeros_like(total)])
-            np.add.at(total, place, np.frombuffer(b"".join(b.column("t").to_pylist()), np.int64).reshape(len(ids), width))
+            sent = b.column("t").to_pylist()
+            held = np.array([len(t) // width for t in sent])
+            for size in np.unique(held):
+                some_at = np.flatnonzero(held == size)
+                np.add.at(total, place[some_at], np.frombuffer(b"".join(sent[i] for i in some_at), f"u{size}").reshape(len(some_at), width).astype(np.int64))
         if not at:
             return
         ids = np.array(list(at), np.int64)
@@ -194,7 +238,7 @@ def edges_of(vectors: DataFrame, dim: int) -> list[np.ndarray]:
     return [np.unique(np.array(found[f"q{j}"] or [], float)) for j in range(dim)]
 
 
-def forest_scores(vectors: DataFrame, labels: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42, batch: int = 10, slots: int = 20_000) -> DataFrame:
+def forest_scores(vectors: DataFrame, labels: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42, batch: int = 10, slots: int = 60_000) -> DataFrame:
     """(agent, id, score) of each agent's forest for every agent of `labels` (agent, id) that has one of the rows (id, x), and every row.
 
     Components that are null or not a number lie in the last bin of their column. A row of an id that is there twice counts twice.
@@ -234,11 +278,13 @@ def forest_scores(vectors: DataFrame, labels: DataFrame, trees: int = 100, depth
 
 def _scorer(grown: Trees, agents: list, trees: int, depth: int, dim: int, agent_type: pa.DataType):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for bins, part in _blocks(b, dim):
-                value = grown.value[np.arange(len(grown.keys))[None, :], grown.nodes(bins, depth)]
-                mean = value.reshape(len(bins), len(agents), trees).mean(2, dtype=np.float64)
-                ids = part.column("id").take(pa.array(np.repeat(np.arange(len(bins)), len(agents))))
-                yield pa.RecordBatch.from_arrays([pa.array(agents * len(bins), agent_type), ids, pa.array(mean.ravel())], names=["agent", "id", "score"])
+        for bins, part in _blocks(batches, dim):
+            size = bins.shape[1]
+            row, mean = np.arange(size), np.zeros((len(agents), size))
+            for t in range(len(grown.keys)):
+                mean[t // trees] += grown.value[t][grown.walk(t, bins, row, depth, whole=True)[1]]
+            ids, mean = part["id"].combine_chunks(), mean / trees
+            for i, a in enumerate(agents):
+                yield pa.RecordBatch.from_arrays([pa.array([a] * size, agent_type), ids, pa.array(mean[i])], names=["agent", "id", "score"])
 
     return score
