@@ -257,3 +257,14 @@ def test_means_on_a_limit_do_not_depend_on_the_order_of_the_sum(spark, tmp_path)
     spark.createDataFrame([(i, 1, 1.0, "b", "t") for i in range(4)], "p_partkey long, p_size int, p_retailprice double, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     rows = split_queries.QUERIES["P06_P07_proxy_keys"](spark, str(tmp_path)).collect()
     assert {r.linkage.split("_")[0] for r in rows} == {"medium"}
+
+
+@pytest.mark.parametrize("values", [[0.5], [3.0, 1.0], [2.0] * 50 + [None, 7.0], [float(i * i % 9973) for i in range(9000)] + [None], [float(i * i % 99991) for i in range(50_000)], []])
+def test_quantiles_are_exact_and_no_task_holds_all_values(spark, values):
+    shares = [0.0, 0.25, 0.5, 0.33, 0.9, 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0] or [None] * len(shares)
+    got = stats.quantiles(df, "v", shares)
+    assert list(got.first()) == pytest.approx(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan

@@ -268,15 +268,17 @@ def g08(spark, d):
 @C.add("G09_quantile_bins", "WITH e AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part) SELECT CASE WHEN p_retailprice <= a THEN 1 WHEN p_retailprice <= b THEN 2 WHEN p_retailprice <= c THEN 3 ELSE 4 END AS bin, count(*) AS n, round(min(p_retailprice), 6) AS lo, round(max(p_retailprice), 6) AS hi FROM part, e GROUP BY 1")
 def g09(spark, d):
     p = read(spark, d, "part").select("p_retailprice")
-    edges = p.agg(F.array_distinct(F.percentile("p_retailprice", F.array(*map(F.lit, (0.25, 0.5, 0.75))))).alias("e"))
+    edges = stats.quantiles(p, "p_retailprice", [0.25, 0.5, 0.75]).select(F.array_distinct(F.array("q0", "q1", "q2")).alias("e"))
     x = p.crossJoin(F.broadcast(edges)).withColumn("bin", (F.size(F.filter("e", lambda q: q < F.col("p_retailprice"))) + 1).cast("int"))
     return rounded(x.groupBy("bin").agg(F.count("*").alias("n"), F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")))
 
 
 @C.add("G10_describe", "SELECT round(min(o_totalprice), 6) AS lo, round(quantile_cont(o_totalprice, 0.25), 6) AS q1, round(median(o_totalprice), 6) AS mid, round(quantile_cont(o_totalprice, 0.75), 6) AS q3, round(max(o_totalprice), 6) AS hi FROM orders")
 def g10(spark, d):
-    q = lambda p: F.percentile("o_totalprice", F.lit(p))
-    return rounded(read(spark, d, "orders").agg(F.min("o_totalprice").alias("lo"), q(0.25).alias("q1"), F.median("o_totalprice").alias("mid"), q(0.75).alias("q3"), F.max("o_totalprice").alias("hi")))
+    o = read(spark, d, "orders").select("o_totalprice")
+    ends = o.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    inner = stats.quantiles(o, "o_totalprice", [0.25, 0.5, 0.75])
+    return rounded(ends.crossJoin(F.broadcast(inner)).select("lo", F.col("q0").alias("q1"), F.col("q1").alias("mid"), F.col("q2").alias("q3"), "hi"))
 
 
 STATUS = "CASE event_type WHEN 'click' THEN 'ok' WHEN 'view' THEN 'ok' WHEN 'error' THEN 'failed' ELSE 'skipped' END"
