@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cityblock, cosine, euclidean
-from tidemark.operators import ablation, ranking, vectors
+from tidemark.operators import ablation, distances, ranking, vectors
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_METRICS, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_tail, sql_z
 from tidemark.sources.scratch import staged
 
@@ -56,10 +56,8 @@ def w04(spark, d):
 
 @C.add("W02_ascending_distance_rank", "WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT q, vec_id AS id, round(list_distance(e::DOUBLE[], embedding::DOUBLE[]), 9) AS dist FROM q, embeddings WHERE q <> vec_id) SELECT q, id, round(dist, 6) AS dist, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS rank FROM x")
 def w02(spark, d):
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    q = e.filter("id % 100 = 0").select(F.col("id").alias("q"), F.col("e").alias("qe"))
-    x = e.join(q, F.col("q") != F.col("id")).withColumn("dist", F.round(euclidean(F.col("qe"), F.col("e")), 9))
-    return x.select("q", "id", F.round("dist", 6).alias("dist"), F.row_number().over(Window.partitionBy("q").orderBy("dist", "id")).cast("long").alias("rank"))
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
+    return distances.distance_ranks(e, e.filter("id % 100 = 0"), digits=6)
 
 
 @C.add("M01_prototypes", f"WITH {EMBED} SELECT own AS agent, (j - 1)::INT AS j, round(avg(z), 6) AS p FROM z WHERE own IS NOT NULL GROUP BY own, j")
