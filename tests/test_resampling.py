@@ -150,3 +150,38 @@ def test_noise_sweep_by_brute_force(spark, adaptive):
             assert got[draw, agent] == sorted(order.index(i) + 1 for i in own)
     x = resampling.noise(3, np.arange(20000), 4)
     assert abs(x.mean()) < 0.02 and abs(x.std() - 1) < 0.02 and abs(np.corrcoef(x.T)[0, 1]) < 0.03
+
+
+@pytest.mark.parametrize("depth", [0, 2, 30])
+def test_best_matched_ranks_equal_those_of_all_draws(spark, depth, adaptive):
+    rng = np.random.default_rng(8)
+    strata = {i: None if i == 5 else i % 3 for i in range(30)}
+    rows = [(a, i, float(rng.choice([0.1, 0.2, round(rng.random(), 9)])), (i + len(a)) % 7 == 0) for a in ("a", "bb") for i in strata]
+    scored = spark.createDataFrame(rows, "agent string, id long, score double, positive boolean")
+    by_s = spark.createDataFrame(list(strata.items()), "id long, s int")
+    ranks = ranking.ranked(scored, ["agent"])
+    want = {(r.rep, r.agent): r.best for r in resampling.matched_null(ranks, by_s, 6).groupBy("rep", "agent").agg(F.min("rank").alias("best")).collect()}
+    top = ranking.best_ranked(scored, ["agent"], F.lit(depth)).filter(F.col("rank") <= depth)
+    got = resampling.matched_best(scored, top, scored.filter("positive").select("agent", "id"), by_s, 6)
+    assert {(r.rep, r.agent): r.best for r in got.collect()} == want and len(want) == 12
+
+
+def test_permutations_go_back():
+    sizes = np.repeat([1, 7, 65, 1000], [1, 7, 65, 1000])
+    x, key = np.concatenate([np.arange(n) for n in (1, 7, 65, 1000)]), np.arange(1073, dtype=np.uint64) % np.uint64(3)
+    assert resampling.permuted(resampling.permuted(x, sizes, key), sizes, key, back=True).tolist() == x.tolist()
+
+
+@pytest.mark.parametrize("wanted", [0, 3, 40])
+def test_first_rows_are_ranked_as_among_all(spark, wanted):
+    rng = np.random.default_rng(9)
+    rows = [(a, i, s, i % k == 0) for a, k in (("a", 9), ("b", 50)) for i, s in enumerate([None, float("nan"), 0.3, 0.3, 0.3, *rng.uniform(-1, 1, 45).round(9).tolist()], 1)]
+    scored = spark.createDataFrame(rows, "agent string, id long, score double, positive boolean")
+    full = {(r.agent, r.id): r for r in ranking.ranked(scored, ["agent"]).collect()}
+    got = ranking.best_ranked(scored, ["agent"], F.lit(wanted), ranges=16).collect()
+    for agent in ("a", "b"):
+        mine = sorted((r["rank"], r.id, r.positive, r.p_before, r.n_pos) for r in got if r.agent == agent)
+        order = sorted((r["rank"], i, r.positive) for (a, i), r in full.items() if a == agent)
+        total = sum(p for _, _, p in order)
+        assert mine == [(k, i, p, sum(q for _, _, q in order[: k - 1]), total) for k, i, p in order[: len(mine)]]
+        assert any(p for _, _, p, _, _ in mine) and (len(mine) == 50 or sum(not p for _, _, p, _, _ in mine) >= wanted)

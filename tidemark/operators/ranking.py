@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine, norm
 from tidemark.operators.vectors import mean_vector, zscore_array
+from tidemark.sources.scratch import staged
+
+
+def _range(score: str, low: float, high: float, ranges: int) -> Column:
+    part = F.floor((F.lit(high) - F.col(score)) / (high - low) * ranges).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(ranges), part))
 
 
 def ranked(scored: DataFrame, groups: Sequence[str], score: str = "score", key: str = "id", positive: str = "positive", low: float = -1.0, high: float = 1.0, ranges: int = 256) -> DataFrame:
@@ -21,8 +27,7 @@ def ranked(scored: DataFrame, groups: Sequence[str], score: str = "score", key:
 
     Counts and windows read one and the same exchange by (groups, range), so scores are made once.
     """
-    part = F.floor((F.lit(high) - F.col(score)) / (high - low) * ranges).cast("int")
-    x = scored.withColumn("__range", F.greatest(F.lit(0), F.least(F.lit(ranges), part))).repartition(*groups, "__range")
+    x = scored.withColumn("__range", _range(score, low, high, ranges)).repartition(*groups, "__range")
     counts = x.groupBy(*groups, "__range").agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
     group = Window.partitionBy(*groups)
     before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -34,6 +39,26 @@ def ranked(scored: DataFrame, groups: Sequence[str], score: str = "score", key:
     return out.withColumns({"rank": F.col("rank") + F.col("__n"), "n_above": F.col("n_above") + F.col("__n"), "tp_above": F.col("tp_above") + F.col("__p")}).drop("__range", "__n", "__p")
 
 
+def best_ranked(scored: DataFrame, groups: Sequence[str], wanted: Column, score: str = "score", key: str = "id", positive: str = "positive", low: float = -1.0, high: float = 1.0, ranges: int = 4096) -> DataFrame:
+    """The first rows of `ranked`, with rank, p_before (positives ranked before the row) and n_pos (positives of the group).
+
+    A group goes down to the range of scores that holds its first positive and `wanted` rows that are not positive (an expression that
+    may use n_pos), or to its end. Ranks are exact, as all rows above are there. Ranges are counted first, and only rows of those
+    ranges move, so `scored` is made twice and should be cheap to make.
+    """
+    x = scored.withColumn("__range", _range(score, low, high, ranges))
+    counts = x.groupBy(*groups, "__range").agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
+    group = Window.partitionBy(*groups)
+    before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*groups, "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("__p"), F.sum("p").over(group).alias("n_pos"))
+    needed = (F.col("__n") - F.col("__p") < wanted) | ((F.col("__p") == 0) & (F.col("n_pos") > 0))
+    own = Window.partitionBy(*groups, "__range").orderBy(F.desc(score), key)
+    first = F.coalesce(F.sum(F.col(positive).cast("long")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = x.join(staged(offsets.filter(needed), "ranges"), [*groups, "__range"])
+    out = kept.withColumns({"rank": F.row_number().over(own).cast("long"), "p_before": first})
+    return out.withColumns({"rank": F.col("rank") + F.col("__n"), "p_before": F.col("p_before") + F.col("__p")}).drop("__range", "__n", "__p")
+
+
 def metrics(rows: DataFrame, groups: Sequence[str], positive: str = "positive", ks: Sequence[int] = (1, 3, 5, 10, 20)) -> DataFrame:
     """Per group, from the rows of `ranked`: positives, best and mean reciprocal rank, recall at `ks`, mean and median rank,
     average precision (null if all rows are positive)."""
