@@ -1,5 +1,6 @@
 """Nulls against brute force, and p-values against known ones."""
 
+import hashlib
 import itertools
 import math
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranking, resampling, stats, vectors
+from tidemark.plans import catalog
 
 
 def test_permutations_are_bijections():
@@ -185,3 +187,23 @@ def test_first_rows_are_ranked_as_among_all(spark, wanted):
         total = sum(p for _, _, p in order)
         assert mine == [(k, i, p, sum(q for _, _, q in order[: k - 1]), total) for k, i, p in order[: len(mine)]]
         assert any(p for _, _, p, _, _ in mine) and (len(mine) == 50 or sum(not p for _, _, p, _, _ in mine) >= wanted)
+
+
+def test_contaminated_by_brute_force(spark, adaptive):
+    pool = [(a, i, i - 3 * a) for a, m in ((1, 40), (2, 7), (3, 1)) for i in range(10, 10 + m)]
+    frame = spark.createDataFrame(pool, "agent int, id long, rank long").repartition(3)
+    got = sorted((r.level, r.rep, r.agent, r.n, r.best, r.hits) for r in resampling.contaminated(frame, (0.0, 0.1, 0.5), 13, chunks=4).collect())
+    want = []
+    for agent in (1, 2, 3):
+        for rep in range(13):
+            order = sorted((hashlib.md5(f"3|{rep}|{a}|{i}".encode()).hexdigest(), k) for a, i, k in pool if a == agent)
+            for level in (0.1, 0.5):
+                some = [k for _, k in order[: math.floor(len(order) * level + 1e-9)]]
+                if some:
+                    want.append((level, rep, agent, len(some), min(some), sum(k <= 10 for k in some)))
+    assert got == sorted(want)
+
+
+def test_contamination_orders_no_draws_in_windows(spark):
+    plan = catalog.queries()["T18_contamination"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "md5" not in plan

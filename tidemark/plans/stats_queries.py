@@ -9,7 +9,7 @@ from tidemark.functions.columns import cosine
 from tidemark.operators import bootstrap, preference, ranking, resampling, splits, stats, vectors
 from tidemark.operators.counting import positive_ranks
 from tidemark.plans.base import FEATURES, SQL_FEATURES, SQL_INTERVAL, SQL_PAIRS, Catalog, features, pairs, read, rounded, sql_bootstrap, sql_ranked, sql_tail
-from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, embedded, sql_wide, wide, wide_scores
+from tidemark.plans.ranking_queries import FULL, MACRO, METRICS, ZCOLS, ZF, embedded, marked, marked_scores, sql_wide, wide, wide_scores
 from tidemark.sources.scratch import staged
 
 C = Catalog()
@@ -248,20 +248,19 @@ CONT = f"""WITH {SQL_FEATURES}, {SQL_PAIRS}, {ZF}, {sql_wide(ZCOLS)}, {sql_ranke
 SELECT level, agent, max(n_pos) AS n_pos, round(avg(mrr), 6) AS mrr_best, round(avg(r10), 6) AS recall_10 FROM one GROUP BY 1, 2"""
 
 
+CONT_LEVELS = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5)
+
+
 @C.add("T18_contamination", CONT)
 def t18(spark, d):
-    r = ranking.ranked(wide_scores(wide(spark, d), pairs(spark, d), ZCOLS), ["agent"]).select("agent", "id", "rank", "positive")
-    pos = r.filter("positive")
-    size = pos.groupBy("agent").agg(F.count("*").alias("n_pos"))
-    un = r.filter("not positive").join(size, "agent").withColumn("k", F.row_number().over(Window.partitionBy("agent").orderBy("rank"))).filter("k <= 2 * n_pos")
-    un = un.withColumn("m", F.count("*").over(Window.partitionBy("agent")))
-    # Levels share the order of a draw, so rows are ordered once a draw, not once a level.
-    order = Window.partitionBy("rep", "agent").orderBy(F.md5(F.concat_ws("|", F.lit("3"), "rep", "agent", "id").cast("binary")), "id")
-    levels = F.explode(F.array(*map(F.lit, (0.0, 0.05, 0.1, 0.2, 0.3, 0.5)))).alias("level")
-    pick = resampling.repeated(un, 100).withColumn("o", F.row_number().over(order)).select("*", levels)
-    hits = lambda: (F.count("*").alias("n"), F.min("rank").alias("best"), F.sum((F.col("rank") <= 10).cast("long")).alias("hits"))
-    drawn = pick.filter(F.col("o") <= F.floor(F.col("m") * F.col("level") + 1e-9)).groupBy("level", "rep", "agent").agg(*hits())
-    every = drawn.unionByName(resampling.repeated(pos.groupBy("agent").agg(*hits()).select("*", levels), 100))
+    # Rows up to rank 10, the first positive and the pool, which is the first unlabelled rows, twice as many as positives.
+    scored = marked_scores(marked(spark, d), ZCOLS)
+    r = staged(ranking.best_ranked(scored, ["agent"], F.greatest(2 * F.col("n_pos"), F.lit(10))).filter("n_pos > 0"), "first")
+    pool = r.filter(~F.col("positive") & (F.col("rank") - F.col("p_before") <= 2 * F.col("n_pos"))).select("agent", "id", "rank")
+    drawn = resampling.contaminated(pool, CONT_LEVELS)
+    levels = F.explode(F.array(*map(F.lit, CONT_LEVELS))).alias("level")
+    pos = r.filter("positive").groupBy("agent").agg(F.max("n_pos").alias("n"), F.min("rank").alias("best"), F.sum((F.col("rank") <= 10).cast("long")).alias("hits"))
+    every = drawn.unionByName(resampling.repeated(pos.select("*", levels), 100))
     one = every.groupBy("level", "rep", "agent").agg(F.sum("n").alias("n_pos"), (1.0 / F.min("best")).alias("mrr"), (F.sum("hits") / F.sum("n")).alias("r10"))
     return rounded(one.groupBy("level", "agent").agg(F.max("n_pos").alias("n_pos"), F.avg("mrr").alias("mrr_best"), F.avg("r10").alias("recall_10")))
 
