@@ -151,6 +151,23 @@ def test_vector_links_on_empty_and_repeated_rows(spark):
     assert sorted((str(r.vec_id), r.n_links, r.kept) for r in vector_dedup.vector_dedup(df).collect()) == [("1", 1, True), ("1", 1, True), ("None", 0, False)]
 
 
+@pytest.mark.parametrize("dim, spread, t", [(16, 0.3, 0.93), (8, 1.0, 0.99), (1, 1.0, 0.93)])
+def test_vectors_travel_once_a_block_or_by_fewer_cells(spark, monkeypatch, dim, spread, t):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, dim))
+    rows = [(i, (centres[i % 40] * spread + rng.normal(size=dim) * 0.1).astype(np.float32).tolist(), int(i >= 330)) for i in range(400)]
+    sent, kept = [], vector_dedup.unit_keys
+    monkeypatch.setattr(vector_dedup, "unit_keys", lambda df: sent.append(kept(df)) or sent[0])
+    monkeypatch.setattr(vector_dedup, "TILE", 7)
+    for block in (100, 2):
+        sent.clear()
+        got = vector_dedup.vector_dedup(vectors_frame(spark, rows), threshold=t, block=block).collect()
+        check_classes([(r.vec_id, r.component_id, r.n_links) for r in got], [r[0] for r in rows], vector_links(rows, t))
+        assert sent[0].count() <= sum(m * math.ceil(m / block) for m in (330, 70))
+        # Groups far from each other, for this threshold: cells send less where blocks are small.
+        assert t != 0.99 or block > 2 or sent[0].filter("part >= 0").count()
+
+
 def check_packing(rows, docs, capacity):
     lib = Tokenizer.from_file(BPE)
     pieces, sequences = defaultdict(list), defaultdict(list)
